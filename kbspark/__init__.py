@@ -1 +1,8 @@
 """Retrieval knowledge-base analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the plan, so executors need no installation.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
