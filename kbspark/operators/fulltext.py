@@ -98,12 +98,12 @@ def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, coun
         find = finder() if needles else (lambda text: {})
         for b in batches:
             ids, which, tfs, lens = [], [], [], []
-            for key, text in zip(b[id_col], b["_body"]):
+            for key, text, size in zip(b[id_col], b["_body"], b["_grams"]):
                 for i, hits in find(text or "").items():
                     ids.append(key)
                     which.append(needles[i])
                     tfs.append(hits)
-                    lens.append(float(max(len(text) - (n - 1), 0)))
+                    lens.append(size)
             out = {id_col: ids, "needle": which}
             if count_hits:
                 out.update(tf=tfs, n_grams=lens)
@@ -121,15 +121,18 @@ def occurrences(
     fold: bool = True,
     count_hits: bool = True,
     index: DataFrame | None = None,
+    length: str | None = None,
 ) -> DataFrame:
     """(id, needle[, tf, n_grams]) for every text containing a needle of >= ``n`` characters.
 
     tf counts overlapping hits; n_grams is the text's length in n-grams. ``index`` is an
     optional :func:`gram_index` table; with it only the postings of needle grams are
-    read instead of every text's grams.
+    read instead of every text's grams; ``length`` names a stored n-gram count.
     """
     keys = _needle_keys(needles, n)
-    body = texts.select(id_col, (F.lower(text) if fold else F.col(text)).alias("_body"))
+    size = F.col(length) if length else F.greatest(F.length(text) - (n - 1), F.lit(0))
+    body = texts.select(
+        id_col, (F.lower(text) if fold else F.col(text)).alias("_body"), size.cast("double").alias("_grams"))
     small = text_fits(keys, "needle")
     if index is None and small:
         found = [r["needle"] for r in keys.select("needle").collect()]  # bounded just above
@@ -153,7 +156,7 @@ def occurrences(
     tf = F.regexp_count(found, F.concat(F.lit("(?=\\Q"), needle, F.lit("\\E)")))
     return hits.select(
         id_col, "needle", tf.cast("long").alias("tf"),
-        F.greatest(F.length(found) - (n - 1), F.lit(0)).cast("double").alias("n_grams"),
+        F.col("_grams").alias("n_grams"),
     )
 
 
@@ -179,12 +182,11 @@ def fts_match(
     return _join_terms(occ, terms, text_fits(terms, "needle")).select("query_id", id_col, "term", "tf")
 
 
-def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+def corpus_stats(chunks: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
     """One row: number of texts and mean length in trigrams."""
-    grams_in = F.greatest(F.length(F.lower(F.col(text))) - (GRAM - 1), F.lit(0))
+    size = F.col(length) if length else F.greatest(F.length(text) - (GRAM - 1), F.lit(0))
     return chunks.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.avg(grams_in.cast("double")).alias("avg_len")
-    )
+        F.count(F.lit(1)).alias("n_docs"), F.avg(size.cast("double")).alias("avg_len"))
 
 
 def bm25(
@@ -196,6 +198,7 @@ def bm25(
     allowed: DataFrame | None = None,
     index: DataFrame | None = None,
     stats: DataFrame | None = None,
+    length: str | None = None,
 ) -> DataFrame:
     """(query_id, id, score[, fts_rank]): BM25 over trigram lengths, best ``k`` per query.
 
@@ -206,11 +209,11 @@ def bm25(
     terms = explode_terms(queries)
     # one shuffle by text id serves both uses below: the document frequencies and the
     # per-(query, text) sums; every column is named in both so that Spark reuses it
-    occ = occurrences(chunks, terms, id_col, text, index=index).repartition(id_col)
+    occ = occurrences(chunks, terms, id_col, text, index=index, length=length).repartition(id_col)
     seen = F.col(id_col).isNotNull() & (F.col("tf") > 0) & (F.col("n_grams") >= 0)
     df_ = occ.groupBy("needle").agg(F.count_if(seen).alias("_df"))
     # corpus statistics enter as scalar subqueries, so no join is spent on them
-    facts = stats if stats is not None else corpus_stats(chunks, text)
+    facts = stats if stats is not None else corpus_stats(chunks, text, length)
     n_docs, avg_len = facts.select("n_docs").scalar(), facts.select("avg_len").scalar()
     idf = df_.select(
         "needle", F.greatest(
@@ -235,17 +238,23 @@ def bm25(
     ).drop("rn")
 
 
-def snippet(text, terms, width: int = 22, mark: tuple[str, str] = ("【", "】")):
-    """Excerpt around the first hit with every hit marked; ``terms`` is an array Column."""
+def mark_pattern(terms):
+    """Alternation of the searchable terms, longest first, as a regular expression."""
+    fit = F.filter(terms, lambda t: F.length(t) >= GRAM)
+    longest = F.array_sort(fit, lambda a, b: F.length(b) - F.length(a))
+    return F.concat(F.lit("(?i)("), F.array_join(longest, "|"), F.lit(")"))
+
+
+def snippet(text, terms, pattern, width: int = 22, mark: tuple[str, str] = ("【", "】")):
+    """Excerpt of ``width`` characters from just before the first hit, every hit marked.
+
+    ``terms`` are folded terms, ``pattern`` is :func:`mark_pattern` of them.
+    """
     folded = F.lower(text)
-    starts = F.filter(F.transform(terms, lambda t: F.instr(folded, t)), lambda p: p > 0)
-    first = F.coalesce(F.array_min(starts), F.lit(1))
-    begin = F.greatest(first - 4, F.lit(1))
-    cut = F.substring(text, begin, F.lit(width))
-    pattern = F.concat(F.lit("(?i)("), F.array_join(F.array_sort(
-        F.filter(terms, lambda t: F.length(t) >= GRAM),
-        lambda a, b: F.length(b) - F.length(a)), "|"), F.lit(")"))
-    marked = F.regexp_replace(cut, pattern, F.lit(mark[0] + "$1" + mark[1]))
+    fit = F.filter(terms, lambda t: F.length(t) >= GRAM)
+    starts = F.filter(F.transform(fit, lambda t: F.instr(folded, t)), lambda p: p > 0)
+    begin = F.greatest(F.coalesce(F.array_min(starts), F.lit(1)) - 4, F.lit(1))
+    marked = F.regexp_replace(F.substring(text, begin, F.lit(width)), pattern, F.lit(mark[0] + "$1" + mark[1]))
     return F.concat(
         F.when(begin > 1, F.lit("…")).otherwise(F.lit("")), marked,
         F.when(begin + width <= F.length(text), F.lit("…")).otherwise(F.lit("")),
@@ -258,10 +267,10 @@ def keyword_search(
     """Best ``k`` keyword hits per query with source columns and a marked excerpt."""
     ranked = bm25(queries, chunks, k)
     folded = queries.select(
-        "query_id", F.array_distinct(F.transform(T.query_terms("query"), F.lower)).alias("terms")
-    )
+        "query_id", F.array_distinct(F.transform(T.query_terms("query"), F.lower)).alias("_terms")
+    ).withColumn("_pattern", mark_pattern(F.col("_terms")))
     return (
         ranked.join(chunks, "chunk_id").join(sources, "source_id").join(folded, "query_id")
-        .withColumn("snippet", snippet(F.col("text"), F.col("terms")))
-        .drop("terms")
+        .withColumn("snippet", snippet(F.col("text"), F.col("_terms"), F.col("_pattern")))
+        .drop("_terms", "_pattern")
     )

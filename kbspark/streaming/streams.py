@@ -118,12 +118,23 @@ def job_states(events: DataFrame, max_retries: int = MAX_RETRIES, ts: str = "ts"
     Events are (job_id, ts, seq, event, error). State per job is four scalars.
     """
     marked = events.withWatermark(ts, horizon).select(
-        "job_id", ts, "seq", "event", "error", F.coalesce(is_permanent("error"), F.lit(False)).alias("permanent"))
+        "job_id", ts, "seq", F.when(F.col("event").isin("claim", "done", "duplicate", "fail"), F.col("event"))
+        .otherwise("other").alias("event"), "error", F.coalesce(is_permanent("error"), F.lit(False)).alias("permanent"))
+
+    def shrink(rows: pd.DataFrame) -> pd.DataFrame:
+        """The few events of a job that can decide its state, however many arrived."""
+        rows = rows.sort_values("seq")
+        fails = rows[rows["event"] == "fail"]
+        ends = rows[rows["event"].isin(["done", "duplicate"]) | ((rows["event"] == "fail") & rows["permanent"])]
+        keep = pd.concat([fails.head(max_retries), ends.head(1), rows[rows["event"] != "other"].tail(1)])
+        return keep.drop_duplicates("seq")
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get if state.exists else ("pending", 0, None, False)
-        rows = pd.concat(list(frames)).sort_values("seq")  # events of one job in one micro-batch
-        for r in rows.itertuples(index=False):
+        held = None
+        for frame in frames:
+            held = shrink(frame if held is None else pd.concat([held, frame]))
+        for r in held.sort_values("seq").itertuples(index=False):
             now = _advance(now, r.event, r.error, bool(r.permanent), max_retries)
         state.update(now)
         yield pd.DataFrame([(key[0], now[0], now[1], now[2])], columns=["job_id", "status", "retries", "error"])
