@@ -19,7 +19,9 @@ MAX_FRAMES = 12
 
 def canonical_urls(df: DataFrame, url: str = "url") -> DataFrame:
     """Add platform, video_id, canonical_url and reason (null when accepted)."""
-    return df.withColumn("_id", U.video_identity(url)).select(*df.columns, "_id.*")
+    return U.with_identity(df, url).select(
+        *df.columns, F.col("_platform").alias("platform"), F.col("_vid").alias("video_id"),
+        U.canonical_url(url, F.col("_platform"), F.col("_vid")).alias("canonical_url"), F.col("_reason").alias("reason"))
 
 
 def expand_redirects(urls: DataFrame, hops: DataFrame, url: str = "url") -> DataFrame:
@@ -29,29 +31,27 @@ def expand_redirects(urls: DataFrame, hops: DataFrame, url: str = "url") -> Data
     address has to be on the whitelist; relative locations resolve against the current one.
     """
     step = hops.select(F.col("from_url").alias("_from"), F.col("location").alias("_to"))
-    cur = urls.withColumn("final_url", F.col(url)).withColumn(
-        "expand_status", F.when(U.platform_of(U.hostname(url)).isNull(), "off_whitelist")
-    )
+    cur = urls.withColumn("final_url", F.col(url)).withColumn("_h", U.hostname(url)).withColumn(
+        "expand_status", F.when(U.platform_of(F.col("_h")).isNull(), "off_whitelist")).drop("_h")
+    off = lambda c: U.platform_of(F.col(c)).isNull()
     for hop in range(MAX_HOPS + 1):
-        cur = cur.join(step, F.col("final_url") == F.col("_from"), "left")
-        origin = F.concat(U.scheme("final_url"), F.lit("://"), U.netloc("final_url"))
-        folder = F.regexp_replace(U.path("final_url"), r"[^/]*$", "")
-        target = (
-            F.when(F.col("_to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("_to"))
-            .when(F.col("_to").startswith("//"), F.concat(U.scheme("final_url"), F.lit(":"), F.col("_to")))
-            .when(F.col("_to").startswith("/"), F.concat(origin, F.col("_to")))
-            .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), F.col("_to")))
-        )
-        moving = F.col("expand_status").isNull() & F.col("_to").isNotNull()
+        cur = cur.join(step, F.col("final_url") == F.col("_from"), "left").withColumn(
+            "_go", F.col("expand_status").isNull() & F.col("_to").isNotNull())
         if hop == MAX_HOPS:
-            cur = cur.withColumn("expand_status", F.when(moving, "too_many_hops").otherwise(F.col("expand_status")))
+            cur = cur.withColumn("expand_status", F.when(F.col("_go"), "too_many_hops").otherwise(F.col("expand_status")))
         else:
-            cur = cur.withColumn("final_url", F.when(moving, target).otherwise(F.col("final_url"))).withColumn(
-                "expand_status",
-                F.when(moving & U.platform_of(U.hostname("final_url")).isNull(), "off_whitelist")
-                .otherwise(F.col("expand_status")),
+            origin = F.concat(U.scheme("final_url"), F.lit("://"), U.netloc("final_url"))
+            folder = F.coalesce(F.nullif(F.regexp_replace(U.path("final_url"), r"[^/]*$", ""), F.lit("")), F.lit("/"))
+            target = (
+                F.when(F.col("_to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.col("_to"))
+                .when(F.col("_to").startswith("//"), F.concat(U.scheme("final_url"), F.lit(":"), F.col("_to")))
+                .when(F.col("_to").startswith("/"), F.concat(origin, F.col("_to")))
+                .otherwise(F.concat(origin, folder, F.col("_to")))
             )
-        cur = cur.drop("_from", "_to")
+            cur = cur.withColumn("final_url", F.when(F.col("_go"), target).otherwise(F.col("final_url"))).withColumn(
+                "_h", F.when(F.col("_go"), U.hostname("final_url"))).withColumn(
+                "expand_status", F.when(F.col("_go") & off("_h"), "off_whitelist").otherwise(F.col("expand_status"))).drop("_h")
+        cur = cur.drop("_from", "_to", "_go")
     return cur.withColumn("expand_status", F.coalesce("expand_status", F.lit("ok")))
 
 
@@ -60,28 +60,24 @@ def classify(df: DataFrame, url: str = "url", hops: DataFrame | None = None) ->
 
     With a redirect table, whitelisted addresses that do not parse are expanded first.
     """
-    host = U.hostname(url)
-    direct = U.video_identity(url)
-    base = df.withColumn("_host", host).withColumn("_id", direct)
+    plat, vid = F.col("_platform"), F.col("_vid")
+    base = U.with_identity(df, url).withColumn("_final", F.col(url))
     if hops is not None:
-        need = F.col("_id.reason").isNotNull() & U.platform_of(F.col("_host")).isNotNull()
-        pending = base.filter(need).drop("_id")
-        opened = expand_redirects(pending, hops, url).withColumn("_id", U.video_identity("final_url"))
-        bad = F.col("expand_status") != "ok"
-        reason = F.when(F.col("expand_status") == "off_whitelist", F.lit("轉址落到白名單外的網域,拒絕跟隨")).otherwise(
-            F.concat(F.lit(f"轉址超過 {MAX_HOPS} 層上限,拒絕跟隨:"), F.col(url)))
-        opened = opened.withColumn("_id", F.when(bad, F.struct(
-            F.col("_id.platform").alias("platform"), F.lit(None).cast("string").alias("video_id"),
-            F.lit(None).cast("string").alias("canonical_url"), reason.alias("reason"))).otherwise(F.col("_id")))
-        base = base.filter(~need | need.isNull()).unionByName(opened.select(*base.columns))
-    on_list = U.platform_of(F.col("_host")).isNotNull()
-    web = F.col("_host").isNotNull() & ~on_list
+        need = F.coalesce(F.col("_reason").isNotNull() & plat.isNotNull(), F.lit(False))
+        opened = expand_redirects(base.filter(need).select(*df.columns), hops, url)
+        refused = F.when(F.col("expand_status") == "off_whitelist", F.lit("轉址落到白名單外的網域,拒絕跟隨")).when(
+            F.col("expand_status") == "too_many_hops", F.concat(F.lit(f"轉址超過 {MAX_HOPS} 層上限,拒絕跟隨:"), F.col(url)))
+        opened = U.with_identity(opened, "final_url").withColumn("_bad", refused).withColumn(
+            "_vid", F.when(F.col("_bad").isNull(), vid)).withColumn("_reason", F.coalesce("_bad", "_reason"))
+        opened = opened.withColumnRenamed("final_url", "_final")
+        base = base.filter(~need).unionByName(opened.select(*base.columns))
+    web = F.col("_host").isNotNull() & plat.isNull()
     return base.select(
         *df.columns,
-        F.when(web, F.lit("web")).otherwise(F.col("_id.platform")).alias("platform"),
-        F.when(web, U.article_key(url)).otherwise(F.col("_id.video_id")).alias("content_id"),
-        F.when(web, F.col(url)).otherwise(F.col("_id.canonical_url")).alias("canonical_url"),
-        F.when(~web | web.isNull(), F.col("_id.reason")).alias("reason"),
+        F.when(web, F.lit("web")).otherwise(plat).alias("platform"),
+        F.when(web, U.article_key(url)).otherwise(vid).alias("content_id"),
+        F.when(web, F.col(url)).otherwise(U.canonical_url("_final", plat, vid)).alias("canonical_url"),
+        F.when(~web, F.col("_reason")).alias("reason"),
     )
 
 

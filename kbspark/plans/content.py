@@ -369,22 +369,22 @@ pc AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY seq,
 pn AS (SELECT *, length(t) AS n FROM pc),
 pp AS (SELECT *, {_TOK} AS cj FROM pn),
 cum AS (SELECT source_id, p, t, st, en, sum(cj) OVER w AS c, sum(n - cj) OVER w AS o, cj, n - cj AS ot FROM pp WINDOW w AS (PARTITION BY source_id ORDER BY p)),
-span AS (SELECT a.source_id, a.p AS s, b.p + 1 AS e, b.c - a.c + a.cj + (b.o - a.o + a.ot + b.p - a.p) // 4 AS tok
+span AS MATERIALIZED (SELECT a.source_id, a.p AS s, b.p + 1 AS e, b.c - a.c + a.cj + (b.o - a.o + a.ot + b.p - a.p) // 4 AS tok
   FROM cum a JOIN cum b ON a.source_id = b.source_id AND b.p BETWEEN a.p AND a.p + 400),
-reach AS (SELECT source_id, s, max(e) AS e FROM span WHERE tok <= 500 GROUP BY 1, 2),
+reach AS MATERIALIZED (SELECT source_id, s, max(e) AS e FROM span WHERE tok <= 500 GROUP BY 1, 2),
 lastp AS (SELECT source_id, max(p) + 1 AS n FROM cum GROUP BY 1),
-walk AS (
-  SELECT source_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS j FROM lastp
-  UNION ALL
-  SELECT w.source_id, w.k + 1, CAST(x.tail AS BIGINT), CAST(x.e AS BIGINT) FROM walk w JOIN (
-    SELECT r.source_id, r.s, r.j, r.e, coalesce(min(q.s), CASE WHEN l.tok < 300 THEN r.e - 1 ELSE r.e END) AS tail
+nxt AS MATERIALIZED (SELECT r.source_id, r.s, r.j, r.e, coalesce(min(q.s), CASE WHEN l.tok < 300 THEN r.e - 1 ELSE r.e END) AS tail
     FROM (SELECT d.source_id, d.s, d.j, greatest(coalesce(h.e, 0), d.j + 1) AS e
           FROM (SELECT a.source_id, a.p AS s, b.p AS j FROM cum a JOIN cum b ON a.source_id = b.source_id AND b.p BETWEEN a.p AND a.p + 60) d
           LEFT JOIN reach h ON h.source_id = d.source_id AND h.s = d.s) r
     JOIN span f ON f.source_id = r.source_id AND f.s = r.s AND f.e = r.e
     JOIN span l ON l.source_id = r.source_id AND l.s = r.e - 1 AND l.e = r.e
     LEFT JOIN span q ON q.source_id = r.source_id AND q.e = r.e AND q.s >= r.s AND q.tok <= CAST(floor(f.tok * 0.15::DOUBLE) AS BIGINT)
-    GROUP BY r.source_id, r.s, r.j, r.e, l.tok) x ON x.source_id = w.source_id AND x.s = w.s AND x.j = w.j),
+    GROUP BY r.source_id, r.s, r.j, r.e, l.tok),
+walk AS (
+  SELECT source_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS j FROM lastp
+  UNION ALL
+  SELECT w.source_id, w.k + 1, CAST(x.tail AS BIGINT), CAST(x.e AS BIGINT) FROM walk w JOIN nxt x ON x.source_id = w.source_id AND x.s = w.s AND x.j = w.j),
 ch AS (SELECT w.source_id, w.k, w.s, greatest(coalesce(r.e, 0), w.j + 1) AS e FROM walk w JOIN lastp z USING (source_id)
   LEFT JOIN reach r ON r.source_id = w.source_id AND r.s = w.s WHERE w.j < z.n),
 out AS (SELECT h.source_id, h.k AS chunk_seq, h.e - h.s AS n_segments, string_agg(c.t, ' ' ORDER BY c.p) AS text,
