@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ CHUNK_SCHEMA = (
     "source_id long, first_seq long, first_piece long, chunk_seq long, text string,"
     " start_sec double, end_sec double, n_tokens long, n_segments long"
 )
+CHUNK_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
 MAP_SCHEMA = (
     "source_id long, blk long, in_s_seq long, in_s_piece long, in_j_seq long, in_j_piece long,"
     " out_s_seq long, out_s_piece long, out_j_seq long, out_j_piece long, n long"
@@ -269,27 +271,32 @@ def _pack(sid: int, blk: int, segments: list[tuple], entry: tuple[int, ...] | No
     return rows
 
 
-def _pack_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(CHUNK_TYPES)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(cols, CHUNK_TYPES)], _names(CHUNK_SCHEMA))
+
+
+def _pack_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pack block after block of rows that arrive sorted by (source, block, seq).
 
     Only the rows of the block at hand are held; a block may span Arrow batches.
     """
-    cols = _names(CHUNK_SCHEMA)
     key, held, entry = None, [], None
     for b in batches:
         out: list[tuple] = []
-        state = zip(*(b[c] for c in _ENTRY)) if "s_seq" in b.columns else repeat(None)
-        body = b[_SEGMENT].itertuples(index=False, name=None)
-        for sid, blk, seg, st in zip(b["source_id"], b["blk"], body, state):
+        take = lambda names: zip(*(b.column(c).to_pylist() for c in names))
+        state = take(_ENTRY) if "s_seq" in b.schema.names else repeat(None)
+        for sid, blk, seg, st in zip(*(b.column(c).to_pylist() for c in ("source_id", "blk")), take(_SEGMENT), state):
             if (sid, blk) != key:
                 if held:
                     out += _pack(*key, held, entry)
-                key, held = (int(sid), int(blk)), []
-                entry = None if st is None or pd.isna(st[0]) else tuple(int(x) for x in st)
+                key, held = (sid, blk), []
+                entry = None if st is None or st[0] is None else st
             held.append(seg)
-        yield pd.DataFrame(out, columns=cols)
+        yield _chunk_batch(out)
     if held:
-        yield pd.DataFrame(_pack(*key, held, entry), columns=cols)
+        yield _chunk_batch(_pack(*key, held, entry))
 
 
 def chunk(segments: DataFrame, max_seq: int | None = None) -> DataFrame:
@@ -306,12 +313,12 @@ def chunk(segments: DataFrame, max_seq: int | None = None) -> DataFrame:
     if max_seq is None:
         max_seq = segs.agg(F.max("seq")).first()[0] or 0
     if max_seq == 0:
-        return segs.withColumn("blk", F.lit(0).cast("long")).mapInPandas(_pack_sorted, CHUNK_SCHEMA)
+        return segs.withColumn("blk", F.lit(0).cast("long")).mapInArrow(_pack_sorted, CHUNK_SCHEMA)
     blocks = _with_halo(segs)
     if max_seq >= BLOCK:
         blocks = blocks.join(_entries(blocks, max_seq // BLOCK), ["source_id", "blk"], "left")
     placed = blocks.repartition("source_id", "blk").sortWithinPartitions("source_id", "blk", "seq")
-    return placed.mapInPandas(_pack_sorted, CHUNK_SCHEMA)
+    return placed.mapInArrow(_pack_sorted, CHUNK_SCHEMA)
 
 
 def modality_of(source_type) -> "F.Column":

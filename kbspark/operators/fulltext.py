@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -94,22 +94,29 @@ def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, coun
         machine.make_automaton()
         return lambda text: Counter(i for _, i in machine.iter(text))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # ids are numbers or strings
+    kinds = [pa.string() if isinstance(fields[0].dataType, t.StringType) else pa.int64(), pa.string()]
+    if count_hits:
+        kinds += [pa.int64(), pa.float64()]
+    names = [f.name for f in fields]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder() if needles else (lambda text: {})
         for b in batches:
             ids, which, tfs, lens = [], [], [], []
-            for key, text, size in zip(b[id_col], b["_body"], b["_grams"]):
+            columns = (b.column(c).to_pylist() for c in (id_col, "_body", "_grams"))
+            for key, text, size in zip(*columns):
                 for i, hits in find(text or "").items():
                     ids.append(key)
                     which.append(needles[i])
                     tfs.append(hits)
                     lens.append(size)
-            out = {id_col: ids, "needle": which}
-            if count_hits:
-                out.update(tf=tfs, n_grams=lens)
-            yield pd.DataFrame(out)
+            data = [ids, which, tfs, lens][: len(names)]
+            yield pa.RecordBatch.from_arrays([pa.array(d, k) for d, k in zip(data, kinds)], names)
 
-    return body.mapInPandas(scan, t.StructType(fields))
+    key_type = fields[0].dataType
+    cast = body if isinstance(key_type, (t.LongType, t.StringType)) else body.withColumn(id_col, F.col(id_col).cast("long"))
+    return cast.mapInArrow(scan, t.StructType([t.StructField(id_col, t.StringType() if isinstance(key_type, t.StringType) else t.LongType())] + fields[1:]))
 
 
 def occurrences(

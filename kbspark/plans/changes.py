@@ -52,13 +52,13 @@ def delete_report(spark, sf):
 
 def set_null(spark, sf):
     """Labelled ids taken as deleted collections: sources left unfiled."""
-    gone = S.given(spark, sf, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("collection_id"))
+    gone = S.given(spark, sf, "labels").select(F.col("doc_id").alias("collection_id"))
     cleared, _ = M.set_null(S.sources(spark, sf), "collection_id", gone)
     return cleared.select("source_id", "collection_id")
 
 
 def released(spark, sf):
-    gone = S.given(spark, sf, "labels").filter(F.col("toxic") == 1).select(F.col("doc_id").alias("collection_id"))
+    gone = S.given(spark, sf, "labels").select(F.col("doc_id").alias("collection_id"))
     return M.set_null(S.sources(spark, sf), "collection_id", gone)[1]
 
 
@@ -160,8 +160,8 @@ ORACLES = {
  UNION ALL SELECT 'chunk_vectors', count(*) FROM embeddings WHERE NOT EXISTS (SELECT 1 FROM gone JOIN documents USING (doc_id) WHERE gone.doc_id = vec_id)
  UNION ALL SELECT 'jobs', count(*) FROM jobs WHERE source_id IS NULL OR source_id NOT IN (SELECT doc_id FROM gone)""",
     "delete_report": "SELECT page_id * 7 AS source_id, CASE WHEN page_id * 7 IN (SELECT doc_id FROM documents) THEN 'deleted' ELSE 'missing' END AS outcome FROM pages",
-    "set_null": f"WITH {sql.SOURCES} SELECT source_id, CASE WHEN collection_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN collection_id END AS collection_id FROM src",
-    "released": f"WITH {sql.SOURCES} SELECT collection_id, count(*) AS released FROM src WHERE collection_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1",
+    "set_null": f"WITH {sql.SOURCES} SELECT source_id, CASE WHEN collection_id NOT IN (SELECT doc_id FROM labels ) THEN collection_id END AS collection_id FROM src",
+    "released": f"WITH {sql.SOURCES} SELECT collection_id, count(*) AS released FROM src WHERE collection_id IN (SELECT doc_id FROM labels ) GROUP BY 1",
     "upsert": """WITH n AS (SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY 1)
 SELECT key, value FROM n UNION ALL SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT key FROM n)""",
     "apply_changes": f"""WITH {sql.SOURCES}, n AS (SELECT user_id, arg_max(event_type, event_id) AS s FROM events WHERE event_type <> 'view' GROUP BY 1)

@@ -137,7 +137,7 @@ def job_states(events: DataFrame, max_retries: int = MAX_RETRIES, ts: str = "ts"
         for r in held.sort_values("seq").itertuples(index=False):
             now = _advance(now, r.event, r.error, bool(r.permanent), max_retries)
         state.update(now)
-        yield pd.DataFrame([(key[0], now[0], now[1], now[2])], columns=["job_id", "status", "retries", "error"])
+        yield pd.DataFrame([(key[0], now[0], now[1], now[2])], columns=["job_id", "status", "retries", "error"], dtype=object)
 
     return marked.groupBy("job_id").applyInPandasWithState(
         fold, JOB_ROW, STATE, "update", GroupStateTimeout.NoTimeout)
