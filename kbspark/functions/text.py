@@ -12,7 +12,7 @@ CHUNK_CJK = "[\u4e00-\u9fff\u3400-\u4dbf\u3040-\u30ff\uac00-\ud7a3]"
 HAN_CJK = "[\u4e00-\u9fff\u3400-\u4dbf]"
 TERM_PATTERN = "[A-Za-z0-9]{2,}|[\u4e00-\u9fff]{3,}"
 NORMALISE_PATTERN = r"(?U)[\s。,.!?~…·、]+"
-SENTENCE_BREAK = r"(?U)(?<=[。!?;.])\s*"
+SENTENCE_BREAK = r"(?<=[。!?;.])(?U:\s*)"
 SUGGESTION_LINE = r"(?mU)^\s*追問建議\s*:\s*([^\n]+?)\s*\z"
 CITATION_PATTERN = r"【S(\d+)】"
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -178,7 +178,7 @@ def run_record(scores: DataFrame, routes: DataFrame, negatives: DataFrame, **fac
     """One history row of a run, ready to append."""
     overall = scores.agg(F.round(F.avg("hit"), 4).alias("recall"), F.round(F.avg("rr"), 4).alias("mrr"),
                          F.round(F.avg("coverage"), 4).alias("coverage"))
-    one: Column = F.lit(1)
-    tag = lambda df: df.withColumn("_one", one)
-    row = tag(overall).join(tag(attribution_counts(routes)), "_one").join(tag(negatives), "_one").drop("_one")
-    return row.select(*[F.lit(v).alias(k) for k, v in facts.items()], "*")
+    routes_, negative = attribution_counts(routes), negatives
+    extra = [routes_.select(c).scalar().alias(c) for c in routes_.columns]
+    extra += [negative.select(c).scalar().alias(c) for c in negative.columns]
+    return overall.select(*[F.lit(v).alias(k) for k, v in facts.items()], "*", *extra)

@@ -19,7 +19,7 @@ from pyspark.sql import types as t
 
 from kbspark.functions import text as T
 from kbspark.operators.blocks import top_k
-from kbspark.session import text_fits
+from kbspark.session import bounded_values
 
 # BM25 constants, shortest term a trigram index can match, idf floor.
 BM25_K1 = 1.2
@@ -43,9 +43,10 @@ def explode_terms(queries: DataFrame, query_id: str = "query_id", query: str = "
 
 def gram_index(texts: DataFrame, id_col: str, text: str = "text", n: int = GRAM) -> DataFrame:
     """Posting table (gram, id): each distinct gram of each folded text once."""
+    # the outer form keeps Spark from adding a filter that extracts the grams a second time
     return texts.select(
-        F.explode(F.array_distinct(grams(F.lower(F.col(text)), n))).alias("gram"), id_col
-    )
+        F.explode_outer(F.array_distinct(grams(F.lower(F.col(text)), n))).alias("gram"), id_col
+    ).filter(F.col("gram").isNotNull())
 
 
 def extend_gram_index(index: DataFrame, texts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
@@ -129,25 +130,28 @@ def occurrences(
     count_hits: bool = True,
     index: DataFrame | None = None,
     length: str | None = None,
+    known: list[str] | None = None,
 ) -> DataFrame:
     """(id, needle[, tf, n_grams]) for every text containing a needle of >= ``n`` characters.
 
     tf counts overlapping hits; n_grams is the text's length in n-grams. ``index`` is an
     optional :func:`gram_index` table; with it only the postings of needle grams are
-    read instead of every text's grams; ``length`` names a stored n-gram count.
+    read instead of every text's grams; ``length`` names a stored n-gram count,
+    ``known`` passes needles that were already read by :func:`bounded_values`.
     """
     keys = _needle_keys(needles, n)
     size = F.col(length) if length else F.greatest(F.length(text) - (n - 1), F.lit(0))
     body = texts.select(
         id_col, (F.lower(text) if fold else F.col(text)).alias("_body"), size.cast("double").alias("_grams"))
-    small = text_fits(keys, "needle")
+    small = known is not None
     if index is None and small:
-        found = [r["needle"] for r in keys.select("needle").collect()]  # bounded just above
-        return _scan_needles(body, sorted(found), id_col, n, count_hits)
+        found = sorted({x for x in known if x is not None and len(x) >= n})
+        return _scan_needles(body, found, id_col, n, count_hits)
+    keys = _needle_keys(needles, n)
     if index is None:
         index = gram_index(texts, id_col, text, n) if fold else body.select(
-            F.explode(F.array_distinct(grams(F.col("_body"), n))).alias("gram"), id_col
-        )
+            F.explode_outer(F.array_distinct(grams(F.col("_body"), n))).alias("gram"), id_col
+        ).filter(F.col("gram").isNotNull())
     if small:
         pairs = index.join(F.broadcast(keys), "gram")
     else:
@@ -185,8 +189,9 @@ def fts_match(
 ) -> DataFrame:
     """(query_id, id, term, tf): OR of the query's terms against every text."""
     terms = explode_terms(queries)
-    occ = occurrences(chunks, terms, id_col, text, index=index)
-    return _join_terms(occ, terms, text_fits(terms, "needle")).select("query_id", id_col, "term", "tf")
+    known = bounded_values(terms, "needle")
+    occ = occurrences(chunks, terms, id_col, text, index=index, known=known)
+    return _join_terms(occ, terms, known is not None).select("query_id", id_col, "term", "tf")
 
 
 def corpus_stats(chunks: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
@@ -214,9 +219,10 @@ def bm25(
     ``stats`` is a stored :func:`corpus_stats` row, saving its scan.
     """
     terms = explode_terms(queries)
+    known = bounded_values(terms, "needle")
     # one shuffle by text id serves both uses below: the document frequencies and the
     # per-(query, text) sums; every column is named in both so that Spark reuses it
-    occ = occurrences(chunks, terms, id_col, text, index=index, length=length).repartition(id_col)
+    occ = occurrences(chunks, terms, id_col, text, index=index, length=length, known=known).repartition(id_col)
     seen = F.col(id_col).isNotNull() & (F.col("tf") > 0) & (F.col("n_grams") >= 0)
     df_ = occ.groupBy("needle").agg(F.count_if(seen).alias("_df"))
     # corpus statistics enter as scalar subqueries, so no join is spent on them
@@ -233,7 +239,7 @@ def bm25(
         occ = occ.join(allowed.select(id_col), id_col, "left_semi")
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("n_grams") / avg_len)
     scored = (
-        _join_terms(occ, weighted, text_fits(terms, "needle"))
+        _join_terms(occ, weighted, known is not None)
         .groupBy("query_id", id_col)
         .agg(F.sum(F.col("idf") * F.col("tf") * (BM25_K1 + 1) / norm).alias("score"))
         .withColumn("score", F.round("score", 9))
@@ -252,15 +258,13 @@ def mark_pattern(terms):
     return F.concat(F.lit("(?i)("), F.array_join(longest, "|"), F.lit(")"))
 
 
-def snippet(text, terms, pattern, width: int = 22, mark: tuple[str, str] = ("【", "】")):
+def snippet(text, pattern, width: int = 22, mark: tuple[str, str] = ("【", "】")):
     """Excerpt of ``width`` characters from just before the first hit, every hit marked.
 
-    ``terms`` are folded terms, ``pattern`` is :func:`mark_pattern` of them.
+    ``pattern`` is :func:`mark_pattern` of the folded terms.
     """
-    folded = F.lower(text)
-    fit = F.filter(terms, lambda t: F.length(t) >= GRAM)
-    starts = F.filter(F.transform(fit, lambda t: F.instr(folded, t)), lambda p: p > 0)
-    begin = F.greatest(F.coalesce(F.array_min(starts), F.lit(1)) - 4, F.lit(1))
+    first = F.regexp_instr(text, pattern)
+    begin = F.greatest(F.when(first > 0, first).otherwise(F.lit(1)) - 4, F.lit(1))
     marked = F.regexp_replace(F.substring(text, begin, F.lit(width)), pattern, F.lit(mark[0] + "$1" + mark[1]))
     return F.concat(
         F.when(begin > 1, F.lit("…")).otherwise(F.lit("")), marked,
@@ -278,6 +282,6 @@ def keyword_search(
     ).withColumn("_pattern", mark_pattern(F.col("_terms")))
     return (
         ranked.join(chunks, "chunk_id").join(sources, "source_id").join(folded, "query_id")
-        .withColumn("snippet", snippet(F.col("text"), F.col("_terms"), F.col("_pattern")))
+        .withColumn("snippet", snippet(F.col("text"), F.col("_pattern")))
         .drop("_terms", "_pattern")
     )

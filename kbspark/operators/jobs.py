@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions.rules import is_permanent, translate_error
 from kbspark.operators.blocks import running_sum, top_k
+from kbspark.session import salted_join
 
 # Retry limit, stored error length, source-less ingest kinds.
 MAX_RETRIES = 3
@@ -32,7 +33,7 @@ def fold_jobs(events: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
     ends = e.groupBy("job_id").agg(
         F.min(F.when(F.col("event").isin("done", "duplicate") | F.col("_perm"), F.col("seq"))).alias("_end")
     ).join(last_chance, "job_id", "left").select("job_id", F.least("_end", "_spent").alias("_stop"))
-    live = e.join(ends, "job_id").filter(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop")))
+    live = salted_join(e, ends, ["job_id"], "seq").filter(F.col("_stop").isNull() | (F.col("seq") <= F.col("_stop")))
     out = live.groupBy("job_id").agg(
         F.max_by("event", F.when(F.col("event").isin("claim", "done", "duplicate", "fail"), F.col("seq"))).alias("_last"),
         F.count_if(F.col("event") == "fail").alias("retries"),

@@ -17,6 +17,7 @@ MAX_DISTANCE = 1.0
 DIM = 512
 BLOCK_ROWS = 16_384
 TILE = 64
+QUERY_BYTES = 128 * 1024 * 1024
 
 
 def hash_trigram_vector(text: str | None, dim: int = DIM) -> np.ndarray:
@@ -139,7 +140,7 @@ def knn(
         F.col("vec").isNotNull())
     # bounded probe: reads at most BLOCK_ROWS + 1 queries, enough to know which way to go
     rows = qs.limit(BLOCK_ROWS + 1).toPandas()
-    if len(rows) <= BLOCK_ROWS:
+    if len(rows) <= BLOCK_ROWS and sum(map(len, rows["qvec"])) * 8 <= QUERY_BYTES:
         qids, q = rows["query_id"].to_numpy(), _matrix(rows["qvec"])
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,9 +8,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Ceiling for anything that is sent whole to every executor.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Ceiling for anything that is sent whole to every executor: 16 384 values of 4 KiB.
+BROADCAST_ROWS = 16_384
+VALUE_BYTES = 4096
 
 
 def build_session(cpus: str = "*", app: str = "kbspark", partitions: int = 8) -> SparkSession:
@@ -29,26 +29,31 @@ def build_session(cpus: str = "*", app: str = "kbspark", partitions: int = 8) ->
     )
 
 
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, bytes_per_row: int | None = None) -> bool:
-    """True when ``df`` is proven to stay under the broadcast ceiling.
+def bounded_values(df: DataFrame, column: str, max_rows: int = BROADCAST_ROWS) -> list[str] | None:
+    """Values of a text column, or None when they are not proven small.
 
-    The probe stops reading after ``max_rows + 1`` rows, so its own cost is bounded
-    however large the input is. ``bytes_per_row`` adds a byte ceiling for wide rows.
+    One job that reads at most ``max_rows + 1`` values of at most ``VALUE_BYTES`` bytes, so
+    it moves 64 MiB at the very most. More or longer values give None, and the caller
+    takes its distributed way.
     """
-    if bytes_per_row:
-        max_rows = min(max_rows, max(1, BROADCAST_BYTES // bytes_per_row))
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def text_fits(df: DataFrame, column: str, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Like :func:`fits`, bounding rows and the summed bytes of a text column."""
-    row = (
-        df.select(F.octet_length(column).alias("b"))
-        .limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
-        .first()
-    )
-    return row["n"] <= max_rows and row["b"] <= BROADCAST_BYTES
+    size = F.octet_length(column)
+    head = df.select(
+        F.when(size <= VALUE_BYTES, F.col(column)).alias("v"), (size > VALUE_BYTES).alias("big")
+    ).limit(max_rows + 1).toArrow()
+    if head.num_rows > max_rows or True in head.column("big").to_pylist():
+        return None
+    return head.column("v").to_pylist()
+
+
+def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, salts: int = 32) -> DataFrame:
+    """Inner join of many rows per key with one row per key, hot keys split ``salts`` ways.
+
+    The small side is copied to every salt. An aggregation by ``keys`` afterwards first
+    combines within each salt, so no task ever sees all rows of a hot key.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
