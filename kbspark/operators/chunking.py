@@ -347,9 +347,10 @@ def build_chunks(segments: DataFrame, sources: DataFrame, visual: DataFrame | No
 
 def sentence_pieces(segments: DataFrame) -> DataFrame:
     """(source_id, seq, piece, sentence): sentences of every segment over the size limit."""
-    return segments.filter(T.chunk_tokens("text") > MAX_TOKENS).select(
-        "source_id", "seq", F.posexplode_outer(T.sentences("text")).alias("piece", "sentence")
-    ).filter(F.col("piece").isNotNull())
+    # the size test sits inside the generator: as a filter it would run below a rebalancing
+    big = F.when(T.chunk_tokens("text") > MAX_TOKENS, T.sentences("text"))
+    return segments.select(
+        "source_id", "seq", F.posexplode_outer(big).alias("piece", "sentence")).filter(F.col("piece").isNotNull())
 
 
 def vocabulary_prefix(lines: DataFrame, keys: Sequence[str] = ("vocab_id",), line_no: str = "line_no") -> DataFrame:

@@ -16,8 +16,9 @@ PASSAGE_GRAM = 12
 
 def passages(golden: DataFrame) -> DataFrame:
     """(query_id, pos, doc, passage) of every expected passage."""
-    return golden.select("query_id", F.posexplode("expect").alias("pos", "_e")).select(
-        "query_id", "pos", F.col("_e.doc").alias("doc"), F.col("_e.text").alias("passage"))
+    extra = [c for c in ("category",) if c in golden.columns]
+    return golden.select("query_id", *extra, F.posexplode("expect").alias("pos", "_e")).select(
+        "query_id", *extra, "pos", F.col("_e.doc").alias("doc"), F.col("_e.text").alias("passage"))
 
 
 def passage_hits(texts: DataFrame, wanted: DataFrame, id_col: str, n: int = PASSAGE_GRAM) -> DataFrame:
@@ -50,29 +51,31 @@ def fixture_problems(golden: DataFrame, docs: DataFrame, doc: str = "doc") -> Da
 
 
 def first_ranks(results: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, pos, exp_rank, chunk_id): best-ranked result holding each passage, or null.
+    """(query_id, pos, exp_rank, gold): best-ranked result holding each passage, or null.
 
-    Only top-k rows are compared with the passages of their own query.
+    Only top-k rows are compared with the passages of their own query. ``gold`` is that
+    result's chunk_id with its rank in each arm, as far as the results carry them.
     """
-    hit = wanted.join(results.select("query_id", "rank", "chunk_id", text), "query_id").filter(
-        F.col(text).contains(F.col("passage")))
+    arms = [c if c in results.columns else F.lit(None).cast("int").alias(c) for c in ("vec_rank", "fts_rank")]
+    top = results.select("query_id", "rank", "chunk_id", *arms, F.col(text).alias("_t"))
+    hit = wanted.join(top, "query_id").filter(F.col("_t").contains(F.col("passage")))
     best = hit.groupBy("query_id", "pos").agg(
-        F.min("rank").alias("exp_rank"), F.min_by("chunk_id", "rank").alias("chunk_id"))
+        F.min("rank").alias("exp_rank"), F.min_by(F.struct("chunk_id", "vec_rank", "fts_rank"), "rank").alias("gold"))
     return wanted.join(best, ["query_id", "pos"], "left")
 
 
 def query_scores(results: DataFrame, golden: DataFrame) -> DataFrame:
-    """Per positive query: hit, reciprocal rank, coverage, first matched chunk."""
+    """Per positive query: hit, reciprocal rank, coverage, first matched chunk and its arm ranks."""
     ranks = first_ranks(results, passages(golden))
-    per = ranks.groupBy("query_id").agg(
+    per = ranks.groupBy("query_id", "category").agg(
         F.min("exp_rank").alias("first_rank"), F.count_if(F.col("exp_rank").isNotNull()).alias("covered"),
         F.count(F.lit(1)).alias("expected"),
         # the passage listed first decides, not the best-ranked one
-        F.min_by("chunk_id", F.when(F.col("exp_rank").isNotNull(), F.col("pos"))).alias("gold_chunk"),
+        F.min_by("gold", F.when(F.col("exp_rank").isNotNull(), F.col("pos"))).alias("gold"),
     )
-    cat = golden.select("query_id", "category")
-    return per.join(cat, "query_id").select(
-        "query_id", "category", "first_rank", "gold_chunk",
+    return per.select(
+        "query_id", "category", "first_rank", F.col("gold.chunk_id").alias("gold_chunk"),
+        F.col("gold.vec_rank").alias("gold_vec_rank"), F.col("gold.fts_rank").alias("gold_fts_rank"),
         F.when(F.col("first_rank").isNotNull(), 1.0).otherwise(0.0).alias("hit"),
         F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0)).alias("rr"),
         (F.col("covered") / F.col("expected")).alias("coverage"),
@@ -88,16 +91,28 @@ def recall_mrr(scores: DataFrame) -> DataFrame:
     ).withColumn("category", F.when(F.col("_g") == 1, "ALL").otherwise(F.col("category"))).drop("_g")
 
 
-def attribution(scores: DataFrame, vec_top: DataFrame, fts_top: DataFrame) -> DataFrame:
-    """(query_id, route) for hits: both, vector_only, fts_only, neither."""
+def _route(v, f):
+    return F.when(v & f, "both").when(v, "vector_only").when(f, "fts_only").otherwise("neither").alias("route")
+
+
+def attribution(scores: DataFrame, k: int) -> DataFrame:
+    """(query_id, chunk_id, route) for hits: both, vector_only, fts_only, neither.
+
+    A result carries its rank in each arm, and each arm's own top k are its ranks below k,
+    so the arms need not be searched again.
+    """
+    inside = lambda c: F.coalesce(F.col(c) < k, F.lit(False))
+    return scores.filter(F.col("gold_chunk").isNotNull()).select(
+        "query_id", F.col("gold_chunk").alias("chunk_id"), _route(inside("gold_vec_rank"), inside("gold_fts_rank")))
+
+
+def attribution_by_search(scores: DataFrame, vec_top: DataFrame, fts_top: DataFrame) -> DataFrame:
+    """The same from separately searched arms, for results without provenance."""
     hits = scores.filter(F.col("gold_chunk").isNotNull()).select("query_id", F.col("gold_chunk").alias("chunk_id"))
     flag = lambda df, n: df.select("query_id", "chunk_id", F.lit(True).alias(n)).distinct()
     rows = hits.join(flag(vec_top, "_v"), ["query_id", "chunk_id"], "left").join(
         flag(fts_top, "_f"), ["query_id", "chunk_id"], "left")
-    v, f = F.col("_v").isNotNull(), F.col("_f").isNotNull()
-    return rows.select(
-        "query_id", "chunk_id",
-        F.when(v & f, "both").when(v, "vector_only").when(f, "fts_only").otherwise("neither").alias("route"))
+    return rows.select("query_id", "chunk_id", _route(F.col("_v").isNotNull(), F.col("_f").isNotNull()))
 
 
 def attribution_counts(routes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.functions import urls as U
-from kbspark.session import cut_lineage, salted_join
+from kbspark.session import BROADCAST_ROWS, cut_lineage, salted_join
 
 # Redirect limit, signature distance, kept frames per medium.
 MAX_HOPS = 3
@@ -152,8 +152,9 @@ def near_dedup(
     survivor after row n-1, so each round is one pre-aggregated minimum over the rows
     and a join with one small state row per group: no group is ever gathered.
     """
-    # the compact rows are read once per round: written once, signatures are not recomputed
+    # every round reads the compact rows, so they are written once
     rows = cut_lineage(df.select(group, order, sig))
+    few = rows.select(group).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     empty = F.array().cast("array<bigint>")
     state = rows.groupBy(group).agg(F.lit(None).cast("long").alias("_last"), F.count(F.lit(1)).alias("_n")).select(
         group, "_last", empty.alias("_sigs"), F.array().cast("array<bigint>").alias("_kept"))
@@ -164,7 +165,7 @@ def near_dedup(
         )
         pick = F.when(alive, F.struct(F.col(order).alias("o"), F.col(sig).alias("s")))
         state = (
-            salted_join(rows, state, [group], order)
+            (rows.join(F.broadcast(state), group) if few else salted_join(rows, state, [group], order))
             .groupBy(group)
             .agg(F.min(pick).alias("_p"), F.first("_sigs").alias("_sigs"), F.first("_kept").alias("_kept"),
                  F.first("_last").alias("_old"))

@@ -68,14 +68,13 @@ def query_scores(spark, sf):
 
 
 def attribution(spark, sf):
-    questions, chunks, vectors, _ = Q.embedded(spark, sf)
-    routes = E.attribution(_scores(spark, sf), *E.arm_tops(questions, chunks, vectors, K, Q.MAX_DIST))
-    return routes.select("query_id", "chunk_id", "route")
+    return E.attribution(_scores(spark, sf), K)
 
 
 def attribution_counts(spark, sf):
+    """Route counts, with the arms searched separately."""
     questions, chunks, vectors, _ = Q.embedded(spark, sf)
-    return E.attribution_counts(E.attribution(_scores(spark, sf), *E.arm_tops(questions, chunks, vectors, K, Q.MAX_DIST)))
+    return E.attribution_counts(E.attribution_by_search(_scores(spark, sf), *E.arm_tops(questions, chunks, vectors, K, Q.MAX_DIST)))
 
 
 def false_hits(spark, sf):

@@ -122,9 +122,9 @@ def rss_episodes(feeds: DataFrame, feed_id: str = "feed_id", url: str = "url", x
     parsed = feeds.withColumn("_f", F.when(is_rss, F.from_xml(plain, FEED_SCHEMA)))
     items = parsed.select(
         feed_id, F.coalesce(F.nullif(T.strip("_f.channel.title"), F.lit("")), F.col(url)).alias("feed_title"),
-        F.posexplode("_f.channel.item").alias("pos", "_i"))
+        F.posexplode_outer("_f.channel.item").alias("pos", "_i"))
     audio, kind = F.col("_i.enclosure._url"), F.coalesce("_i.enclosure._type", F.lit(""))
-    good = items.filter((F.coalesce(audio, F.lit("")) != "") & ((kind == "") | kind.startswith("audio")))
+    good = items.filter(F.col("pos").isNotNull() & (F.coalesce(audio, F.lit("")) != "") & ((kind == "") | kind.startswith("audio")))
     episodes = top_k(good, [feed_id], [F.asc("pos")], MAX_EPISODES).select(
         feed_id, "feed_title", F.col("rn").alias("position"),
         T.strip(F.coalesce(F.nullif("_i.guid", F.lit("")), audio)).alias("guid"),
@@ -181,7 +181,8 @@ def lines_to_chunks(df: DataFrame, text: str = "text", times: str | None = "time
     """Non-blank description lines as visual rows at their frame's time (the last one repeats)."""
     lines = F.filter(F.split(F.col(text), r"\R"), lambda x: x.rlike(r"(?U)\S"))
     rest = [c for c in df.columns if c not in (text, times)]
-    rows = df.select(*rest, *([times] if times else []), F.posexplode(lines).alias("pos", "_line"))
+    rows = df.select(*rest, *([times] if times else []), F.posexplode_outer(lines).alias("pos", "_line")).filter(
+        F.col("pos").isNotNull())
     at = F.lit(0.0)
     if times:
         n = F.size(times)
