@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -123,6 +124,16 @@ def lag_pair(
     return out.drop("_blk", "_rn", "_t1", "_t2", "_kb", *[f"_k_{k}" for k in keys])
 
 
+def best_k(values: np.ndarray, ids: np.ndarray, k: int, keep: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the ``k`` smallest values, ties by id; used inside tasks."""
+    sel = np.arange(values.size) if keep is None else np.flatnonzero(keep)
+    if sel.size > k:
+        cut = np.partition(values[sel], k - 1)[k - 1]
+        sel = sel[values[sel] <= cut]
+        sel = sel[np.lexsort((ids[sel], values[sel]))][:k]
+    return sel
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rn"
 ) -> DataFrame:

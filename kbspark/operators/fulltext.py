@@ -9,16 +9,18 @@ being salted because a common gram may occur in every text.
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kbspark.functions import text as T
-from kbspark.operators.blocks import top_k
+from kbspark.operators.blocks import best_k, top_k
 from kbspark.session import bounded_values
 
 # BM25 constants, shortest term a trigram index can match, idf floor.
@@ -27,6 +29,7 @@ BM25_B = 0.75
 GRAM = 3
 IDF_FLOOR = 1e-6
 SALTS = 32
+TILE_CELLS = 2_000_000
 
 
 def grams(text, n: int = GRAM):
@@ -64,37 +67,41 @@ def _needle_keys(needles: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, count_hits: bool) -> DataFrame:
-    """Find a bounded needle list in every text of a batch (one pass, no shuffle).
+def _finder(needles: list[str]):
+    """Function text -> {needle position: overlapping hits}, for use inside a task.
 
-    All needles are searched for together in one walk over the text, overlapping hits
-    included. Measured, this is some twenty times faster than testing needles one by one
-    as expressions. Without the automaton package needles are searched for singly.
+    All needles are searched for together in one walk over the text. Measured, this is some
+    twenty times faster than testing needles one by one as expressions. Without the
+    automaton package needles are searched for singly.
     """
+    if not needles:
+        return lambda text: {}
+    try:
+        import ahocorasick
+    except ImportError:
+        def slow(text: str) -> dict[int, int]:
+            counts = {}
+            for i, needle in enumerate(needles):
+                at = text.find(needle)
+                while at >= 0:
+                    counts[i] = counts.get(i, 0) + 1
+                    at = text.find(needle, at + 1)
+            return counts
+
+        return slow
+    machine = ahocorasick.Automaton()
+    for i, needle in enumerate(needles):
+        machine.add_word(needle, i)
+    machine.make_automaton()
+    return lambda text: Counter(i for _, i in machine.iter(text))
+
+
+def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, count_hits: bool) -> DataFrame:
+    """Find a bounded needle list in every text of a batch (one pass, no shuffle)."""
     fields = [body.schema[id_col], t.StructField("needle", t.StringType())]
     if count_hits:
         fields += [t.StructField("tf", t.LongType()), t.StructField("n_grams", t.DoubleType())]
 
-    def finder():
-        try:
-            import ahocorasick
-        except ImportError:
-            def slow(text: str) -> dict[int, int]:
-                counts = {}
-                for i, needle in enumerate(needles):
-                    at = text.find(needle)
-                    while at >= 0:
-                        counts[i] = counts.get(i, 0) + 1
-                        at = text.find(needle, at + 1)
-                return counts
-
-            return slow
-        machine = ahocorasick.Automaton()
-        for i, needle in enumerate(needles):
-            machine.add_word(needle, i)
-        machine.make_automaton()
-        return lambda text: Counter(i for _, i in machine.iter(text))
-
     # ids are numbers or strings
     kinds = [pa.string() if isinstance(fields[0].dataType, t.StringType) else pa.int64(), pa.string()]
     if count_hits:
@@ -102,7 +109,7 @@ def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, coun
     names = [f.name for f in fields]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = finder() if needles else (lambda text: {})
+        find = _finder(needles)
         for b in batches:
             ids, which, tfs, lens = [], [], [], []
             columns = (b.column(c).to_pylist() for c in (id_col, "_body", "_grams"))
@@ -189,7 +196,7 @@ def fts_match(
 ) -> DataFrame:
     """(query_id, id, term, tf): OR of the query's terms against every text."""
     terms = explode_terms(queries)
-    known = bounded_values(terms, "needle")
+    known = bounded_values(terms, F.col("needle"))
     occ = occurrences(chunks, terms, id_col, text, index=index, known=known)
     return _join_terms(occ, terms, known is not None).select("query_id", id_col, "term", "tf")
 
@@ -201,32 +208,131 @@ def corpus_stats(chunks: DataFrame, text: str = "text", length: str | None = Non
         F.count(F.lit(1)).alias("n_docs"), F.avg(size.cast("double")).alias("avg_len"))
 
 
+def _sized(chunks: DataFrame, text: str, length: str | None):
+    """Folded text and its length in trigrams."""
+    size = F.col(length) if length else F.greatest(F.length(text) - (GRAM - 1), F.lit(0))
+    return F.lower(text).alias("_body"), size.cast("double").alias("_grams")
+
+
+def term_statistics(chunks: DataFrame, needles: list[str], text: str = "text", length: str | None = None):
+    """(number of texts, mean length, {needle: texts containing it}) in one pass.
+
+    Each task adds up its own counts, so what is shuffled and read back is at most one row
+    per needle and task, and needles are bounded.
+    """
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, seen, n, total = _finder(needles), Counter(), 0, 0.0
+        for b in batches:
+            for text_, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                n, total = n + 1, total + (size or 0.0)
+                seen.update(find(text_ or "").keys())
+        rows = [(-1, n, total)] + [(i, c, 0.0) for i, c in seen.items()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["needle", "n", "size"])
+
+    counts = chunks.select(*_sized(chunks, text, length)).mapInArrow(scan, "needle long, n long, size double")
+    rows = counts.groupBy("needle").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
+    whole = next(((r["n"], r["size"]) for r in rows if r["needle"] == -1), (0, 0.0))
+    freq = {needles[r["needle"]]: r["n"] for r in rows if r["needle"] >= 0}
+    return whole[0], (whole[1] / whole[0] if whole[0] else 0.0), freq
+
+
+def _scan_scores(body: DataFrame, id_col: str, pairs: list[tuple[int, str]], statistics, k: int) -> DataFrame:
+    """(query_id, id, score): the ``k`` best texts per query of every tile of texts.
+
+    A text is scored for all queries where it is read; only top-k rows leave the task.
+    ``pairs`` are (query_id, needle) once per distinct term, so a needle that a query uses
+    in two spellings counts twice.
+    """
+    n_docs, avg_len, freq = statistics
+    needles = sorted({x for _, x in pairs if x in freq})
+    place = {x: i for i, x in enumerate(needles)}
+    idf = np.array([max(np.log((n_docs - freq[x] + 0.5) / (freq[x] + 0.5)), IDF_FLOOR) for x in needles])
+    qids = sorted({q for q, _ in pairs})
+    column = {q: i for i, q in enumerate(qids)}
+    uses = Counter((place[x], column[q]) for q, x in pairs if x in place)
+    links = sorted(uses)
+    owner = np.array([q for _, q in links], dtype=np.int64)
+    weight = np.array([uses[x] * idf[x[0]] for x in links])
+    per_needle = np.bincount([i for i, _ in links], minlength=len(needles)) if links else np.zeros(0, dtype=np.int64)
+    begin = np.concatenate([[0], np.cumsum(per_needle)[:-1]]) if len(needles) else np.zeros(0, dtype=np.int64)
+    qids, width = np.array(qids, dtype=np.int64), len(qids)
+    per_tile = max(1, TILE_CELLS // max(width, 1))
+
+    def best(ids, docs, terms, tf, size) -> pa.RecordBatch:
+        """Score one tile: docs, terms and tf are parallel arrays of hits."""
+        x = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * size[docs] / avg_len))
+        reps = per_needle[terms]
+        flat = np.repeat(begin[terms] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
+        cells = np.repeat(docs, reps) * width + owner[flat]
+        score = np.bincount(cells, np.repeat(x, reps) * weight[flat], minlength=len(ids) * width)
+        score = np.round(score.reshape(len(ids), width), 9)
+        out = [], [], []
+        for q in range(width):
+            rows = best_k(-score[:, q], ids, k, score[:, q] > 0)
+            out[0].append(np.full(rows.size, qids[q]))
+            out[1].append(ids[rows])
+            out[2].append(score[rows, q])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", id_col, "score"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _finder(needles)
+        for b in batches:
+            for lo in range(0, b.num_rows, per_tile):
+                part = b.slice(lo, per_tile)
+                docs, terms, tf = [], [], []
+                for d, text in enumerate(part.column(1).to_pylist()):
+                    hits = find(text or "")
+                    docs += [d] * len(hits)
+                    terms += hits.keys()
+                    tf += hits.values()
+                if docs:
+                    yield best(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(docs), np.array(terms),
+                               np.array(tf, dtype=np.float64), part.column(2).to_numpy(zero_copy_only=False))
+
+    return body.mapInArrow(scan, f"query_id long, {id_col} long, score double")
+
+
 def bm25(
     queries: DataFrame,
     chunks: DataFrame,
     k: int | None = None,
     id_col: str = "chunk_id",
     text: str = "text",
-    allowed: DataFrame | None = None,
+    allowed: Column | None = None,
     index: DataFrame | None = None,
-    stats: DataFrame | None = None,
     length: str | None = None,
 ) -> DataFrame:
     """(query_id, id, score[, fts_rank]): BM25 over trigram lengths, best ``k`` per query.
 
-    Corpus statistics always cover every row of ``chunks``; ``allowed`` (ids) filters
-    before the limit, so rows outside it influence the statistics but take no place.
-    ``stats`` is a stored :func:`corpus_stats` row, saving its scan.
+    Corpus statistics always cover every row of ``chunks``; ``allowed`` (a condition on
+    chunks) filters before the limit, so other rows influence the statistics but take no
+    place. ``length`` names a stored trigram count.
+
+    With a term list proven small the statistics are fitted in one pass, then every text is
+    scored where it is read and only the best ``k`` per query and tile are shuffled.
+    Otherwise, with a posting table, or without ``k``, hits are shuffled once by text id.
     """
-    terms = explode_terms(queries)
-    known = bounded_values(terms, "needle")
+    terms = explode_terms(queries).select(F.col("query_id").cast("long").alias("query_id"), "term", "needle")
+    pairs = bounded_values(terms, F.to_json(F.struct("query_id", "needle"))) if index is None and k is not None else None
+    best = [F.desc("score"), F.asc(id_col)]
+    if pairs is not None:
+        read = [(r["query_id"], r["needle"]) for r in map(json.loads, pairs)]
+        read = [x for x in read if len(x[1]) >= GRAM]
+        found = term_statistics(chunks, sorted({x for _, x in read}), text, length)
+        rows = chunks if allowed is None else chunks.filter(allowed)
+        body = rows.select(F.col(id_col).cast("long").alias(id_col), *_sized(chunks, text, length))
+        scored = _scan_scores(body, id_col, read, found, k)
+        return top_k(scored, ["query_id"], best, k).withColumn("fts_rank", (F.col("rn") - 1).cast("int")).drop("rn")
+
+    known = bounded_values(terms, F.col("needle"))
     # one shuffle by text id serves both uses below: the document frequencies and the
     # per-(query, text) sums; every column is named in both so that Spark reuses it
     occ = occurrences(chunks, terms, id_col, text, index=index, length=length, known=known).repartition(id_col)
     seen = F.col(id_col).isNotNull() & (F.col("tf") > 0) & (F.col("n_grams") >= 0)
     df_ = occ.groupBy("needle").agg(F.count_if(seen).alias("_df"))
     # corpus statistics enter as scalar subqueries, so no join is spent on them
-    facts = stats if stats is not None else corpus_stats(chunks, text, length)
+    facts = corpus_stats(chunks, text, length)
     n_docs, avg_len = facts.select("n_docs").scalar(), facts.select("avg_len").scalar()
     idf = df_.select(
         "needle", F.greatest(
@@ -236,7 +342,7 @@ def bm25(
     # terms that differ only in case share a needle and each count once
     weighted = terms.join(idf, "needle").groupBy("query_id", "needle").agg(F.sum("idf").alias("idf"))
     if allowed is not None:
-        occ = occ.join(allowed.select(id_col), id_col, "left_semi")
+        occ = occ.join(chunks.filter(allowed).select(id_col), id_col, "left_semi")
     norm = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("n_grams") / avg_len)
     scored = (
         _join_terms(occ, weighted, known is not None)
@@ -246,9 +352,7 @@ def bm25(
     )
     if k is None:
         return scored
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc(id_col)], k).withColumn(
-        "fts_rank", (F.col("rn") - 1).cast("int")
-    ).drop("rn")
+    return top_k(scored, ["query_id"], best, k).withColumn("fts_rank", (F.col("rn") - 1).cast("int")).drop("rn")
 
 
 def mark_pattern(terms):

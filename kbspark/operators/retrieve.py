@@ -102,12 +102,12 @@ def note_search(
     fields = ["title", "content", "application"]
     size = sum((F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0)) for c in fields), F.lit(0))
     # the separator keeps terms from matching across fields; lengths are per field
-    indexed = notes.select("note_id", F.concat_ws("\u0000", *fields).alias("text"), size.alias("n_grams"))
+    indexed = notes.select("note_id", "status", F.concat_ws("\u0000", *fields).alias("text"), size.alias("n_grams"))
     kept = notes.filter(F.col("status") == "kept")
     fetch = top_k_ * 2
     vec = knn(queries.select("query_id", "qvec"), vectors, fetch, max_dist, id_col="note_id")
     fts = bm25(queries.select("query_id", "query"), indexed, fetch, id_col="note_id", length="n_grams",
-               allowed=kept.select("note_id"))
+               allowed=F.col("status") == "kept")
     rows = rrf(vec, fts, "note_id").join(kept, "note_id")
     return top_k(rows, ["query_id"], [F.desc("score"), F.asc("note_id")], top_k_, "rank")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from kbspark.operators.blocks import top_k
+from kbspark.operators.blocks import best_k, top_k
 
 # Default cut-off on L2 distance and default encoder width.
 MAX_DISTANCE = 1.0
@@ -94,11 +94,7 @@ def _best_per_query(qids, q, ids, v, k, max_dist, cosine) -> pd.DataFrame:
             dist = np.sqrt(np.maximum(sq, 0.0))
         dist = np.round(dist, 6)
         for i, d in enumerate(dist):
-            sel = np.arange(d.size) if max_dist is None else np.flatnonzero(d <= max_dist)
-            if sel.size > k:
-                cut = np.partition(d[sel], k - 1)[k - 1]
-                sel = sel[d[sel] <= cut]
-                sel = sel[np.lexsort((ids[sel], d[sel]))][:k]
+            sel = best_k(d, ids, k, None if max_dist is None else d <= max_dist)
             out_q.append(np.full(sel.size, qids[lo + i], dtype=np.int64))
             out_id.append(ids[sel].astype(np.int64))
             out_d.append(d[sel])

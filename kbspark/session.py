@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Ceiling for anything that is sent whole to every executor: 16 384 values of 4 KiB.
@@ -29,7 +29,7 @@ def build_session(cpus: str = "*", app: str = "kbspark", partitions: int = 8) ->
     )
 
 
-def bounded_values(df: DataFrame, column: str, max_rows: int = BROADCAST_ROWS) -> list[str] | None:
+def bounded_values(df: DataFrame, column: Column, max_rows: int = BROADCAST_ROWS) -> list[str] | None:
     """Values of a text column, or None when they are not proven small.
 
     One job that reads at most ``max_rows + 1`` values of at most ``VALUE_BYTES`` bytes, so
@@ -38,7 +38,7 @@ def bounded_values(df: DataFrame, column: str, max_rows: int = BROADCAST_ROWS) -
     """
     size = F.octet_length(column)
     head = df.select(
-        F.when(size <= VALUE_BYTES, F.col(column)).alias("v"), (size > VALUE_BYTES).alias("big")
+        F.when(size <= VALUE_BYTES, column).alias("v"), (size > VALUE_BYTES).alias("big")
     ).limit(max_rows + 1).toArrow()
     if head.num_rows > max_rows or True in head.column("big").to_pylist():
         return None
