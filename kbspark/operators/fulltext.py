@@ -21,7 +21,7 @@ from pyspark.sql import types as t
 
 from kbspark.functions import text as T
 from kbspark.operators.blocks import best_k, top_k
-from kbspark.session import bounded_values
+from kbspark.session import NARROW_ROWS, at_most, bounded_values, small_side
 
 # BM25 constants, shortest term a trigram index can match, idf floor.
 BM25_K1 = 1.2
@@ -384,8 +384,9 @@ def keyword_search(
     folded = queries.select(
         "query_id", F.array_distinct(F.transform(T.query_terms("query"), F.lower)).alias("_terms")
     ).withColumn("_pattern", mark_pattern(F.col("_terms")))
+    few = at_most(queries.select("query_id"), NARROW_ROWS // k)
     return (
-        ranked.join(chunks, "chunk_id").join(sources, "source_id").join(folded, "query_id")
+        small_side(ranked, few).join(chunks, "chunk_id").join(sources, "source_id").join(folded, "query_id")
         .withColumn("snippet", snippet(F.col("text"), F.col("_pattern")))
         .drop("_terms", "_pattern")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.functions import urls as U
-from kbspark.session import BROADCAST_ROWS, cut_lineage, salted_join
+from kbspark.session import BROADCAST_ROWS, at_most, cut_lineage, salted_join
 
 # Redirect limit, signature distance, kept frames per medium.
 MAX_HOPS = 3
@@ -154,7 +154,7 @@ def near_dedup(
     """
     # every round reads the compact rows, so they are written once
     rows = cut_lineage(df.select(group, order, sig))
-    few = rows.select(group).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = at_most(rows.select(group).distinct(), BROADCAST_ROWS)
     empty = F.array().cast("array<bigint>")
     state = rows.groupBy(group).agg(F.lit(None).cast("long").alias("_last"), F.count(F.lit(1)).alias("_n")).select(
         group, "_last", empty.alias("_sigs"), F.array().cast("array<bigint>").alias("_kept"))

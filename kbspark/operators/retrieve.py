@@ -9,6 +9,7 @@ from kbspark.functions import text as T
 from kbspark.operators.blocks import row_index, time_block, top_k
 from kbspark.operators.fulltext import bm25
 from kbspark.operators.vectors import MAX_DISTANCE, knn
+from kbspark.session import NARROW_ROWS, at_most, small_side
 
 # Fusion constant and result sizes.
 RRF_K = 60
@@ -54,14 +55,20 @@ def retrieve(
     if scope_collection is not None:
         keep = keep & (F.col("collection_id") == scope_collection)
     if scoped and scope == "pre":
-        in_scope = sources.filter(keep).select("source_id")
-        chunks = chunks.join(in_scope, "source_id", "left_semi")
-        vectors = vectors.join(chunks.select("chunk_id"), "chunk_id", "left_semi")
+        if scope_collection is None:
+            chunks = chunks.filter(F.col("source_id") == scope_source)
+        else:
+            in_scope = sources.filter(keep).select("source_id")
+            chunks = chunks.join(small_side(in_scope, at_most(in_scope, NARROW_ROWS)), "source_id", "left_semi")
+        ids = chunks.select("chunk_id")
+        vectors = vectors.join(small_side(ids, at_most(ids, NARROW_ROWS)), "chunk_id", "left_semi")
     vec = knn(queries.select("query_id", "qvec"), vectors, fetch, max_dist)
     fts = bm25(queries.select("query_id", "query"), chunks, fetch, index=index)
     fused = rrf(vec, fts)
-    # metadata joins only the fused survivors: at most 2 * fetch rows per query
-    rows = fused.join(chunks, "chunk_id").join(sources, "source_id")
+    # metadata joins only the fused survivors, at most 2 * fetch narrow rows per query:
+    # with few queries they are sent to the chunks, whose text is then never shuffled
+    few = at_most(queries.select("query_id"), NARROW_ROWS // (2 * fetch))
+    rows = small_side(fused, few).join(chunks, "chunk_id").join(sources, "source_id")
     if scoped:
         rows = rows.filter(keep)
     rows = rows.withColumn("title", T.display_name(F.lit(None).cast("string"), "title"))
@@ -108,7 +115,8 @@ def note_search(
     vec = knn(queries.select("query_id", "qvec"), vectors, fetch, max_dist, id_col="note_id")
     fts = bm25(queries.select("query_id", "query"), indexed, fetch, id_col="note_id", length="n_grams",
                allowed=F.col("status") == "kept")
-    rows = rrf(vec, fts, "note_id").join(kept, "note_id")
+    few = at_most(queries.select("query_id"), NARROW_ROWS // (2 * fetch))
+    rows = small_side(rrf(vec, fts, "note_id"), few).join(kept, "note_id")
     return top_k(rows, ["query_id"], [F.desc("score"), F.asc("note_id")], top_k_, "rank")
 
 

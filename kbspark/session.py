@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Ceiling for anything that is sent whole to every executor: 16 384 values of 4 KiB.
 BROADCAST_ROWS = 16_384
 VALUE_BYTES = 4096
+# Ceiling for broadcast rows of a few numbers each (about 60 bytes a row).
+NARROW_ROWS = 500_000
 
 
 def build_session(cpus: str = "*", app: str = "kbspark", partitions: int = 8) -> SparkSession:
@@ -45,6 +47,16 @@ def bounded_values(df: DataFrame, column: Column, max_rows: int = BROADCAST_ROWS
     return head.column("v").to_pylist()
 
 
+def at_most(df: DataFrame, n: int) -> bool:
+    """True when ``df`` has at most ``n`` rows; reads no more than ``n + 1`` of them."""
+    return df.limit(n + 1).count() <= n
+
+
+def small_side(df: DataFrame, proven: bool) -> DataFrame:
+    """``df`` with a broadcast hint when its size has been proven small."""
+    return F.broadcast(df) if proven else df
+
+
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str, salts: int = 32) -> DataFrame:
     """Inner join of many rows per key with one row per key, hot keys split ``salts`` ways.
 
