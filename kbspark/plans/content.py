@@ -351,7 +351,7 @@ _PIECES_TURN = """
 seg AS (SELECT conv_id AS source_id, turn AS seq, text AS t, turn * 10.0 AS st, turn * 10.0 + 10.0 AS en FROM conversations)"""
 
 
-def _chunk_sql(segments: str) -> str:
+def chunk_sql(segments: str) -> str:
     """Packing by enumerating every (start, first new piece) state and walking from (0, 0)."""
     return f"""WITH RECURSIVE {segments},
 cut AS (SELECT *, length(t) AS n,
@@ -385,15 +385,27 @@ walk AS (
   SELECT source_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS s, CAST(0 AS BIGINT) AS j FROM lastp
   UNION ALL
   SELECT w.source_id, w.k + 1, CAST(x.tail AS BIGINT), CAST(x.e AS BIGINT) FROM walk w JOIN nxt x ON x.source_id = w.source_id AND x.s = w.s AND x.j = w.j),
-ch AS (SELECT w.source_id, w.k, w.s, greatest(coalesce(r.e, 0), w.j + 1) AS e FROM walk w JOIN lastp z USING (source_id)
+closed AS (SELECT w.source_id, w.k, w.s, greatest(coalesce(r.e, 0), w.j + 1) AS e FROM walk w JOIN lastp z USING (source_id)
   LEFT JOIN reach r ON r.source_id = w.source_id AND r.s = w.s WHERE w.j < z.n),
 out AS (SELECT h.source_id, h.k AS chunk_seq, h.e - h.s AS n_segments, string_agg(c.t, ' ' ORDER BY c.p) AS text,
-  min_by(c.st, c.p) AS start_sec, max_by(c.en, c.p) AS end_sec FROM ch h JOIN cum c ON c.source_id = h.source_id AND c.p >= h.s AND c.p < h.e GROUP BY 1, 2, 3),
+  min_by(c.st, c.p) AS start_sec, max_by(c.en, c.p) AS end_sec FROM closed h JOIN cum c ON c.source_id = h.source_id AND c.p >= h.s AND c.p < h.e GROUP BY 1, 2, 3),
 fin AS (SELECT source_id, chunk_seq, n_segments, text AS t, length(text) AS n, start_sec, end_sec FROM out),
 packed AS (SELECT source_id, chunk_seq, CAST({_TOK} + (n - {_TOK}) // 4 AS BIGINT) AS n_tokens, CAST(n_segments AS BIGINT) AS n_segments, md5(t) AS digest,
   round(CAST(start_sec AS DOUBLE), 3) AS start_sec, round(CAST(end_sec AS DOUBLE), 3) AS end_sec, t FROM fin)"""
 
 
+# Hybrid retrieval over packed chunks: packing, both arms and fusion in one statement.
+RETRIEVE_CHUNKS = chunk_sql(_PIECES_DOC) + "," + ",".join([
+    sql.SOURCES,
+    "pk AS MATERIALIZED (SELECT p.source_id * 1048576 + p.chunk_seq AS chunk_id, p.source_id, p.t, s.title FROM packed p JOIN src s USING (source_id))",
+    sql.bm25("SELECT chunk_id, t, greatest(length(t) - 2, 0) AS n_grams FROM pk"), sql.ranked(k=12),
+    sql.encoded("eq", "SELECT item_id AS query_id, text AS t FROM benchmark", "query_id"),
+    sql.encoded("ed", "SELECT chunk_id, title || chr(10) || t AS t FROM pk", "chunk_id"),
+    sql.nearest("eq", "ed", 12, 1.25), sql.fused(),
+]) + """
+SELECT query_id, rn AS rank, chunk_id, source_id, vec_rank, vec_distance, fts_rank, round(score, 6) AS score, CASE WHEN title = '' THEN '(未命名)' ELSE title END AS title
+FROM (SELECT f.*, k.source_id, k.title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM fused f JOIN pk k USING (chunk_id)) WHERE rn <= 6"""
+
 _FEED = """
 fd AS (SELECT doc_id AS feed_id, unnest(range(length(text) % 40)) AS i FROM documents),
 ep AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY i) AS position,
@@ -466,9 +478,9 @@ x AS (SELECT *, length(line) AS n, length(line) - length(regexp_replace(line, '[
 r AS (SELECT *, sum(cj) OVER w AS c, sum(n) OVER w + 2 * (count(*) OVER w - 1) AS full_len FROM x WINDOW w AS (PARTITION BY vocab_id ORDER BY turn)),
 f AS (SELECT *, ceil(c * 1.5::DOUBLE + (full_len - c) / 3.0::DOUBLE) <= 224 AS ok FROM r)
 SELECT vocab_id, coalesce(string_agg(line, ', ' ORDER BY turn) FILTER (WHERE ok), '') AS prompt, count(*) FILTER (WHERE ok) AS kept, count(*) AS total FROM f GROUP BY 1""",
-    "chunk": _chunk_sql(_PIECES_DOC) + " SELECT * EXCLUDE (t) FROM packed",
-    "chunk_turns": _chunk_sql(_PIECES_TURN) + " SELECT * EXCLUDE (t) FROM packed",
-    "chunk_stats": _chunk_sql(_PIECES_DOC) + """ SELECT count(*) AS n_chunks, count(DISTINCT source_id) AS n_sources, max(n_tokens) AS max_tokens, min(n_tokens) AS min_tokens,
+    "chunk": chunk_sql(_PIECES_DOC) + " SELECT * EXCLUDE (t) FROM packed",
+    "chunk_turns": chunk_sql(_PIECES_TURN) + " SELECT * EXCLUDE (t) FROM packed",
+    "chunk_stats": chunk_sql(_PIECES_DOC) + """ SELECT count(*) AS n_chunks, count(DISTINCT source_id) AS n_sources, max(n_tokens) AS max_tokens, min(n_tokens) AS min_tokens,
  count(*) FILTER (WHERE n_tokens > 500) AS over_limit, count(*) FILTER (WHERE start_sec > end_sec) AS bad_times, count(*) FILTER (WHERE trim(t) = '') AS blank_chunks FROM packed""",
     "note_validation": f"""WITH {sql.NOTES}, n AS (SELECT note_id, trim(substr(title, 1, 100)) AS ti, left({sql.TRIMMED.replace('text', 'content')}, 2000) AS co, application,
  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IN (note_id, note_id + 1)) AS known FROM notes)

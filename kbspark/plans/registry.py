@@ -12,4 +12,6 @@ def all_queries() -> dict:
 
 
 def all_checks() -> dict[str, str]:
-    return {name: text for area in AREAS for name, text in area.ORACLES.items()}
+    checks = {name: text for area in AREAS for name, text in area.ORACLES.items()}
+    checks["retrieve_chunks"] = content.RETRIEVE_CHUNKS
+    return checks
