@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -132,20 +133,24 @@ def knn(
         t.StructField("distance", t.DoubleType()),
     ])
     qs = queries.select(F.col("query_id").cast("long"), "qvec").filter(F.col("qvec").isNotNull())
-    vs = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("vec")).filter(
-        F.col("vec").isNotNull())
+    # missing vectors are skipped inside the tasks: as a filter the test would move below a
+    # rebalancing and run an encoder a second time
+    vs = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("vec"))
     # bounded probe: reads at most BLOCK_ROWS + 1 queries, enough to know which way to go
     rows = qs.limit(BLOCK_ROWS + 1).toPandas()
     if len(rows) <= BLOCK_ROWS and sum(map(len, rows["qvec"])) * 8 <= QUERY_BYTES:
         qids, q = rows["query_id"].to_numpy(), _matrix(rows["qvec"])
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if len(b) and len(qids):
-                    yield _best_per_query(
-                        qids, q, b["id"].to_numpy(), _matrix(b["vec"]), k, max_dist, cosine)
-
-        partial = vs.mapInPandas(scan, schema)
+                b = b.filter(b.column(1).is_valid())
+                if b.num_rows and len(qids):
+                    # the list column is one flat buffer, so the matrix needs no per-row work
+                    v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    best = _best_per_query(qids, q, b.column(0).to_numpy(), v, k, max_dist, cosine)
+                    yield pa.RecordBatch.from_arrays([pa.array(best[c].to_numpy()) for c in best], list(best))
+
+        partial = vs.mapInArrow(scan, schema)
     else:
         n_q = max(1, -(-qs.count() // BLOCK_ROWS))
         n_v = max(1, -(-vs.count() // BLOCK_ROWS))
@@ -155,6 +160,7 @@ def knn(
             "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
         def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            b = b[b["vec"].notna()]
             if a.empty or b.empty:
                 return pd.DataFrame({"query_id": [], "id": [], "distance": []})
             return _best_per_query(a["query_id"].to_numpy(), _matrix(a["qvec"]),

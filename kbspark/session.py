@@ -26,6 +26,7 @@ def build_session(cpus: str = "*", app: str = "kbspark", partitions: int = 8) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("KBSPARK_DRIVER_MEMORY", "12g"))
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")  # one core per task
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
