@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import chat, mixing, sharding, warc
+from kbspark.llm import chat, classifier, decontaminate, mixing, quality, secrets, sharding, warc
 from kbspark.llm.common import scan
 
-DOCUMENT = ("doc_id", "text", "lang", "source")
-
 
 def op1_warc(spark: SparkSession, root: str) -> DataFrame:
     return warc.archived_pages(scan(spark, root, "pages", "page_id", "url", "html"), min_bytes=0)
 
 
+def op2_quality(spark: SparkSession, root: str) -> DataFrame:
+    return quality.judge(scan(spark, root, "documents", "doc_id", "text", "lang", "source"))
+
+
+def op3_secrets(spark: SparkSession, root: str) -> DataFrame:
+    return secrets.report(scan(spark, root, "documents", "doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(scan(spark, root, "documents", "doc_id", "text", "source"))
 
 
+def op7_classifier(spark: SparkSession, root: str) -> DataFrame:
+    return classifier.classify(
+        scan(spark, root, "documents", "doc_id", "text"), scan(spark, root, "labels", "doc_id", "quality"))
+
+
 def op8_sharding(spark: SparkSession, root: str) -> DataFrame:
     return sharding.shard(scan(spark, root, "documents", "doc_id", "text"))
 
@@ -26,9 +37,18 @@ def op9_chat(spark: SparkSession, root: str) -> DataFrame:
     return chat.formatted_conversations(scan(spark, root, "conversations", "conv_id", "turn", "role", "text"))
 
 
+def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate.report(
+        scan(spark, root, "documents", "doc_id", "text"), scan(spark, root, "benchmark", "item_id", "text"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_quality": op2_quality,
+    "op3_secrets": op3_secrets,
     "op5_mixing": op5_mixing,
+    "op7_classifier": op7_classifier,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
+    "op10_decontamination": op10_decontamination,
 }

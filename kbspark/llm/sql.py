@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from kbspark.llm.quality import MEASURES, MIN_ROWS, REACH
+from kbspark.llm.secrets import RULES
+
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 OP1 = f"""
@@ -94,4 +97,116 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op1_warc": OP1, "op5_mixing": OP5, "op8_sharding": OP8, "op9_chat": OP9}
+_RATIOS = {
+    "symbols": "1000 * n_symbols // greatest(word_chars, 1)", "capitals": "1000 * n_capitals // greatest(word_chars, 1)",
+    "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
+    "word_length": "100 * word_chars // greatest(n_words, 1)",
+}
+_SPREADS = ", ".join(f"('{m}', {spread}, {str(both).lower()})" for m, (spread, both) in MEASURES.items())
+
+OP2 = rf"""
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), lines AS (
+  SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d
+), l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1
+), p AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5
+), r AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + 4]) AS n FROM p
+), c AS (
+  SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM r WHERE n > 1) GROUP BY 1
+), s AS (
+  SELECT d.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
+), b AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
+), m AS (
+  {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, CAST({e} AS BIGINT) AS v FROM b" for m, e in _RATIOS.items())}
+), k AS (
+  SELECT *, CASE WHEN v < 16 THEN v ELSE (length(bin(v)) - 4) * 16 + (v >> (length(bin(v)) - 5)) - 16 END AS bucket FROM m
+), g AS (
+  SELECT 0 AS level, lang, source, measure, bucket FROM k WHERE NOT base_failed
+  UNION ALL SELECT 1, lang, NULL, measure, bucket FROM k WHERE NOT base_failed
+  UNION ALL SELECT 2, NULL, NULL, measure, bucket FROM k WHERE NOT base_failed
+), o AS (
+  SELECT level, lang, source, measure, bucket, count(*) AS few FROM g GROUP BY 1, 2, 3, 4, 5
+), h AS (
+  SELECT *, sum(few) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS c,
+    sum(few) OVER (PARTITION BY level, lang, source, measure) AS many FROM o
+), q AS (
+  SELECT level, lang, source, measure, max(many) AS n, min(CASE WHEN 4 * c >= many THEN bucket END) AS b1,
+    min(CASE WHEN 4 * c >= 3 * many THEN bucket END) AS b3 FROM h GROUP BY 1, 2, 3, 4
+), f AS (
+  SELECT level, lang, source, q.measure, n, two_sided,
+    CASE WHEN b1 < 16 THEN b1 ELSE (b1 % 16 + 16) << (b1 // 16 - 1) END AS q1,
+    CASE WHEN b3 < 16 THEN b3 ELSE (b3 % 16 + 16) << (b3 // 16 - 1) END AS q3, spread
+  FROM q JOIN (VALUES {_SPREADS}) x(measure, spread, two_sided) ON q.measure = x.measure
+), e AS (
+  SELECT *, CASE WHEN two_sided THEN q1 - {REACH} * greatest(q3 - q1, spread) ELSE 0 END AS low, q3 + {REACH} * greatest(q3 - q1, spread) AS high FROM f
+), v AS (
+  SELECT k.doc_id, bool_and(CASE WHEN own.n >= {MIN_ROWS} THEN k.v BETWEEN own.low AND own.high
+    WHEN up.n >= {MIN_ROWS} THEN k.v BETWEEN up.low AND up.high ELSE k.v BETWEEN every.low AND every.high END) AS held
+  FROM k JOIN e own ON own.level = 0 AND own.measure = k.measure AND own.lang IS NOT DISTINCT FROM k.lang AND own.source IS NOT DISTINCT FROM k.source
+  JOIN e up ON up.level = 1 AND up.measure = k.measure AND up.lang IS NOT DISTINCT FROM k.lang
+  JOIN e every ON every.level = 2 AND every.measure = k.measure GROUP BY 1
+)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(held, false) AS kept
+FROM b LEFT JOIN v USING (doc_id)
+"""
+
+
+def _secret_spans(number: int) -> str:
+    rule = RULES[number]
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+  SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base,
+    unnest([CAST(list_sum([length(x) for x in gap[1:i]]) + coalesce(list_sum([length(x) for x in found[1:i - 1]]), 0) AS BIGINT)
+      for i in range(1, len(found) + 1)]) AS begins,
+    unnest([length(x) for x in found]) AS size, unnest([length(x) for x in part]) AS part
+  FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{pattern}') AS gap,
+    regexp_extract_all(coalesce(text, ''), '{pattern}') AS found,
+    regexp_extract_all(coalesce(text, ''), '{pattern}', {rule.group}) AS part FROM documents)"""
+
+
+_CHECKED = " OR ".join(f"(number = {i} AND part >= {r.least})" for i, r in enumerate(RULES))
+_N = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+_SHOWN = "kind || ':' || begins || ':' || (begins + size)"
+
+OP3 = f"""
+WITH s AS ({" UNION ALL ".join(_secret_spans(i) for i in range(len(RULES)))}
+), r AS (SELECT * FROM s WHERE {_CHECKED})
+SELECT documents.doc_id, {_N},
+  sha256(coalesce(string_agg({_SHOWN}, ',' ORDER BY begins, number) FILTER (base), '')) AS base_sha256,
+  coalesce(string_agg({_SHOWN}, ',' ORDER BY begins, number), '') AS spans
+FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id GROUP BY documents.doc_id
+"""
+
+_FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP10 = f"""
+WITH i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS w FROM benchmark),
+n AS (SELECT item, w, least(10, len(w)) AS size FROM i WHERE len(w) > 0),
+p AS (
+  SELECT DISTINCT item, size, array_to_string(w[k:k + size - 1], ' ') AS pattern
+  FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS k FROM n)
+), d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+x AS (
+  SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k FROM d, (SELECT DISTINCT size FROM p) WHERE len(w) >= size
+), h AS (
+  SELECT doc_id, k, p.size, item FROM x JOIN p ON p.size = x.size AND p.pattern = array_to_string(w[k:k + x.size - 1], ' ')
+), c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS j FROM h) GROUP BY 1),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(c.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+ORACLES = {
+    "op1_warc": OP1, "op2_quality": OP2, "op3_secrets": OP3, "op5_mixing": OP5, "op8_sharding": OP8, "op9_chat": OP9,
+    "op10_decontamination": OP10,
+}
