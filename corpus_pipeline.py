@@ -1,15 +1,52 @@
-"""The corpus pipeline: from all documents to the shards of a training mix."""
+"""The corpus pipeline: from all documents to the shards of a training mix.
+
+Every stage works on all rows that the one before it kept, and its result is written to the
+shared folder and read again. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []  # filled as the operators are added
+from kbspark.llm import classifier, decontaminate, jaccard, mixing, sharding
+from kbspark.llm.common import scan, staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return classifier.accept(docs, scan(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by similar word 5-grams."""
+    return jaccard.one_per_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontaminate.clean(docs, scan(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each row as often as its source's rate takes it."""
+    return mixing.mix(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, checksum, shard and slot of every row of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+    ("mixture", mixture), ("shards", shards),
+]
+# The classifier's fit is not expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kbspark.llm import chat, classifier, decontaminate, mixing, quality, secrets, sharding, warc
+from kbspark.llm import chat, classifier, decontaminate, jaccard, mixing, quality, secrets, sharding, substrings, warc
 from kbspark.llm.common import scan
 
 
@@ -20,10 +20,18 @@ def op3_secrets(spark: SparkSession, root: str) -> DataFrame:
     return secrets.report(scan(spark, root, "documents", "doc_id", "text"))
 
 
+def op4_jaccard(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard.similarity_groups(scan(spark, root, "documents", "doc_id", "text"))
+
+
 def op5_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mixed(scan(spark, root, "documents", "doc_id", "text", "source"))
 
 
+def op6_substrings(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.report(scan(spark, root, "documents", "doc_id", "text"))
+
+
 def op7_classifier(spark: SparkSession, root: str) -> DataFrame:
     return classifier.classify(
         scan(spark, root, "documents", "doc_id", "text"), scan(spark, root, "labels", "doc_id", "quality"))
@@ -46,7 +54,9 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
     "op3_secrets": op3_secrets,
+    "op4_jaccard": op4_jaccard,
     "op5_mixing": op5_mixing,
+    "op6_substrings": op6_substrings,
     "op7_classifier": op7_classifier,
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
