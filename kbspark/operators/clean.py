@@ -128,13 +128,13 @@ def coerce_episodes(episodes: DataFrame, batch: str, order: str) -> DataFrame:
             out = out.withColumn(field, F.substring(value, 1, cap))
     raw = F.col("duration_secs").cast("string")
     out = out.withColumn("duration_secs", F.when(raw.rlike(r"^\d+$"), raw.try_cast("long")))
-    sizes = out.groupBy(batch).agg(F.count(F.lit(1)).alias("_n"))
-    return out.join(sizes, batch).withColumn(
+    sizes = out.groupBy(F.col(batch).alias("_batch")).agg(F.count(F.lit(1)).alias("_n"))
+    return out.join(sizes, F.col(batch).eqNullSafe(F.col("_batch"))).withColumn(
         "reject_reason",
         F.when(F.col("_n") > MAX_EPISODES_PER_BATCH, "batch_too_large")
         .when(F.coalesce(F.col("guid"), F.lit("")) == "", "guid")
         .when(F.coalesce(F.col("audio_url"), F.lit("")) == "", "audio_url"),
-    ).drop("_n")
+    ).drop("_n", "_batch")
 
 
 def library_view(sources: DataFrame, type_: str | None = None, collection: int | str | None = None) -> DataFrame:

@@ -29,8 +29,9 @@ def expand_redirects(urls: DataFrame, hops: DataFrame, url: str = "url") -> Data
 
     Adds final_url and expand_status: ok, off_whitelist or too_many_hops. Every visited
     address has to be on the whitelist; relative locations resolve against the current one.
+    Of several locations of one address the least counts, so no row of ``urls`` is repeated.
     """
-    step = hops.select(F.col("from_url").alias("_from"), F.col("location").alias("_to"))
+    step = hops.groupBy(F.col("from_url").alias("_from")).agg(F.min("location").alias("_to"))
     cur = urls.withColumn("final_url", F.col(url)).withColumn("_h", U.hostname(url)).withColumn(
         "expand_status", F.when(U.platform_of(F.col("_h")).isNull(), "off_whitelist")).drop("_h")
     off = lambda c: U.platform_of(F.col(c)).isNull()
@@ -152,6 +153,9 @@ def near_dedup(
     survivor after row n-1, so each round is one pre-aggregated minimum over the rows
     and a join with one small state row per group: no group is ever gathered.
     """
+    # a struct around the group makes rows without one a group that joins like the others
+    own, name, group = df.columns, group, "_group"
+    df = df.withColumn(group, F.struct(F.col(name).alias("g")))
     # every round reads the compact rows, so they are written once
     rows = cut_lineage(df.select(group, order, sig))
     few = at_most(rows.select(group).distinct(), BROADCAST_ROWS)
@@ -179,7 +183,7 @@ def near_dedup(
             )
         )
     kept = state.select(group, F.explode("_kept").alias(order))
-    return df.join(kept, [group, order], "left_semi")
+    return df.join(kept, [group, order], "left_semi").select(*own)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -283,3 +283,13 @@ def test_parts_and_lines(spark):
     assert offs == {(1, 0): 0.0, (1, 1): 30.0, (1, 2): 60.0, (2, 0): 0.0}
     lines = RD.lines_to_chunks(spark.createDataFrame([(1, "a\n\n b \nc", [0.0, 4.0])], "id long, text string, times array<double>"))
     assert [(r.text, r.start_sec) for r in lines.orderBy("pos").collect()] == [("a", 0.0), ("b", 4.0), ("c", 4.0)]
+
+
+def test_repeated_redirects_and_missing_groups(spark):
+    urls = spark.createDataFrame([("https://youtu.be/abcdefghijk",)], "url string")
+    hops = spark.createDataFrame([(urls.first().url, "https://www.youtube.com/watch?v=abcdefghijk")] * 2, "from_url string, location string")
+    assert I.expand_redirects(urls, hops).count() == 1
+    rows = spark.createDataFrame([(None, 1, 5), (None, 2, 5), ("a", 3, 9)], "g string, o long, s long")
+    assert sorted(r.o for r in I.near_dedup(rows, "g", "o", "s").collect()) == [1, 3]
+    episodes = spark.createDataFrame([(None, 1, "t", "g", "u", "60")], "b string, o long, title string, guid string, audio_url string, duration_secs string")
+    assert C.coerce_episodes(episodes, "b", "o").count() == 1
