@@ -12,6 +12,10 @@ signature is the projection of a set on a subset of n2 - k2 parts of a group:
   is enough that each set gives its first k + 1 signatures in an order common to all sets;
   the order puts those with most elements first, which are the most selective.
 
+Shingles of very common lines and passages are found first, and the order puts signatures
+made of these alone last, so that documents that share just a passage rarely meet. The order
+stays common to all sets, and so the guarantee holds whatever is on the list.
+
 A set whose size reaches 80 % of the next band gives signatures there as well. Every pair of
 sets that are similar enough therefore shares a signature; all candidates are verified on
 the sets themselves.
@@ -45,7 +49,8 @@ WIDTH = 5
 SIMILAR = 80  # per cent; the bounds in this module follow from it
 SMALL = 15
 SPACING = 0.3  # parts of a larger band, as a share of its largest size
-GROWTH = 8  # how many times more pivots a further round takes from a bucket
+# A shingle counts as common from this share of all sets, seen in pieces where it comes OFTEN.
+COMMON, OFTEN, MOST_COMMON = 0.002, 3, 500_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,13 +78,25 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted array ``known``."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def set_keys(found: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """One 64-bit key for every set."""
     return mix(sums(mix(found ^ GOLD), sizes) + sizes.astype(np.uint64) * GOLD)
 
 
-def signatures(row: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and signature of the sets of a piece (rows without signatures have equal partners only)."""
+def signatures(
+    row: np.ndarray, found: np.ndarray, sizes: np.ndarray, common: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row and signature of the sets of a piece (rows without signatures have equal partners only).
+
+    ``common`` are the sorted hashes of very common shingles.
+    """
     power = np.frexp(np.maximum(sizes, 1))[1] - 1
     next_floor = np.left_shift(1, power + 1)
     upper = np.flatnonzero((sizes * 100 >= SIMILAR * next_floor) & (sizes > 0))
@@ -102,14 +119,15 @@ def signatures(row: np.ndarray, found: np.ndarray, sizes: np.ndarray) -> tuple[n
     spread = mix(element + band[entity].astype(np.uint64) * GOLD)
     part = base[entity] + ((spread >> np.uint64(16)) % parts[entity].astype(np.uint64)).astype(np.int64)
     weight = np.bincount(part, minlength=base[-1])
+    rare = np.bincount(part[~among(element, common)], minlength=base[-1])
     total = sums(mix(element * GOLD)[np.argsort(part, kind="stable")], weight)
     holder = np.repeat(np.arange(len(of)), parts)
     index = (np.arange(base[-1]) - base[holder]).astype(np.uint64)
     token = mix(total + mix(index + (band[holder].astype(np.uint64) << np.uint64(32)) + np.uint64(1)))
     out_row, out_sig = [], []
     big = ~small[holder]
-    h, t, w = holder[big], token[big], weight[big]
-    order = np.lexsort((t, -w, h))
+    h, t = holder[big], token[big]
+    order = np.lexsort((t, -weight[big], -rare[big], h))
     h, t = h[order], t[order]
     place = np.arange(len(h)) - np.searchsorted(h, h)
     chosen = place <= bound[h]
@@ -141,22 +159,47 @@ def _set_facts(texts: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n), pa.array(key, mask=n == 0)], ["n", "key"])
 
 
-def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, key) of every set; a set that came before in the task is passed over."""
-    seen: set[int] = set()
+def _frequent_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, n) of the shingles that several sets of one piece have."""
     for batch in batches:
         for piece in pieces(batch.column(0)):
-            row, found = shingle_sets(piece)
-            sizes = _sizes(row, piece)
-            keys = set_keys(found, sizes).view(np.int64)
-            fresh = np.zeros(piece.rows, bool)
-            for i in np.flatnonzero(sizes > 0):
-                if keys[i] not in seen:
-                    seen.add(keys[i])
-                    fresh[i] = True
-            kept = fresh[row]
-            at, sig = signatures(row[kept], found[kept], np.where(fresh, sizes, 0))
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[at])], ["sig", "key"])
+            shingle, n = np.unique(shingle_sets(piece)[1], return_counts=True)
+            often = n >= OFTEN
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[often].view(np.int64)), pa.array(n[often])], ["shingle", "n"])
+
+
+def common_shingles(docs: DataFrame, facts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles of at least ``COMMON`` of all sets, as far as pieces show it.
+
+    At most ``MOST_COMMON`` shingles can reach the share that is asked for, so the list is bounded.
+    """
+    rows, total = facts.agg(F.count("*"), F.sum("n")).first()
+    least = max(COMMON * rows, (total or 0) / MOST_COMMON, 2 * OFTEN)
+    found = docs.select("text").mapInArrow(_frequent_rows, "shingle long, n long").groupBy("shingle").agg(
+        F.sum("n").alias("n")).filter(F.col("n") >= least).select("shingle").toArrow()
+    return np.sort(np.asarray(found.column(0), dtype=np.int64).view(np.uint64))
+
+
+def _signature_rows(common):
+    """Function to (sig, key) of every set; a set that came before in the task is passed over."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for piece in pieces(batch.column(0)):
+                row, found = shingle_sets(piece)
+                sizes = _sizes(row, piece)
+                keys = set_keys(found, sizes).view(np.int64)
+                fresh = np.zeros(piece.rows, bool)
+                for i in np.flatnonzero(sizes > 0):
+                    if keys[i] not in seen:
+                        seen.add(keys[i])
+                        fresh[i] = True
+                kept = fresh[row]
+                at, sig = signatures(row[kept], found[kept], np.where(fresh, sizes, 0), common.value)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[at])], ["sig", "key"])
+
+    return rows
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,15 +224,39 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         both * 100 >= (F.size("x") + F.size("y") - both) * SIMILAR).select("a", "b")
 
 
+def rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) with different labels among ``nodes`` (key, n, label), by rarest shingles.
+
+    In any common order, similar sets share one of their first n - ceil(0.8 n) + 1 shingles.
+    The order is by how many of these nodes have a shingle, rarest first: what two texts
+    share only as a passage of many others comes last. The first shingle in common, at
+    places i and j, leaves at most 1 + min(|a| - i, |b| - j) shared ones, which must be enough.
+    """
+    each = nodes.join(sets, "key").select("key", "n", "label", F.explode("members").alias("e"))
+    held = each.groupBy("e").agg(F.count("*").alias("df"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("df", "e"))
+    prefix = F.col("n") - F.floor((F.col("n") * SIMILAR + 99) / 100) + 1
+    first = staged(each.join(held, "e").withColumn("place", place).filter(
+        (F.col("place") <= prefix) & (F.col("df") > 1)).select("e", "key", "n", "label", "place"), "prefixes")
+    one = first.select("e", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("i"))
+    two = first.select("e", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("place").alias("j"))
+    return one.join(two, "e").filter(
+        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+        & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILAR)
+        & ((F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) + 1) * (100 + SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR)
+    ).select("a", "b").distinct()
+
+
 def set_links(docs: DataFrame, facts: DataFrame) -> DataFrame | None:
     """(node, label) of the sets that are linked to others; None when no signature is shared.
 
-    Sets that share a signature form a bucket. The first round verifies one pivot of a bucket
-    (the set in most buckets) with the others. Buckets whose sets are then still in different
-    components give further pivots, ever more of them, for pairs across components only,
-    until every such pair has been verified: no pair inside a component is needed for it.
+    Sets that share a signature form a bucket. First one pivot of each bucket (the set in
+    most buckets) is verified with the others, a number of pairs that is linear in the
+    members. Where all sets of a bucket then are in one component, no further pair is needed.
+    The sets of all other buckets are compared across components by their rarest shingles.
     """
-    sigs = docs.select("text").mapInArrow(_signature_rows, "sig long, key long")
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, facts))
+    sigs = docs.select("text").mapInArrow(_signature_rows(common), "sig long, key long")
     group = W.partitionBy("sig")
     shared = sigs.select("sig", "key", (F.min("key").over(group) < F.max("key").over(group)).alias("several"))
     buckets = staged(shared.filter("several").select("sig", "key").distinct(), "buckets")
@@ -198,35 +265,27 @@ def set_links(docs: DataFrame, facts: DataFrame) -> DataFrame | None:
     known = staged(degree.join(nodes, "key"), "nodes")
     if at_most(known, 0):
         return None
+    small = at_most(known, NARROW_ROWS)
     wanted = known.select("doc_id").distinct()
-    texts = docs.join(small_side(wanted, at_most(wanted, NARROW_ROWS)), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = texts.select("text").mapInArrow(_set_rows, "key long, members array<long>").join(
-        small_side(known.select("key"), at_most(known, NARROW_ROWS)), "key", "left_semi")
-    sets = staged(sets.dropDuplicates(["key"]), "sets")
-    members = staged(buckets.join(known.select("key", "degree", "n"), "key").select(
-        "sig", "key", "n", F.row_number().over(group.orderBy(F.desc("degree"), "key")).alias("rank")), "members")
-    links, labels, lo, hi = None, None, 1, 2
-    while True:
-        rows = members.withColumn("label", F.col("key")) if labels is None else members.join(
-            labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        if labels is not None:
-            undecided = rows.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("rank").alias("size")).filter(
-                (F.col("x") < F.col("y")) & (F.col("size") > lo))
-            rows = staged(rows.join(undecided.select("sig", "size"), "sig"), "open")
-            largest = rows.agg(F.max("size")).first()[0]
-            if largest is None:
-                return labels
-        pivots = rows.filter(F.col("rank").between(lo, hi - 1)).select(
-            "sig", F.col("key").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        pairs = rows.join(pivots, "sig").filter(
-            (F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la"))
-            & (F.least("n", "na") * 100 >= F.greatest("n", "na") * SIMILAR)
-        ).select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
-        new = staged(verified(pairs, sets), "links")
-        if links is None or not at_most(new, 0):
-            links = new if labels is None else new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-            labels = staged(components(links), "labels")
-        lo, hi = hi, hi * GROWTH
+    texts = docs.join(small_side(wanted, small), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    sets = staged(texts.select("text").mapInArrow(_set_rows, "key long, members array<long>").join(
+        small_side(known.select("key"), small), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sized = buckets.join(known.select("key", "degree", "n"), "key")
+    pivots = sized.groupBy("sig").agg(F.max(F.struct("degree", "key", "n")).alias("p")).select(
+        "sig", F.col("p.key").alias("pivot"), F.col("p.n").alias("size"))
+    pairs = staged(sized.join(pivots, "sig").filter(
+        (F.col("key") != F.col("pivot")) & (F.least("n", "size") * 100 >= F.greatest("n", "size") * SIMILAR)
+    ).select(F.least("pivot", "key").alias("a"), F.greatest("pivot", "key").alias("b")).distinct(), "pairs")
+    links = staged(verified(pairs, sets), "links")
+    labels = staged(components(links), "labels")
+    named = sized.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    mixed = named.groupBy("sig").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("sig")
+    undecided = staged(named.join(mixed, "sig", "left_semi").select("key", "n", "label").distinct(), "undecided")
+    further = staged(rare_pairs(undecided, sets).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    new = staged(verified(further, sets), "links")
+    if at_most(new, 0):
+        return labels
+    return staged(components(new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))), "labels")
 
 
 def similarity_groups(docs: DataFrame) -> DataFrame:
