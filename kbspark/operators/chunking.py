@@ -11,13 +11,15 @@ on both sides, and packing runs in three steps when a source has more than one b
 3. every block packs its own segments from that state.
 
 Each task handles one bounded block, so a source may hold any share of the data. Sources
-that fit one block, the usual case, skip steps 1 and 2.
+that fit one block, the usual case, skip steps 1 and 2. Blocks and halos count the segments
+that hold text, numbered without gaps, so blank or missing segments do not matter.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
-from kbspark.operators.blocks import running_sum
+from kbspark.operators.blocks import row_index, running_sum
 
 # Chunk size limits, overlap share, vocabulary budget.
 MIN_TOKENS = 300
@@ -36,11 +38,12 @@ OVERLAP = 0.15
 VOCAB_TOKENS = 224
 
 BLOCK = 8192
-HALO = 1024  # a chunk of 500 tokens holds at most 1002 segments (each >= 1 character + joint)
+HALO = 1024  # a chunk of 500 tokens holds at most 1002 segments with text (each >= 1 character + joint)
 FAN = 64
 
 _ENTRY = ["s_seq", "s_piece", "j_seq", "j_piece", "n_before"]
 
+_SOLID = r"(?U)[^\s\x1c-\x1f]"
 _CJK = re.compile(T.CHUNK_CJK)
 _BREAK = re.compile(r"(?<=[。!?;.])\s*")
 
@@ -66,12 +69,13 @@ def _count(text: str) -> tuple[int, int]:
 class _Pieces:
     """Prepared pieces of one block: positions, token prefix sums, packing steps."""
 
-    def __init__(self, segments: list[tuple[int, str, float, float]]):
+    def __init__(self, segments: list[tuple[int, str, float, float, int]]):
         self.pos: list[tuple[int, int]] = []
+        self.given: list[int] = []
         self.text: list[str] = []
         self.start: list[float] = []
         self.end: list[float] = []
-        for seq, text, start, end in segments:
+        for seq, text, start, end, given in segments:
             cjk, other = _count(text)
             if cjk + other // 4 > MAX_TOKENS:
                 parts = self._split(text, start, end)
@@ -81,6 +85,7 @@ class _Pieces:
                 parts = []
             for i, (body, a, b) in enumerate(parts):
                 self.pos.append((int(seq), i))
+                self.given.append(int(given))
                 self.text.append(body)
                 self.start.append(a)
                 self.end.append(b)
@@ -141,33 +146,36 @@ class _Pieces:
         return self.pos[i] if i < len(self.pos) else (self.pos[-1][0] + 1, 0)
 
     def index(self, seq: int, piece: int) -> int:
-        return self.at.get((seq, piece), self.first_at(seq))
+        at = self.at.get((seq, piece), len(self.pos))
+        if at == len(self.pos) and self.first_at(seq) < at:
+            raise ValueError(f"packing state ({seq}, {piece}) lies outside its block")
+        return at
 
 
-def _with_halo(segments: DataFrame) -> DataFrame:
+def _with_halo(segments: DataFrame, width: int) -> DataFrame:
     """Copy each segment into its block and, near an edge, into the neighbour block."""
-    off = F.col("seq") % BLOCK
-    own = F.floor(F.col("seq") / BLOCK).cast("long")
+    off = F.col("seq") % width
+    own = F.floor(F.col("seq") / width).cast("long")
     blocks = F.array_compact(F.array(
-        own, F.when((off < HALO) & (own > 0), own - 1), F.when(off >= BLOCK - HALO, own + 1)))
+        own, F.when((off < HALO) & (own > 0), own - 1), F.when(off >= width - HALO, own + 1)))
     return segments.select(*segments.columns, F.explode(blocks).alias("blk"))
 
 
-_SEGMENT = ["seq", "text", "start_sec", "end_sec"]
+_SEGMENT = ["seq", "text", "start_sec", "end_sec", "given"]
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def _block_map(pdf: pd.DataFrame) -> pd.DataFrame:
+def _block_map(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     """Every possible entry state of a block with the exit it leads to."""
     blk, sid = int(pdf["blk"].iloc[0]), int(pdf["source_id"].iloc[0])
     cols = _names(MAP_SCHEMA)
     p = _Pieces(list(pdf.sort_values("seq")[_SEGMENT].itertuples(index=False, name=None)))
     if not p.pos:
         return pd.DataFrame(columns=cols)
-    first, last = p.first_at(blk * BLOCK), p.first_at((blk + 1) * BLOCK)
+    first, last = p.first_at(blk * width), p.first_at((blk + 1) * width)
     if first >= last:
         return pd.DataFrame(columns=cols)
     entries, j = [], first
@@ -230,12 +238,11 @@ def _descend(entries: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=cols)
 
 
-def _entries(blocks: DataFrame, top: int) -> DataFrame:
+def _entries(blocks: DataFrame, top: int, width: int) -> DataFrame:
     """True entry state of every block of sources longer than one block."""
-    spark = blocks.sparkSession
-    long_sources = blocks.filter(F.col("seq") >= BLOCK).select("source_id").distinct()
+    long_sources = blocks.filter(F.col("seq") >= width).select("source_id").distinct()
     maps = blocks.join(long_sources, "source_id", "left_semi").groupBy("source_id", "blk").applyInPandas(
-        _block_map, MAP_SCHEMA)
+        lambda pdf: _block_map(pdf, width), MAP_SCHEMA)
     levels, count = [maps], top + 1
     while count > 1:
         up = F.floor(F.col("blk") / FAN)
@@ -253,19 +260,19 @@ def _entries(blocks: DataFrame, top: int) -> DataFrame:
     return state
 
 
-def _pack(sid: int, blk: int, segments: list[tuple], entry: tuple[int, ...] | None) -> list[tuple]:
+def _pack(sid: int, blk: int, segments: list[tuple], entry: tuple[int, ...] | None, width: int) -> list[tuple]:
     """Chunk rows whose first new piece lies in this block."""
     p = _Pieces(segments)
     if not p.pos or (entry is None and blk > 0):
         return []
-    last = p.first_at((blk + 1) * BLOCK)
+    last = p.first_at((blk + 1) * width)
     s, j, n = 0, 0, 0
     if entry is not None:
         s, j, n = p.index(entry[0], entry[1]), p.index(entry[2], entry[3]), entry[4]
     rows = []
     while j < last:
         tail, stop = p.step(s, j)
-        rows.append((sid, *p.pos[j], n, " ".join(p.text[s:stop]), p.start[s], p.end[stop - 1],
+        rows.append((sid, p.given[j], p.pos[j][1], n, " ".join(p.text[s:stop]), p.start[s], p.end[stop - 1],
                      p.tokens(s, stop), stop - s))
         s, j, n = tail, stop, n + 1
     return rows
@@ -277,7 +284,7 @@ def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
         [pa.array(c, k) for c, k in zip(cols, CHUNK_TYPES)], _names(CHUNK_SCHEMA))
 
 
-def _pack_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_sorted(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Pack block after block of rows that arrive sorted by (source, block, seq).
 
     Only the rows of the block at hand are held; a block may span Arrow batches.
@@ -290,35 +297,56 @@ def _pack_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sid, blk, seg, st in zip(*(b.column(c).to_pylist() for c in ("source_id", "blk")), take(_SEGMENT), state):
             if (sid, blk) != key:
                 if held:
-                    out += _pack(*key, held, entry)
+                    out += _pack(*key, held, entry, width)
                 key, held = (sid, blk), []
                 entry = None if st is None or st[0] is None else st
             held.append(seg)
         yield _chunk_batch(out)
     if held:
-        yield _chunk_batch(_pack(*key, held, entry))
+        yield _chunk_batch(_pack(*key, held, entry, width))
 
 
-def chunk(segments: DataFrame, max_seq: int | None = None) -> DataFrame:
+def chunk(segments: DataFrame, max_seq: int | None = None, width: int = BLOCK) -> DataFrame:
     """Chunks of every source; segments are (source_id, seq, text, start_sec, end_sec).
 
-    ``seq`` is the dense 0-based position of a segment in its source. The largest one is
-    looked up unless given: when every source is one segment (pasted texts, articles)
-    nothing is shuffled, and beyond one block it sets the number of composition levels.
+    ``seq`` is the position of a segment in its source, from 0 and unique; it may have gaps.
+    The largest one is looked up unless given: when every source is one segment (pasted
+    texts, articles) nothing is shuffled, and beyond one block of ``width`` segments the
+    segments with text are numbered anew and packed block by block.
     """
+    if width < HALO:
+        raise ValueError(f"a block must hold at least {HALO} segments")
     segs = segments.select(
         F.col("source_id").cast("long").alias("source_id"), F.col("seq").cast("long").alias("seq"), "text",
         F.coalesce("start_sec", F.lit(0.0)).alias("start_sec"), F.coalesce("end_sec", F.lit(0.0)).alias("end_sec"),
+        F.col("seq").cast("long").alias("given"),
     ).filter(F.col("text").isNotNull())
     if max_seq is None:
         max_seq = segs.agg(F.max("seq")).first()[0] or 0
+    pack = partial(_pack_sorted, width=width)
     if max_seq == 0:
-        return segs.withColumn("blk", F.lit(0).cast("long")).mapInArrow(_pack_sorted, CHUNK_SCHEMA)
-    blocks = _with_halo(segs)
-    if max_seq >= BLOCK:
-        blocks = blocks.join(_entries(blocks, max_seq // BLOCK), ["source_id", "blk"], "left")
+        return segs.withColumn("blk", F.lit(0).cast("long")).mapInArrow(pack, CHUNK_SCHEMA)
+    if max_seq >= width:
+        # blank segments hold no token: only without them do HALO segments span a chunk
+        solid = segs.filter(F.col("text").rlike(_SOLID) | (T.chunk_tokens("text") > MAX_TOKENS)).drop("seq")
+        segs = row_index(solid, ["source_id"], "given", "seq")
+    blocks = _with_halo(segs, width)
+    if max_seq >= width:
+        blocks = blocks.join(_entries(blocks, max_seq // width, width), ["source_id", "blk"], "left")
     placed = blocks.repartition("source_id", "blk").sortWithinPartitions("source_id", "blk", "seq")
-    return placed.mapInArrow(_pack_sorted, CHUNK_SCHEMA)
+    return placed.mapInArrow(pack, CHUNK_SCHEMA)
+
+
+def chunk_id(source_id: str, n: str, visual: bool = False) -> "F.Column":
+    """Id of chunk ``n`` of a source, stable without a global counter.
+
+    Source id and position are packed while both fit (2^19 chunks of a kind, source ids from
+    0 to below 2^43). Beyond that the id is a 63-bit hash below zero, where no packed id lies.
+    """
+    src, pos, kind = F.col(source_id), F.col(n), F.lit(int(visual))
+    fits = src.between(0, (1 << 43) - 1) & pos.between(0, (1 << 19) - 1)
+    hashed = F.xxhash64(src.cast("long"), pos.cast("long"), kind).bitwiseOR(F.lit(-(1 << 63)))
+    return F.when(fits, src * F.lit(1 << 20) + kind * F.lit(1 << 19) + pos).otherwise(hashed)
 
 
 def modality_of(source_type) -> "F.Column":
@@ -328,18 +356,15 @@ def modality_of(source_type) -> "F.Column":
 
 
 def build_chunks(segments: DataFrame, sources: DataFrame, visual: DataFrame | None = None) -> DataFrame:
-    """Stored chunk rows of all sources; visual rows are appended as they are.
-
-    chunk_id packs source id and position, so ids are stable without a global counter.
-    """
+    """Stored chunk rows of all sources; visual rows are appended as they are."""
     body = chunk(segments).join(sources.select("source_id", "type"), "source_id").select(
-        (F.col("source_id") * F.lit(1 << 20) + F.col("chunk_seq")).alias("chunk_id"), "source_id",
+        chunk_id("source_id", "chunk_seq").alias("chunk_id"), "source_id",
         modality_of("type").alias("modality"), "text", "start_sec", "end_sec",
     )
     if visual is None:
         return body
     rows = visual.select(
-        (F.col("source_id") * F.lit(1 << 20) + F.lit(1 << 19) + F.col("pos")).alias("chunk_id"), "source_id",
+        chunk_id("source_id", "pos", visual=True).alias("chunk_id"), "source_id",
         F.lit("visual").alias("modality"), "text", "start_sec", "end_sec",
     )
     return body.unionByName(rows)

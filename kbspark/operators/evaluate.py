@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.operators.fulltext import bm25, occurrences
-from kbspark.operators.vectors import MAX_DISTANCE, knn
+from kbspark.operators.vectors import MAX_DISTANCE, knn, within
 
 PASSAGE_GRAM = 12
 
@@ -136,17 +136,9 @@ def false_hits(results: DataFrame, golden: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("negatives"), F.count_if(F.col("_got")).alias("false_hits"))
 
 
-def threshold_sweep(queries: DataFrame, vectors: DataFrame, thresholds: Sequence[float], k: int) -> DataFrame:
-    """Hits per query and cut-off, from one search at the widest cut-off.
-
-    The nearest k under a narrow cut-off are the nearest k under a wide one that also pass
-    the narrow cut-off, so one pass serves every threshold.
-    """
-    wide = knn(queries, vectors, k, max(thresholds))
-    cuts = F.array(*[F.lit(float(x)) for x in thresholds])
-    return wide.select("query_id", "distance", F.explode(cuts).alias("threshold")).filter(
-        F.col("distance") <= F.col("threshold")
-    ).groupBy("query_id", "threshold").agg(F.count(F.lit(1)).alias("hits"))
+def threshold_sweep(queries: DataFrame, vectors: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """Hits per query and cut-off: all vectors within it, counted in one scan."""
+    return within(queries, vectors, thresholds)
 
 
 def ab_hits(rankings: DataFrame) -> DataFrame:

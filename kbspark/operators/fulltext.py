@@ -15,8 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as D
 from pyspark.sql import types as t
 
 from kbspark.functions import text as T
@@ -267,13 +269,17 @@ def _scan_scores(body: DataFrame, id_col: str, pairs: list[tuple[int, str]], sta
         cells = np.repeat(docs, reps) * width + owner[flat]
         score = np.bincount(cells, np.repeat(x, reps) * weight[flat], minlength=len(ids) * width)
         score = np.round(score.reshape(len(ids), width), 9)
+        # ids of any type are compared by their place in order and travel as they are
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(ids))
         out = [], [], []
         for q in range(width):
-            rows = best_k(-score[:, q], ids, k, score[:, q] > 0)
+            rows = best_k(-score[:, q], place, k, score[:, q] > 0)
             out[0].append(np.full(rows.size, qids[q]))
-            out[1].append(ids[rows])
+            out[1].append(rows)
             out[2].append(score[rows, q])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", id_col, "score"])
+        query, rows, score = map(np.concatenate, out)
+        return pa.RecordBatch.from_arrays([pa.array(query), ids.take(pa.array(rows)), pa.array(score)], ["query_id", id_col, "score"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(needles)
@@ -287,10 +293,11 @@ def _scan_scores(body: DataFrame, id_col: str, pairs: list[tuple[int, str]], sta
                     terms += hits.keys()
                     tf += hits.values()
                 if docs:
-                    yield best(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.array(docs), np.array(terms),
+                    yield best(part.column(0), np.array(docs), np.array(terms),
                                np.array(tf, dtype=np.float64), part.column(2).to_numpy(zero_copy_only=False))
 
-    return body.mapInArrow(scan, f"query_id long, {id_col} long, score double")
+    schema = D.StructType().add("query_id", D.LongType()).add(id_col, body.schema[id_col].dataType).add("score", D.DoubleType())
+    return body.mapInArrow(scan, schema)
 
 
 def bm25(
@@ -321,7 +328,7 @@ def bm25(
         read = [x for x in read if len(x[1]) >= GRAM]
         found = term_statistics(chunks, sorted({x for _, x in read}), text, length)
         rows = chunks if allowed is None else chunks.filter(allowed)
-        body = rows.select(F.col(id_col).cast("long").alias(id_col), *_sized(chunks, text, length))
+        body = rows.select(id_col, *_sized(chunks, text, length))
         scored = _scan_scores(body, id_col, read, found, k)
         return top_k(scored, ["query_id"], best, k).withColumn("fts_rank", (F.col("rn") - 1).cast("int")).drop("rn")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -75,8 +75,8 @@ def check_vectors(vectors: DataFrame, dim: int, embedding: str = "embedding", mo
             raise ValueError(f"store holds model {found!r}, expected {expected_model!r}")
 
 
-def _best_per_query(qids, q, ids, v, k, max_dist, cosine) -> pd.DataFrame:
-    """k best (query, vector) rows of one block, ranked on rounded distance then id.
+def _tiles(q: np.ndarray, v: np.ndarray, cosine: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rounded distances of one tile of queries after another to all vectors of a block.
 
     Queries are taken in tiles, so the distance matrix stays a few megabytes.
     """
@@ -84,8 +84,7 @@ def _best_per_query(qids, q, ids, v, k, max_dist, cosine) -> pd.DataFrame:
     if cosine:
         v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
     v_sq = (v * v).sum(1)
-    out_q, out_id, out_d = [], [], []
-    for lo in range(0, len(qids), TILE):
+    for lo in range(0, len(q), TILE):
         tile = q[lo:lo + TILE].astype(np.float64)
         if cosine:
             tile = tile / np.maximum(np.linalg.norm(tile, axis=1, keepdims=True), 1e-300)
@@ -93,45 +92,51 @@ def _best_per_query(qids, q, ids, v, k, max_dist, cosine) -> pd.DataFrame:
         else:
             sq = (tile * tile).sum(1)[:, None] + v_sq[None, :] - 2.0 * (tile @ v.T)
             dist = np.sqrt(np.maximum(sq, 0.0))
-        dist = np.round(dist, 6)
+        yield lo, np.round(dist, 6)
+
+
+def _best_per_query(qids, q, ids, v, k, max_dist, cosine) -> pd.DataFrame:
+    """k best (query, vector) rows of one block, ranked on rounded distance then id."""
+    out_q, out_id, out_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for lo, dist in _tiles(q, v, cosine):
         for i, d in enumerate(dist):
             sel = best_k(d, ids, k, None if max_dist is None else d <= max_dist)
             out_q.append(np.full(sel.size, qids[lo + i], dtype=np.int64))
             out_id.append(ids[sel].astype(np.int64))
             out_d.append(d[sel])
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "id": [], "distance": []})
     return pd.DataFrame({
         "query_id": np.concatenate(out_q), "id": np.concatenate(out_id), "distance": np.concatenate(out_d),
     })
 
 
+def _counts_per_query(qids, q, v, cuts, cosine) -> pd.DataFrame:
+    """Vectors of one block within each cut-off of each query."""
+    found = [np.zeros((0, len(cuts)), np.int64)]
+    for _, dist in _tiles(q, v, cosine):
+        found.append(np.stack([(dist <= c).sum(1) for c in cuts], 1))
+    hits = np.concatenate(found)
+    i, c = np.nonzero(hits)
+    return pd.DataFrame({"query_id": qids[i], "threshold": np.array(cuts, np.float64)[c], "hits": hits[i, c]})
+
+
 def _matrix(col: pd.Series) -> np.ndarray:
     return np.stack(col.to_numpy()) if len(col) else np.zeros((0, 1))
 
 
-def knn(
-    queries: DataFrame,
-    vectors: DataFrame,
-    k: int,
-    max_dist: float | None = MAX_DISTANCE,
-    id_col: str = "chunk_id",
-    embedding: str = "embedding",
-    cosine: bool = False,
-) -> DataFrame:
-    """(query_id, id, vec_rank, distance): exact ``k`` nearest vectors of every query.
+def _same_width(sizes, width: int) -> None:
+    """Refuse vectors of another length than the queries, whichever way they are searched."""
+    other = [x for x in np.unique(np.asarray(sizes)) if x != width]
+    if other:
+        raise ValueError(f"vectors of {other} values, queries of {width}")
+
+
+def _per_block(queries: DataFrame, vectors: DataFrame, id_col: str, embedding: str, work: Callable, schema: str) -> DataFrame:
+    """Rows of ``work(query ids, queries, ids, vectors)`` for all pairs of blocks.
 
-    Queries are (query_id long, qvec array<float>). A query set proven small is shipped
-    to the executors once and the vectors are scanned in place, without a shuffle, each
-    Arrow batch giving at most ``k`` rows per query. A larger query set is cut into
-    blocks; vectors are cut into blocks too, and each pair of blocks is one bounded
-    matrix product. Both ways are exact. With ``cosine`` the distance is the negated
-    cosine, so ascending order still means best first.
+    A query set proven small is shipped to the executors once and the vectors are scanned in
+    place, without a shuffle. A larger one is cut into blocks; vectors are cut into blocks
+    too, and each pair of blocks is one bounded piece of work.
     """
-    schema = t.StructType([
-        t.StructField("query_id", t.LongType()), t.StructField("id", t.LongType()),
-        t.StructField("distance", t.DoubleType()),
-    ])
     qs = queries.select(F.col("query_id").cast("long"), "qvec").filter(F.col("qvec").isNotNull())
     # missing vectors are skipped inside the tasks: as a filter the test would move below a
     # rebalancing and run an encoder a second time
@@ -145,30 +150,64 @@ def knn(
             for b in batches:
                 b = b.filter(b.column(1).is_valid())
                 if b.num_rows and len(qids):
+                    _same_width(b.column(1).value_lengths(), q.shape[1])
                     # the list column is one flat buffer, so the matrix needs no per-row work
                     v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    best = _best_per_query(qids, q, b.column(0).to_numpy(), v, k, max_dist, cosine)
+                    best = work(qids, q, b.column(0).to_numpy(), v)
                     yield pa.RecordBatch.from_arrays([pa.array(best[c].to_numpy()) for c in best], list(best))
 
-        partial = vs.mapInArrow(scan, schema)
-    else:
-        n_q = max(1, -(-qs.count() // BLOCK_ROWS))
-        n_v = max(1, -(-vs.count() // BLOCK_ROWS))
-        qb = qs.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn(
-            "vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-        vb = vs.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-
-        def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            b = b[b["vec"].notna()]
-            if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "id": [], "distance": []})
-            return _best_per_query(a["query_id"].to_numpy(), _matrix(a["qvec"]),
-                                   b["id"].to_numpy(), _matrix(b["vec"]), k, max_dist, cosine)
-
-        partial = qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")).applyInPandas(pair, schema)
+        return vs.mapInArrow(scan, schema)
+    n_q = max(1, -(-qs.count() // BLOCK_ROWS))
+    n_v = max(1, -(-vs.count() // BLOCK_ROWS))
+    qb = qs.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn(
+        "vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+    vb = vs.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b[b["vec"].notna()]
+        if a.empty or b.empty:
+            return pd.DataFrame({c: [] for c in names})
+        q = _matrix(a["qvec"])
+        _same_width(b["vec"].map(len), q.shape[1])
+        return work(a["query_id"].to_numpy(), q, b["id"].to_numpy(), _matrix(b["vec"]))
+
+    return qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")).applyInPandas(pair, schema)
+
+
+def knn(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    max_dist: float | None = MAX_DISTANCE,
+    id_col: str = "chunk_id",
+    embedding: str = "embedding",
+    cosine: bool = False,
+) -> DataFrame:
+    """(query_id, id, vec_rank, distance): exact ``k`` nearest vectors of every query.
+
+    Queries are (query_id long, qvec array<float>). Each block of vectors gives at most ``k``
+    rows per query. With ``cosine`` the distance is the negated cosine, so ascending order
+    still means best first. Vectors of another length than the queries are refused.
+    """
+    partial = _per_block(
+        queries, vectors, id_col, embedding,
+        lambda qids, q, ids, v: _best_per_query(qids, q, ids, v, k, max_dist, cosine),
+        "query_id long, id long, distance double")
     best = top_k(partial, ["query_id"], [F.asc("distance"), F.asc("id")], k)
     return best.select(
         "query_id", F.col("id").alias(id_col), (F.col("rn") - 1).cast("int").alias("vec_rank"),
         (-F.col("distance") if cosine else F.col("distance")).alias("distance"),
     )
+
+
+def within(queries: DataFrame, vectors: DataFrame, cuts: Sequence[float], id_col: str = "chunk_id",
+           embedding: str = "embedding", cosine: bool = False) -> DataFrame:
+    """(query_id, threshold, hits): all vectors within each cut-off, counted where they lie."""
+    cuts = [float(c) for c in cuts]
+    partial = _per_block(
+        queries, vectors, id_col, embedding,
+        lambda qids, q, ids, v: _counts_per_query(qids, q, v, cuts, cosine),
+        "query_id long, threshold double, hits long")
+    return partial.groupBy("query_id", "threshold").agg(F.sum("hits").alias("hits"))

@@ -71,12 +71,12 @@ def session_messages(spark, sf):
 
 
 def rate_limit(spark, sf):
-    out = A.rate_limited(S.given(spark, sf, "events").withColumnRenamed("ts", "created_at"), None, limit=10)
+    out = A.rate_limited(S.given(spark, sf, "events").withColumnRenamed("ts", "created_at"), "event_id", limit=10)
     return out.select("event_id", _b("recent"), _b("refused"))
 
 
 def rate_limit_by_user(spark, sf):
-    out = A.rate_limited(S.given(spark, sf, "events"), "user_id", ts="ts", limit=2)
+    out = A.rate_limited(S.given(spark, sf, "events"), "event_id", "user_id", ts="ts", limit=2)
     return out.select("event_id", _b("recent"), _b("refused"))
 
 
@@ -278,6 +278,16 @@ h AS (SELECT source_id, list_filter(['{VW.UNTRUSTED_NOTE}', '# ' || CASE WHEN so
 u AS (SELECT b.*, head, CAST(sum(length(block)) OVER (PARTITION BY b.source_id ORDER BY coalesce(st, 0), chunk_id) AS BIGINT) AS used,
   list_sum(list_transform(head, lambda x: length(x))) AS hl FROM b JOIN h USING (source_id))"""
 
+def admission_sql(key: str, limit: int) -> str:
+    """Row by row: the admitted times of the last hour, and whether one more fits."""
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT event_id, {key} AS k, CAST(floor(epoch(ts)) AS BIGINT) AS s,
+  row_number() OVER (PARTITION BY {key} ORDER BY floor(epoch(ts)), event_id) AS r FROM events),
+w AS (SELECT k, r, event_id, 0 AS recent, [s] AS a FROM e WHERE r = 1 UNION ALL
+  SELECT k, r, event_id, len(l) AS recent, CASE WHEN len(l) < {limit} THEN list_append(l, s) ELSE l END AS a
+  FROM (SELECT e.*, list_filter(w.a, lambda x: x > e.s - 3600) AS l FROM w JOIN e ON e.k = w.k AND e.r = w.r + 1))
+SELECT event_id, CAST(recent AS BIGINT) AS recent, CAST(recent >= {limit} AS BIGINT) AS refused FROM w"""
+
+
 ORACLES = {
     "usage_breakdown": f"WITH {_U} SELECT strftime(ts, '%Y-%m') AS month, provider, model, {_AGG} FROM u GROUP BY 1, 2, 3",
     "usage_month": f"WITH {_U} SELECT provider, model, {_AGG} FROM u WHERE strftime(ts, '%Y-%m') = '2024-01' GROUP BY 1, 2",
@@ -293,12 +303,8 @@ SELECT month, round(c, 6) AS cost_usd, CAST(c > 3 AS BIGINT) AS over_budget, CAS
     "history_window": """SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id * 1000 + turn AS msg_id, role FROM conversations
  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 10""",
     "session_messages": """SELECT CAST(conv_id AS VARCHAR) AS session_id, conv_id * 1000 + turn AS msg_id, CAST(turn % 3 = 0 AS BIGINT) AS n_trace, CASE WHEN turn % 3 = 0 THEN turn END AS first_chunk FROM conversations""",
-    "rate_limit": """WITH e AS (SELECT event_id, epoch(date_trunc('second', ts)) AS s FROM events), c AS (SELECT s, count(*) AS n FROM e GROUP BY 1),
-r AS (SELECT s, coalesce(sum(n) OVER (ORDER BY s RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING), 0) AS recent FROM c)
-SELECT event_id, CAST(recent AS BIGINT) AS recent, CAST(recent >= 10 AS BIGINT) AS refused FROM e JOIN r USING (s)""",
-    "rate_limit_by_user": """WITH e AS (SELECT event_id, user_id, epoch(date_trunc('second', ts)) AS s FROM events),
-r AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS recent FROM e)
-SELECT event_id, recent, CAST(recent >= 2 AS BIGINT) AS refused FROM r""",
+    "rate_limit": admission_sql("0", 10),
+    "rate_limit_by_user": admission_sql("user_id", 2),
     "queue_position": f"""WITH {sql.JOBS}, r AS (SELECT job_id, status, count(*) FILTER (WHERE status IN ('pending', 'processing')) OVER (ORDER BY job_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS queue_position FROM jobs)
 SELECT job_id, queue_position FROM r WHERE status = 'pending'""",
     "list_position": f"""WITH {sql.JOBS} SELECT job_id, row_number() OVER (ORDER BY job_id) - 1 AS queue_position FROM jobs WHERE kind <> 'summarize' AND status = 'pending' AND source_id IS NULL""",

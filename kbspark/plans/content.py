@@ -174,6 +174,16 @@ def chunk_turns(spark, sf):
     return _chunk_rows(K.chunk(S.turn_segments(spark, sf)))
 
 
+def chunk_events(spark, sf):
+    """All events as one transcript: low values are missing, some texts are blank."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    segs = S.given(spark, sf, "events").filter("value >= 3").select(
+        F.lit(1).cast("long").alias("source_id"), F.col("event_id").alias("seq"),
+        F.when(k % 5 == 0, "  ").otherwise(F.concat_ws(" ", "event_type", "props")).alias("text"),
+        (F.col("event_id") * 1.0).alias("start_sec"), (F.col("event_id") + 1.0).alias("end_sec"))
+    return _chunk_rows(K.chunk(segs, width=K.HALO))
+
+
 def chunk_stats(spark, sf):
     return K.chunk_report(K.chunk(S.document_segments(spark, sf))).select(*[_b(c) for c in (
         "n_chunks", "n_sources", "max_tokens", "min_tokens", "over_limit", "bad_times", "blank_chunks")])
@@ -220,16 +230,19 @@ def rendered_pages(spark, sf):
 
 
 def _feeds(spark, sf):
+    """A feed per document: its text is the title of the first item and its digest names the others."""
     d = F.col("doc_id").cast("string")
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
     def item(i):
         n = i.cast("string")
-        guid = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit("<guid>g"), d, F.lit("-"), n, F.lit("</guid>")))
+        guid = F.when(i % 3 == 0, "").otherwise(F.concat(F.lit('<guid isPermaLink="false">'), F.md5("text"), F.lit("-"), d, F.lit("-"), n, F.lit("</guid>")))
         kind = F.when(i % 5 == 4, "image/png").when(i % 5 == 3, "").otherwise("audio/mpeg")
         return F.concat(
-            F.lit("<item><title> ep "), n, F.lit(" </title>"), guid, F.lit("<pubDate>Wed, 0"), (i % 9 + 1).cast("string"),
+            F.lit("<item><title> "), F.when(i == 0, safe).otherwise(F.concat(F.lit("ep "), n)), F.lit(" </title><itunes:title>short</itunes:title>"), guid, F.lit("<pubDate>Wed, 0"), (i % 9 + 1).cast("string"),
             F.lit(" Oct 2002 13:00:00 +0200</pubDate><itunes:duration>1:0"), (i % 10).cast("string"),
-            F.lit(":07</itunes:duration><enclosure url=\"https://a.example/"), d, F.lit("/"), n, F.lit(".mp3\" type=\""), kind, F.lit("\"/></item>"))
+            F.lit(":07</itunes:duration><enclosure url=\"https://a.example/"), d, F.lit("/"), n, F.lit(".mp3\" type=\""), kind,
+            F.lit("\"/><enclosure url=\"https://a.example/v.mp4\" type=\"video/mp4\"/></item>"))
 
     n_items = (F.length("text") % 40).cast("int")
     items = F.transform(F.slice(F.sequence(F.lit(0), F.lit(39)), F.lit(1), n_items), item)
@@ -241,7 +254,7 @@ def _feeds(spark, sf):
 
 def rss_episodes(spark, sf):
     episodes, _ = RD.rss_episodes(_feeds(spark, sf))
-    return episodes.select("feed_id", "feed_title", _b("position"), "guid", "title", "audio_url", D.iso_z("published_at").alias("published"),
+    return episodes.select("feed_id", "feed_title", _b("position"), "guid", F.md5("title").alias("title_digest"), "audio_url", D.iso_z("published_at").alias("published"),
                            "duration_secs", "episode_id")
 
 
@@ -324,7 +337,7 @@ def answer_parts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     canonical_urls, classify_pages, expand_redirects, content_ids, line_routing, route_ingest, text_gate, text_sources, average_hash,
     near_dedup, wall_reason, repeat_limit, filter_counts, duration_gate, speech_coverage, error_class, transport_message, token_estimate,
-    sentence_split, vocab_prefix, chunk, chunk_turns, chunk_stats, note_validation, collection_names, episode_coercion, page_articles,
+    sentence_split, vocab_prefix, chunk, chunk_turns, chunk_events, chunk_stats, note_validation, collection_names, episode_coercion, page_articles,
     rendered_pages, rss_episodes, rss_errors, episodes_in_library, caption_pick, caption_segments, timeline_merge, description_lines,
     export_md, date_parsing, duration_parsing, answer_parts)}
 
@@ -350,6 +363,10 @@ seg AS (SELECT doc_id AS source_id, 0 AS seq, {sql.TRIMMED} AS t, 0.0 AS st, 0.0
 _PIECES_TURN = """
 seg AS (SELECT conv_id AS source_id, turn AS seq, text AS t, turn * 10.0 AS st, turn * 10.0 + 10.0 AS en FROM conversations)"""
 
+_PIECES_EVENT = """
+seg AS (SELECT 1 AS source_id, event_id AS seq, CASE WHEN CAST(json_extract(props, '$.k') AS INT) % 5 = 0 THEN '  ' ELSE event_type || ' ' || props END AS t,
+  event_id * 1.0::DOUBLE AS st, event_id + 1.0::DOUBLE AS en FROM events WHERE value >= 3)"""
+
 
 def chunk_sql(segments: str) -> str:
     """Packing by enumerating every (start, first new piece) state and walking from (0, 0)."""
@@ -407,9 +424,9 @@ SELECT query_id, rn AS rank, chunk_id, source_id, vec_rank, vec_distance, fts_ra
 FROM (SELECT f.*, k.source_id, k.title, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rn FROM fused f JOIN pk k USING (chunk_id)) WHERE rn <= 6"""
 
 _FEED = """
-fd AS (SELECT doc_id AS feed_id, unnest(range(length(text) % 40)) AS i FROM documents),
+fd AS (SELECT doc_id AS feed_id, doc_id AS doc, text, unnest(range(length(text) % 40)) AS i FROM documents),
 ep AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY i) AS position,
-  CASE WHEN i % 3 = 0 THEN 'https://a.example/' || feed_id || '/' || i || '.mp3' ELSE 'g' || feed_id || '-' || i END AS guid FROM fd WHERE i % 5 <> 4)"""
+  CASE WHEN i % 3 = 0 THEN 'https://a.example/' || feed_id || '/' || i || '.mp3' ELSE md5(text) || '-' || doc || '-' || i END AS guid FROM fd WHERE i % 5 <> 4)"""
 
 ORACLES = {
     "canonical_urls": """WITH d AS (SELECT doc_id, md5(text) AS h, doc_id % 10 AS f FROM documents)
@@ -480,6 +497,7 @@ f AS (SELECT *, ceil(c * 1.5::DOUBLE + (full_len - c) / 3.0::DOUBLE) <= 224 AS o
 SELECT vocab_id, coalesce(string_agg(line, ', ' ORDER BY turn) FILTER (WHERE ok), '') AS prompt, count(*) FILTER (WHERE ok) AS kept, count(*) AS total FROM f GROUP BY 1""",
     "chunk": chunk_sql(_PIECES_DOC) + " SELECT * EXCLUDE (t) FROM packed",
     "chunk_turns": chunk_sql(_PIECES_TURN) + " SELECT * EXCLUDE (t) FROM packed",
+    "chunk_events": chunk_sql(_PIECES_EVENT) + " SELECT * EXCLUDE (t) FROM packed",
     "chunk_stats": chunk_sql(_PIECES_DOC) + """ SELECT count(*) AS n_chunks, count(DISTINCT source_id) AS n_sources, max(n_tokens) AS max_tokens, min(n_tokens) AS min_tokens,
  count(*) FILTER (WHERE n_tokens > 500) AS over_limit, count(*) FILTER (WHERE start_sec > end_sec) AS bad_times, count(*) FILTER (WHERE trim(t) = '') AS blank_chunks FROM packed""",
     "note_validation": f"""WITH {sql.NOTES}, n AS (SELECT note_id, trim(substr(title, 1, 100)) AS ti, left({sql.TRIMMED.replace('text', 'content')}, 2000) AS co, application,
@@ -508,7 +526,7 @@ g AS (SELECT *, length(regexp_replace(t, '\\s+', '', 'g')) AS n FROM d)
 SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'page ' || doc_id ELSE 'x.example' END AS title,
  CASE WHEN doc_id % 3 <> 0 THEN '2024-02-0' || (doc_id % 9 + 1) || 'T10:20:30Z' END AS published, md5(t) AS digest, {_WALL.format(m=60)} AS reject_reason FROM g""",
     "rss_episodes": f"""WITH {_FEED} SELECT feed_id, CASE WHEN feed_id % 4 = 0 THEN 'https://f.example/' || feed_id ELSE 'feed ' || feed_id END AS feed_title, position, guid,
- 'ep ' || i AS title, 'https://a.example/' || feed_id || '/' || i || '.mp3' AS audio_url, '2002-10-0' || (i % 9 + 1) || 'T11:00:00Z' AS published,
+ md5(CASE WHEN i = 0 THEN {sql.TRIMMED} ELSE 'ep ' || i END) AS title_digest, 'https://a.example/' || feed_id || '/' || i || '.mp3' AS audio_url, '2002-10-0' || (i % 9 + 1) || 'T11:00:00Z' AS published,
  3600 + (i % 10) * 60 + 7 AS duration_secs, 'ep_' || left(sha256(guid), 16) AS episode_id FROM ep WHERE position <= 20""",
     "rss_errors": """SELECT doc_id AS feed_id, 'RSS 裡沒有任何帶音訊的集數' AS reason FROM documents WHERE length(text) % 40 = 0""",
     "episodes_in_library": f"""WITH {_FEED} SELECT feed_id, count(*) AS episodes, count(*) FILTER (WHERE position % 3 = 0 AND feed_id % 2 = 0) AS stored FROM ep WHERE position <= 20 GROUP BY 1""",

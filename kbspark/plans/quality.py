@@ -83,7 +83,7 @@ def false_hits(spark, sf):
 
 def threshold_sweep(spark, sf):
     out = E.threshold_sweep(Q.label_queries(spark, sf), S.given(spark, sf, "embeddings").withColumnRenamed("vec_id", "chunk_id"),
-                            [0.8, 1.0, 1.15, 1.25], 400)
+                            [0.8, 1.0, 1.15, 1.25])
     return out.select("query_id", "threshold", "hits")
 
 
@@ -161,7 +161,7 @@ p AS (SELECT item_id AS query_id, CAST(pos AS BIGINT) AS pos, doc, CASE WHEN doc
 q AS (SELECT CAST(label AS BIGINT) AS query_id, i, avg(x) AS m FROM e GROUP BY 1, 2),
 d AS (SELECT q.query_id, e.vec_id, round(sqrt(sum((x - m) * (x - m))), 6) AS distance FROM e JOIN q USING (i) GROUP BY 1, 2),
 t AS (SELECT unnest([0.8::DOUBLE, 1.0::DOUBLE, 1.15::DOUBLE, 1.25::DOUBLE]) AS threshold)
-SELECT query_id, threshold, least(count(*), 400) AS hits FROM d JOIN t ON distance <= threshold GROUP BY 1, 2""",
+SELECT query_id, threshold, count(*) AS hits FROM d JOIN t ON distance <= threshold GROUP BY 1, 2""",
     "ab_hits": f"WITH {_AB} SELECT * FROM ab",
     "ab_winner": f"WITH {_AB} SELECT model AS winner FROM ab ORDER BY hit_1 DESC, hit_3 DESC LIMIT 1",
     "rubric": """WITH v AS (SELECT lang = 'fr' AS refuse, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))

@@ -55,6 +55,20 @@ def bm25(spark, sf):
     return out.select("query_id", "chunk_id", _b("fts_rank"), F.round("score", 6).alias("score"))
 
 
+def bm25_indexed(spark, sf):
+    """The same search over a posting table, with text ids."""
+    chunks = S.whole_chunks(spark, sf).withColumn("chunk_id", F.format_string("c%012d", "chunk_id"))
+    out = X.bm25(S.questions(spark, sf), chunks, 12, index=X.gram_index(chunks, "chunk_id"))
+    return out.select("query_id", "chunk_id", _b("fts_rank"), F.round("score", 6).alias("score"))
+
+
+def bm25_named(spark, sf):
+    """The same search where the texts are read, with text ids."""
+    chunks = S.whole_chunks(spark, sf).withColumn("chunk_id", F.format_string("c%012d", "chunk_id"))
+    out = X.bm25(S.questions(spark, sf), chunks, 12)
+    return out.select("query_id", "chunk_id", _b("fts_rank"), F.round("score", 6).alias("score"))
+
+
 def gram_index(spark, sf):
     """Posting-list lengths of the trigram index."""
     return X.gram_index(S.whole_chunks(spark, sf), "chunk_id").groupBy("gram").agg(F.count(F.lit(1)).alias("postings"))
@@ -148,7 +162,7 @@ def context_window(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_l2, knn_cosine, terms, fts_match, bm25, gram_index, embed, rrf_hybrid, rrf_scoped, rrf_prescoped, retrieve_chunks,
+    knn_l2, knn_cosine, terms, fts_match, bm25, bm25_indexed, bm25_named, gram_index, embed, rrf_hybrid, rrf_scoped, rrf_prescoped, retrieve_chunks,
     keyword_snippet, notes_prefilter, trace, context_frames, context_window)}
 
 _CENTROIDS = """
@@ -180,6 +194,8 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY p) - 1 AS pos
 SELECT query_id, chunk_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS total_tf FROM occ JOIN terms USING (needle) GROUP BY 1, 2""",
     "bm25": f"""WITH {sql.bm25(sql.DOC_TEXTS)}, {sql.ranked()}
 SELECT query_id, chunk_id, fts_rank, round(score, 6) AS score FROM fts""",
+    **dict.fromkeys(("bm25_indexed", "bm25_named"), f"""WITH {sql.bm25(sql.DOC_TEXTS)}, {sql.ranked()}
+SELECT query_id, format('c{{:012d}}', chunk_id) AS chunk_id, fts_rank, round(score, 6) AS score FROM fts"""),
     "gram_index": f"""WITH {sql.chars('ch', 'SELECT doc_id, lower(text) AS t FROM documents', 'doc_id')},
 g AS (SELECT DISTINCT doc_id, c || lead(c) OVER w || lead(c, 2) OVER w AS gram FROM ch WINDOW w AS (PARTITION BY doc_id ORDER BY p))
 SELECT gram, count(*) AS postings FROM g WHERE gram IS NOT NULL GROUP BY gram""",

@@ -17,8 +17,8 @@ MARKER = "Markdown Content:"
 MARKER_WITHIN = 2000
 EPISODE_TITLE = "(無標題)"
 FEED_SCHEMA = (
-    "channel struct<title:string,item:array<struct<title:string,link:string,pubDate:string,"
-    "guid:string,duration:string,enclosure:struct<_url:string,_type:string>>>>"
+    "channel struct<title:array<string>,item:array<struct<title:array<string>,link:array<string>,pubDate:array<string>,"
+    "guid:array<string>,feedDuration:array<string>,enclosure:array<struct<_url:string,_type:string>>>>>, _corrupt string"
 )
 
 
@@ -114,26 +114,29 @@ def rss_episodes(feeds: DataFrame, feed_id: str = "feed_id", url: str = "url", x
     """Episodes of RSS feeds and the feeds that gave none.
 
     Episodes are the first 20 items, in document order, with an audio enclosure. Errors are
-    (feed_id, reason): not RSS, or no audio item.
+    (feed_id, reason): not XML, not RSS, or no audio item. Of a repeated element the first
+    counts, and prefixed elements are others than those without a prefix.
     """
-    # the namespace prefix of the duration element is dropped so that it parses by name
-    plain = F.regexp_replace(F.col(xml), r"(</?)itunes:", "$1")
-    is_rss = F.col(xml).rlike(r"(?s)<rss[\s>].*<channel[\s>]")
-    parsed = feeds.withColumn("_f", F.when(is_rss, F.from_xml(plain, FEED_SCHEMA)))
+    # the duration element gets a name of its own, so that it parses by name
+    plain = F.regexp_replace(F.col(xml), r"(</?)itunes:duration\b", "$1feedDuration")
+    is_rss = F.col(xml).rlike(r"(?s)\A\s*(?:<\?.*?\?>|<!--.*?-->|<![A-Z].*?>|\s)*<rss[\s>].*<channel[\s>]")
+    parsed = feeds.withColumn("_f", F.from_xml(plain, FEED_SCHEMA, {"columnNameOfCorruptRecord": "_corrupt"})).withColumn(
+        "_f", F.struct(F.when(is_rss & F.col("_f._corrupt").isNull(), F.col("_f.channel")).alias("channel"), F.col("_f._corrupt").isNotNull().alias("broken")))
     items = parsed.select(
-        feed_id, F.coalesce(F.nullif(T.strip("_f.channel.title"), F.lit("")), F.col(url)).alias("feed_title"),
+        feed_id, F.coalesce(F.nullif(T.strip(F.get("_f.channel.title", 0)), F.lit("")), F.col(url)).alias("feed_title"),
         F.posexplode_outer("_f.channel.item").alias("pos", "_i"))
-    audio, kind = F.col("_i.enclosure._url"), F.coalesce("_i.enclosure._type", F.lit(""))
+    first = lambda name: F.get(F.col(f"_i.{name}"), 0)
+    audio, kind = first("enclosure")["_url"], F.coalesce(first("enclosure")["_type"], F.lit(""))
     good = items.filter(F.col("pos").isNotNull() & (F.coalesce(audio, F.lit("")) != "") & ((kind == "") | kind.startswith("audio")))
     episodes = top_k(good, [feed_id], [F.asc("pos")], MAX_EPISODES).select(
         feed_id, "feed_title", F.col("rn").alias("position"),
-        T.strip(F.coalesce(F.nullif("_i.guid", F.lit("")), audio)).alias("guid"),
-        T.strip(F.coalesce(F.nullif("_i.title", F.lit("")), F.lit(EPISODE_TITLE))).alias("title"),
-        audio.alias("audio_url"), F.nullif(T.strip(F.coalesce("_i.link", F.lit(""))), F.lit("")).alias("link"),
-        D.mail_date("_i.pubDate").alias("published_at"), D.duration_seconds("_i.duration").alias("duration_secs"),
+        T.strip(F.coalesce(F.nullif(first("guid"), F.lit("")), audio)).alias("guid"),
+        T.strip(F.coalesce(F.nullif(first("title"), F.lit("")), F.lit(EPISODE_TITLE))).alias("title"),
+        audio.alias("audio_url"), F.nullif(T.strip(F.coalesce(first("link"), F.lit(""))), F.lit("")).alias("link"),
+        D.mail_date(first("pubDate")).alias("published_at"), D.duration_seconds(first("feedDuration")).alias("duration_secs"),
     ).withColumn("episode_id", T.episode_id("guid"))
     bad = parsed.join(good.select(feed_id).distinct(), feed_id, "left_anti").select(
-        feed_id, F.when(F.col("_f.channel").isNull(), "找不到 rss/channel").otherwise("RSS 裡沒有任何帶音訊的集數").alias("reason"))
+        feed_id, F.when(F.col("_f.broken"), "不是有效的 RSS(XML 解析失敗)").when(F.col("_f.channel").isNull(), "找不到 rss/channel").otherwise("RSS 裡沒有任何帶音訊的集數").alias("reason"))
     return episodes, bad
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from kbspark.functions import text as T
 from kbspark.functions.rules import is_permanent
-from kbspark.operators.chunking import chunk
+from kbspark.operators.chunking import chunk, chunk_id
 from kbspark.operators.jobs import MAX_ERROR_CHARS, MAX_RETRIES
 from kbspark.operators.vectors import embed_chunks
 
@@ -61,7 +61,7 @@ def ingest_batch(root: str) -> Callable[[DataFrame, int], None]:
             F.col("item_id").alias("source_id"), F.lit(0).cast("long").alias("seq"), T.strip("text").alias("text"),
             F.lit(0.0).alias("start_sec"), F.lit(0.0).alias("end_sec"))
         chunks = chunk(segments, max_seq=0).select(
-            (F.col("source_id") * F.lit(1 << 20) + F.col("chunk_seq")).alias("chunk_id"), "source_id", "text",
+            chunk_id("source_id", "chunk_seq").alias("chunk_id"), "source_id", "text",
             "start_sec", "end_sec")
         vectors = embed_chunks(chunks.join(sources.select("source_id", "title"), "source_id")).select("chunk_id", "embedding")
         # sources go last: only a batch with all its chunks and vectors becomes visible

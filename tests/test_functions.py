@@ -170,5 +170,16 @@ def test_caption_choice(spark):
 
 def test_feed_errors(spark):
     df = spark.createDataFrame([(1, "u", "<html/>"), (2, "u", "<rss><channel><title>t</title></channel></rss>")], "feed_id int, url string, xml string")
-    episodes, bad = rss_episodes(df)
-    assert episodes.count() == 0 and {r.feed_id for r in bad.collect()} == {1, 2}
+    episodes, bad = rss_episodes(df.unionByName(spark.createDataFrame([(3, "u", "<rss><channel><title>t</channel>")], df.schema)))
+    assert episodes.count() == 0
+    why = {r.feed_id: r.reason for r in bad.collect()}
+    assert set(why) == {1, 2, 3} and len(set(why.values())) == 3
+
+
+def test_feed_elements(spark):
+    item = ('<item><title>Real</title><itunes:title>Short</itunes:title><guid isPermaLink="false">g1</guid><itunes:duration>1:05</itunes:duration>'
+            '<enclosure url="https://a/1.mp3" type="audio/mpeg" length="5"/><enclosure url="https://a/1.mp4" type="video/mp4"/></item>')
+    xml = f'<?xml version="1.0"?><rss version="2.0" xmlns:itunes="x"><channel><title>Feed</title><itunes:title>IFeed</itunes:title>{item}</channel></rss>'
+    episodes, bad = rss_episodes(spark.createDataFrame([(1, "u", xml)], "feed_id int, url string, xml string"))
+    r = episodes.first()
+    assert (r.feed_title, r.title, r.guid, r.audio_url, r.duration_secs) == ("Feed", "Real", "g1", "https://a/1.mp3", 65) and bad.count() == 0

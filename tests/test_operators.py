@@ -66,7 +66,7 @@ def test_oversized_segment_is_split(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_packing_matches_rules_and_does_not_depend_on_blocks(spark, seed):
+def test_packing_matches_rules_and_does_not_depend_on_blocks(spark, seed, monkeypatch):
     rng = random.Random(seed)
     width = (160, 1900, 40)[seed]
     segs = [(7, i, "字" * rng.randint(0, 3) + "w" * rng.randint(1, width), float(i), i + 1.0) for i in range(900)]
@@ -75,13 +75,32 @@ def test_packing_matches_rules_and_does_not_depend_on_blocks(spark, seed):
     want = plain_pack([(s[2],) for s in segs])
     got = whole[whole.source_id == 7]
     assert [" ".join(x[0] for x in c) for c in want] == list(got.text)
-    old = K.BLOCK, K.HALO, K.FAN
-    try:
-        K.BLOCK, K.HALO, K.FAN = 128, 127, 3
-        split = K.chunk(df).orderBy("source_id", "chunk_seq").toPandas()
-    finally:
-        K.BLOCK, K.HALO, K.FAN = old
-    assert whole.equals(split)
+    monkeypatch.setattr(K, "HALO", 127)
+    monkeypatch.setattr(K, "FAN", 3)
+    assert whole.equals(K.chunk(df, width=128).orderBy("source_id", "chunk_seq").toPandas())
+
+
+def test_packing_ignores_blank_and_missing_segments(spark):
+    rng = random.Random(4)
+    segs, seq = [], 5
+    for i in range(4000):
+        segs.append((1, seq, "w" * rng.randint(1, 90), float(seq), seq + 1.0))
+        seq += 1 if i % 50 else rng.randint(1, 40)
+    blank = [(1, seq + i, " " if i % 2 else "\u3000", 0.0, 0.0) for i in range(3000)]
+    tail = [(1, seq + 3000 + i, "v" * rng.randint(1, 90), 0.0, 0.0) for i in range(1500)]
+    df = spark.createDataFrame(segs + blank + tail + [(1, seq + 9000, None, 0.0, 0.0)], SEG)
+    want = [" ".join(x[0] for x in c) for c in plain_pack([(s[2],) for s in segs + tail])]
+    for width in (1024, 1 << 20):
+        rows = K.chunk(df, width=width).orderBy("chunk_seq").collect()
+        assert [r.text for r in rows] == want and [r.chunk_seq for r in rows] == list(range(len(want)))
+        assert rows[0].first_seq == 5
+
+
+def test_chunk_ids_do_not_collide(spark):
+    far = [(1, (1 << 19) - 1, False), (1, 1 << 19, False), (1, 1 << 20, False), (2, 0, False), (1, 0, True), (1 << 43, 0, False), (3, 5, False)]
+    df = spark.createDataFrame(far, "s long, n long, v boolean")
+    got = [r.id for r in df.select(F.when(F.col("v"), K.chunk_id("s", "n", True)).otherwise(K.chunk_id("s", "n")).alias("id")).collect()]
+    assert len(set(got)) == len(far) and got[-1] == 3 * (1 << 20) + 5 and got[1] < 0 and got[5] < 0
 
 
 def test_vocabulary_budget(spark):
@@ -141,8 +160,12 @@ def test_index_and_scan_agree(spark, monkeypatch):
     want = sorted(map(tuple, X.bm25(q, chunks, 5).collect()))
     index = X.gram_index(chunks, "chunk_id")
     assert sorted(map(tuple, X.bm25(q, chunks, 5, index=index).collect())) == want
+    named = chunks.withColumn("chunk_id", F.format_string("c%03d", "chunk_id"))
+    spelt = [(q_, f"c{c:03d}", *rest) for q_, c, *rest in want]
+    assert sorted(map(tuple, X.bm25(q, named, 5).collect())) == spelt
     monkeypatch.setattr(X, "bounded_values", lambda *a, **k: None)  # the way beyond the broadcast ceiling
     assert sorted(map(tuple, X.bm25(q, chunks, 5).collect())) == want
+    assert sorted(map(tuple, X.bm25(q, named, 5).collect())) == spelt
 
 
 def test_nearest_neighbours_both_ways(spark, monkeypatch):
@@ -154,8 +177,16 @@ def test_nearest_neighbours_both_ways(spark, monkeypatch):
     want = sorted((q, int(i), r) for q in range(40) for r, i in enumerate([i for i in np.lexsort((np.arange(300), d[q])) if d[q][i] <= 3.0][:7]))
     run = lambda: sorted((r.query_id, r.chunk_id, r.vec_rank) for r in V.knn(qs, vs, 7, 3.0).collect())
     assert run() == want
+    counts = lambda: {(r.query_id, r.threshold): r.hits for r in V.within(qs, vs, [2.5, 4.0]).collect()}
+    near = {(q, c): int((d[q] <= c).sum()) for q in range(40) for c in (2.5, 4.0) if (d[q] <= c).any()}
+    mixed = spark.createDataFrame([(1, [0.0] * 6), (2, [0.0] * 10)], "chunk_id long, embedding array<double>")
+    assert counts() == near
+    with pytest.raises(Exception, match="vectors of"):
+        V.knn(qs, mixed, 3).collect()
     monkeypatch.setattr(V, "BLOCK_ROWS", 16)
-    assert run() == want
+    assert run() == want and counts() == near
+    with pytest.raises(Exception, match="vectors of"):
+        V.knn(qs, mixed, 3).collect()
 
 
 def test_vector_gate(spark):
@@ -273,8 +304,19 @@ def test_evaluation_rules(spark):
 def test_rate_limit_window(spark):
     base = [(i, f"2024-01-01 00:{i:02d}:00") for i in range(31)] + [(40, "2024-01-01 00:30:30"), (41, "2024-01-01 01:00:00"), (42, "2024-01-01 03:00:00")]
     df = spark.createDataFrame(base, "id long, t string").withColumn("created_at", F.col("t").cast("timestamp"))
-    got = {r.id: r.refused for r in A.rate_limited(df).collect()}
-    assert not got[29] and got[30] and got[40] and got[41] and not got[42]
+    got = {r.id: r.refused for r in A.rate_limited(df, "id").collect()}
+    # row 0 is an hour old when row 41 comes, so its place is free
+    assert not got[29] and got[30] and got[40] and not got[41] and not got[42]
+
+
+def test_rate_limit_counts_admitted_rows_only(spark):
+    start = 1_704_067_200
+    steady = [(i, "a", start + 60 * i) for i in range(400)] + [(1000 + i, "b", start) for i in range(50)] + [(2000, None, start), (2001, "a", None)]
+    df = spark.createDataFrame(steady, "id long, who string, s long").withColumn("created_at", F.timestamp_seconds("s"))
+    rows = {r.id: r for r in A.rate_limited(df, "id", "who").collect()}
+    assert len(rows) == len(steady) and sum(not rows[i].refused for i in range(400)) == 210
+    assert [rows[1000 + i].refused for i in range(50)] == [False] * 30 + [True] * 20
+    assert rows[2000].refused is False and rows[2001].refused is None
 
 
 def test_parts_and_lines(spark):
