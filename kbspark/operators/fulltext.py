@@ -18,7 +18,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as D
 from pyspark.sql import types as t
 
 from kbspark.functions import text as T
@@ -296,7 +295,7 @@ def _scan_scores(body: DataFrame, id_col: str, pairs: list[tuple[int, str]], sta
                     yield best(part.column(0), np.array(docs), np.array(terms),
                                np.array(tf, dtype=np.float64), part.column(2).to_numpy(zero_copy_only=False))
 
-    schema = D.StructType().add("query_id", D.LongType()).add(id_col, body.schema[id_col].dataType).add("score", D.DoubleType())
+    schema = t.StructType().add("query_id", t.LongType()).add(id_col, body.schema[id_col].dataType).add("score", t.DoubleType())
     return body.mapInArrow(scan, schema)
 
 

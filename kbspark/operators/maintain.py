@@ -205,10 +205,13 @@ def publish(tables: Mapping[str, DataFrame], root: str, version: str, checks=Non
     """All or nothing: write every table to a staging folder, check it, then rename it.
 
     ``checks`` gets the staged tables and raises to refuse. Readers use the newest
-    ``version=`` folder, so they never see a partial write.
+    ``version=`` folder, so they never see a partial write. A version is published once.
     """
     spark = next(iter(tables.values())).sparkSession
     staged, final = f"{root}/_staging/{version}", f"{root}/version={version}"
+    fs, path, _ = _fs(spark, final)
+    if fs.exists(path):
+        raise FileExistsError(final)
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{staged}/{name}")
     read = {n: spark.read.parquet(f"{staged}/{n}") for n in tables}
@@ -241,13 +244,20 @@ def snapshots(spark: SparkSession, root: str) -> list[str]:
 
 
 def snapshot(tables: Mapping[str, DataFrame], root: str, stamp: str, keep: int = KEEP_SNAPSHOTS) -> str:
-    """Full copy under ``snap=<stamp>``; a taken stamp gets a suffix; only the newest stay."""
+    """Full copy under ``snap=<stamp>``; a taken stamp gets a suffix; only the newest stay.
+
+    The copy is staged and renamed when whole, so a broken run leaves no snapshot behind and
+    replaces no older one.
+    """
     spark = next(iter(tables.values())).sparkSession
     have, name, n = set(snapshots(spark, root)), f"snap={stamp}", 1
     while name in have:
         name, n = f"snap={stamp}-{n}", n + 1
     for table, df in tables.items():
-        df.write.parquet(f"{root}/{name}/{table}")
+        df.write.mode("overwrite").parquet(f"{root}/_staging/{name}/{table}")
+    fs, path, mk = _fs(spark, f"{root}/_staging/{name}")
+    if not fs.rename(path, mk(f"{root}/{name}")):
+        raise OSError(f"could not keep {name}")
     for old in snapshots(spark, root)[keep:]:
         fs, path, _ = _fs(spark, f"{root}/{old}")
         fs.delete(path, True)

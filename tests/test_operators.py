@@ -279,6 +279,10 @@ def test_snapshot_retention(spark, tmp_path):
     M.snapshot(t, str(tmp_path), "20240108-000000")
     names = M.snapshots(spark, str(tmp_path))
     assert len(names) == 7 and names[0] == "snap=20240108-000000-1"
+    broken = {"meta": t["meta"], "other": t["meta"].select(F.raise_error(F.lit("lost")).cast("string").alias("x"))}
+    with pytest.raises(Exception, match="lost"):
+        M.snapshot(broken, str(tmp_path), "20240109-000000")
+    assert M.snapshots(spark, str(tmp_path)) == names
 
 
 def test_collection_cap(spark):
