@@ -268,8 +268,11 @@ def set_links(docs: DataFrame, facts: DataFrame) -> DataFrame | None:
     small = at_most(known, NARROW_ROWS)
     wanted = known.select("doc_id").distinct()
     texts = docs.join(small_side(wanted, small), docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-    sets = staged(texts.select("text").mapInArrow(_set_rows, "key long, members array<long>").join(
-        small_side(known.select("key"), small), "key", "left_semi").dropDuplicates(["key"]), "sets")
+    sets = texts.select("text").mapInArrow(_set_rows, "key long, members array<long>").join(
+        small_side(known.select("key"), small), "key", "left_semi")
+    heads = facts.join(small_side(wanted, small), facts["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
+    again = heads.groupBy("key").agg(F.count("*").alias("rows")).filter("rows > 1")
+    sets = staged(sets if at_most(again, 0) else sets.dropDuplicates(["key"]), "sets")
     sized = buckets.join(known.select("key", "degree", "n"), "key")
     pivots = sized.groupBy("sig").agg(F.max(F.struct("degree", "key", "n")).alias("p")).select(
         "sig", F.col("p.key").alias("pivot"), F.col("p.n").alias("size"))
