@@ -234,13 +234,14 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     The order is by how many of these nodes have a shingle, rarest first: what two texts
     share only as a passage of many others comes last. The first shingle in common, at
     places i and j, leaves at most 1 + min(|a| - i, |b| - j) shared ones, which must be enough.
+    Shingles of a single node come first of all, so their number is all that the order needs of them.
     """
     each = sets.join(nodes.select("key"), "key", "left_semi").select("key", F.explode("members").alias("e"))
     held = each.groupBy("e").agg(F.count("*").alias("df"))
     place = F.row_number().over(W.partitionBy("key").orderBy("df", "e"))
     prefix = F.col("n") - F.floor((F.col("n") * SIMILAR + 99) / 100) + 1
-    first = staged(each.join(held, "e").withColumn("place", place).join(nodes, "key").filter(
-        (F.col("place") <= prefix) & (F.col("df") > 1)).select("e", "key", "n", "label", "place"), "prefixes")
+    first = staged(each.join(held, "e").join(nodes, "key").withColumn("place", place).filter(
+        F.col("place") <= prefix).select("e", "key", "n", "label", "place"), "prefixes")
     one = first.select("e", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("i"))
     two = first.select("e", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("place").alias("j"))
     return one.join(two, "e").filter(
