@@ -236,9 +236,11 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     places i and j, leaves at most 1 + min(|a| - i, |b| - j) shared ones, which must be enough.
     Shingles of a single node come first of all, so their number is all that the order needs of them.
     """
-    each = sets.join(nodes.select("key"), "key", "left_semi").select("key", F.explode("members").alias("e"))
-    held = each.groupBy("e").agg(F.count("*").alias("df"))
-    place = F.row_number().over(W.partitionBy("key").orderBy("df", "e"))
+    each = sets.join(small_side(nodes.select("key"), at_most(nodes, NARROW_ROWS)), "key", "left_semi").select(
+        "key", F.explode("members").alias("e"))
+    held = each.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    of = W.partitionBy("key")
+    place = F.row_number().over(of.orderBy("df", "e")) + F.col("n") - F.count("*").over(of)
     prefix = F.col("n") - F.floor((F.col("n") * SIMILAR + 99) / 100) + 1
     first = staged(each.join(held, "e").join(nodes, "key").withColumn("place", place).filter(
         F.col("place") <= prefix).select("e", "key", "n", "label", "place"), "prefixes")
