@@ -93,7 +93,7 @@ def drain(stream: DataFrame, work: Callable[[DataFrame], DataFrame], root: str,
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-STATE = "status string, retries int, error string, stop boolean"
+STATE = "status string, retries int, error string, stop boolean, seq long"
 JOB_ROW = "job_id long, status string, retries int, error string"
 
 
@@ -115,10 +115,13 @@ def _advance(state: tuple, event: str, error: str | None, permanent: bool, limit
 def job_states(events: DataFrame, max_retries: int = MAX_RETRIES, ts: str = "ts", horizon: str = HORIZON) -> DataFrame:
     """Streaming job state: the current row of every job an arriving event touches.
 
-    Events are (job_id, ts, seq, event, error). State per job is four scalars.
+    Events are (job_id, ts, seq, event, error). State per job is five scalars. An event whose
+    seq is not above the last one applied to its job comes too late and is passed over. The
+    state of a job that has ended is dropped ``horizon`` of event time after its last event.
     """
+    rest = int(pd.Timedelta(horizon).total_seconds() * 1000)
     marked = events.withWatermark(ts, horizon).select(
-        "job_id", ts, "seq", F.when(F.col("event").isin("claim", "done", "duplicate", "fail"), F.col("event"))
+        "job_id", ts, F.unix_millis(ts).alias("at"), "seq", F.when(F.col("event").isin("claim", "done", "duplicate", "fail"), F.col("event"))
         .otherwise("other").alias("event"), "error", F.coalesce(is_permanent("error"), F.lit(False)).alias("permanent"))
 
     def shrink(rows: pd.DataFrame) -> pd.DataFrame:
@@ -130,17 +133,24 @@ def job_states(events: DataFrame, max_retries: int = MAX_RETRIES, ts: str = "ts"
         return keep.drop_duplicates("seq")
 
     def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else ("pending", 0, None, False)
-        held = None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        *now, last = state.get if state.exists else ("pending", 0, None, False, None)
+        held, newest = None, 0
         for frame in frames:
+            newest = max(newest, int(frame["at"].max()))
+            frame = frame if last is None else frame[frame["seq"] > last]
             held = shrink(frame if held is None else pd.concat([held, frame]))
         for r in held.sort_values("seq").itertuples(index=False):
-            now = _advance(now, r.event, r.error, bool(r.permanent), max_retries)
-        state.update(now)
+            now, last = _advance(tuple(now), r.event, r.error, bool(r.permanent), max_retries), int(r.seq)
+        state.update((*now, last))
+        if now[3]:
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + rest + 1)
         yield pd.DataFrame([(key[0], now[0], now[1], now[2])], columns=["job_id", "status", "retries", "error"], dtype=object)
 
     return marked.groupBy("job_id").applyInPandasWithState(
-        fold, JOB_ROW, STATE, "update", GroupStateTimeout.NoTimeout)
+        fold, JOB_ROW, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def arrival_rate(notes: DataFrame, ts: str = "created_at", horizon: str = HORIZON) -> DataFrame:

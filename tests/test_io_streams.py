@@ -87,6 +87,21 @@ def test_stream_job_states_equal_batch_fold(spark, tmp_path):
     assert {r.job_id: (r.status, r.retries, r.error) for r in out.collect()} == batch
 
 
+def test_stream_passes_over_events_that_come_too_late(spark, tmp_path):
+    rows = [(1, 0, 5, "claim", None, 0), (2, 0, 1, "fail", "HTTP error 503", 0), (1, 1, 3, "done", None, 1), (2, 1, 2, "done", None, 1)]
+    events = spark.createDataFrame(rows, "job_id long, s long, seq long, event string, error string, part int").withColumn(
+        "ts", F.timestamp_seconds(F.col("s") + 1_700_000_000))
+    (tmp_path / "in").mkdir()
+    for part in (0, 1):  # the second file is the newer one by a minute
+        events.filter(F.col("part") == part).drop("s", "part").coalesce(1).write.parquet(str(tmp_path / f"out{part}"))
+        (file,) = (tmp_path / f"out{part}").glob("*.parquet")
+        os.utime(file.rename(tmp_path / "in" / f"{part}.parquet"), (1_700_000_000 + 60 * part,) * 2)
+    schema = "job_id long, ts timestamp, seq long, event string, error string"
+    out = run(ST.job_states(ST.read_files(spark, str(tmp_path / "in"), schema, 1)), "update")
+    assert (1, "done") not in {(r.job_id, r.status) for r in out.collect()}
+    assert (2, "done") in {(r.job_id, r.status) for r in out.collect()}
+
+
 def test_stream_usage_equals_batch(spark, tmp_path):
     usage = S.api_usage(spark, ROOT).select("id", "ts", "provider", "model", "input_tokens", "output_tokens", "cost_usd")
     split_files(usage, str(tmp_path / "in"), "id")
