@@ -181,8 +181,10 @@ def context_window(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     """The hit chunk and its neighbours in start order, or the first two when it is gone.
 
     Hits are (query_id, source_id, chunk_id). Positions come from a block-wise index, so
-    a source with very many chunks is numbered by many tasks.
+    a source with very many chunks is numbered by many tasks; only the sources of hits are.
     """
+    named = hits.select("source_id").distinct()
+    chunks = chunks.join(small_side(named, at_most(named, NARROW_ROWS)), "source_id", "left_semi")
     placed = row_index(
         chunks.withColumn("_start", F.coalesce("start_sec", F.lit(0.0))),
         ["source_id"], ["_start", "chunk_id"], "pos", block=time_block("start_sec"),

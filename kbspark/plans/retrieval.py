@@ -10,6 +10,7 @@ from kbspark.operators import fulltext as X
 from kbspark.operators import retrieve as R
 from kbspark.operators import vectors as V
 from kbspark.plans import sql
+from kbspark.session import cut_lineage
 from kbspark.sources import tables as S
 
 MAX_DIST = 1.25
@@ -113,12 +114,13 @@ def rrf_prescoped(spark, sf):
 
 
 def retrieve_chunks(spark, sf):
-    """Flagship: hybrid retrieval over real packed chunks of every document."""
+    """Flagship: hybrid retrieval over real packed chunks of every document, packed and encoded once."""
     from kbspark.operators.chunking import build_chunks
 
     sources = S.sources(spark, sf)
-    chunks = build_chunks(S.document_segments(spark, sf), sources)
-    vectors = V.embed_chunks(chunks.join(sources.select("source_id", "title"), "source_id")).select("chunk_id", "embedding")
+    chunks = cut_lineage(build_chunks(S.document_segments(spark, sf), sources))
+    vectors = cut_lineage(V.embed_chunks(
+        chunks.join(sources.select("source_id", "title"), "source_id")).select("chunk_id", "embedding"))
     questions = V.embed(S.questions(spark, sf), "query", "qvec")
     return _result_columns(R.retrieve(questions, chunks, vectors, sources, max_dist=MAX_DIST), "title")
 
