@@ -316,13 +316,29 @@ def similarity_groups(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for every component, that with the smallest doc_id; columns unchanged.
+    """One row of ``docs`` for every component of sets, that with the smallest doc_id; columns unchanged.
 
-    A row stays when its doc_id is the id of its component, so documents without words stay.
-    Rows that share a doc_id are one document, of which one row is kept.
+    A row is known by its doc_id and the hash of its text, so different texts without an id, or
+    under one id, are judged apart. Null ids come last; ties go to the smallest hash. Texts
+    without words are linked with nothing and stay. Of rows with equal id and text one is kept.
     """
-    groups = similarity_groups(docs)
-    heads = staged(groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).groupBy(
-        F.col("doc_id").alias("_id")).agg(F.count("*").alias("rows")), "heads")
-    kept = docs.join(small_side(heads.select("_id"), at_most(heads, NARROW_ROWS)), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return kept if at_most(heads.filter("rows > 1"), 0) else kept.dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text")
+    hashed = F.xxhash64(F.col("text").isNull(), "text")
+    facts = staged(texts.select("doc_id", hashed.alias("hash"), _set_facts("text").alias("f")).select(
+        "doc_id", "hash", "f.n", "f.key"), "facts")
+    rows = facts.groupBy("key", "doc_id", "hash").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "rows")).alias("head")
+    own = rows.filter("key is not null").groupBy("key").agg(first)
+    labels = set_links(texts, facts.filter("n > 0"))
+    if labels is not None:
+        own = own.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").groupBy(
+            F.coalesce("label", "key").alias("key")).agg(F.min("head").alias("head"))
+    heads = staged(own.select("head.doc_id", "head.hash", "head.rows").unionByName(
+        rows.filter("key is null").select("doc_id", "hash", "rows")).select(
+        F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "rows"), "heads")
+    kept = docs.withColumn("_text_hash", hashed).join(
+        small_side(heads.select("_id", "_hash"), at_most(heads, NARROW_ROWS)),
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    if not at_most(heads.filter("rows > 1"), 0):
+        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
+    return kept.drop("_text_hash")

@@ -249,6 +249,19 @@ def test_empty_tables(spark, odd):
     assert chat.formatted_conversations(talks).count() == 1
 
 
+def test_one_per_group_keeps_unrelated_texts(spark):
+    """Null ids and one id with several texts are judged text by text."""
+    near = [f"n{i}" for i in range(60)]
+    rows = [(None, "one two three four five six"), (None, "seven eight nine ten eleven twelve"), (None, None), (None, ""),
+            (3, " ".join(near)), (5, "a text of its own with words"), (5, " ".join(near + ["tail"])), (5, "another text of its own here"),
+            (8, "twice the same row is one"), (8, "twice the same row is one"), (None, "Twice the same row is ONE")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(rows[:6] + rows[7:9])
+    assert Counter((r.doc_id, r.text) for r in jaccard.one_per_group(df).collect()) == want
+    unlinked = df.filter("doc_id is null")
+    assert Counter((r.doc_id, r.text) for r in jaccard.one_per_group(unlinked).collect()) == Counter(rows[:4] + rows[10:])
+
+
 def test_statistics_ignore_piece_edges():
     texts = ["Ab cd. ab\n", "", None, "é" * 50, "x y " * 2000]
     whole = classifier.statistics(pa.array(texts))
