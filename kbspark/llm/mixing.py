@@ -3,11 +3,12 @@
 Tokens are summed per source, the token budget is dealt out by weight up to a cap per
 source, and the rate of a source is its target over its size. A document is taken
 floor(rate) times, and once more when a number hashed from the seed and its id is below
-the fraction of the rate, so that reruns agree.
+the fraction of the rate, so that reruns agree. Rows that share an id are told apart by a
+digest of the whole row; n equal rows together get n times the fraction, rounded by one draw.
 
 Defined results: a null text has size 0; documents without a source are a source of their
-own, the last; a null doc_id is hashed as an empty one; repeated rows are taken alike;
-sources without words get the rate 0; no rows give no rows.
+own, the last; a null doc_id is hashed as an empty one; sources without words get the
+rate 0; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -19,11 +20,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.llm.common import n_words, staged
+from kbspark.session import NARROW_ROWS, at_most, small_side
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
 SEED = "mix"
+BLOCK = 4096  # equal rows that one task writes out together
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -52,29 +55,60 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
         F.col("cap"), F.coalesce(open_level * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def hashed_fraction(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the seed and the id."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def id_text(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit(""))
+
+
+def row_digest(docs: DataFrame) -> Column:
+    """Hash of all columns of a row; nulls count by their place."""
+    own = [docs[c] for c in sorted(docs.columns)]
+    return F.xxhash64(*[c.isNull() for c in own], *own)
+
+
+def hashed_fraction(doc_id: Column, seed: str = SEED, digest: Column | None = None) -> Column:
+    """A number in [0, 1) from the seed, the id and, where given, the digest of the row."""
+    more = [] if digest is None else [F.lit(":"), digest.cast("string")]
+    key = F.concat(F.lit(f"{seed}:"), id_text(doc_id), *more)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
 
 
+def dealt(rows: DataFrame, ids: DataFrame, seed: str) -> DataFrame:
+    """``rows`` (with doc_id, _digest, _rate) plus copies; ``ids`` has the doc_id of every row.
+
+    Equal rows under a repeated id are counted (combined on the map side) and written out
+    again in blocks, so no task holds all rows of an id.
+    """
+    whole, part = F.floor("_rate").cast("long"), F.col("_rate") - F.floor("_rate")
+    once = whole + (hashed_fraction(F.col("doc_id"), seed) < part).cast("long")
+    again = staged(ids.groupBy(id_text(F.col("doc_id")).alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again"), "again")
+    if at_most(again, 0):
+        return rows.withColumn("copies", once)
+    known = rows.join(small_side(again, at_most(again, NARROW_ROWS)), id_text(F.col("doc_id")) == F.col("_again"), "left")
+    due = F.col("_n") * part
+    extra = F.floor(due) + (hashed_fraction(F.col("doc_id"), seed, F.col("_digest")) < due - F.floor(due)).cast("long")
+    equal = known.filter("_again is not null").groupBy(*rows.columns).agg(F.count("*").alias("_n")).withColumn("_extra", extra)
+    blocks = equal.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(BLOCK).cast("long")))).repartition("_digest", "_from")
+    each = blocks.withColumn("_at", F.explode(F.sequence("_from", F.least(F.col("_from") + BLOCK, F.col("_n")) - 1)))
+    return known.filter("_again is null").select(*rows.columns, once.alias("copies")).unionByName(
+        each.select(*rows.columns, (whole + (F.col("_at") < F.col("_extra")).cast("long")).alias("copies")))
+
+
 def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every document.
 
-    Texts are read once; ids and sizes are staged. The table of targets has one row per
-    source, and Spark broadcasts it only if its measured size is small.
+    Texts are read once; ids, digests and sizes are staged. The table of targets has one row
+    per source, and Spark broadcasts it only if its measured size is small.
     """
-    sizes = staged(docs.select("doc_id", "source", n_words("text").alias("size")), "sizes")
+    sizes = staged(docs.select("doc_id", "source", n_words("text").alias("size"), row_digest(docs).alias("_digest")), "sizes")
     return with_copies(sizes, source_targets(sizes, weights, share, cap), seed)
 
 
 def with_copies(docs: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` (with source, doc_id) plus source_size, target and copies."""
+    """``docs`` (with source, doc_id, _digest) plus source_size, target and copies."""
     goal = targets.select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    extra = (hashed_fraction(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return docs.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn(
-        "copies", F.floor(rate).cast("long") + extra)
+    rows = docs.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumn("_rate", rate)
+    return dealt(rows, docs, seed).drop("_digest", "_rate")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
@@ -82,11 +116,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     own = docs.columns
     sizes = staged(docs.select("source", n_words("text").alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
     goal = source_targets(sizes, weights, share, cap).select(
-        F.col("source").alias("_mix_source"), F.try_divide("target", "source_size").alias("_mix_rate"))
-    rate = F.coalesce(F.col("_mix_rate"), F.lit(0.0))
-    times = F.floor(rate).cast("int") + (hashed_fraction(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("int")
-    return docs.join(goal, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn(
-        "_mix_copy", F.explode(F.array_repeat(F.lit(0), times))).select(*[docs[c] for c in own])
+        F.col("source").alias("_mix_source"), F.try_divide("target", "source_size").alias("_rate"))
+    rows = docs.withColumn("_digest", row_digest(docs)).join(goal, F.col("source").eqNullSafe(F.col("_mix_source"))).drop(
+        "_mix_source").withColumn("_rate", F.coalesce("_rate", F.lit(0.0)))
+    return dealt(rows, docs, seed).withColumn(
+        "_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*own)
 
 
 def mixed(docs: DataFrame) -> DataFrame:

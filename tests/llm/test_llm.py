@@ -262,6 +262,23 @@ def test_one_per_group_keeps_unrelated_texts(spark):
     assert Counter((r.doc_id, r.text) for r in jaccard.one_per_group(unlinked).collect()) == Counter(rows[:4] + rows[10:])
 
 
+def test_rows_that_share_an_id_are_drawn_apart(spark):
+    """Rows without an id, distinct or equal, are taken near the target of their source."""
+    rows = [(None, f"word{i % 700} tail", "a") for i in range(1000)] + [(1, "b " * 500, "b"), (2, "c " * 500, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.copies(df).filter("source = 'a'").collect()
+    rate = got[0].target / got[0].source_size
+    assert 0.1 < rate % 1 < 0.9 and len(got) == 1000
+    assert sum(r.copies for r in got) == pytest.approx(1000 * rate, abs=80)
+    equal = spark.createDataFrame([(None, "one text", "a")] * 9000 + rows[1000:], df.schema)
+    got = mixing.copies(equal).filter("source = 'a'").collect()
+    rate = got[0].target / got[0].source_size
+    assert len(got) == 9000 and rate % 1 > 0 and abs(sum(r.copies for r in got) - 9000 * rate) <= 1
+    for docs in (df, equal):
+        want = mixing.copies(docs).groupBy("source").agg(F.sum("copies")).collect()
+        assert sorted(mixing.mix(docs).groupBy("source").count().collect()) == sorted(want)
+
+
 def test_statistics_ignore_piece_edges():
     texts = ["Ab cd. ab\n", "", None, "é" * 50, "x y " * 2000]
     whole = classifier.statistics(pa.array(texts))
