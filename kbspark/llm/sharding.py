@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kbspark.llm.common import utf8_bytes
+from kbspark.llm.common import staged, utf8_bytes
 
 # Multiplier of the published algorithm, and the two powers of two it divides by.
 MULTIPLIER = "2862933555777941757"
@@ -24,6 +24,9 @@ TWO_33 = "8589934592"
 SHARDS = 16
 # Slots are counted in this many slices of a shard, so that no task counts a whole shard.
 SLICES = 4096
+# A part of a slice has the texts of an id whose checksums agree above these bits.
+PART_BITS = 20
+BLOCK = 4096  # equal rows that one task writes out together
 
 
 def jump_hash(key: Column, shards: int) -> Column:
@@ -55,7 +58,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     ``size`` is the UTF-8 bytes of the text plus 1. ``slot`` numbers the rows of a shard from
     0 without gaps: by slice of the document's checksum, then doc_id, then text checksum.
-    Rows are counted per (shard, slice), and only these few counts are accumulated.
+    Equal rows are counted, and the counts accumulate in three steps: slices of a shard, parts
+    of a slice (an id and the upper bits of the text checksum), rows of a part. So no task
+    gets all rows of an id, and equal rows are written out again in blocks.
     """
     payload = utf8_bytes("text")
     rows = docs.select(
@@ -63,10 +68,22 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(payload).alias("text_crc32"), jump_hash(F.col("doc_id"), shards).alias("shard"),
         jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
         F.substring(F.md5(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary")), 1, 3).alias("slice"))
-    counts = rows.groupBy("shard", "slice").agg(F.count("*").alias("rows"))
-    before = W.partitionBy("shard").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "slice", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("shard", "slice").orderBy("doc_id", "text_crc32", "size")
-    return rows.join(offsets, ["shard", "slice"]).select(
+    equal = staged(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn(
+        "part", F.shiftright("text_crc32", PART_BITS)), "equal")
+
+    def offsets(counts: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+        before = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return counts.withColumn(name, F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+    parts = equal.groupBy("shard", "slice", "doc_id", "part").agg(F.sum("n").alias("n"))
+    slices = offsets(parts.groupBy("shard", "slice").agg(F.sum("n").alias("n")), ["shard"], ["slice"], "of_slice")
+    parts = offsets(parts, ["shard", "slice"], ["doc_id", "part"], "of_part").drop("n").join(slices.drop("n"), ["shard", "slice"])
+    parts = parts.select(*[F.col(c).alias(f"_{c}") for c in ("shard", "slice", "doc_id", "part")], (F.col("of_slice") + F.col("of_part")).alias("offset"))
+    placed = offsets(equal, ["shard", "slice", "doc_id", "part"], ["text_crc32", "size"], "of_row").join(parts, (
+        F.col("shard") == F.col("_shard")) & (F.col("slice") == F.col("_slice")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("part") == F.col("_part")))
+    blocks = placed.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))))
+    each = blocks.repartition("shard", "slice", "doc_id", "text_crc32", "from").withColumn(
+        "at", F.explode(F.sequence("from", F.least(F.col("from") + BLOCK, F.col("n")) - 1)))
+    return each.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("offset") + F.row_number().over(inside) - 1).alias("slot"), "grown_shard")
+        (F.col("offset") + F.col("of_row") + F.col("at")).alias("slot"), "grown_shard")

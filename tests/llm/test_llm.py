@@ -279,6 +279,24 @@ def test_rows_that_share_an_id_are_drawn_apart(spark):
         assert sorted(mixing.mix(docs).groupBy("source").count().collect()) == sorted(want)
 
 
+def test_slots_of_a_hot_id_are_dealt_out(spark):
+    """No task gets all rows of an id, and slots stay in order without gaps."""
+    rows = [(None, f"text {i}") for i in range(3000)] + [(None, "equal")] * 9000 + [(i, "z") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = sharding.shard(df).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(Counter(r.task for r in out).values()) < 0.75 * len(rows)
+    for s in range(16):
+        mine = sorted((r for r in out if r.shard == s), key=lambda r: r.slot)
+        assert [r.slot for r in mine] == list(range(len(mine)))
+        hot = [(r.text_crc32, r.size) for r in mine if r.doc_id is None]
+        assert hot == sorted(hot)
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+
+
 def test_statistics_ignore_piece_edges():
     texts = ["Ab cd. ab\n", "", None, "é" * 50, "x y " * 2000]
     whole = classifier.statistics(pa.array(texts))
