@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kbspark.llm.common import staged
+
 WINDOW = 10
 # Bytes of item text in one automaton; more items are scanned for in several blocks.
 BLOCK_BYTES = 16 << 20
@@ -109,8 +111,9 @@ def finder(spark, items: list[tuple[str, str]], n: int):
 
 
 def item_blocks(items: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items in lists of about ``limit`` bytes; only one list is on the driver at a time."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Distinct items in lists of about ``limit`` bytes; only one list is on the driver at a time."""
+    rows = staged(items.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "items")
     total = rows.agg(F.sum(F.octet_length("text") + F.lit(64))).first()[0] or 0
     blocks = int(total // limit) + 1
     for b in range(blocks):
@@ -130,17 +133,24 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, limit: int
     """``docs`` with ``contamination``: n_words, n_hit, spans and items.
 
     With one block of items the text goes through one scan beside its row, without a
-    shuffle; every further block of a larger benchmark adds another scan.
+    shuffle. Every further block of a larger benchmark adds another scan, before which the
+    rows found so far are staged: a worker has the automaton of one block at a time.
     """
-    founds = []
-    for i, block in enumerate(item_blocks(items, limit)):
-        docs = docs.withColumn(f"_found{i}", finder(docs.sparkSession, block, n)("text"))
-        founds.append(F.col(f"_found{i}"))
-    spans = F.flatten(F.array(*[f["spans"] for f in founds]))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[f["items"] for f in founds]))))
+    own, found = docs.columns, None
+    for block in item_blocks(items, limit):
+        if found is not None:
+            docs = staged(docs, "scanned")
+        docs = docs.withColumn("_next", finder(docs.sparkSession, block, n)("text"))
+        new = F.col("_next")
+        merged = new if found is None else F.struct(
+            new["n_words"].alias("n_words"), F.concat(found["spans"], new["spans"]).alias("spans"),
+            F.concat(found["items"], new["items"]).alias("items"))
+        docs = docs.select(*own, merged.alias("_found"))
+        found = F.col("_found")
+    ids = F.array_sort(F.array_distinct(found["items"]))
     return docs.withColumn("contamination", F.struct(
-        founds[0]["n_words"].alias("n_words"), _covered(spans).alias("n_hit"), spans.alias("spans"), ids.alias("items"))
-    ).drop(*[f"_found{i}" for i in range(len(founds))])
+        found["n_words"].alias("n_words"), _covered(found["spans"]).alias("n_hit"), found["spans"].alias("spans"), ids.alias("items"))
+    ).drop("_found")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -279,6 +279,17 @@ def test_rows_that_share_an_id_are_drawn_apart(spark):
         assert sorted(mixing.mix(docs).groupBy("source").count().collect()) == sorted(want)
 
 
+def test_repeated_items_fill_no_block(spark):
+    """Equal items count once towards a block, and one scan holds one automaton."""
+    items = spark.createDataFrame([(1, "q1 q2 q3")] * 50 + [(i, f"r{i} s{i}") for i in range(2, 8)], "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(items, 160))
+    assert Counter(x for b in blocks for x in b) == Counter([("1", "q1 q2 q3")] + [(str(i), f"r{i} s{i}") for i in range(2, 8)])
+    docs = spark.createDataFrame([(1, "x q1 q2 q3 r5 s5 y")], "doc_id long, text string")
+    out = decontaminate.contamination(docs, items, limit=160)
+    assert len(blocks) > 1 and out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert (out.first().contamination.n_hit, out.first().contamination["items"]) == (5, ["1", "5"])
+
+
 def test_slots_of_a_hot_id_are_dealt_out(spark):
     """No task gets all rows of an id, and slots stay in order without gaps."""
     rows = [(None, f"text {i}") for i in range(3000)] + [(None, "equal")] * 9000 + [(i, "z") for i in range(50)]
