@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kbspark.llm import chat, classifier, decontaminate, jaccard, mixing, quality, secrets, sharding, substrings, warc
+from kbspark.llm import (
+    chat, classifier, clusters, decontaminate, importance, jaccard, language, mixing, quality, secrets, sharding, substrings, warc,
+)
 from kbspark.llm.common import scan
 
 
@@ -50,6 +53,20 @@ def op10_decontamination(spark: SparkSession, root: str) -> DataFrame:
         scan(spark, root, "documents", "doc_id", "text"), scan(spark, root, "benchmark", "item_id", "text"))
 
 
+def op11_importance(spark: SparkSession, root: str) -> DataFrame:
+    return importance.resample(
+        scan(spark, root, "documents", "doc_id", "text"), scan(spark, root, "benchmark", "text")).select(
+        *[F.col(c).cast("long").alias(c) for c in ("doc_id", "n_features", "weight", "score", "rank")])
+
+
+def op12_clusters(spark: SparkSession, root: str) -> DataFrame:
+    return clusters.cluster(scan(spark, root, "embeddings", "vec_id", "embedding"))
+
+
+def op13_language(spark: SparkSession, root: str) -> DataFrame:
+    return language.identify(scan(spark, root, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -61,4 +78,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_chat": op9_chat,
     "op10_decontamination": op10_decontamination,
+    "op11_importance": op11_importance,
+    "op12_clusters": op12_clusters,
+    "op13_language": op13_language,
 }

@@ -206,7 +206,79 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, c
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+OP11 = f"""
+WITH RECURSIVE crc AS MATERIALIZED ({CRC_TABLE}), d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents
+), b AS (SELECT {_ALNUM} AS w FROM benchmark),
+fd AS MATERIALIZED (
+  SELECT r, f, count(*) AS n FROM (
+    SELECT r, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS f FROM d) GROUP BY 1, 2
+), fb AS MATERIALIZED (
+  SELECT f, count(*) AS n FROM (SELECT unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS f FROM b) GROUP BY 1
+), k AS MATERIALIZED (
+  SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+      [('0x' || x)::BIGINT for x in regexp_extract_all(hex(encode(f)), '..')]),
+      lambda c, y: xor(c >> 8, t[CAST(xor(c, y) & 255 AS BIGINT) + 1]))) % 10000 AS bucket
+  FROM (SELECT f FROM fd UNION SELECT f FROM fb), crc
+), s AS (SELECT bucket, sum(n) AS n FROM fd JOIN k USING (f) GROUP BY 1),
+t AS (SELECT bucket, sum(n) AS n FROM fb JOIN k USING (f) GROUP BY 1),
+g AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+    / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t ON s.bucket = t.bucket
+), m AS (
+  SELECT r, CAST(sum(fd.n) AS BIGINT) AS n_features, CAST(sum(fd.n * gain) AS BIGINT) AS total
+  FROM fd JOIN k USING (f) JOIN g USING (bucket) GROUP BY 1
+), x AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN m USING (r)
+), y AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM x
+), z AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS i,
+    count(*) FILTER (n_words >= 20) OVER () AS n FROM y
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND i <= 25 * n // 100 THEN i END AS rank FROM z
+"""
+
+
+def _near(number: int) -> str:
+    """Assignment of every vector to the centroids of one round."""
+    return f"""a{number} AS MATERIALIZED (
+  SELECT r, min(struct_pack(d := CAST(list_sum([(q[i] - c[i]) * (q[i] - c[i]) for i in range(1, 65)]) AS BIGINT), cluster := cluster)) AS m
+  FROM v, c{number} GROUP BY r
+)"""
+
+
+def _means(number: int) -> str:
+    """Centroids of the round after: exact floored means, empty clusters as they were."""
+    return f"""n{number} AS (
+  SELECT m.cluster AS cluster, i, sum(q[i]) AS s, count(*) AS n FROM v JOIN a{number} USING (r), range(1, 65) x(i) GROUP BY 1, 2
+), c{number + 1} AS MATERIALIZED (
+  SELECT o.cluster, coalesce(n.c, o.c) AS c FROM c{number} o LEFT JOIN (
+    SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM n{number} GROUP BY 1) n ON n.cluster = o.cluster
+)"""
+
+
+OP12 = f"""
+WITH k AS (
+  SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = 64
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * x::DOUBLE) AS BIGINT) for x in embedding] AS q FROM k
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS cluster, q AS c FROM (
+    SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, q FROM v) ORDER BY h, q LIMIT 16
+), {", ".join(f"{_near(n)}, {_means(n)}" for n in range(3))}, {_near(3)},
+f AS (SELECT vec_id, CAST(m.cluster AS INT) AS cluster, m.d AS distance FROM v JOIN a3 USING (r))
+SELECT vec_id, f.cluster, distance, CAST(sum(distance) OVER (PARTITION BY f.cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM f JOIN c3 ON c3.cluster = f.cluster
+"""
+
 ORACLES = {
     "op1_warc": OP1, "op2_quality": OP2, "op3_secrets": OP3, "op5_mixing": OP5, "op8_sharding": OP8, "op9_chat": OP9,
-    "op10_decontamination": OP10,
+    "op10_decontamination": OP10, "op11_importance": OP11, "op12_clusters": OP12,
 }
