@@ -401,6 +401,107 @@ def vocabulary_prefix(lines: DataFrame, keys: Sequence[str] = ("vocab_id",), lin
     )
 
 
+def segment_pieces(segments: DataFrame) -> DataFrame:
+    """(source_id, seq, piece, text): what a segment contributes to chunks, as expressions.
+
+    Blank segments contribute nothing, those over the size limit their sentences or, when
+    there is only one, windows of ``MAX_TOKENS`` characters.
+    """
+    n = F.length("text")
+    windows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / MAX_TOKENS).cast("int")),
+                          lambda i: T.strip(F.substr(F.col("text"), i * MAX_TOKENS + 1, F.lit(MAX_TOKENS))))
+    cut = T.sentences("text")
+    big = F.when(F.size(cut) > 1, F.transform(cut, lambda x: T.strip(x))).otherwise(windows)
+    parts = F.when(T.chunk_tokens("text") > MAX_TOKENS, big).when(T.non_blank("text"), F.array("text"))
+    return segments.select("source_id", F.col("seq").cast("long").alias("seq"), F.posexplode_outer(parts).alias("piece", "text")).filter(
+        F.col("piece").isNotNull())
+
+
+def _after(chunks: DataFrame, *columns: str) -> DataFrame:
+    """Every chunk with ``_prev_`` columns of the chunk before it, by an equi-join on its number."""
+    before = chunks.select("source_id", (F.col("chunk_seq") + 1).alias("chunk_seq"), *[F.col(c).alias(f"_prev_{c}") for c in columns])
+    return chunks.join(before, ["source_id", "chunk_seq"], "left")
+
+
+def chunk_overlap(chunks: DataFrame) -> DataFrame:
+    """(source_id, chunk_seq, overlap): characters a chunk shares with the end of the one before.
+
+    The longest end of a chunk that is a beginning of the next. Only ends whose first two
+    characters fit are compared, so most lengths cost two look-ups.
+    """
+    pair = _after(chunks.select("source_id", "chunk_seq", "text"), "text").filter(F.col("_prev_text").isNotNull())
+    pair = pair.select("source_id", "chunk_seq", "text", "_prev_text", F.split("_prev_text", "").alias("_p"), F.split(F.left("text", F.lit(2)), "").alias("_t"))
+    size = F.least(F.length("text"), F.length("_prev_text"))
+    ends = F.expr("""filter(sequence(1, _n), k -> _p[_m - k] = _t[0] and (k = 1 or _p[_m - k + 1] = _t[1])
+        and startswith(text, right(_prev_text, k)))""")
+    sized = pair.withColumn("_n", size).withColumn("_m", F.length("_prev_text"))
+    longest = F.when(F.col("_n") > 0, F.array_max(ends))
+    return sized.select("source_id", "chunk_seq", F.coalesce(longest, F.lit(0)).cast("long").alias("overlap"))
+
+
+def chunk_ledger(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Reconcile chunks with the segments they were made of, piece by piece.
+
+    (source_id, chunk_seq, n_pieces, lost, disordered, repeated): a chunk owns the pieces from
+    its first new one to that of the next chunk. Behind the tail that it repeats they must
+    stand one after the other. ``lost`` pieces are not in their chunk at all; ``disordered``
+    ones are, though not at their place; ``repeated`` tells that the text before them is not the
+    end of the chunk before, or that the chunk is there more than once. Pieces before any
+    chunk, or of a source without chunks, are lost under chunk_seq -1.
+
+    Places come from running totals in blocks, so no source and no chunk is gathered.
+    """
+    starts = chunks.groupBy("source_id", "chunk_seq").agg(
+        F.min("first_seq").alias("seq"), F.min("first_piece").cast("int").alias("piece"), F.min("text").alias("text"), F.count(F.lit(1)).alias("_times"))
+    pieces = segment_pieces(segments)
+    zero = F.lit(0).cast("long")
+    marks = pieces.select("source_id", "seq", "piece", F.lit(1).alias("_kind"), "text", zero.alias("_start"),
+                          (F.length("text") + 1).cast("long").alias("_size"), F.lit(None).cast("long").alias("chunk_seq")).unionByName(
+        starts.select("source_id", "seq", "piece", F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("text"),
+                      F.lit(1).cast("long").alias("_start"), zero.alias("_size"), "chunk_seq"))
+    order = ["seq", "piece", "_kind"]
+    placed = running_sum(marks, ["source_id"], order, {"_nth": F.col("_start"), "_upto": F.col("_size")})
+    at = placed.filter("_kind = 0").select("source_id", "_nth", "chunk_seq", F.col("_upto").alias("_base"))
+    own = placed.filter("_kind = 1").select("source_id", "_nth", "seq", "piece", F.col("text").alias("_piece"), "_upto", "_size").join(
+        at, ["source_id", "_nth"], "left")
+    room = own.groupBy("source_id", "chunk_seq").agg((F.sum("_size") - 1).alias("_room"))
+    whole = _after(starts.select("source_id", "chunk_seq", "text", "_times"), "text").join(room, ["source_id", "chunk_seq"], "left")
+    told = own.join(whole.select("source_id", "chunk_seq", "text", "_room"), ["source_id", "chunk_seq"], "left")
+    first = F.length("text") - F.col("_room") + (F.col("_upto") - F.col("_size") - F.col("_base")) + 1
+    there = F.coalesce((first > 0) & (F.substr("text", F.greatest(first, F.lit(1)).cast("int"), F.length("_piece")) == F.col("_piece")), F.lit(False))
+    has = F.coalesce(F.col("text").contains(F.col("_piece")), F.lit(False))
+    none = F.lit(-1).cast("long")
+    counted = told.groupBy(F.coalesce("chunk_seq", none).alias("chunk_seq"), "source_id").agg(
+        F.count(F.lit(1)).alias("n_pieces"), F.count_if(~has).alias("lost"), F.count_if(~there).alias("_off"))
+    # the tail is what stands before the pieces; without all pieces it cannot be told
+    head = F.col("text").substr(F.lit(1), F.greatest(F.length("text") - F.coalesce("_room", F.lit(-1)) - 1, F.lit(0)).cast("int"))
+    foreign = ~F.endswith(F.coalesce("_prev_text", F.lit("")), head)
+    rows = whole.select("source_id", "chunk_seq", "_times", foreign.alias("_foreign")).join(counted, ["source_id", "chunk_seq"], "full")
+    lost = F.coalesce("lost", F.lit(0))
+    return rows.select(
+        "source_id", "chunk_seq", F.coalesce("n_pieces", F.lit(0)).alias("n_pieces"), lost.alias("lost"),
+        F.when(lost == 0, F.coalesce("_off", F.lit(0))).otherwise(0).alias("disordered"),
+        (F.coalesce(F.col("_times") > 1, F.lit(False)) | (F.coalesce("_foreign", F.lit(False)) & (lost == 0))).alias("repeated"))
+
+
+def chunk_audit(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: :func:`chunk_report`, and what the ledger, the overlaps and the order say.
+
+    ``lost`` and ``disordered`` count pieces, ``repeated`` chunks, ``late_starts`` chunks that do not
+    start after the one before them (untimed sources aside), ``overlap_chars`` shared characters.
+    """
+    ledger = chunk_ledger(segments, chunks).agg(
+        F.coalesce(F.sum("n_pieces"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"),
+        F.coalesce(F.sum("disordered"), F.lit(0)).alias("disordered"), F.count_if("repeated").alias("repeated"))
+    shared = chunk_overlap(chunks).agg(
+        F.count_if(F.col("overlap") > 0).alias("overlapping"), F.coalesce(F.sum("overlap"), F.lit(0)).alias("overlap_chars"))
+    timed = _after(chunks.select("source_id", "chunk_seq", "start_sec", "end_sec"), "start_sec").agg(
+        F.count_if((F.col("start_sec") <= F.col("_prev_start_sec")) & (F.col("end_sec") > 0)).alias("late_starts"))
+    rows = chunk_report(chunks)
+    extra = [d.select(c).scalar().alias(c) for d in (ledger, shared, timed) for c in d.columns]
+    return rows.select("*", *extra)
+
+
 def chunk_report(chunks: DataFrame) -> DataFrame:
     """One row of packing checks: counts, size limits, blanks, time order of every chunk."""
     return chunks.agg(

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kbspark.operators.blocks import top_k
 from kbspark.operators.fulltext import bm25, occurrences
+from kbspark.operators.retrieve import rrf
 from kbspark.operators.vectors import MAX_DISTANCE, knn, within
+from kbspark.session import NARROW_ROWS, at_most, small_side
 
 PASSAGE_GRAM = 12
 
@@ -141,6 +144,57 @@ def threshold_sweep(queries: DataFrame, vectors: DataFrame, thresholds: Sequence
     return within(queries, vectors, thresholds)
 
 
+def cutoff_results(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, thresholds: Sequence[float], k: int) -> DataFrame:
+    """(threshold, query_id, rank, chunk_id, vec_rank, fts_rank): fused results for every cut-off.
+
+    A cut-off only shortens a vector arm, it never changes ranks. So the arm is searched
+    once, at the widest cut-off, and the keyword arm once; both are then read for each cut-off.
+    """
+    cuts = sorted({float(c) for c in thresholds})
+    every = F.array(*[F.lit(c) for c in cuts])
+    fetch = 2 * k
+    # one key for both, so that fusion and ranking work per cut-off and query
+    keyed = lambda df, list_: df.withColumn("_cut", F.explode(list_)).withColumn("query_id", F.struct("_cut", "query_id"))
+    vec = keyed(knn(queries.select("query_id", "qvec"), vectors, fetch, cuts[-1]), F.filter(every, lambda c: F.col("distance") <= c))
+    fts = keyed(bm25(queries.select("query_id", "query"), chunks, fetch), every)
+    top = top_k(rrf(vec, fts), ["query_id"], [F.desc("score"), F.asc("chunk_id")], fetch * 2, "rank")
+    return top.select(F.col("query_id._cut").alias("threshold"), F.col("query_id.query_id").alias("query_id"), "rank", "chunk_id", "vec_rank", "fts_rank")
+
+
+def cutoff_scores(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, sources: DataFrame, golden: DataFrame, thresholds: Sequence[float], k: int,
+) -> DataFrame:
+    """One row per cut-off: n, recall, mrr, coverage of the positive queries; negatives, false_hits.
+
+    Equal to one evaluation per cut-off. Whether a chunk holds a passage does not depend on
+    the cut-off, so chunk texts meet the passages once per query and chunk.
+    """
+    found = cutoff_results(queries, chunks, vectors, thresholds, k)
+    ids = found.select("chunk_id").distinct()
+    texts = chunks.join(small_side(ids, at_most(ids, NARROW_ROWS)), "chunk_id", "left_semi").join(
+        sources.select("source_id"), "source_id", "left_semi").select("chunk_id", "text")
+    stored = texts.select("chunk_id")
+    # chunks of no source are no results: the ranks behind them move up
+    top = top_k(found.join(stored, "chunk_id").withColumnRenamed("rank", "_place"), ["threshold", "query_id"], [F.asc("_place")], k, "rank")
+    want = passages(golden)
+    holds = top.select("query_id", "chunk_id").distinct().join(texts, "chunk_id").join(want.select("query_id", "pos", "passage"), "query_id").filter(
+        F.col("text").contains(F.col("passage"))).select("query_id", "pos", "chunk_id")
+    ranks = top.join(holds, ["query_id", "chunk_id"]).groupBy("threshold", "query_id", "pos").agg(F.min("rank").alias("exp_rank"))
+    cuts = F.explode(F.array(*[F.lit(c) for c in sorted({float(c) for c in thresholds})])).alias("threshold")
+    per = want.select("query_id", "pos", cuts).join(ranks, ["threshold", "query_id", "pos"], "left").groupBy("threshold", "query_id").agg(
+        F.min("exp_rank").alias("r"), (F.count("exp_rank") / F.count(F.lit(1))).alias("c"))
+    hit = F.when(F.col("r").isNotNull(), 1.0).otherwise(0.0)
+    scores = per.groupBy("threshold").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(hit), 4).alias("recall"), F.round(F.avg(F.coalesce(1.0 / F.col("r"), F.lit(0.0))), 4).alias("mrr"),
+        F.round(F.avg("c"), 4).alias("coverage"))
+    negative = golden.filter(F.size("expect") == 0).select("query_id", cuts)
+    got = top.select("threshold", "query_id").distinct().withColumn("_got", F.lit(True))
+    wrong = negative.join(got, ["threshold", "query_id"], "left").groupBy("threshold").agg(
+        F.count(F.lit(1)).alias("negatives"), F.count_if(F.col("_got")).alias("false_hits"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return scores.join(wrong, "threshold", "full").select("threshold", zero("n"), "recall", "mrr", "coverage", zero("negatives"), zero("false_hits"))
+
+
 def ab_hits(rankings: DataFrame) -> DataFrame:
     """Per model: hit@1 and hit@3 from (model, query_id, relevant_rank 0-based or null)."""
     return rankings.groupBy("model").agg(

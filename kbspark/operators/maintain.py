@@ -201,21 +201,31 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm.org.apache.hadoop.fs.Path
 
 
-def publish(tables: Mapping[str, DataFrame], root: str, version: str, checks=None) -> str:
+def publish(tables: Mapping[str, DataFrame], root: str, version: str, checks=None, repair=None) -> str:
     """All or nothing: write every table to a staging folder, check it, then rename it.
 
-    ``checks`` gets the staged tables and raises to refuse. Readers use the newest
-    ``version=`` folder, so they never see a partial write. A version is published once.
+    ``checks`` gets the staged tables and raises to refuse. ``repair`` gets the tables as first
+    written and returns those to publish, so that a source with a fault fails by itself
+    (:func:`kbspark.operators.ingest.settle`) and the version is published without it. Readers
+    use the newest ``version=`` folder, so they never see a partial write. A version is
+    published once.
     """
     spark = next(iter(tables.values())).sparkSession
     staged, final = f"{root}/_staging/{version}", f"{root}/version={version}"
     fs, path, _ = _fs(spark, final)
     if fs.exists(path):
         raise FileExistsError(final)
+    if repair is not None:
+        raw = f"{root}/_staging/{version}-raw"
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{raw}/{name}")
+        tables = repair({n: spark.read.parquet(f"{raw}/{n}") for n in tables})
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{staged}/{name}")
     read = {n: spark.read.parquet(f"{staged}/{n}") for n in tables}
     fs, path, mk = _fs(spark, staged)
+    if repair is not None:
+        fs.delete(mk(raw), True)
     try:
         if checks is not None:
             checks(read)

@@ -83,19 +83,31 @@ def clamp_top_k(col, default: int = TOP_K):
     return F.least(F.greatest(wanted, F.lit(1)), F.lit(MAX_TOP_K))
 
 
-def bounded_search(queries: DataFrame, *args, **kw) -> DataFrame:
-    """Retrieval with a per-query size column ``top_k`` (clamped); one plan for all.
+def bounded_search(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, sources: DataFrame, max_dist: float = MAX_DISTANCE,
+    scope_source: int | None = None, scope_collection: int | None = None, index: DataFrame | None = None,
+) -> DataFrame:
+    """Retrieval with a size of its own for every query (column ``top_k``, clamped to 1..20).
 
-    Every query's arms are as wide as its own size asks for, because rank fusion depends
-    on the fetch width: queries are grouped by size and each size is one retrieval.
+    Rank fusion depends on the fetch width, so every query's arms are cut to its own width. Both
+    arms are ranked once, at the width of the largest size: the best 2n of an arm are the
+    first 2n of its best 40. Then each query keeps its own share of ranks, and of results.
     """
     sized = queries.withColumn("_k", clamp_top_k(F.col("top_k")))
-    sizes = sorted(r["_k"] for r in sized.select("_k").distinct().collect())  # at most 20 values
-    out = None
-    for size in sizes:
-        part = retrieve(sized.filter(F.col("_k") == size).drop("_k"), *args, top_k_=size, **kw)
-        out = part if out is None else out.unionByName(part)
-    return out
+    wide = 4 if (scope_source or scope_collection) else 2
+    widest = (sized.agg(F.max("_k")).first()[0] or 1) * wide
+    few = at_most(queries.select("query_id"), NARROW_ROWS // (2 * widest))
+    own = small_side(sized.select("query_id", "_k"), few)
+    vec = knn(queries.select("query_id", "qvec"), vectors, widest, max_dist).join(own, "query_id").filter(F.col("vec_rank") < F.col("_k") * wide)
+    fts = bm25(queries.select("query_id", "query"), chunks, widest, index=index).join(own, "query_id").filter(F.col("fts_rank") < F.col("_k") * wide)
+    rows = small_side(rrf(vec, fts), few).join(chunks, "chunk_id").join(sources, "source_id")
+    if scope_source is not None:
+        rows = rows.filter(F.col("source_id") == scope_source)
+    if scope_collection is not None:
+        rows = rows.filter(F.col("collection_id") == scope_collection)
+    rows = rows.withColumn("title", T.display_name(F.lit(None).cast("string"), "title"))
+    ranked = top_k(rows, ["query_id"], [F.desc("score"), F.asc("chunk_id")], MAX_TOP_K, "rank")
+    return ranked.join(own, "query_id").filter(F.col("rank") <= F.col("_k")).drop("_k")
 
 
 def note_search(

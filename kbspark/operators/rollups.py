@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.functions import dates as D
+from kbspark.operators.admission import admitted_seconds, same
 from kbspark.operators.blocks import top_k
 
 # Prices in USD per million tokens (input, output), audio per hour, limits.
@@ -111,26 +108,6 @@ def history_window(messages: DataFrame, k: int = HISTORY) -> DataFrame:
     return top_k(messages, ["session_id"], [F.desc("msg_id")], k).drop("rn")
 
 
-def _admit(batches: Iterator[pa.RecordBatch], n_keys: int, limit: int, span: int) -> Iterator[pa.RecordBatch]:
-    """Admissions of every second of rows that arrive sorted by (key, second)."""
-    key, held, total = None, deque(), 0
-    for b in batches:
-        recent, admitted = [], []
-        for *now, sec, n in zip(*(c.to_pylist() for c in b.columns)):
-            if key != now:
-                key, held, total = now, deque(), 0
-            while held and held[0][0] <= sec - span:
-                total -= held.popleft()[1]
-            recent.append(total)
-            admitted.append(min(n, max(limit - total, 0)))
-            if admitted[-1]:
-                held.append((sec, admitted[-1]))
-                total += admitted[-1]
-        yield pa.RecordBatch.from_arrays(
-            [*b.columns[: n_keys + 1], pa.array(recent, pa.int64()), pa.array(admitted, pa.int64())],
-            [*b.schema.names[: n_keys + 1], "_before", "_admit"])
-
-
 def rate_limited(notes: DataFrame, order: str, key: str | None = None, ts: str = "created_at", limit: int = RATE_LIMIT,
                  span: int = 3600) -> DataFrame:
     """Add recent (admitted rows of less than ``span`` seconds ago) and refused (recent >= limit).
@@ -138,20 +115,15 @@ def rate_limited(notes: DataFrame, order: str, key: str | None = None, ts: str =
     Refused rows are not stored and do not count. Within a second rows come in the order of
     ``order``, which is unique. A row without a time is not judged: both columns are null.
 
-    Admission is sequential, but only over seconds: rows are counted per key and second first,
-    of which a key has 86 400 a day whatever its arrival rate, and these stream through a
-    state of at most ``limit`` admissions. The rows themselves meet the result by a join, and
+    Rows are counted per key and second first; which seconds let rows in is settled over blocks
+    of seconds (:mod:`kbspark.operators.admission`). The rows meet the result by a join, and
     only the first ``limit`` rows of a second are ranked.
     """
     keys = [key] if key else []
     timed = notes.withColumn("_sec", F.unix_timestamp(ts))
     per_sec = timed.filter(F.col("_sec").isNotNull()).groupBy(*keys, "_sec").agg(F.count(F.lit(1)).alias("_n"))
-    placed = per_sec.repartition(*keys) if keys else per_sec.repartition(1)
-    schema = per_sec.drop("_n").schema.add("_before", "long").add("_admit", "long")
-    seconds = placed.sortWithinPartitions(*keys, "_sec").mapInArrow(
-        lambda batches: _admit(batches, len(keys), limit, span), schema)
+    seconds = admitted_seconds(per_sec, keys, limit, span)
     ranked = top_k(timed.filter(F.col("_sec").isNotNull()).select(*keys, "_sec", order), [*keys, "_sec"], [F.asc(order)], limit + 1, "_rn")
-    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
     judged = timed.alias("t").join(seconds.alias("s"), same("t", "s", [*keys, "_sec"]), "left").join(
         ranked.alias("r"), same("t", "r", [*keys, "_sec", order]), "left")
     rank = F.coalesce(F.col("r._rn").cast("long"), F.lit(limit + 1)) - 1

@@ -14,6 +14,7 @@ from kbspark.operators import identity as I
 from kbspark.operators import maintain as M
 from kbspark.operators import views as VW
 from kbspark.plans import sql
+from kbspark.session import cut_lineage
 from kbspark.sources import readers as RD
 from kbspark.sources import tables as S
 
@@ -85,7 +86,7 @@ def route_ingest(spark, sf):
 
 
 def text_gate(spark, sf):
-    out = I.route_text(S.given(spark, sf, "documents"), "text", max_chars=20_000)
+    out = I.route_text(S.given(spark, sf, "documents"), "text")
     return out.select("doc_id", "content_id", _b("is_url"), "reject_reason")
 
 
@@ -185,8 +186,30 @@ def chunk_events(spark, sf):
 
 
 def chunk_stats(spark, sf):
-    return K.chunk_report(K.chunk(S.document_segments(spark, sf))).select(*[_b(c) for c in (
-        "n_chunks", "n_sources", "max_tokens", "min_tokens", "over_limit", "bad_times", "blank_chunks")])
+    """Packing checks, reconciled with the segments."""
+    segments = S.document_segments(spark, sf)
+    chunks = cut_lineage(K.chunk(segments))
+    return K.chunk_audit(segments, chunks).select(*[_b(c) for c in (
+        "n_chunks", "n_sources", "max_tokens", "min_tokens", "over_limit", "bad_times", "blank_chunks", "n_pieces", "lost", "disordered", "repeated",
+        "overlapping", "overlap_chars", "late_starts")])
+
+
+def chunk_overlap(spark, sf):
+    return K.chunk_overlap(K.chunk(S.document_segments(spark, sf)))
+
+
+def chunk_overlap_turns(spark, sf):
+    return K.chunk_overlap(K.chunk(S.turn_segments(spark, sf)))
+
+
+def chunk_ledger(spark, sf):
+    """Chunks of transcripts with missing turns and missing or doubled chunks, against all turns."""
+    segments = S.turn_segments(spark, sf)
+    packed = K.chunk(segments.filter((F.col("source_id") * 7 + F.col("seq")) % 31 != 0), max_seq=1)
+    c = F.col("source_id")
+    packed = cut_lineage(packed.filter(~((c % 9 == 4) & (F.col("chunk_seq") == 1))))
+    twice = packed.unionByName(packed.filter(c % 13 == 6))
+    return K.chunk_ledger(segments, twice).select("source_id", "chunk_seq", "n_pieces", "lost", "disordered", _b("repeated"))
 
 
 def note_validation(spark, sf):
@@ -337,7 +360,7 @@ def answer_parts(spark, sf):
 QUERIES = {f.__name__: f for f in (
     canonical_urls, classify_pages, expand_redirects, content_ids, line_routing, route_ingest, text_gate, text_sources, average_hash,
     near_dedup, wall_reason, repeat_limit, filter_counts, duration_gate, speech_coverage, error_class, transport_message, token_estimate,
-    sentence_split, vocab_prefix, chunk, chunk_turns, chunk_events, chunk_stats, note_validation, collection_names, episode_coercion, page_articles,
+    sentence_split, vocab_prefix, chunk, chunk_turns, chunk_events, chunk_stats, chunk_overlap, chunk_overlap_turns, chunk_ledger, note_validation, collection_names, episode_coercion, page_articles,
     rendered_pages, rss_episodes, rss_errors, episodes_in_library, caption_pick, caption_segments, timeline_merge, description_lines,
     export_md, date_parsing, duration_parsing, answer_parts)}
 
@@ -411,6 +434,10 @@ packed AS (SELECT source_id, chunk_seq, CAST({_TOK} + (n - {_TOK}) // 4 AS BIGIN
   round(CAST(start_sec AS DOUBLE), 3) AS start_sec, round(CAST(end_sec AS DOUBLE), 3) AS end_sec, t FROM fin)"""
 
 
+# Longest end of each chunk's predecessor that is its own beginning.
+_OVERLAPS = """ov AS (SELECT source_id, chunk_seq, coalesce(list_max(list_filter(range(1, least(length(prev), length(t)) + 1), lambda k: starts_with(t, right(prev, k)))), 0) AS overlap
+ FROM (SELECT *, lag(t) OVER (PARTITION BY source_id ORDER BY chunk_seq) AS prev FROM packed) WHERE prev IS NOT NULL)"""
+
 # Hybrid retrieval over packed chunks: packing, both arms and fusion in one statement.
 RETRIEVE_CHUNKS = chunk_sql(_PIECES_DOC) + "," + ",".join([
     sql.SOURCES,
@@ -459,7 +486,7 @@ SELECT page_id, p.content_id, CASE WHEN live_id IS NOT NULL THEN 'duplicate' WHE
  WHEN any_id IS NOT NULL THEN 'reingest' ELSE 'queued' END AS routing, coalesce(live_id, any_id) AS known_source_id
 FROM p LEFT JOIN lib USING (content_id)""",
     "text_gate": f"""SELECT doc_id, 'txt_' || left(sha256({sql.TRIMMED}), 16) AS content_id, 0::BIGINT AS is_url,
- CASE WHEN length({sql.TRIMMED}) = 0 THEN 'blank' WHEN length({sql.TRIMMED}) > 20000 THEN 'too_long' END AS reject_reason FROM documents""",
+ CASE WHEN length({sql.TRIMMED}) = 0 THEN 'blank' WHEN length({sql.TRIMMED}) > 100000 THEN 'too_long' END AS reject_reason FROM documents""",
     "text_sources": f"""WITH {sql.SOURCES} SELECT source_id AS doc_id, platform, type, video_id, title, 'manual:' || video_id AS url_normalized,
  '2024-01-31T00:00:00Z' AS published FROM src""",
     "average_hash": f"""WITH {_SIG} SELECT vec_id, CAST(CASE WHEN sig >= 9223372036854775808 THEN CAST(sig AS HUGEINT) - 18446744073709551616 ELSE CAST(sig AS HUGEINT) END AS BIGINT) AS sig FROM sg""",
@@ -498,8 +525,14 @@ SELECT vocab_id, coalesce(string_agg(line, ', ' ORDER BY turn) FILTER (WHERE ok)
     "chunk": chunk_sql(_PIECES_DOC) + " SELECT * EXCLUDE (t) FROM packed",
     "chunk_turns": chunk_sql(_PIECES_TURN) + " SELECT * EXCLUDE (t) FROM packed",
     "chunk_events": chunk_sql(_PIECES_EVENT) + " SELECT * EXCLUDE (t) FROM packed",
-    "chunk_stats": chunk_sql(_PIECES_DOC) + """ SELECT count(*) AS n_chunks, count(DISTINCT source_id) AS n_sources, max(n_tokens) AS max_tokens, min(n_tokens) AS min_tokens,
- count(*) FILTER (WHERE n_tokens > 500) AS over_limit, count(*) FILTER (WHERE start_sec > end_sec) AS bad_times, count(*) FILTER (WHERE trim(t) = '') AS blank_chunks FROM packed""",
+    "chunk_stats": chunk_sql(_PIECES_DOC) + f""", {_OVERLAPS} SELECT count(*) AS n_chunks, count(DISTINCT source_id) AS n_sources, max(n_tokens) AS max_tokens, min(n_tokens) AS min_tokens,
+ count(*) FILTER (WHERE n_tokens > 500) AS over_limit, count(*) FILTER (WHERE start_sec > end_sec) AS bad_times, count(*) FILTER (WHERE trim(t) = '') AS blank_chunks,
+ (SELECT count(*) FROM cum) AS n_pieces,
+ (SELECT count(*) FROM cum c WHERE NOT EXISTS (SELECT 1 FROM packed p WHERE p.source_id = c.source_id AND contains(p.t, c.t))) AS lost,
+ 0::BIGINT AS disordered, count(*) - count(DISTINCT (source_id, chunk_seq)) AS repeated, (SELECT count(*) FROM ov WHERE overlap > 0) AS overlapping,
+ (SELECT CAST(sum(overlap) AS BIGINT) FROM ov) AS overlap_chars, 0::BIGINT AS late_starts FROM packed""",
+    "chunk_overlap": chunk_sql(_PIECES_DOC) + f""", {_OVERLAPS} SELECT source_id, chunk_seq, overlap FROM ov""",
+    "chunk_overlap_turns": chunk_sql(_PIECES_TURN) + f""", {_OVERLAPS} SELECT source_id, chunk_seq, overlap FROM ov""",
     "note_validation": f"""WITH {sql.NOTES}, n AS (SELECT note_id, trim(substr(title, 1, 100)) AS ti, left({sql.TRIMMED.replace('text', 'content')}, 2000) AS co, application,
  EXISTS (SELECT 1 FROM labels l WHERE l.doc_id IN (note_id, note_id + 1)) AS known FROM notes)
 SELECT note_id, CASE WHEN ti = '' OR co = '' THEN 'title_or_content' WHEN application = '' THEN 'application' WHEN NOT known THEN 'unknown_sources' END AS reject_reason,

@@ -87,6 +87,15 @@ def threshold_sweep(spark, sf):
     return out.select("query_id", "threshold", "hits")
 
 
+CUTS = (1.0, 1.1, 1.15, 1.25)
+
+
+def cutoff_scores(spark, sf):
+    """Recall, MRR, coverage and false hits per distance cut-off."""
+    out = E.cutoff_scores(*Q.embedded(spark, sf), golden(spark, sf), CUTS, K)
+    return out.select("threshold", _b("n"), "recall", "mrr", "coverage", _b("negatives"), _b("false_hits"))
+
+
 def ab_hits(spark, sf):
     """Two encoders on the label means: is the vector nearest to a mean of its own label?"""
     vecs = S.given(spark, sf, "embeddings")
@@ -122,7 +131,7 @@ def history_regression(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    passages, fixture_check, ambiguous, recall_mrr, query_scores, attribution, attribution_counts, false_hits, threshold_sweep, ab_hits, ab_winner,
+    passages, fixture_check, ambiguous, recall_mrr, query_scores, attribution, attribution_counts, false_hits, threshold_sweep, cutoff_scores, ab_hits, ab_winner,
     rubric, history_regression)}
 
 _HIT = "hit AS (SELECT b.item_id, b.text, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -162,6 +171,10 @@ q AS (SELECT CAST(label AS BIGINT) AS query_id, i, avg(x) AS m FROM e GROUP BY 1
 d AS (SELECT q.query_id, e.vec_id, round(sqrt(sum((x - m) * (x - m))), 6) AS distance FROM e JOIN q USING (i) GROUP BY 1, 2),
 t AS (SELECT unnest([0.8::DOUBLE, 1.0::DOUBLE, 1.15::DOUBLE, 1.25::DOUBLE]) AS threshold)
 SELECT query_id, threshold, count(*) AS hits FROM d JOIN t ON distance <= threshold GROUP BY 1, 2""",
+    "cutoff_scores": " UNION ALL ".join(f"""SELECT * FROM (WITH {sql.hybrid(max_dist=c)},{_TOPS}
+SELECT {c}::DOUBLE AS threshold, (SELECT count(*) FROM sc) AS n, (SELECT round(avg(hit), 4) FROM sc) AS recall, (SELECT round(avg(rr), 4) FROM sc) AS mrr,
+ (SELECT round(avg(coverage), 4) FROM sc) AS coverage, count(*) AS negatives, count(*) FILTER (WHERE item_id IN (SELECT query_id FROM top)) AS false_hits
+FROM benchmark WHERE item_id NOT IN (SELECT item_id FROM gold))""" for c in CUTS),
     "ab_hits": f"WITH {_AB} SELECT * FROM ab",
     "ab_winner": f"WITH {_AB} SELECT model AS winner FROM ab ORDER BY hit_1 DESC, hit_3 DESC LIMIT 1",
     "rubric": """WITH v AS (SELECT lang = 'fr' AS refuse, quality, toxic FROM documents LEFT JOIN labels USING (doc_id))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbspark.plans import activity, changes, content, quality, retrieval
+from kbspark.plans import activity, changes, content, ingest, quality, retrieval
 
-AREAS = (retrieval, content, activity, changes, quality)
+AREAS = (retrieval, content, ingest, activity, changes, quality)
 
 
 def all_queries() -> dict:

@@ -113,6 +113,18 @@ def rrf_prescoped(spark, sf):
     return _result_columns(hybrid_results(spark, sf, scope_collection=7, scope="pre"), "collection_id")
 
 
+def _sized(spark, sf):
+    """(questions with a size each, chunks, vectors, sources): sizes from none to far too large."""
+    questions, *rest = embedded(spark, sf)
+    wanted = F.when(F.col("query_id") % 5 == 0, F.lit(None).cast("int")).otherwise((F.col("query_id") * 7 % 29).cast("int") - 3)
+    return questions.withColumn("top_k", wanted), *rest
+
+
+def bounded_search(spark, sf):
+    """Every question with a result size of its own."""
+    return _result_columns(R.bounded_search(*_sized(spark, sf), max_dist=MAX_DIST), "title")
+
+
 def retrieve_chunks(spark, sf):
     """Flagship: hybrid retrieval over real packed chunks of every document, packed and encoded once."""
     from kbspark.operators.chunking import build_chunks
@@ -164,7 +176,7 @@ def context_window(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    knn_l2, knn_cosine, terms, fts_match, bm25, bm25_indexed, bm25_named, gram_index, embed, rrf_hybrid, rrf_scoped, rrf_prescoped, retrieve_chunks,
+    knn_l2, knn_cosine, terms, fts_match, bm25, bm25_indexed, bm25_named, gram_index, embed, rrf_hybrid, rrf_scoped, rrf_prescoped, bounded_search, retrieve_chunks,
     keyword_snippet, notes_prefilter, trace, context_frames, context_window)}
 
 _CENTROIDS = """
@@ -204,6 +216,14 @@ SELECT gram, count(*) AS postings FROM g WHERE gram IS NOT NULL GROUP BY gram"""
     "embed": f"""WITH {sql.encoded('ed', f"SELECT doc_id AS chunk_id, substr(trim(split_part({sql.TRIMMED}, chr(10), 1)), 1, 80) || chr(10) || text AS t FROM documents", 'chunk_id')}
 SELECT chunk_id, CAST(slot AS BIGINT) AS slot, round(v, 5) AS value FROM ed""",
     "rrf_hybrid": f"{_H} {_TOP}, h.title FROM hits h WHERE rn <= 6",
+    "bounded_search": "WITH " + sql.SOURCES + """, sz AS (SELECT item_id AS query_id, CASE WHEN item_id % 5 = 0 OR item_id * 7 % 29 = 3 THEN 6
+ ELSE least(greatest(item_id * 7 % 29 - 3, 1), 20) END AS k FROM benchmark),""" + ",".join([
+        sql.bm25(sql.DOC_TEXTS), sql.ranked(k=40, name="fts0"),
+        sql.encoded("eq", "SELECT item_id AS query_id, text AS t FROM benchmark", "query_id"),
+        sql.encoded("ed", f"SELECT doc_id AS chunk_id, substr(trim(split_part({sql.TRIMMED}, chr(10), 1)), 1, 80) || chr(10) || text AS t FROM documents", "chunk_id"),
+        sql.nearest("eq", "ed", 40, 1.25).replace("vec AS", "vec0 AS"),
+        "fts AS (SELECT fts0.* FROM fts0 JOIN sz USING (query_id) WHERE fts_rank < 2 * k)", "vec AS (SELECT vec0.* FROM vec0 JOIN sz USING (query_id) WHERE vec_rank < 2 * k)",
+        sql.fused()]) + "," + _HITS.format(where="") + f" {_TOP}, h.title FROM hits h JOIN sz USING (query_id) WHERE rn <= k",
     "rrf_scoped": "WITH " + sql.SOURCES + "," + sql.hybrid(fetch=24) + "," + _HITS.format(where="WHERE s.collection_id = 7")
     + f" {_TOP}, h.collection_id FROM hits h WHERE rn <= 6",
     "rrf_prescoped": "WITH " + sql.SOURCES + "," + ",".join([

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from kbspark.functions import text as T
 from kbspark.functions.rules import is_permanent
-from kbspark.operators.chunking import chunk, chunk_id
+from kbspark.operators.ingest import ingest_items, settle
 from kbspark.operators.jobs import MAX_ERROR_CHARS, MAX_RETRIES
-from kbspark.operators.vectors import embed_chunks
+from kbspark.operators.vectors import DIM
 
 HORIZON = "1 hour"
 
@@ -30,51 +29,53 @@ def against_library(batch: DataFrame, library: DataFrame) -> DataFrame:
     return batch.join(alive, ["platform", "content_id"], "left_anti")
 
 
-def text_items(stream: DataFrame, text: str = "text") -> DataFrame:
-    """Arriving pasted texts with identity; blank and oversized ones are left out."""
-    body = T.strip(stream[text])
-    return stream.withColumn("platform", F.lit("manual")).withColumn("content_id", T.content_id(text)).filter(
-        F.length(body).between(1, 100_000))
+def stored_sources(spark: SparkSession, root: str, but: int) -> DataFrame:
+    """Sources under ``root`` that other batches than ``but`` have stored; none at first."""
+    try:
+        stored = spark.read.parquet(f"{root}/sources").filter(F.col("batch") != but)
+    except Exception as exc:  # the first batch finds no table yet
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        stored = spark.createDataFrame([], "source_id long, platform string, video_id string, status string")
+    return stored.select("source_id", "platform", "video_id", "status")
 
 
-def ingest_batch(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch writer: new identities become sources, chunks and vectors.
+def ingest_batch(
+    root: str, hops: DataFrame | None = None, pages: DataFrame | None = None, dim: int | None = DIM, text: str = "text",
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer: links, texts and rejects become jobs, sources, chunks and vectors.
 
     Rows are filed under the batch id and overwritten when a batch is replayed, so a
-    restart after a crash leaves no doubles.
+    restart after a crash leaves no doubles. With ``dim`` a source whose chunks or vectors are
+    not whole is stored as failed, without them, and the rest of the batch goes on.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        first = batch.groupBy("platform", "content_id").agg(F.min_by(F.struct("item_id", "text", "ts"), "item_id").alias("_r"))
-        fresh = first.select("platform", "content_id", "_r.*")
-        try:
-            stored = spark.read.parquet(f"{root}/sources").filter(F.col("batch") != batch_id)
-            fresh = against_library(fresh, stored)
-        except Exception as exc:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-        sources = fresh.select(
-            F.col("item_id").alias("source_id"), "platform", F.col("content_id").alias("video_id"),
-            T.first_line("text", 80).alias("title"), F.lit("ready").alias("status"), F.col("ts").alias("ingested_at"))
-        segments = fresh.select(
-            F.col("item_id").alias("source_id"), F.lit(0).cast("long").alias("seq"), T.strip("text").alias("text"),
-            F.lit(0.0).alias("start_sec"), F.lit(0.0).alias("end_sec"))
-        chunks = chunk(segments, max_seq=0).select(
-            chunk_id("source_id", "chunk_seq").alias("chunk_id"), "source_id", "text",
-            "start_sec", "end_sec")
-        vectors = embed_chunks(chunks.join(sources.select("source_id", "title"), "source_id")).select("chunk_id", "embedding")
+        at = lambda name: f"{root}/{name}/batch={batch_id}"
+        new = dict(ingest_items(batch, stored_sources(spark, root, batch_id), hops, pages, text))
+        if dim is not None:
+            raw = {}
+            for name in ("sources", "chunks", "chunk_vectors"):
+                new[name].write.mode("overwrite").parquet(f"{root}/_staging/{name}/batch={batch_id}")
+                raw[name] = spark.read.parquet(f"{root}/_staging/{name}/batch={batch_id}")
+            new |= settle(raw, dim)
+            failed = new["sources"].filter("status = 'failed'").select("source_id", F.col("error").alias("_why"))
+            # a job whose source failed fails with it
+            new["jobs"] = new["jobs"].join(failed, "source_id", "left").select(
+                "item_id", "part", "kind", F.when(F.col("_why").isNotNull() & (F.col("status") == "done"), "failed")
+                .otherwise(F.col("status")).alias("status"), "source_id", F.coalesce("error", F.when(F.col("status") == "done", F.col("_why"))).alias("error"))
         # sources go last: only a batch with all its chunks and vectors becomes visible
-        for name, df in (("chunks", chunks), ("chunk_vectors", vectors), ("sources", sources)):
-            df.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+        for name in ("chunks", "chunk_vectors", "jobs", "sources"):
+            new[name].write.mode("overwrite").parquet(at(name))
 
     return write
 
 
-def ingest_stream(stream: DataFrame, root: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Continuous ingest of (item_id, ts, text) rows into the tables under ``root``."""
-    items = dedup_stream(text_items(stream))
-    writer = items.writeStream.foreachBatch(ingest_batch(root)).option("checkpointLocation", checkpoint)
+def ingest_stream(stream: DataFrame, root: str, checkpoint: str, hops: DataFrame | None = None, pages: DataFrame | None = None,
+                  dim: int | None = DIM, **trigger) -> StreamingQuery:
+    """Continuous ingest of (item_id, ts, text) rows, with an optional title, into the tables under ``root``."""
+    writer = stream.writeStream.foreachBatch(ingest_batch(root, hops, pages, dim)).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
