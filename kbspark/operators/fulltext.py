@@ -53,10 +53,17 @@ def gram_index(texts: DataFrame, id_col: str, text: str = "text", n: int = GRAM)
     ).filter(F.col("gram").isNotNull())
 
 
-def extend_gram_index(index: DataFrame, texts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """Incremental build: index only texts whose id the index does not hold yet."""
-    fresh = texts.join(index.select(id_col).distinct(), id_col, "left_anti")
-    return index.unionByName(gram_index(fresh, id_col, text))
+def extend_gram_index(
+    index: DataFrame, texts: DataFrame, id_col: str, text: str = "text", registry: DataFrame | None = None,
+) -> DataFrame:
+    """Incremental build: index only texts whose id the index does not hold yet.
+
+    ``registry`` lists the indexed ids, one row each. It is kept beside the postings
+    (:func:`kbspark.sources.sinks.write_index`), so that growth reads no posting; without it the
+    ids are taken from the postings themselves.
+    """
+    known = registry.select(id_col) if registry is not None else index.select(id_col).distinct()
+    return index.unionByName(gram_index(texts.join(known, id_col, "left_anti"), id_col, text))
 
 
 def _needle_keys(needles: DataFrame, n: int) -> DataFrame:

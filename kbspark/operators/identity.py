@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.functions import urls as U
+from kbspark.operators.blocks import WIDTH
 from kbspark.session import BROADCAST_ROWS, at_most, cut_lineage, salted_join
 
 # Redirect limit, signature distance, kept frames per medium.
@@ -143,47 +145,93 @@ def average_hash(values) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
+def _far(sig: int | None, kept: list[int], max_dist: int) -> bool:
+    # the sign bit counts like any other
+    return sig is None or all(((sig ^ k) & 0xFFFFFFFFFFFFFFFF).bit_count() > max_dist for k in kept)
+
+
+def _pick(batches: Iterator[pa.RecordBatch], max_dist: int, cap: int) -> Iterator[pa.RecordBatch]:
+    """Rows that each block would keep by itself; rows arrive sorted by (group, block, order).
+
+    ``_kept`` are signatures kept before, ``_n`` is how many rows were.
+    """
+    at, kept, n = None, [], 0
+    for b in batches:
+        take = []
+        columns = [b.column(c).to_pylist() for c in ("_group", "_blk", "_s", "_kept", "_n")]
+        for i, (group, blk, sig, before, count) in enumerate(zip(*columns)):
+            if (group, blk) != at:
+                at, kept, n = (group, blk), list(before), count
+            if n < cap and _far(sig, kept, max_dist):
+                n += 1
+                take.append(i)
+                if sig is not None:
+                    kept.append(sig)
+        yield b.take(pa.array(take, pa.int64()))
+
+
+def _merge(batches: Iterator[pa.RecordBatch], max_dist: int, cap: int) -> Iterator[pa.RecordBatch]:
+    """Picks of a group's blocks one after the other, up to the first that an earlier block rules out.
+
+    From there on the block would have kept other rows: the group goes on from that row.
+    """
+    at, kept, n, stopped = None, [], 0, False
+    for b in batches:
+        take, going_on = [], []
+        columns = [b.column(c).to_pylist() for c in ("_group", "_s", "_kept", "_n")]
+        for i, (group, sig, before, count) in enumerate(zip(*columns)):
+            if group != at:
+                at, kept, n, stopped = group, list(before), count, False
+            if stopped or n == cap:
+                continue
+            stopped = not _far(sig, kept, max_dist)
+            take.append(i)
+            going_on.append(stopped)
+            if not stopped:
+                n += 1
+                if sig is not None:
+                    kept.append(sig)
+        out = b.take(pa.array(take, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("_group", "_o", "_s")), pa.array(going_on, pa.bool_())], ["_group", "_o", "_s", "_on"])
+
+
 def near_dedup(
-    df: DataFrame, group: str, order: str, sig: str, max_dist: int = HASH_DISTANCE, cap: int = MAX_FRAMES
+    df: DataFrame, group: str, order: str, sig: str, max_dist: int = HASH_DISTANCE, cap: int = MAX_FRAMES, width: int = WIDTH,
 ) -> DataFrame:
     """First ``cap`` rows per group that differ from every earlier kept one.
 
     A row is kept when its signature is more than ``max_dist`` bits away from all kept
-    signatures of its group (a null signature is always kept). Kept row n is the first
-    survivor after row n-1, so each round is one pre-aggregated minimum over the rows
-    and a join with one small state row per group: no group is ever gathered.
+    signatures of its group (a null signature is always kept). A group is cut into blocks of
+    ``width`` order values, each block picks the rows it would keep by itself, at most ``cap``, and the picks
+    are merged in order. A group of one block is done after one pass. A pick that an earlier block
+    rules out sends its group into another pass, over its later rows that differ from the kept ones;
+    every pass settles at least one more block or ``cap``.
     """
-    # a struct around the group makes rows without one a group that joins like the others
-    own, name, group = df.columns, group, "_group"
-    df = df.withColumn(group, F.struct(F.col(name).alias("g")))
-    # every round reads the compact rows, so they are written once
-    rows = cut_lineage(df.select(group, order, sig))
-    few = at_most(rows.select(group).distinct(), BROADCAST_ROWS)
-    empty = F.array().cast("array<bigint>")
-    state = rows.groupBy(group).agg(F.lit(None).cast("long").alias("_last"), F.count(F.lit(1)).alias("_n")).select(
-        group, "_last", empty.alias("_sigs"), F.array().cast("array<bigint>").alias("_kept"))
-    for _ in range(cap):
-        alive = (F.col("_last").isNull() | (F.col(order) > F.col("_last"))) & (
-            F.col(sig).isNull()
-            | F.forall("_sigs", lambda k: F.bit_count(k.bitwiseXOR(F.col(sig))) > max_dist)
-        )
-        pick = F.when(alive, F.struct(F.col(order).alias("o"), F.col(sig).alias("s")))
-        state = (
-            (rows.join(F.broadcast(state), group) if few else salted_join(rows, state, [group], order))
-            .groupBy(group)
-            .agg(F.min(pick).alias("_p"), F.first("_sigs").alias("_sigs"), F.first("_kept").alias("_kept"),
-                 F.first("_last").alias("_old"))
-            .select(
-                group,
-                F.when(F.col("_p").isNull(), F.lit(2**62).cast("long")).otherwise(F.col("_p.o")).alias("_last"),
-                F.when(F.col("_p.s").isNull(), F.col("_sigs")).otherwise(
-                    F.array_append("_sigs", F.col("_p.s"))).alias("_sigs"),
-                F.when(F.col("_p").isNull(), F.col("_kept")).otherwise(
-                    F.array_append("_kept", F.col("_p.o"))).alias("_kept"),
-            )
-        )
-    kept = state.select(group, F.explode("_kept").alias(order))
-    return df.join(kept, [group, order], "left_semi").select(*own)
+    own, key = df.columns, F.struct(F.col(group).alias("g")).alias("_group")  # rows without a group are one like the others
+    rows = cut_lineage(df.select(key, F.col(order).cast("long").alias("_o"), F.col(sig).cast("long").alias("_s")))
+    todo = rows.withColumn("_kept", F.array().cast("array<bigint>")).withColumn("_n", F.lit(0))
+    kept = None
+    kind = rows.schema["_group"].dataType.simpleString()
+    while True:
+        blocks = todo.withColumn("_blk", F.floor(F.col("_o") / width).cast("long"))
+        picked = blocks.repartition("_group", "_blk").sortWithinPartitions("_group", "_blk", "_o").mapInArrow(
+            lambda x: _pick(x, max_dist, cap), blocks.schema)
+        merged = cut_lineage(picked.repartition("_group").sortWithinPartitions("_group", "_o").mapInArrow(
+            lambda x: _merge(x, max_dist, cap), f"_group {kind}, _o bigint, _s bigint, _on boolean"))
+        new = merged.filter(~F.col("_on")).select("_group", "_o", "_s")
+        kept = new if kept is None else kept.unionByName(new)
+        again = merged.filter("_on").select("_group", F.col("_o").alias("_from"))
+        if again.isEmpty():
+            break
+        # at most ``cap`` rows a group
+        state = kept.join(again.select("_group"), "_group", "left_semi").groupBy("_group").agg(
+            F.collect_list("_s").alias("_kept"), F.count(F.lit(1)).cast("int").alias("_n")).join(again, "_group")
+        few = at_most(again, BROADCAST_ROWS)
+        later = rows.join(F.broadcast(state), "_group") if few else salted_join(rows, state, ["_group"], "_o")
+        todo = later.filter((F.col("_o") > F.col("_from")) & (F.col("_s").isNull() | F.forall(
+            "_kept", lambda k: F.bit_count(k.bitwiseXOR(F.col("_s"))) > max_dist))).select("_group", "_o", "_s", "_kept", "_n")
+    hit = kept.select(F.col("_group.g").alias("_g"), "_o")
+    return df.join(hit, F.col(group).eqNullSafe(F.col("_g")) & (F.col(order) == F.col("_o")), "left_semi").select(*own)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kbspark.operators.blocks import best_k, top_k
+from kbspark.session import cut_lineage
 
 # Default cut-off on L2 distance and default encoder width.
 MAX_DISTANCE = 1.0
@@ -31,17 +32,54 @@ def hash_trigram_vector(text: str | None, dim: int = DIM) -> np.ndarray:
     return (v / np.sqrt((v * v).sum())).astype(np.float32)
 
 
-def embed(
-    df: DataFrame, text: str, out: str = "embedding",
-    encoder: Callable[[str], np.ndarray] = hash_trigram_vector,
-) -> DataFrame:
-    """Add a float vector of ``text``; ``encoder`` maps one string to one vector."""
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts one after the other, and where each text begins (null: empty)."""
+    column = texts.cast(pa.large_string()).fill_null("")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]]
+    first = np.flatnonzero((raw & 0xC0) != 0x80)
+    lead = raw[first].astype(np.int64)
+    size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+    code = np.where(size == 1, lead, lead & (0xFF >> (size + 1)))
+    for k in (1, 2, 3):
+        more = size > k
+        code[more] = (code[more] << 6) | (raw[first[more] + k] & 0x3F)
+    return code, np.searchsorted(first, at - at[0])
+
+
+def hash_trigram_matrix(texts: pa.Array, dim: int = DIM, rows: int = 2048) -> Iterator[np.ndarray]:
+    """:func:`hash_trigram_vector` of many texts, one matrix for every ``rows`` of them."""
+    for lo in range(0, len(texts), rows):
+        part = texts.slice(lo, rows)
+        code, at = code_points(part)
+        n, row = len(part), np.repeat(np.arange(len(part)), np.diff(at))
+        if len(code) > 2:
+            inside = row[2:] == row[:-2]
+            slot = (code[:-2] * 961 + code[1:-1] * 31 + code[2:])[inside] % dim
+            v = np.sqrt(np.bincount(row[2:][inside] * dim + slot, minlength=n * dim).reshape(n, dim).astype(np.float64))
+        else:
+            v = np.zeros((n, dim))
+        length = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        yield (v / np.where(length > 0, length, 1.0)).astype(np.float32)
+
+
+def embed(df: DataFrame, text: str, out: str = "embedding", encoder: Callable[[str], np.ndarray] | None = None, dim: int = DIM) -> DataFrame:
+    """Add a float vector of ``text``.
+
+    By default hashed trigrams, whole batches at a time; ``encoder`` maps one string to one vector.
+    """
+
+    @F.arrow_udf(t.ArrayType(t.FloatType()))
+    def encode(batch: pa.Array) -> pa.Array:
+        flat = np.concatenate([m.ravel() for m in hash_trigram_matrix(batch, dim)] or [np.zeros(0, np.float32)])
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dim), pa.int32()), pa.array(flat))
 
     @F.pandas_udf(t.ArrayType(t.FloatType()))
-    def encode(batch: pd.Series) -> pd.Series:
+    def encode_each(batch: pd.Series) -> pd.Series:
         return batch.map(encoder)
 
-    return df.withColumn(out, encode(F.col(text)))
+    return df.withColumn(out, (encode if encoder is None else encode_each)(F.col(text)))
 
 
 def embed_chunks(chunks: DataFrame, title: str = "title", text: str = "text", **kw) -> DataFrame:
@@ -130,20 +168,22 @@ def _same_width(sizes, width: int) -> None:
         raise ValueError(f"vectors of {other} values, queries of {width}")
 
 
-def _per_block(queries: DataFrame, vectors: DataFrame, id_col: str, embedding: str, work: Callable, schema: str) -> DataFrame:
-    """Rows of ``work(query ids, queries, ids, vectors)`` for all pairs of blocks.
+def _per_block(
+    queries: DataFrame, vectors: DataFrame, id_col: str, embedding: str, work: Callable, schema: str, finish: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """``finish`` over the rows of ``work(query ids, queries, ids, vectors)``, for all queries and vectors.
 
     A query set proven small is shipped to the executors once and the vectors are scanned in
-    place, without a shuffle. A larger one is cut into blocks; vectors are cut into blocks
-    too, and each pair of blocks is one bounded piece of work.
+    place, without a shuffle. A larger one is shipped block by block over vectors that are
+    written once and stay where they are: the driver holds one block of queries, the result of
+    a block is written before the next is read, and nothing but results is shuffled.
     """
     qs = queries.select(F.col("query_id").cast("long"), "qvec").filter(F.col("qvec").isNotNull())
     # missing vectors are skipped inside the tasks: as a filter the test would move below a
     # rebalancing and run an encoder a second time
     vs = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("vec"))
-    # bounded probe: reads at most BLOCK_ROWS + 1 queries, enough to know which way to go
-    rows = qs.limit(BLOCK_ROWS + 1).toPandas()
-    if len(rows) <= BLOCK_ROWS and sum(map(len, rows["qvec"])) * 8 <= QUERY_BYTES:
+
+    def scan_for(rows: pd.DataFrame, vs: DataFrame) -> DataFrame:
         qids, q = rows["query_id"].to_numpy(), _matrix(rows["qvec"])
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,24 +196,20 @@ def _per_block(queries: DataFrame, vectors: DataFrame, id_col: str, embedding: s
                     best = work(qids, q, b.column(0).to_numpy(), v)
                     yield pa.RecordBatch.from_arrays([pa.array(best[c].to_numpy()) for c in best], list(best))
 
-        return vs.mapInArrow(scan, schema)
-    n_q = max(1, -(-qs.count() // BLOCK_ROWS))
-    n_v = max(1, -(-vs.count() // BLOCK_ROWS))
-    qb = qs.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn(
-        "vb", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
-    vb = vs.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(n_v)).cast("int")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    names = [c.split()[0] for c in schema.split(", ")]
+        return finish(vs.mapInArrow(scan, schema))
 
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b[b["vec"].notna()]
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in names})
-        q = _matrix(a["qvec"])
-        _same_width(b["vec"].map(len), q.shape[1])
-        return work(a["query_id"].to_numpy(), q, b["id"].to_numpy(), _matrix(b["vec"]))
-
-    return qb.groupBy("qb", "vb").cogroup(vb.groupBy("qb", "vb")).applyInPandas(pair, schema)
+    # bounded probe: reads at most BLOCK_ROWS + 1 queries, enough to know which way to go
+    rows = qs.limit(BLOCK_ROWS + 1).toPandas()
+    if len(rows) <= BLOCK_ROWS and sum(map(len, rows["qvec"])) * 8 <= QUERY_BYTES:
+        return scan_for(rows, vs)
+    n, size = qs.agg(F.count(F.lit(1)), F.sum(F.size("qvec")) * 8).first()
+    blocks = max(1, -(-n // BLOCK_ROWS), -(-size // QUERY_BYTES))
+    qs = cut_lineage(qs.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    vs, out = cut_lineage(vs), None
+    for b in range(blocks):
+        part = cut_lineage(scan_for(qs.filter(F.col("qb") == b).drop("qb").toPandas(), vs))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def knn(
@@ -191,11 +227,11 @@ def knn(
     rows per query. With ``cosine`` the distance is the negated cosine, so ascending order
     still means best first. Vectors of another length than the queries are refused.
     """
-    partial = _per_block(
+    best = _per_block(
         queries, vectors, id_col, embedding,
         lambda qids, q, ids, v: _best_per_query(qids, q, ids, v, k, max_dist, cosine),
-        "query_id long, id long, distance double")
-    best = top_k(partial, ["query_id"], [F.asc("distance"), F.asc("id")], k)
+        "query_id long, id long, distance double",
+        lambda rows: top_k(rows, ["query_id"], [F.asc("distance"), F.asc("id")], k))
     return best.select(
         "query_id", F.col("id").alias(id_col), (F.col("rn") - 1).cast("int").alias("vec_rank"),
         (-F.col("distance") if cosine else F.col("distance")).alias("distance"),
@@ -206,8 +242,8 @@ def within(queries: DataFrame, vectors: DataFrame, cuts: Sequence[float], id_col
            embedding: str = "embedding", cosine: bool = False) -> DataFrame:
     """(query_id, threshold, hits): all vectors within each cut-off, counted where they lie."""
     cuts = [float(c) for c in cuts]
-    partial = _per_block(
+    return _per_block(
         queries, vectors, id_col, embedding,
         lambda qids, q, ids, v: _counts_per_query(qids, q, v, cuts, cosine),
-        "query_id long, threshold double, hits long")
-    return partial.groupBy("query_id", "threshold").agg(F.sum("hits").alias("hits"))
+        "query_id long, threshold double, hits long",
+        lambda rows: rows.groupBy("query_id", "threshold").agg(F.sum("hits").alias("hits")))

@@ -134,13 +134,26 @@ def note_sources(notes: DataFrame, sources: DataFrame, k: int = NOTE_SOURCES) ->
     return ids.join(names, "source_id", "left").select("note_id", "pos", "source_id", "title")
 
 
-def notes_view(notes: DataFrame, sources: DataFrame, status: str = "candidate", limit: int = 100) -> DataFrame:
-    """Newest notes of a status with their resolved sources as an array (at most 8)."""
-    page = notes.filter(F.col("status") == status).orderBy(F.desc("note_id")).limit(limit)
+def notes_view(
+    notes: DataFrame, sources: DataFrame, status: str = "candidate", limit: int | None = 100, newest_first: bool = True,
+) -> DataFrame:
+    """Notes of a status with their resolved sources as an array (at most 8), newest first.
+
+    Without ``limit`` all of them: the rows are range-partitioned for the order, not collected.
+    """
+    order = F.desc("note_id") if newest_first else F.asc("note_id")
+    page = notes.filter(F.col("status") == status)
+    if limit is not None:
+        page = page.orderBy(order).limit(limit)
     resolved = note_sources(page, sources).groupBy("note_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("pos", "source_id", "title"))),
                     lambda x: F.struct(x["source_id"].alias("source_id"), x["title"].alias("title"))).alias("sources"))
-    return page.join(resolved, "note_id", "left").orderBy(F.desc("note_id"))
+    return page.join(resolved, "note_id", "left").orderBy(order)
+
+
+def candidates(notes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Every candidate note with its sources, oldest first: the list that is decided on."""
+    return notes_view(notes, sources, "candidate", None, False)
 
 
 def note_text(notes: DataFrame, sources: DataFrame) -> DataFrame:

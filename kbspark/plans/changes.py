@@ -144,8 +144,9 @@ def evolve(spark, sf):
 def index_growth(spark, sf):
     """Index of the labelled documents, extended to all: postings per document."""
     chunks = S.whole_chunks(spark, sf)
-    labelled = chunks.join(S.given(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
-    index = X.extend_gram_index(X.gram_index(labelled, "chunk_id"), chunks, "chunk_id")
+    registry = S.given(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"))
+    labelled = chunks.join(registry, "chunk_id", "left_semi")
+    index = X.extend_gram_index(X.gram_index(labelled, "chunk_id"), chunks, "chunk_id", registry=registry)
     return index.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n_grams"))
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kbspark.plans import activity, changes, content, ingest, quality, retrieval
+from kbspark.plans import activity, changes, content, ingest, parts, quality, retrieval, streams
 
-AREAS = (retrieval, content, ingest, activity, changes, quality)
+AREAS = (retrieval, content, ingest, activity, changes, quality, streams, parts)
 
 
 def all_queries() -> dict:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,19 +70,29 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: str,
     return left.join(right, [*keys, "_salt"]).drop("_salt")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
     ``spark.checkpoint.dir`` is read from the session; only when neither it nor the
     context has a folder (single-machine tests) a temporary one is set.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint of ``df`` in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kbspark.functions import dates as D
@@ -47,17 +48,60 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def page_text(html: Column) -> Column:
-    """Running text of a page: furniture dropped, blocks to lines, tags and entities resolved."""
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->", "")
-    for tag in ("script", "style", "nav", "footer", "aside", "noscript"):
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    body = F.regexp_replace(body, r"(?is)<div class=\"(?:ad|comments?)\"[^>]*>.*?</div>", "")
-    body = F.regexp_replace(body, r"(?is)<title\b[^>]*>.*?</title>", "")
-    body = F.regexp_replace(body, r"(?i)</(?:p|h[1-6]|li|div|article|section|tr)>|<br\s*/?>", "\n")
-    body = F.regexp_replace(body, r"(?s)<[^>]+>", "")
-    body = T.html_unescape(body)
-    return T.strip(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+# Elements that frame an article, and words in a class, id or role that name such parts.
+FURNITURE = ("nav", "footer", "aside", "noscript", "form", "menu", "button", "select", "iframe", "svg", "template", "title")
+PARTS = "ads?|advert|advertisement|banner|comments?|menu|navigation|sidebar|share|cookie|related"
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+BLOCKS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "div", "article", "section", "tr")
+_TOKEN = r"(?s)<[/!A-Za-z][^>]*>|[^<]+|<"
+_NAMED = r"(?is)^<[^>]*[\s\"'](?:class|id|role)\s*=\s*(?:[\"'][^\"'>]*|)(?<![\w-])(?:" + PARTS + r")(?![\w-])"
+
+
+def page_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Tags and texts of every page in order, with ``cover``: how many removed elements they lie in.
+
+    A closing tag belongs to the last open tag of its name on its level. Levels are running
+    sums over the tags of one name, so tags that are never closed (paragraphs, list items)
+    disturb no other name. An element that is never closed is not removed. The other columns
+    of a page ride on its first row, in ``page``.
+    """
+    own = [c for c in pages.columns if c != html]
+    raw = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->", "")
+    for tag in ("script", "style"):  # their content is no markup
+        raw = F.regexp_replace(raw, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
+    # pages are numbered before they are taken apart; one shuffle by page serves every window
+    numbered = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*own).alias("page"), raw.alias("_raw"))
+    rows = numbered.select("_row", "page", F.posexplode_outer(F.regexp_extract_all("_raw", F.lit(_TOKEN), F.lit(0))).alias("pos", "token")).repartition("_row")
+    rows = rows.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("page", F.when(F.col("pos") == 0, F.col("page")))
+    name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][\w:-]*)", 1))
+    tag = rows.withColumn("name", F.coalesce(name, F.lit(""))).withColumn("closing", F.col("token").startswith("</"))
+    paired = (F.col("name") != "") & ~F.col("name").isin(*VOID) & ~F.col("token").rlike(r"/\s*>$")
+    tag = tag.withColumn("delta", F.when(paired, F.when(F.col("closing"), -1).otherwise(1)).otherwise(0)).withColumn(
+        "part", (F.col("delta") == 1) & (F.col("name").isin(*FURNITURE) | F.col("token").rlike(_NAMED)))
+    named = W.partitionBy("_row", "name").orderBy("pos")
+    tag = tag.withColumn("level", F.sum("delta").over(named.rowsBetween(W.unboundedPreceding, 0)) + (F.col("delta") == -1).cast("int"))
+    tag = tag.withColumn("level", F.when(F.col("delta") != 0, F.col("level")))  # texts and tags of their own are on none
+    level = W.partitionBy("_row", "name", "level").orderBy("pos")
+    tag = tag.withColumn("_shuts", F.lead("delta").over(level) == -1).withColumn("_opened", F.lag("part").over(level))
+    step = F.when(F.col("part") & F.col("_shuts"), 1).when((F.col("delta") == -1) & F.col("_opened"), -1).otherwise(0)
+    every = W.partitionBy("_row").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    return tag.withColumn("_step", step).select(
+        "_row", "page", "pos", "token", "name", "closing", F.sum("_step").over(every).alias("cover"))
+
+
+def page_bodies(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
+    """Pages with their running text instead of ``html``: framing elements dropped whole, however
+    deeply they nest, blocks to lines, other tags and entities resolved."""
+    own = [c for c in pages.columns if c != html]
+    kept = page_tokens(pages, html)
+    broken = (F.col("closing") & F.col("name").isin(*BLOCKS)) | (F.col("name") == "br")
+    piece = F.when(F.col("cover") > 0, "").when(broken, "\n").when((F.col("name") == "") & ~F.col("token").startswith("<!"), F.col("token")).otherwise("")
+    # the pieces of one page, which is one cell of the input
+    whole = kept.groupBy("_row").agg(F.first("page", ignorenulls=True).alias("page"), F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("pos", F.coalesce(piece, F.lit("")).alias("t")))), lambda x: x["t"]), "").alias("body"))
+    body = T.html_unescape("body")
+    text = T.strip(F.regexp_replace(F.regexp_replace(body, r"[ \t]+", " "), r"\s*\n\s*", "\n"))
+    return whole.select(*[F.col("page")[c].alias(c) for c in own], text.alias(out))
 
 
 def page_title(html: Column) -> Column:
@@ -74,13 +118,12 @@ def page_date(html: Column) -> Column:
 
 def page_articles(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Pages as article sources with one whole-document segment and a rejection reason."""
-    body = page_text(F.col(html))
-    return pages.select(
-        *[c for c in pages.columns if c != html],
-        F.lit("article").alias("type"), F.lit("web").alias("platform"), U.article_url_id(url).alias("video_id"),
-        F.coalesce(page_title(F.col(html)), U.netloc(url)).alias("title"), page_date(F.col(html)).alias("published_at"),
-        body.alias("text"),
-    ).withColumn("reject_reason", wall_reason("text"))
+    # title and date come from the page as it is; its text from what is left of it
+    facts = pages.select(
+        *[c for c in pages.columns if c != html], F.col(html), F.lit("article").alias("type"), F.lit("web").alias("platform"),
+        U.article_url_id(url).alias("video_id"), F.coalesce(page_title(F.col(html)), U.netloc(url)).alias("title"),
+        page_date(F.col(html)).alias("published_at"))
+    return page_bodies(facts, html).withColumn("reject_reason", wall_reason("text"))
 
 
 def parse_rendered(df: DataFrame, raw: str = "raw", url: str = "url") -> DataFrame:

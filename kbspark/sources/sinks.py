@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kbspark.operators.fulltext import gram_index
 from kbspark.operators.views import export_lines
 
 
@@ -33,3 +35,36 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", sort: str | N
 def write_postings(index: DataFrame, table: str, buckets: int = 256) -> None:
     """Posting table bucketed by gram: later candidate joins need no shuffle of the index."""
     index.write.mode("overwrite").bucketBy(buckets, "gram").sortBy("gram").saveAsTable(table)
+
+
+def write_index(texts: DataFrame, path: str, id_col: str = "chunk_id", text: str = "text", batch: str = "0") -> None:
+    """Add the texts that ``path`` does not hold yet: their postings, then their ids.
+
+    The registry of ids decides what is new, so growth never reads the postings. It is written
+    last: a batch that broke off is done again, over its own folder.
+    """
+    spark = texts.sparkSession
+    known = stored_ids(spark, path, texts.select(id_col).schema, batch)
+    fresh = texts.join(known, id_col, "left_anti")
+    gram_index(fresh, id_col, text).write.mode("overwrite").parquet(f"{path}/postings/batch={batch}")
+    fresh.select(id_col).write.mode("overwrite").parquet(f"{path}/registry/batch={batch}")
+
+
+def stored_ids(spark: SparkSession, path: str, schema, but: str | None = None) -> DataFrame:
+    """Ids in the registry of ``path``, without those of batch ``but``; none when there is no index."""
+    try:
+        rows = spark.read.parquet(f"{path}/registry")
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" not in str(exc):
+            raise
+        return spark.createDataFrame([], schema)
+    return rows.filter(F.col("batch").cast("string") != F.lit(but)).select(*schema.names) if but is not None else rows.select(*schema.names)
+
+
+def read_index(spark: SparkSession, path: str, id_col: str = "chunk_id") -> DataFrame:
+    """The stored posting table (gram, id), as searches take it for ``index``.
+
+    Only postings of batches whose ids are registered count.
+    """
+    whole = spark.read.parquet(f"{path}/registry").select("batch").distinct()
+    return spark.read.parquet(f"{path}/postings").join(F.broadcast(whole), "batch", "left_semi").select("gram", id_col)

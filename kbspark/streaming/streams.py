@@ -174,6 +174,22 @@ def month_rollup(daily: DataFrame) -> DataFrame:
         F.sum("calls").alias("calls"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
 
 
+def settle_stream(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that has arrived and read back what it gives.
+
+    Rows of an append stream are filed under their batch; of a complete stream the last whole
+    result stays. Either way a replayed batch overwrites its own rows.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id if mode == 'append' else 0}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+    return rows.select(*stream.columns)
+
+
 def read_files(spark: SparkSession, path: str, schema: str, per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if per_trigger:
