@@ -2,13 +2,18 @@
 
 Every document gets whole-number measures. Their distributions are kept as mergeable
 quantile sketches: counts in log-linear buckets (16 to each doubling, so a quantile is right to 1/16),
-which sum over tasks, over sources to a language, and over all. A document is dropped when
-a measure lies outside fences set from the quartiles of its own language and source.
+which sum over tasks, over sources to a language, and over all. A group's limit lies ``REACH``
+times the way from its median to its 90 % quantile beyond that quantile; for word lengths
+there is one below, from the 10 % quantile, as well. No value is fixed: where nine in ten
+documents have none of something, the limit is none.
+
+The limits of a source are drawn towards those of its language, and these towards those of all
+documents, by row counts: n rows weigh n / (n + ``PRIOR``), without a step at any size. Ratios of
+short texts are coarse, so one event (a symbol, a line, a window found again) is let through.
 
 Defined results: null and empty texts have no words and fail the base rules; null languages
-and sources are values of their own; groups of fewer than ``MIN_ROWS`` documents take
-the fences of their language, or else of all; repeated rows count as often as they come; no
-rows give no rows.
+and sources are values of their own; repeated rows count as often as they come; no rows give
+no rows. Columns other than doc_id, text, lang and source are not looked at.
 """
 
 from __future__ import annotations
@@ -19,15 +24,15 @@ from pyspark.sql import functions as F
 
 from kbspark.llm.common import SPACE, let, staged, words
 
-MIN_ROWS = 50
 REACH = 3
-# Measure -> (least spread that counts, fenced below too).
+PRIOR = 50
+# Measure -> (count, size, scale, what one event adds to the count, limited below too).
 MEASURES = {
-    "symbols": (15, False),  # per 1000 characters of words
-    "capitals": (60, False),  # per 1000 characters of words
-    "dup_lines": (200, False),  # per 1000 lines
-    "repeats": (60, False),  # per 1000 words
-    "word_length": (100, True),  # hundredths of a character
+    "symbols": ("n_symbols", "word_chars", 1000, 1, False),
+    "capitals": ("n_capitals", "word_chars", 1000, 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 10, False),
+    "word_length": ("word_chars", "n_words", 100, 0, True),
 }
 
 
@@ -74,13 +79,20 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (F.lit(100) * F.col("n_repeat_words") > F.lit(20) * F.col("n_words"))
 
 
+def _ratio(name: str, less: int = 0) -> Column:
+    count, size, scale, _, _ = MEASURES[name]
+    counted = F.greatest(F.col(count) - less, F.lit(0))
+    return F.floor(F.lit(scale) * counted / F.greatest(F.col(size), F.lit(1))).cast("long")
+
+
 def measures() -> dict[str, Column]:
-    ratio = lambda part, whole, scale: F.floor(F.lit(scale) * F.col(part) / F.greatest(F.col(whole), F.lit(1))).cast("long")
-    return {
-        "symbols": ratio("n_symbols", "word_chars", 1000), "capitals": ratio("n_capitals", "word_chars", 1000),
-        "dup_lines": ratio("n_dup_lines", "n_lines", 1000), "repeats": ratio("n_repeat_words", "n_words", 1000),
-        "word_length": ratio("word_chars", "n_words", 100),
-    }
+    """What the sketches are made of."""
+    return {name: _ratio(name) for name in MEASURES}
+
+
+def judged() -> dict[str, Column]:
+    """What the limits are held against: the measures without one event."""
+    return {name: _ratio(name, MEASURES[name][3]) for name in MEASURES}
 
 
 def bucket(value: Column) -> Column:
@@ -114,48 +126,71 @@ def sketches(counts: DataFrame) -> DataFrame:
         "g.level", "g.lang", "g.source", "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
-def quartiles(sketch: DataFrame) -> DataFrame:
-    """q1 and q3 per group and measure, read from the accumulated bucket counts."""
+def quantiles(sketch: DataFrame) -> DataFrame:
+    """Buckets of the 10 %, 50 % and 90 % quantile per group and measure, from the accumulated counts."""
     key = ["level", "lang", "source", "measure"]
     up = W.partitionBy(*key).orderBy("bucket")
     cum = sketch.select(*key, "bucket", F.sum("n").over(up).alias("c"), F.sum("n").over(W.partitionBy(*key)).alias("rows"))
-    at = lambda quarter: bucket_floor(F.min(F.when(F.col("c") * 4 >= F.col("rows") * quarter, F.col("bucket"))))
-    return cum.groupBy(*key).agg(F.max("rows").alias("rows"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda tenths: F.min(F.when(F.col("c") * 10 >= F.col("rows") * tenths, F.col("bucket")))
+    return cum.groupBy(*key).agg(F.max("rows").alias("rows"), at(1).alias("b1"), at(5).alias("b5"), at(9).alias("b9"))
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """low and high per group and measure; a quantile is taken at the far end of its bucket."""
+    top = lambda b: bucket_floor(b + 1) - 1
+    below = [m for m, rule in MEASURES.items() if rule[4]]
+    b1, b5, b9 = F.col("b1"), F.col("b5"), F.col("b9")
+    low = bucket_floor(b1) - F.lit(REACH) * (top(b5) - bucket_floor(b1))
+    high = top(b9) + F.lit(REACH) * (top(b9) - bucket_floor(b5))
+    return quantiles(sketch).select(
+        "level", "lang", "source", "measure", "rows", F.when(F.col("measure").isin(below), low).otherwise(F.lit(0)).cast("double").alias("low"),
+        high.cast("double").alias("high"))
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """lang, source and the lowest and highest accepted value of every measure."""
-    least = F.create_map(*[F.lit(x) for m, (spread, _) in MEASURES.items() for x in (m, spread)])
-    below = [m for m, (_, both) in MEASURES.items() if both]
-    reach = F.lit(REACH) * F.greatest(F.col("q3") - F.col("q1"), least[F.col("measure")])
-    per = quartiles(sketches(counts)).select(
-        "level", "lang", "source", "measure", "rows",
-        F.when(F.col("measure").isin(below), F.col("q1") - reach).otherwise(F.lit(0)).alias("low"),
-        (F.col("q3") + reach).alias("high")).groupBy("level", "lang", "source").agg(
-        F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("measure", F.struct("low", "high")))).alias("fence"))
-    # The sketch of all documents is one row: a key of its own joins it to every group.
-    one, lang, every = (
-        per.filter(F.col("level") == i).select(
-            F.col("lang").alias(f"l{i}"), F.col("source").alias(f"s{i}"), F.col("rows").alias(f"n{i}"), F.col("fence").alias(f"f{i}"))
-        for i in range(3))
-    one, every = one.withColumn("one", F.lit(1)), every.withColumn("one", F.lit(1))
-    return one.join(lang, F.col("l0").eqNullSafe(F.col("l1")), "left").join(every, "one").select(
-        F.col("l0").alias("_lang"), F.col("s0").alias("_source"),
-        F.when(F.col("n0") >= MIN_ROWS, F.col("f0")).when(F.col("n1") >= MIN_ROWS, F.col("f1")).otherwise(F.col("f2")).alias("fence"))
+    """_lang, _source and the lowest and highest accepted value of every measure (``fence``)."""
+    per = staged(limits(sketches(counts)), "limits")
+    own, lang, every = (per.filter(F.col("level") == i).select(
+        "measure", *([F.col("lang").alias(f"g{i}")] if i < 2 else []), *([F.col("source").alias("s0")] if i == 0 else []),
+        F.col("rows").alias(f"n{i}"), F.col("low").alias(f"low{i}"), F.col("high").alias(f"high{i}")) for i in range(3))
 
+    def drawn(side: str) -> Column:
+        wide = (F.col("n1") * F.col(f"{side}1") + PRIOR * F.col(f"{side}2")) / (F.col("n1") + PRIOR)
+        return ((F.col("n0") * F.col(f"{side}0") + PRIOR * wide) / (F.col("n0") + PRIOR)).alias(side)
 
-def judge(docs: DataFrame) -> DataFrame:
-    """Counts, base_failed and kept of every document.
+    joined = own.alias("o").join(lang.alias("l"), F.col("g0").eqNullSafe(F.col("g1")) & (F.col("o.measure") == F.col("l.measure"))).join(
+        every.alias("e"), F.col("o.measure") == F.col("e.measure"))
+    entry = F.struct(F.col("o.measure").alias("measure"), F.struct(drawn("low"), drawn("high")).alias("f"))
+    # as many entries as there are measures
+    return joined.select(F.col("g0").alias("_lang"), F.col("s0").alias("_source"), entry.alias("m")).groupBy("_lang", "_source").agg(
+        F.map_from_entries(F.collect_list("m")).alias("fence"))
+
+
+def verdicts(docs: DataFrame) -> DataFrame:
+    """Counts, base_failed and a flag per measure (``out``: outside its limits) of every document.
 
     Texts are read once; the counts are staged and used for the sketches and the verdicts.
     The sketches leave out what the base rules fail.
     """
     counts = staged(text_counts(docs), "quality").withColumn("base_failed", base_failed())
-    limits = fences(counts.filter(~F.col("base_failed")))
-    held = F.lit(True)
-    for name, value in measures().items():
-        held = held & value.between(F.col("fence")[name]["low"], F.col("fence")[name]["high"])
-    joined = counts.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(held, F.lit(False))).alias("kept"))
+    found = fences(counts.filter(~F.col("base_failed")))
+    joined = counts.join(found, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    fence = F.col("fence")
+    out = F.struct(*[F.coalesce(~v.cast("double").between(fence[m]["low"], fence[m]["high"]), F.lit(True)).alias(m) for m, v in judged().items()])
+    return joined.withColumn("out", out)
+
+
+def rejections(docs: DataFrame) -> DataFrame:
+    """(measure, n): how many documents each measure rejects that pass the base rules."""
+    rows = verdicts(docs).filter(~F.col("base_failed"))
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), F.col("out")[m].cast("int").alias("n")) for m in MEASURES])
+    return rows.select(F.explode(each).alias("r")).groupBy("r.measure").agg(F.sum("r.n").alias("n"))
+
+
+def judge(docs: DataFrame) -> DataFrame:
+    """Counts, base_failed and kept of every document."""
+    held = ~F.col("base_failed")
+    for name in MEASURES:
+        held = held & ~F.col("out")[name]
+    return verdicts(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", held.alias("kept"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from kbspark.llm.quality import MEASURES, MIN_ROWS, REACH
-from kbspark.llm.secrets import RULES
-
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 OP1 = f"""
@@ -97,12 +94,20 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-_RATIOS = {
-    "symbols": "1000 * n_symbols // greatest(word_chars, 1)", "capitals": "1000 * n_capitals // greatest(word_chars, 1)",
-    "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)", "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
-    "word_length": "100 * word_chars // greatest(n_words, 1)",
-}
-_SPREADS = ", ".join(f"('{m}', {spread}, {str(both).lower()})" for m, (spread, both) in MEASURES.items())
+# Measure, value, value without one event.
+_RATIOS = (
+    ("symbols", "1000 * n_symbols // greatest(word_chars, 1)", "1000 * greatest(n_symbols - 1, 0) // greatest(word_chars, 1)"),
+    ("capitals", "1000 * n_capitals // greatest(word_chars, 1)", "1000 * greatest(n_capitals - 1, 0) // greatest(word_chars, 1)"),
+    ("dup_lines", "1000 * n_dup_lines // greatest(n_lines, 1)", "1000 * greatest(n_dup_lines - 1, 0) // greatest(n_lines, 1)"),
+    ("repeats", "1000 * n_repeat_words // greatest(n_words, 1)", "1000 * greatest(n_repeat_words - 10, 0) // greatest(n_words, 1)"),
+    ("word_length", "100 * word_chars // greatest(n_words, 1)", "100 * word_chars // greatest(n_words, 1)"),
+)
+
+
+def _least(b: str) -> str:
+    """Least number in a bucket."""
+    return f"CASE WHEN {b} < 16 THEN {b} ELSE ({b} % 16 + 16) << CAST({b} // 16 - 1 AS BIGINT) END"
+
 
 OP2 = rf"""
 WITH d AS (
@@ -125,7 +130,7 @@ WITH d AS (
 ), b AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
 ), m AS (
-  {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, CAST({e} AS BIGINT) AS v FROM b" for m, e in _RATIOS.items())}
+  {" UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS measure, CAST({e} AS BIGINT) AS v, CAST({x} AS BIGINT) AS x FROM b" for m, e, x in _RATIOS)}
 ), k AS (
   SELECT *, CASE WHEN v < 16 THEN v ELSE (length(bin(v)) - 4) * 16 + (v >> (length(bin(v)) - 5)) - 16 END AS bucket FROM m
 ), g AS (
@@ -138,46 +143,57 @@ WITH d AS (
   SELECT *, sum(few) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS c,
     sum(few) OVER (PARTITION BY level, lang, source, measure) AS many FROM o
 ), q AS (
-  SELECT level, lang, source, measure, max(many) AS n, min(CASE WHEN 4 * c >= many THEN bucket END) AS b1,
-    min(CASE WHEN 4 * c >= 3 * many THEN bucket END) AS b3 FROM h GROUP BY 1, 2, 3, 4
+  SELECT level, lang, source, measure, max(many)::DOUBLE AS n, min(CASE WHEN 10 * c >= many THEN bucket END) AS b1,
+    min(CASE WHEN 10 * c >= 5 * many THEN bucket END) AS b5, min(CASE WHEN 10 * c >= 9 * many THEN bucket END) AS b9 FROM h GROUP BY 1, 2, 3, 4
 ), f AS (
-  SELECT level, lang, source, q.measure, n, two_sided,
-    CASE WHEN b1 < 16 THEN b1 ELSE (b1 % 16 + 16) << (b1 // 16 - 1) END AS q1,
-    CASE WHEN b3 < 16 THEN b3 ELSE (b3 % 16 + 16) << (b3 // 16 - 1) END AS q3, spread
-  FROM q JOIN (VALUES {_SPREADS}) x(measure, spread, two_sided) ON q.measure = x.measure
+  SELECT level, lang, source, measure, n, {_least("b1")} AS lo, {_least("b5")} AS mid, {_least("(b5 + 1)")} - 1 AS mid_top, {_least("(b9 + 1)")} - 1 AS hi FROM q
 ), e AS (
-  SELECT *, CASE WHEN two_sided THEN q1 - {REACH} * greatest(q3 - q1, spread) ELSE 0 END AS low, q3 + {REACH} * greatest(q3 - q1, spread) AS high FROM f
+  SELECT *, CASE WHEN measure = 'word_length' THEN lo - 3 * (mid_top - lo) ELSE 0 END::DOUBLE AS low, (hi + 3 * (hi - mid))::DOUBLE AS high FROM f
 ), v AS (
-  SELECT k.doc_id, bool_and(CASE WHEN own.n >= {MIN_ROWS} THEN k.v BETWEEN own.low AND own.high
-    WHEN up.n >= {MIN_ROWS} THEN k.v BETWEEN up.low AND up.high ELSE k.v BETWEEN every.low AND every.high END) AS held
+  SELECT k.doc_id, bool_and(k.x BETWEEN
+      (own.n * own.low + 50::DOUBLE * ((up.n * up.low + 50::DOUBLE * whole.low) / (up.n + 50::DOUBLE))) / (own.n + 50::DOUBLE)
+    AND (own.n * own.high + 50::DOUBLE * ((up.n * up.high + 50::DOUBLE * whole.high) / (up.n + 50::DOUBLE))) / (own.n + 50::DOUBLE)) AS held
   FROM k JOIN e own ON own.level = 0 AND own.measure = k.measure AND own.lang IS NOT DISTINCT FROM k.lang AND own.source IS NOT DISTINCT FROM k.source
   JOIN e up ON up.level = 1 AND up.measure = k.measure AND up.lang IS NOT DISTINCT FROM k.lang
-  JOIN e every ON every.level = 2 AND every.measure = k.measure GROUP BY 1
+  JOIN e whole ON whole.level = 2 AND whole.measure = k.measure GROUP BY 1
 )
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(held, false) AS kept
 FROM b LEFT JOIN v USING (doc_id)
 """
 
 
+# Kind, expression, group that is measured, least characters of it, in the base.
+_SECRETS = (
+    ("assign", r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
+     r"""["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8, True),
+    ("access", "AKIA[A-Z0-9]+", 0, 16, True),
+    ("hex", "[0-9a-f]+", 0, 32, True),
+    ("github", "gh[pousr]_[A-Za-z0-9]{36}", 0, 0, False),
+    ("google", "AIza[A-Za-z0-9_-]{35}", 0, 0, False),
+    ("slack", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 0, False),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 0, False),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 0, False),
+)
+
+
 def _secret_spans(number: int) -> str:
-    rule = RULES[number]
-    pattern = rule.pattern.replace("'", "''")
+    kind, pattern, group, least, base = _SECRETS[number]
     return f"""
-  SELECT doc_id, {number} AS number, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base,
+  SELECT doc_id, {number} AS number, '{kind}' AS kind, {str(base).lower()} AS base,
     unnest([CAST(list_sum([length(x) for x in gap[1:i]]) + coalesce(list_sum([length(x) for x in found[1:i - 1]]), 0) AS BIGINT)
       for i in range(1, len(found) + 1)]) AS begins,
     unnest([length(x) for x in found]) AS size, unnest([length(x) for x in part]) AS part
   FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '{pattern}') AS gap,
     regexp_extract_all(coalesce(text, ''), '{pattern}') AS found,
-    regexp_extract_all(coalesce(text, ''), '{pattern}', {rule.group}) AS part FROM documents)"""
+    regexp_extract_all(coalesce(text, ''), '{pattern}', {group}) AS part FROM documents)"""
 
 
-_CHECKED = " OR ".join(f"(number = {i} AND part >= {r.least})" for i, r in enumerate(RULES))
-_N = ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in RULES if r.base)
+_CHECKED = " OR ".join(f"(number = {i} AND part >= {r[3]})" for i, r in enumerate(_SECRETS))
+_N = ", ".join(f"count(*) FILTER (kind = '{r[0]}') AS n_{r[0]}" for r in _SECRETS if r[4])
 _SHOWN = "kind || ':' || begins || ':' || (begins + size)"
 
 OP3 = f"""
-WITH s AS ({" UNION ALL ".join(_secret_spans(i) for i in range(len(RULES)))}
+WITH s AS ({" UNION ALL ".join(_secret_spans(i) for i in range(len(_SECRETS)))}
 ), r AS (SELECT * FROM s WHERE {_CHECKED})
 SELECT documents.doc_id, {_N},
   sha256(coalesce(string_agg({_SHOWN}, ',' ORDER BY begins, number) FILTER (base), '')) AS base_sha256,
