@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from kbspark.llm.common import staged
+from kbspark.llm.common import release, staged
 from kbspark.llm.graph import components
 from kbspark.llm.tokens import (
     WORD_BASE, Piece, byte_values, find_words, mix, pieces, rolled, separators, window_hashes, window_starts, word_hashes,
@@ -198,6 +198,8 @@ def _signature_rows(common):
                 kept = fresh[row]
                 at, sig = signatures(row[kept], found[kept], np.where(fresh, sizes, 0), common.value)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(keys[at])], ["sig", "key"])
+        del seen
+        release()
 
     return rows
 
@@ -213,6 +215,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             members = pa.ListArray.from_arrays(pa.array(ends), pa.array(found.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(set_keys(found, sizes).view(np.int64)[some]), members], ["key", "members"])
+    release()
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,13 +247,22 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = F.col("n") - F.floor((F.col("n") * SIMILAR + 99) / 100) + 1
     first = staged(each.join(held, "e").join(nodes, "key").withColumn("place", place).filter(
         F.col("place") <= prefix).select("e", "key", "n", "label", "place"), "prefixes")
-    one = first.select("e", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("i"))
-    two = first.select("e", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("place").alias("j"))
-    return one.join(two, "e").filter(
-        (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))
+    # Sizes and places decide before rows meet: of a shingle, the few (size, place) groups are
+    # compared first, and only groups that can hold similar sets pair their rows.
+    group = first.groupBy("e", "n", "place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    left = group.select("e", F.col("n").alias("na"), F.col("place").alias("i"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    right = group.select("e", F.col("n").alias("nb"), F.col("place").alias("j"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    able = staged(left.join(right, "e").filter(
+        ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("i") <= F.col("j"))))
+        & (F.least("la", "lb") < F.greatest("ha", "hb"))
         & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILAR)
         & ((F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) + 1) * (100 + SIMILAR) >= (F.col("na") + F.col("nb")) * SIMILAR)
-    ).select("a", "b").distinct()
+    ).select("e", "na", "i", "nb", "j"), "groups")
+    one = first.select("e", F.col("key").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"), F.col("place").alias("i"))
+    two = first.select("e", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"), F.col("place").alias("j"))
+    return able.join(one, ["e", "na", "i"]).join(two, ["e", "nb", "j"]).filter(
+        (F.col("a") != F.col("b")) & (F.col("la") != F.col("lb"))).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def set_links(docs: DataFrame, facts: DataFrame) -> DataFrame | None:
@@ -336,9 +348,11 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     heads = staged(own.select("head.doc_id", "head.hash", "head.rows").unionByName(
         rows.filter("key is null").select("doc_id", "hash", "rows")).select(
         F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), "rows"), "heads")
-    kept = docs.withColumn("_text_hash", hashed).join(
+    own = docs.columns
+    carried = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs["doc_id"], hashed.alias("hash"))
+    kept = carried.join(
         small_side(heads.select("_id", "_hash"), at_most(heads, NARROW_ROWS)),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left_semi")
     if not at_most(heads.filter("rows > 1"), 0):
-        kept = kept.dropDuplicates(["doc_id", "_text_hash"])
-    return kept.drop("_text_hash")
+        kept = kept.dropDuplicates(["doc_id", "hash"])
+    return kept.select(*[F.col("row")[c].alias(c) for c in own])
