@@ -117,10 +117,12 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     sizes = staged(docs.select("source", n_words("text").alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
     goal = source_targets(sizes, weights, share, cap).select(
         F.col("source").alias("_mix_source"), F.try_divide("target", "source_size").alias("_rate"))
-    rows = docs.withColumn("_digest", row_digest(docs)).join(goal, F.col("source").eqNullSafe(F.col("_mix_source"))).drop(
-        "_mix_source").withColumn("_rate", F.coalesce("_rate", F.lit(0.0)))
-    return dealt(rows, docs, seed).withColumn(
-        "_mix_copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*own)
+    # the row travels as one column, so its names are free
+    rows = docs.select(F.struct(*[docs[c] for c in own]).alias("row"), docs["doc_id"], docs["source"], row_digest(docs).alias("_digest")).join(
+        goal, F.col("source").eqNullSafe(F.col("_mix_source"))).select(
+        "row", "doc_id", "_digest", F.coalesce("_rate", F.lit(0.0)).alias("_rate"))
+    taken = dealt(rows, docs.select("doc_id"), seed).select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return taken.select(*[F.col("row")[c].alias(c) for c in own])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
