@@ -42,6 +42,8 @@ from kbspark.session import NARROW_ROWS, at_most, small_side
 WINDOW = 35
 GRAM = 16
 SPAN_BASE = 0xC2B2AE3D27D4EB4F
+# An anchor is hot from a share of 1 / HOTTEST of all runs on; there are at most HOTTEST such anchors.
+HOTTEST, SALTS = 1000, 64
 
 
 def row_key() -> Column:
@@ -138,14 +140,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     ``docs`` has key and text.
     """
-    twice = docs.select("text").mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(
-        F.sum("n").alias("n")).filter("n > 1").select("anchor")
-    found = staged(docs.select("key", "text").mapInArrow(
-        _run_rows, "anchor long, span long, key long, place long").join(twice, "anchor", "left_semi"), "runs")
+    twice = staged(docs.select("text").mapInArrow(_anchor_counts, "anchor long, n long").groupBy("anchor").agg(
+        F.sum("n").alias("n")).filter("n > 1"), "anchors")
+    # Anchors with more than a share of all runs are few, whatever the input: their runs are dealt
+    # out by a salt, which is 0 elsewhere.
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(twice.filter(F.col("n") * HOTTEST > total).select(F.col("anchor").alias("hot")))
+    deal = lambda df, salt: df.join(hot, F.col("anchor") == F.col("hot"), "left").withColumn(
+        "salt", F.when(F.col("hot").isNotNull(), salt).otherwise(0).cast("int")).drop("hot")
+    named = deal(twice.select("anchor"), F.lit(-1)).withColumn(
+        "salt", F.explode(F.when(F.col("salt") < 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    found = staged(deal(docs.select("key", "text").mapInArrow(_run_rows, "anchor long, span long, key long, place long"),
+                        F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(named, ["anchor", "salt"], "left_semi"), "runs")
     kinds = staged(found.groupBy("anchor", "span").agg(
-        F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("one")), "kinds")
+        F.count("*").alias("n"), F.min(F.struct("key", "place", "salt")).alias("one")), "kinds")
     range_of = F.struct(F.floor(F.col("place") / 32).alias("start"), (F.floor(F.col("place") / 32) + F.col("place") % 32 + WINDOW - 1).alias("end"))
-    whole = found.join(kinds.filter("n = 1").select("anchor", "span"), ["anchor", "span"], "left_anti").select("key", range_of.alias("span"))
+    # a run that is the only one of its kind has one salt, that of its key
+    whole = found.join(kinds.filter("n = 1").select("anchor", "span", F.col("one.salt").alias("salt")), ["anchor", "span", "salt"], "left_anti").select(
+        "key", range_of.alias("span"))
     edges = kinds.groupBy("anchor").agg(F.min("n").alias("least"), F.count("*").alias("kinds")).filter("least = 1 and kinds > 1")
     wanted = kinds.join(edges, "anchor", "left_semi").groupBy(F.col("one.key").alias("key")).agg(
         F.collect_list(F.struct(F.col("one.place").alias("place"), (F.col("n") == 1).alias("alone"))).alias("wanted"))
