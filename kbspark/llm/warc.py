@@ -5,6 +5,10 @@ address; ``records`` holds the exact header block of every record and the addres
 payload. Reading joins them on the address; every payload is hashed again when it is read,
 and a blob that does not match its address fails the job.
 
+Records follow WARC 1.1: every one has a date and an id of its own, a UUID made from page_id, address,
+target and copy number, so repeated rows and missing ids stay apart. The page_id itself, and that
+of the response a revisit refers to, travel in extension headers.
+
 Defined results: a null html is an empty payload, a null url gives no target header, a null
 page_id sorts last; repeated rows stay separate records, of which one is the response; an
 empty table gives an empty archive; other columns of the input are ignored.
@@ -16,11 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kbspark.llm.common import new_path, utf8_bytes
+from kbspark.session import salted_join
 
 # Digits of base 32 as conv() writes them and as RFC 4648 names them.
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 RFC_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -31,8 +37,13 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*eight), CONV_DIGITS, RFC_DIGITS)
 
 
-def _id(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+def _id(page_id: Column, url: Column, address: Column, copy: Column) -> Column:
+    """Record id: a name-based UUID (version 3 layout) in angle brackets."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    h = F.md5(F.concat_ws("\n", text(page_id), text(url), address, copy.cast("string")))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-3"), part(14, 3), F.lit("-a"), part(18, 3),
+                    F.lit("-"), part(21, 12), F.lit(">"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -40,12 +51,12 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit(""))
 
 
-def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def page_records(pages: DataFrame, min_bytes: int = 0, date: str = DATE) -> DataFrame:
     """One row per page: its exact header block, and the address of its payload.
 
     Of the records with equal payloads of at least ``min_bytes`` bytes the first by page_id
     is the response, the others revisit it. Only digests are shuffled, and equal ones are
-    combined before that.
+    combined before that. ``date`` is the time of capture, which the table does not tell.
     """
     payload = utf8_bytes("html")
     facts = pages.select(
@@ -55,7 +66,8 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     ).groupBy("page_id", "url", "address", "bytes", "sha1").agg(F.count("*").alias("copies"))
     place = F.struct(F.col("page_id").isNull(), "page_id", F.col("url").isNull(), "url")
     first = facts.groupBy("address").agg(F.min(place).alias("first"))
-    rows = facts.join(first, "address").select(
+    # one row per address, copied to every salt: pages that share a payload are dealt out
+    rows = salted_join(facts, first, ["address"], "page_id").select(
         "*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     revisit = (F.col("bytes") >= min_bytes) & ~((place == F.col("first")) & (F.col("copy") == 1))
     http = F.concat(
@@ -65,19 +77,22 @@ def page_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     head = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", _id(F.col("page_id"))), _line("WARC-Target-URI", F.col("url")),
+        _line("WARC-Record-ID", _id(F.col("page_id"), F.col("url"), F.col("address"), F.col("copy"))),
+        _line("WARC-Date", F.lit(date)), _line("WARC-Target-URI", F.col("url")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         _line("WARC-Profile", F.when(revisit, PROFILE)),
-        _line("WARC-Refers-To", F.when(revisit, _id(F.col("first.page_id")))),
+        _line("WARC-Refers-To", F.when(revisit, _id(F.col("first.page_id"), F.col("first.url"), F.col("address"), F.lit(1)))),
+        _line("X-Page-ID", F.col("page_id").cast("string")),
+        _line("X-Refers-To-Page-ID", F.when(revisit, F.col("first.page_id").cast("string"))),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", block.cast("string")), F.lit(CRLF), http,
     )
     return rows.select(head.alias("head"), "address")
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
     """Write both tables of the archive below ``path``; each distinct payload is stored once."""
-    page_records(pages, min_bytes).write.option("compression", "zstd").parquet(f"{path}/records")
+    page_records(pages, min_bytes, date).write.option("compression", "zstd").parquet(f"{path}/records")
     payload = utf8_bytes("html")
     pages.select(F.sha2(payload, 256).alias("address"), payload.alias("payload")).groupBy("address").agg(
         F.first("payload").alias("payload")
@@ -102,10 +117,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     query for digests does not shuffle payloads.
     """
     field = lambda name, value: F.regexp_extract("head", rf"\r\n{name}: {value}\r\n", 1)
-    number = lambda name: F.nullif(field(name, "<urn:page:(-?\\d*)>"), F.lit("")).cast("long")
+    number = lambda name: F.nullif(field(name, "(-?\\d+)"), F.lit("")).cast("long")
     heads = spark.read.schema("head string, address string").parquet(f"{path}/records").select(
         "head", "address", field("WARC-Type", "(\\w+)").alias("record_type"),
-        number("WARC-Record-ID").alias("page_id"), number("WARC-Refers-To").alias("refers_to"))
+        number("X-Page-ID").alias("page_id"), number("X-Refers-To-Page-ID").alias("refers_to"))
     http = F.substring_index("head", CRLF + CRLF, -2)
     end = F.lit(CRLF + CRLF).cast("binary")
     head = F.col("head").cast("binary")
