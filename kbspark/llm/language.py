@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from kbspark.llm.classifier import held_out
 from kbspark.llm.common import staged
 from kbspark.llm.tokens import BYTE_BASE, Piece, Words, byte_values, mix, pieces, rolled, word_hashes
-from kbspark.session import at_most
+from kbspark.session import NARROW_ROWS, at_most, small_side
 
 PER_LANGUAGE = 2000
 MAX_ENTRIES = 2_000_000
@@ -128,7 +128,9 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     key = F.concat(F.lit("language:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / 4294967296.0
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    rate = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_rate"))
+    rate = staged(known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("_rate")), "rates")
+    # one row a language: sent to the texts, which then need no shuffle before they are drawn
+    rate = small_side(rate, at_most(rate, NARROW_ROWS))
     drawn = known.select("doc_id", "lang", "text", draw.alias("_draw")).join(rate, "lang").filter("_draw < _rate")
     return drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select(F.lower("text").alias("text"), "lang")
 
