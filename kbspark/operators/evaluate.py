@@ -12,9 +12,11 @@ from kbspark.operators.blocks import top_k
 from kbspark.operators.fulltext import bm25, occurrences
 from kbspark.operators.retrieve import rrf
 from kbspark.operators.vectors import MAX_DISTANCE, knn, within
-from kbspark.session import NARROW_ROWS, at_most, small_side
+from kbspark.session import NARROW_ROWS, at_most, bounded_values, small_side
 
 PASSAGE_GRAM = 12
+# Characters of passages that are sent to every task (an automaton takes about 80 bytes for each).
+SENT_CHARS = 1_000_000
 
 
 def passages(golden: DataFrame) -> DataFrame:
@@ -27,9 +29,13 @@ def passages(golden: DataFrame) -> DataFrame:
 def passage_hits(texts: DataFrame, wanted: DataFrame, id_col: str, n: int = PASSAGE_GRAM) -> DataFrame:
     """(id, passage) for every text containing a passage (case-sensitive).
 
-    Passages are found by a shared n-gram, those shorter than ``n`` by a shorter one.
+    Passages proven few and short are sent to the texts, which are read once where they lie. Others
+    are found by a shared n-gram, those shorter than ``n`` by a shorter one.
     """
     needle = wanted.select(F.col("passage").alias("needle")).distinct()
+    known = bounded_values(needle, F.col("needle"))
+    if known is not None and sum(len(x or "") for x in known) <= SENT_CHARS:
+        return occurrences(texts, needle, id_col, n=1, fold=False, count_hits=False, known=known).withColumnRenamed("needle", "passage")
     out = occurrences(texts, needle.filter(F.length("needle") >= n), id_col, n=n, fold=False, count_hits=False)
     short = needle.filter((F.length("needle") < n) & (F.length("needle") > 0))
     if not short.isEmpty():

@@ -4,17 +4,23 @@ import os
 from collections import Counter, deque
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kbspark.operators import admission as AD
 from kbspark.operators import chunking as K
 from kbspark.operators import evaluate as E
+from kbspark.operators import fulltext as X
+from kbspark.operators import identity as I
 from kbspark.operators import ingest as N
 from kbspark.operators import maintain as M
 from kbspark.operators import retrieve as R
 from kbspark.operators import rollups as A
+from kbspark.operators import vectors as V
 from kbspark.plans import quality, retrieval
+from kbspark.sources import readers as RD
+from kbspark.sources import sinks as SK
 from kbspark.streaming import streams as ST
 
 ROOT = os.environ.get("KBSPARK_TEST_DIR", "/root/testdata/sf0.001")
@@ -223,3 +229,60 @@ def test_sizes_per_query_equal_single_retrievals(spark):
         want += [tuple(r) for r in R.retrieve(few, *rest, top_k_=size, max_dist=1.25, scope_collection=7).select("query_id", "rank", "chunk_id", "score").collect()]
     asked = {q for q, s in sizes.items() if s in sorted(set(sizes.values()))[::4]}
     assert sorted(tuple(r) for r in got if r.query_id in asked) == sorted(want)
+
+
+def test_stored_index_grows_by_its_registry(spark, tmp_path):
+    """Batches add only new texts; the plan of growth reads no posting; a broken batch does not count."""
+    texts = spark.createDataFrame([(i, f"text number {i} of some") for i in range(20)], "chunk_id long, text string")
+    path = str(tmp_path / "index")
+    SK.write_index(texts.filter("chunk_id < 12"), path, batch="1")
+    SK.write_index(texts, path, batch="2")
+    SK.write_index(texts, path, batch="2")  # a replay
+    want = sorted(map(tuple, X.gram_index(texts, "chunk_id").collect()))
+    assert sorted(map(tuple, SK.read_index(spark, path).collect())) == want
+    assert spark.read.parquet(f"{path}/registry").groupBy("batch").count().count() == 2
+    X.gram_index(texts, "chunk_id").write.parquet(f"{path}/postings/batch=3")  # broke off before its registry
+    assert SK.read_index(spark, path).count() == len(want)
+    grown = X.gram_index(texts.join(SK.stored_ids(spark, path, texts.select("chunk_id").schema), "chunk_id", "left_anti"), "chunk_id")
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert "postings" not in plan and grown.count() == 0
+    questions = spark.createDataFrame([(1, "number 17")], "query_id long, query string")
+    found = X.bm25(questions, texts, 3, index=SK.read_index(spark, path)).collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in X.bm25(questions, texts, 3).collect()]
+
+
+def test_batch_encoder_equals_the_single_one():
+    texts = ["", None, "ab", "abc", "日本語 text 😀 é", "x" * 5000, "a\u0000b c"] + [f"row {i} of many" for i in range(60)]
+    got = np.concatenate(list(V.hash_trigram_matrix(pa.array(texts), 64, rows=7)))
+    assert got.dtype == np.float32 and (got == np.stack([V.hash_trigram_vector(t, 64) for t in texts])).all()
+
+
+def test_frames_are_picked_in_few_passes(spark):
+    """Signatures in clusters over blocks of different sizes: equal to the plain walk."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for group in (1, 2, None):
+        seeds = [int(x) for x in rng.integers(-(2**62), 2**62, 9)]
+        for i in range(400):
+            sig = None if i % 97 == 50 else seeds[int(rng.integers(0, 9))] ^ (1 << int(rng.integers(0, 63)) if rng.random() < 0.7 else -1)
+            rows.append((group, i * 3, sig))
+    df = spark.createDataFrame(rows, "g long, o long, s long").repartition(5)
+    far = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1") > 6
+    for width, cap in ((65_536, 12), (100, 12), (7, 4), (30, 30)):
+        want = []
+        for group in (1, 2, None):
+            kept = []
+            for _, o, sig in sorted((r for r in rows if r[0] == group), key=lambda r: r[1]):
+                if len(kept) < cap and (sig is None or all(far(sig, k) for _, k in kept if k is not None)):
+                    kept.append((o, sig))
+            want += [(group, o) for o, _ in kept]
+        got = I.near_dedup(df, "g", "o", "s", 6, cap, width).select("g", "o").collect()
+        assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_nested_page_parts(spark):
+    html = ("<title>t</title><nav>a<nav>b</nav>c</nav><p>one<p>two<div class=\"x ad\"><div>3<div>4</div></div>5</div>six"
+            "<div id='comments'>7</div><div class='adage'>eight</div><form>9<p></form><aside>never closed <b>nine</b> &lt;ten&gt; a < b")
+    rows = spark.createDataFrame([(1, html), (2, None), (3, ""), (3, ""), (4, "plain"), (5, "</nav></div>x<nav/>y<br>z")], "page_id long, html string")
+    got = sorted((r.page_id, r.text) for r in RD.page_bodies(rows).collect())
+    assert got == [(1, "onetwo\nsix\neight\nnever closed nine <ten> a < b"), (2, ""), (3, ""), (3, ""), (4, "plain"), (5, "xy\nz")]
