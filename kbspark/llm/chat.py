@@ -8,7 +8,9 @@ template renders, with a mask over what a model is to be trained on.
 Defined results: a null text is an empty one, a null role an empty role; an object with other
 fields keeps its layout as long as a known set of paths is among its paths; a record of an
 unknown layout fails the job with its paths; repeated turns are kept, in the order of turn,
-role and text; no rows give no conversations.
+role and text; rows without a turn come first in their conversation; rows without conv_id are one
+conversation; given rows of conversation -1 are one conversation with the probe's two turns; no
+rows give no conversations but the probe.
 """
 
 from __future__ import annotations

@@ -245,3 +245,25 @@ def plain_statistics(text):
         log(0.005 + among("!?") / inner), log(0.02 + among(".,") / some), log(0.01 + ascii_rest / inner), log(1 + some / (1 + text.count("\n"))),
         log(0.05 + len(set(words)) / some**0.85), log(0.01 + sum(a == b for a, b in zip(words, words[1:])) / some),
         log(0.05 + sum("A" <= w[0] <= "Z" for w in words) / some)])
+
+
+def test_odd_conversations(spark):
+    """Null role, text, turn and conv_id, repeated turns, a given conversation -1, clashing columns."""
+    import hashlib
+
+    from kbspark.llm import chat
+
+    given = [(1, 0, None, "x"), (1, 0, None, "x"), (1, None, "assistant", None), (1, 2, "assistant", "<|im_end|>"), (None, 0, "user", "a"),
+             (None, 1, "assistant", "b"), (-1, 5, "assistant", "given"), (3, 0, "user", "long " * 20_000)]
+    df = spark.createDataFrame([(*r, "z", "z", "z") for r in given],
+                               "conv_id long, turn long, role string, text string, record string, loss string, turns string")
+    got = {r.conv_id: r for r in chat.formatted_conversations(df).collect()}
+    talks = {}
+    for c, t, role, text in given + [(-1, 0, "user", chat.PROBE), (-1, 1, "assistant", chat.PROBE)]:
+        talks.setdefault(c, []).append((t is not None, t or 0, role or "", text or ""))
+    assert got.keys() == talks.keys()
+    for c, turns in talks.items():
+        said = "".join(f"{role}\n{text}\n" for _, _, role, text in sorted(turns))
+        loss = "".join(text for _, _, role, text in sorted(turns) if role == "assistant")
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
