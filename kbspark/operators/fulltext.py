@@ -22,7 +22,7 @@ from pyspark.sql import types as t
 
 from kbspark.functions import text as T
 from kbspark.operators.blocks import best_k, top_k
-from kbspark.session import NARROW_ROWS, at_most, bounded_values, small_side
+from kbspark.session import NARROW_ROWS, at_most, bounded_values, cut_lineage, small_side
 
 # BM25 constants, shortest term a trigram index can match, idf floor.
 BM25_K1 = 1.2
@@ -135,6 +135,16 @@ def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, coun
     return cast.mapInArrow(scan, t.StructType([t.StructField(id_col, t.StringType() if isinstance(key_type, t.StringType) else t.LongType())] + fields[1:]))
 
 
+def _candidates(texts: DataFrame, index: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
+    """Texts with a posting of any needle's gram; only ids are shuffled out of the index.
+
+    A common gram pairs most texts with many needles. Such texts are taken once here and walked
+    once for all needles, where a row per pair would carry and search the text for each of them.
+    """
+    grams_ = F.broadcast(keys.select("gram").distinct())
+    return texts.join(index.join(grams_, "gram", "left_semi").select(id_col).distinct(), id_col, "left_semi")
+
+
 def occurrences(
     texts: DataFrame,
     needles: DataFrame,
@@ -150,30 +160,28 @@ def occurrences(
     """(id, needle[, tf, n_grams]) for every text containing a needle of >= ``n`` characters.
 
     tf counts overlapping hits; n_grams is the text's length in n-grams. ``index`` is an
-    optional :func:`gram_index` table; with it only the postings of needle grams are
-    read instead of every text's grams; ``length`` names a stored n-gram count,
+    optional :func:`gram_index` table; with it only texts with a posting of a needle's gram
+    are searched, or, when needles are many, joined; ``length`` names a stored n-gram count,
     ``known`` passes needles that were already read by :func:`bounded_values`.
     """
     keys = _needle_keys(needles, n)
     size = F.col(length) if length else F.greatest(F.length(text) - (n - 1), F.lit(0))
+    small = known is not None
+    if index is not None and small:
+        texts = _candidates(texts, index, keys, id_col)
     body = texts.select(
         id_col, (F.lower(text) if fold else F.col(text)).alias("_body"), size.cast("double").alias("_grams"))
-    small = known is not None
-    if index is None and small:
+    if small:
         found = sorted({x for x in known if x is not None and len(x) >= n})
         return _scan_needles(body, found, id_col, n, count_hits)
-    keys = _needle_keys(needles, n)
     if index is None:
         index = gram_index(texts, id_col, text, n) if fold else body.select(
             F.explode_outer(F.array_distinct(grams(F.col("_body"), n))).alias("gram"), id_col
         ).filter(F.col("gram").isNotNull())
-    if small:
-        pairs = index.join(F.broadcast(keys), "gram")
-    else:
-        spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        pairs = index.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(
-            spread, ["gram", "_salt"]
-        )
+    spread = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = index.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(
+        spread, ["gram", "_salt"]
+    )
     hits = pairs.select(id_col, "needle").join(body, id_col)
     found, needle = F.col("_body"), F.col("needle")
     hits = hits.filter(found.contains(needle))
@@ -323,17 +331,27 @@ def bm25(
     place. ``length`` names a stored trigram count.
 
     With a term list proven small the statistics are fitted in one pass, then every text is
-    scored where it is read and only the best ``k`` per query and tile are shuffled.
-    Otherwise, with a posting table, or without ``k``, hits are shuffled once by text id.
+    scored where it is read and only the best ``k`` per query and tile are shuffled. A posting
+    table narrows both passes to the texts that hold a gram of a term; every text with a hit is
+    among them, so the counts stay those of the whole corpus.
+    Otherwise, or without ``k``, hits are shuffled once by text id.
     """
     terms = explode_terms(queries).select(F.col("query_id").cast("long").alias("query_id"), "term", "needle")
-    pairs = bounded_values(terms, F.to_json(F.struct("query_id", "needle"))) if index is None and k is not None else None
+    pairs = bounded_values(terms, F.to_json(F.struct("query_id", "needle"))) if k is not None else None
     best = [F.desc("score"), F.asc(id_col)]
     if pairs is not None:
         read = [(r["query_id"], r["needle"]) for r in map(json.loads, pairs)]
         read = [x for x in read if len(x[1]) >= GRAM]
-        found = term_statistics(chunks, sorted({x for _, x in read}), text, length)
-        rows = chunks if allowed is None else chunks.filter(allowed)
+        rows, needles = chunks, sorted({x for _, x in read})
+        if index is not None:
+            # the ids are kept, since both passes use them
+            near = _candidates(chunks.select(id_col), index, _needle_keys(terms, GRAM), id_col)
+            rows = chunks.join(cut_lineage(near), id_col, "left_semi")
+        found = term_statistics(rows, needles, text, length)
+        if index is not None:
+            whole = corpus_stats(chunks, text, length).first()
+            found = whole["n_docs"], whole["avg_len"] or 0.0, found[2]
+        rows = rows if allowed is None else rows.filter(allowed)
         body = rows.select(id_col, *_sized(chunks, text, length))
         scored = _scan_scores(body, id_col, read, found, k)
         return top_k(scored, ["query_id"], best, k).withColumn("fts_rank", (F.col("rn") - 1).cast("int")).drop("rn")

@@ -339,3 +339,18 @@ def test_repeated_redirects_and_missing_groups(spark):
     assert sorted(r.o for r in I.near_dedup(rows, "g", "o", "s").collect()) == [1, 3]
     episodes = spark.createDataFrame([(None, 1, "t", "g", "u", "60")], "b string, o long, title string, guid string, audio_url string, duration_secs string")
     assert C.coerce_episodes(episodes, "b", "o").count() == 1
+
+
+def test_posting_table_searches_a_text_once_for_all_terms(spark):
+    """A gram that all terms share pairs no text with each of them: candidates are walked once."""
+    words = [f"w{i:02d}ing" for i in range(40)]
+    texts = spark.createDataFrame([(i, " ".join(words[: i + 1]) + " Sing" * i) for i in range(30)] + [(90, "none"), (91, None)], "chunk_id long, text string")
+    needles = spark.createDataFrame([(w,) for w in words], "needle string")
+    index = X.gram_index(texts, "chunk_id")
+    out = X.occurrences(texts, needles, "chunk_id", index=index, known=words)
+    assert "regexp_count" not in out._jdf.queryExecution().toString()
+    got = sorted(map(tuple, out.select("chunk_id", "needle", "tf").collect()))
+    assert got == sorted((i, w, 1) for i in range(30) for w in words[: i + 1])
+    asked = spark.createDataFrame([(1, "w03ing none"), (2, "w20ing sing")], "query_id long, query string")
+    plain = list(map(tuple, X.bm25(asked, texts, 4).collect()))
+    assert plain and sorted(map(tuple, X.bm25(asked, texts, 4, index=index).collect())) == sorted(plain)
