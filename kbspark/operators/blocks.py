@@ -9,14 +9,17 @@ their own block. The sequence column must be a number that is unique within its
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 WIDTH = 65_536
+TILE_BYTES = 512 * 1024
 
 
 def _blocked(df: DataFrame, order: Sequence[str], block: Column | None, width: int) -> DataFrame:
@@ -134,6 +137,17 @@ def best_k(values: np.ndarray, ids: np.ndarray, k: int, keep: np.ndarray | None
     return sel
 
 
+def text_tiles(texts: pa.Array, rows: int, size: int = TILE_BYTES) -> Iterator[pa.Array]:
+    """Slices of at most ``rows`` texts and ``size`` bytes; a longer text is one of its own."""
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    lo = 0
+    while lo < len(texts):
+        hi = int(np.searchsorted(upto, upto[lo] + size, "right")) - 1
+        hi = min(max(hi, lo + 1), lo + rows, len(texts))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rn"
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from kbspark.operators.blocks import best_k, top_k
+from kbspark.operators.blocks import best_k, text_tiles, top_k
 from kbspark.session import cut_lineage
 
 # Default cut-off on L2 distance and default encoder width.
@@ -49,9 +49,11 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_trigram_matrix(texts: pa.Array, dim: int = DIM, rows: int = 2048) -> Iterator[np.ndarray]:
-    """:func:`hash_trigram_vector` of many texts, one matrix for every ``rows`` of them."""
-    for lo in range(0, len(texts), rows):
-        part = texts.slice(lo, rows)
+    """:func:`hash_trigram_vector` of many texts, one matrix for every ``rows`` of them at most.
+
+    The work arrays take some hundred bytes for every byte of text, so tiles are bounded by bytes.
+    """
+    for part in text_tiles(texts, rows):
         code, at = code_points(part)
         n, row = len(part), np.repeat(np.arange(len(part)), np.diff(at))
         if len(code) > 2:
@@ -72,7 +74,10 @@ def embed(df: DataFrame, text: str, out: str = "embedding", encoder: Callable[[s
 
     @F.arrow_udf(t.ArrayType(t.FloatType()))
     def encode(batch: pa.Array) -> pa.Array:
-        flat = np.concatenate([m.ravel() for m in hash_trigram_matrix(batch, dim)] or [np.zeros(0, np.float32)])
+        flat, at = np.empty(len(batch) * dim, np.float32), 0
+        for m in hash_trigram_matrix(batch, dim):
+            flat[at : at + m.size] = m.ravel()
+            at += m.size
         return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dim), pa.int32()), pa.array(flat))
 
     @F.pandas_udf(t.ArrayType(t.FloatType()))

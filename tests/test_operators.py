@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -354,3 +355,14 @@ def test_posting_table_searches_a_text_once_for_all_terms(spark):
     asked = spark.createDataFrame([(1, "w03ing none"), (2, "w20ing sing")], "query_id long, query string")
     plain = list(map(tuple, X.bm25(asked, texts, 4).collect()))
     assert plain and sorted(map(tuple, X.bm25(asked, texts, 4, index=index).collect())) == sorted(plain)
+
+
+def test_encoder_tiles_are_bounded_by_bytes():
+    """The work arrays of an encoder grow with the bytes of a tile, not with its rows."""
+    texts = pa.array([None, ""] + ["é" * 1000] * 2000 + ["x" * 3_000_000, "ab", None])
+    tiles = list(B.text_tiles(texts, 2048))
+    assert pa.concat_arrays(tiles).equals(texts)
+    assert all(len(t) == 1 or sum(len((x or "").encode()) for x in t.to_pylist()) <= B.TILE_BYTES for t in tiles)
+    assert max(len(m) for m in V.hash_trigram_matrix(texts)) < 300
+    assert np.array_equal(np.concatenate(list(V.hash_trigram_matrix(texts))), np.stack([V.hash_trigram_vector(x) for x in texts.to_pylist()]))
+    assert [len(t) for t in B.text_tiles(pa.array(["", None] * 5), 4)] == [4, 4, 2] and not list(B.text_tiles(pa.array([], pa.string()), 4))
