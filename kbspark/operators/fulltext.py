@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kbspark.functions import text as T
-from kbspark.operators.blocks import best_k, top_k
+from kbspark.operators.blocks import best_k, text_tiles, top_k
 from kbspark.session import NARROW_ROWS, at_most, bounded_values, cut_lineage, small_side
 
 # BM25 constants, shortest term a trigram index can match, idf floor.
@@ -31,6 +31,7 @@ GRAM = 3
 IDF_FLOOR = 1e-6
 SALTS = 32
 TILE_CELLS = 2_000_000
+SCAN_BYTES = 4 * 1024 * 1024
 
 
 def grams(text, n: int = GRAM):
@@ -104,6 +105,15 @@ def _finder(needles: list[str]):
     return lambda text: Counter(i for _, i in machine.iter(text))
 
 
+def _tiled(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut by the bytes of their texts: hits held at a time grow with these, not with rows."""
+    for b in batches:
+        lo = 0
+        for part in text_tiles(b.column(text), max(b.num_rows, 1), SCAN_BYTES):
+            yield b.slice(lo, len(part))
+            lo += len(part)
+
+
 def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, count_hits: bool) -> DataFrame:
     """Find a bounded needle list in every text of a batch (one pass, no shuffle)."""
     fields = [body.schema[id_col], t.StructField("needle", t.StringType())]
@@ -118,7 +128,7 @@ def _scan_needles(body: DataFrame, needles: list[str], id_col: str, n: int, coun
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(needles)
-        for b in batches:
+        for b in _tiled(batches, "_body"):
             ids, which, tfs, lens = [], [], [], []
             columns = (b.column(c).to_pylist() for c in (id_col, "_body", "_grams"))
             for key, text, size in zip(*columns):
@@ -238,7 +248,7 @@ def term_statistics(chunks: DataFrame, needles: list[str], text: str = "text", l
     """
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, seen, n, total = _finder(needles), Counter(), 0, 0.0
-        for b in batches:
+        for b in _tiled(batches, "_body"):
             for text_, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, total = n + 1, total + (size or 0.0)
                 seen.update(find(text_ or "").keys())
@@ -297,7 +307,7 @@ def _scan_scores(body: DataFrame, id_col: str, pairs: list[tuple[int, str]], sta
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _finder(needles)
-        for b in batches:
+        for b in _tiled(batches, "_body"):
             for lo in range(0, b.num_rows, per_tile):
                 part = b.slice(lo, per_tile)
                 docs, terms, tf = [], [], []

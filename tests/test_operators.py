@@ -366,3 +366,11 @@ def test_encoder_tiles_are_bounded_by_bytes():
     assert max(len(m) for m in V.hash_trigram_matrix(texts)) < 300
     assert np.array_equal(np.concatenate(list(V.hash_trigram_matrix(texts))), np.stack([V.hash_trigram_vector(x) for x in texts.to_pylist()]))
     assert [len(t) for t in B.text_tiles(pa.array(["", None] * 5), 4)] == [4, 4, 2] and not list(B.text_tiles(pa.array([], pa.string()), 4))
+
+
+def test_scans_hold_hits_of_bounded_text():
+    """A batch is searched in slices of bounded text, each row once."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["some words " * 400] * 2998 + [None, ""])], ["id", "_body"])
+    parts = list(X._tiled(iter([batch, batch.slice(0, 0)]), "_body"))
+    assert len(parts) > 3 and max(p.column(1).nbytes for p in parts) <= X.SCAN_BYTES + 8 * 3001
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(3000))
