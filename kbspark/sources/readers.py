@@ -36,9 +36,13 @@ def text_sources(df: DataFrame, text: str = "text", title: str | None = None, no
     )
 
 
-def text_directory(spark: SparkSession, path: str) -> DataFrame:
-    """(title, text) per ``*.txt`` file; the title is the file stem."""
-    df = spark.read.text(path, wholetext=True, pathGlobFilter="*.txt")
+def text_directory(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(title, text) per ``*.txt`` file, or with ``lines`` per line of one; the title is the file stem.
+
+    A file per text costs the driver a listing and a commit each. Stored texts that hold no line
+    break go many to a file instead (:func:`kbspark.sources.sinks.write_text_lines`).
+    """
+    df = spark.read.text(path, wholetext=not lines, pathGlobFilter="*.txt")
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1)
     return df.select(stem.alias("title"), F.col("value").alias("text"))
 

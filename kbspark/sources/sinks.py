@@ -22,6 +22,13 @@ def write_markdown(sources: DataFrame, chunks: DataFrame, path: str, source_id:
         "overwrite").partitionBy("source_id").text(path)
 
 
+def write_text_lines(texts: DataFrame, path: str, text: str = "text") -> None:
+    """Texts as lines of text files, as many files as tasks; a text with a line break is refused."""
+    broken = F.col(text).rlike("[\r\n]")
+    line = F.when(broken, F.raise_error(F.lit("a text with a line break is no line"))).otherwise(F.col(text))
+    texts.select(line.cast("string").alias("value")).write.text(path)
+
+
 def append_jsonl(record: DataFrame, path: str) -> None:
     """Append records as JSON lines."""
     record.write.mode("append").json(path)

@@ -2,11 +2,13 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from kbspark import schemas
 from kbspark.operators import jobs as J
 from kbspark.operators import rollups as A
+from kbspark.plans import parts
 from kbspark.sources import readers as RD
 from kbspark.sources import sinks as SK
 from kbspark.sources import tables as S
@@ -125,3 +127,17 @@ def test_drain_sends_failures_to_retry(spark, tmp_path):
     ST.drain(stream, lambda b: b.withColumn("ok", F.col("id") % 3 != 0), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out/retry")).collect()) == [0, 3, 6, 9]
     assert spark.read.parquet(str(tmp_path / "out/done")).count() == 6
+
+
+def test_page_files_grow_with_tasks_not_with_pages(spark, tmp_path, monkeypatch):
+    """No folder and no file of its own for a page; lines come back as they were."""
+    monkeypatch.setattr(parts, "new_folder", lambda spark, name: str(tmp_path / name))
+    root = "/root/testdata/sf0.001"
+    pages = spark.read.parquet(f"{root}/pages.parquet").count()
+    assert parts.page_files(spark, root).count() > 2 * pages
+    assert len(list((tmp_path / "files" / "text").rglob("*.txt"))) < min(pages, 17)
+    lines = spark.createDataFrame([("a  b",), ("",), ("é \x0c\x85 ",)], "text string")
+    SK.write_text_lines(lines, str(tmp_path / "l"))
+    assert sorted(r["text"] for r in RD.text_directory(spark, str(tmp_path / "l"), lines=True).collect()) == ["", "a  b", "é \x0c\x85 "]
+    with pytest.raises(Exception, match="line break"):
+        SK.write_text_lines(spark.createDataFrame([("a\nb",)], "text string"), str(tmp_path / "m"))
