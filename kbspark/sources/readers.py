@@ -173,8 +173,13 @@ def rss_episodes(feeds: DataFrame, feed_id: str = "feed_id", url: str = "url", x
         feed_id, F.coalesce(F.nullif(T.strip(F.get("_f.channel.title", 0)), F.lit("")), F.col(url)).alias("feed_title"),
         F.posexplode_outer("_f.channel.item").alias("pos", "_i"))
     first = lambda name: F.get(F.col(f"_i.{name}"), 0)
-    audio, kind = first("enclosure")["_url"], F.coalesce(first("enclosure")["_type"], F.lit(""))
-    good = items.filter(F.col("pos").isNotNull() & (F.coalesce(audio, F.lit("")) != "") & ((kind == "") | kind.startswith("audio")))
+    audio = first("enclosure")["_url"]
+
+    def playable(enclosure: Column) -> Column:
+        kind = F.coalesce(enclosure["_type"], F.lit(""))
+        return (F.coalesce(enclosure["_url"], F.lit("")) != "") & ((kind == "") | kind.startswith("audio"))
+
+    good = items.filter(F.col("pos").isNotNull() & playable(first("enclosure")))
     episodes = top_k(good, [feed_id], [F.asc("pos")], MAX_EPISODES).select(
         feed_id, "feed_title", F.col("rn").alias("position"),
         T.strip(F.coalesce(F.nullif(first("guid"), F.lit("")), audio)).alias("guid"),
@@ -182,8 +187,13 @@ def rss_episodes(feeds: DataFrame, feed_id: str = "feed_id", url: str = "url", x
         audio.alias("audio_url"), F.nullif(T.strip(F.coalesce(first("link"), F.lit(""))), F.lit("")).alias("link"),
         D.mail_date(first("pubDate")).alias("published_at"), D.duration_seconds(first("feedDuration")).alias("duration_secs"),
     ).withColumn("episode_id", T.episode_id("guid"))
-    bad = parsed.join(good.select(feed_id).distinct(), feed_id, "left_anti").select(
-        feed_id, F.when(F.col("_f.broken"), "不是有效的 RSS(XML 解析失敗)").when(F.col("_f.channel").isNull(), "找不到 rss/channel").otherwise("RSS 裡沒有任何帶音訊的集數").alias("reason"))
+    # a feed is parsed once and told by its own items; a feed that comes twice needs no audio twice
+    has = F.coalesce(F.exists("_f.channel.item", lambda i: playable(F.get(i["enclosure"], 0))), F.lit(False))
+    told = parsed.select(
+        feed_id, has.alias("_has"),
+        F.when(F.col("_f.broken"), "不是有效的 RSS(XML 解析失敗)").when(F.col("_f.channel").isNull(), "找不到 rss/channel").otherwise("RSS 裡沒有任何帶音訊的集數").alias("reason"))
+    some = F.when(F.col(feed_id).isNull(), F.col("_has")).otherwise(F.max("_has").over(W.partitionBy(feed_id)))
+    bad = told.withColumn("_any", some).filter(~F.col("_any")).select(feed_id, "reason")
     return episodes, bad
 
 

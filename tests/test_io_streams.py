@@ -141,3 +141,13 @@ def test_page_files_grow_with_tasks_not_with_pages(spark, tmp_path, monkeypatch)
     assert sorted(r["text"] for r in RD.text_directory(spark, str(tmp_path / "l"), lines=True).collect()) == ["", "a  b", "é \x0c\x85 "]
     with pytest.raises(Exception, match="line break"):
         SK.write_text_lines(spark.createDataFrame([("a\nb",)], "text string"), str(tmp_path / "m"))
+
+
+def test_feed_errors_parse_a_feed_once(spark):
+    """Errors need no join of feeds to their own items; a feed that comes twice is told by both."""
+    good = '<rss><channel><item><title>a</title><enclosure url="u" type="audio/mpeg"/></item></channel></rss>'
+    mute = '<rss><channel><item><title>a</title><enclosure url="u" type="image/png"/></item></channel></rss>'
+    rows = [(1, "u", good), (2, "u", mute), (3, "u", "<rss><channel"), (4, "u", mute), (4, "u", good), (None, "u", good), (5, "u", "<feed></feed>")]
+    bad = RD.rss_episodes(spark.createDataFrame(rows, "feed_id long, url string, xml string"))[1]
+    assert "Join" not in bad._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["feed_id"] for r in bad.collect()) == [2, 3, 5]
