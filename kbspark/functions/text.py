@@ -159,8 +159,8 @@ def starter_lines(col) -> Column:
 
 
 def first_line(col, n: int) -> Column:
-    """First line of already trimmed text, trimmed and cut to ``n``."""
-    return F.substring(strip(F.element_at(F.split(strip(col), r"\R"), 1)), 1, n)
+    """First line of the trimmed text, trimmed and cut to ``n``; the rest of the text is not looked at."""
+    return F.substring(strip(F.regexp_extract(_c(col), r"\A(?U:\s*)([^\n\x0B\f\r\x85\u2028\u2029]*)", 1)), 1, n)
 
 
 def display_name(display_title, title, fallback=None) -> Column:
@@ -228,7 +228,9 @@ def is_url_batch(col) -> Column:
     lines = F.filter(
         F.transform(F.split(_c(col), "\n"), lambda x: strip(x)), lambda x: x != F.lit("")
     )
-    return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"(?i)^https?://\S+$"))
+    # most texts are told by their first word, and their lines are left alone
+    other = ~_c(col).rlike(r"\A(?U:\s*)(?i:https?://)")
+    return F.when(other, F.lit(False)).otherwise((F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(r"(?i)^https?://\S+$")))
 
 
 def short_hash(prefix: str, col) -> Column:

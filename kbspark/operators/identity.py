@@ -104,6 +104,15 @@ def route_ingest(incoming: DataFrame, sources: DataFrame, order: str) -> DataFra
     later ones are duplicates; the first is found by a pre-aggregated minimum, so a group
     of copies is never gathered in one task.
     """
+    return routed_by(incoming, sources, order).withColumn("known_source_id", F.coalesce("live_id", "any_id")).drop("_first", "live_id", "any_id")
+
+
+def routed_by(incoming: DataFrame, sources: DataFrame, order: str) -> DataFrame:
+    """Incoming rows with routing and what it rests on: the first row of their identity in
+    ``_first``, the stored source in live_id (not failed) and any_id.
+
+    Rows without an identity have no part in the join: they would all meet in one task.
+    """
     live = sources.groupBy("platform", F.col("video_id").alias("content_id")).agg(
         F.min(F.when(F.col("status") != "failed", F.col("source_id"))).alias("live_id"),
         F.min("source_id").alias("any_id"),
@@ -111,7 +120,9 @@ def route_ingest(incoming: DataFrame, sources: DataFrame, order: str) -> DataFra
     first = incoming.filter(F.col("reason").isNull()).groupBy("platform", "content_id").agg(
         F.min(order).alias("_first"))
     keys = ["platform", "content_id"]
-    rows = incoming.join(first.join(live, keys, "left"), keys, "left")
+    named = F.col("platform").isNotNull() & F.col("content_id").isNotNull()
+    rows = incoming.filter(named).join(first.join(live, keys, "left"), keys, "left").unionByName(
+        incoming.filter(~named), allowMissingColumns=True)
     return rows.withColumn(
         "routing",
         F.when(F.col("reason").isNotNull(), "rejected")
@@ -119,7 +130,7 @@ def route_ingest(incoming: DataFrame, sources: DataFrame, order: str) -> DataFra
         .when(F.col(order) != F.col("_first"), "duplicate")
         .when(F.col("any_id").isNotNull(), "reingest")
         .otherwise("queued"),
-    ).withColumn("known_source_id", F.coalesce("live_id", "any_id")).drop("_first", "live_id", "any_id")
+    )
 
 
 def in_library(episodes: DataFrame, sources: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from kbspark.functions import text as T
 from kbspark.operators import identity as I
 from kbspark.operators.chunking import chunk, chunk_id, modality_of
 from kbspark.operators.vectors import embed_chunks
+from kbspark.session import stored
 from kbspark.sources.readers import page_articles
 
 # Reasons of the text gate as they are stored.
@@ -65,19 +66,15 @@ def route_items(classified: DataFrame, library: DataFrame) -> DataFrame:
     """Classified items with routing, known_source_id and source_id.
 
     Library rows are (source_id, platform, video_id, status). The first item of an identity
-    proceeds, later ones are duplicates of its source.
+    proceeds, later ones are duplicates of its source. Classified items are written first: they are
+    read for the first of every identity and for the rows themselves.
     """
-    routed = I.route_ingest(classified.withColumn("_at", F.struct("item_id", "part")), library, "_at")
-    first = classified.filter(F.col("reason").isNull()).groupBy("platform", "content_id").agg(
-        F.min(F.struct("item_id", "part")).alias("_f"))
-    own = first.select("platform", "content_id", source_key("_f.item_id", "_f.part").alias("_own"))
-    live = F.col("known_source_id")
+    classified = stored(classified, "classified")
+    routed = I.routed_by(classified.withColumn("_at", F.struct("item_id", "part")), library, "_at")
     # a duplicate names the stored source or, if it has none, the first item of its own batch
-    target = F.when(F.col("routing") == "duplicate", F.coalesce(F.when(F.col("_live"), live), F.col("_own"))).when(
-        F.col("routing") == "reingest", live)
-    alive = library.filter(F.col("status") != "failed").select("platform", F.col("video_id").alias("content_id"), F.lit(True).alias("_live")).distinct()
-    keys = ["platform", "content_id"]
-    return routed.join(own, keys, "left").join(alive, keys, "left").select(
+    target = F.when(F.col("routing") == "duplicate", F.coalesce("live_id", source_key("_first.item_id", "_first.part"))).when(
+        F.col("routing") == "reingest", F.col("any_id"))
+    return routed.select(
         *classified.columns, "routing", target.alias("known_source_id"),
         F.when(F.col("routing") != "duplicate", source_key()).alias("source_id"))
 

@@ -24,8 +24,8 @@ def _b(c, name=None):
     return col.cast("long").alias(name or c)
 
 
-def _shared_links(spark, sf):
-    """A shared link per document, in the forms that links arrive in."""
+def _shared_link():
+    """A shared link of a document, in the forms that links arrive in."""
     h, d = F.md5("text"), F.col("doc_id").cast("string")
     forms = [
         F.concat(F.lit("https://youtu.be/"), F.left(h, F.lit(11)), F.lit("?si="), d),
@@ -39,7 +39,11 @@ def _shared_links(spark, sf):
         F.concat(F.lit("https://user@youtube.com:443/live/"), F.left(h, F.lit(11)), F.lit("#top")),
         F.concat(F.lit("https://vm.tiktok.com/"), F.left(h, F.lit(7))),
     ]
-    return S.given(spark, sf, "documents").select("doc_id", F.get(F.array(*forms), (F.col("doc_id") % 10).cast("int")).alias("url"))
+    return F.get(F.array(*forms), (F.col("doc_id") % 10).cast("int"))
+
+
+def _shared_links(spark, sf):
+    return S.given(spark, sf, "documents").select("doc_id", _shared_link().alias("url"))
 
 
 def canonical_urls(spark, sf):

@@ -23,12 +23,11 @@ def _b(c, name=None):
 def _items(spark, sf):
     """Every document and page as an arriving item: texts, links, pastes of links, blanks, texts over the limit."""
     d, k = F.col("doc_id"), F.col("doc_id") % 6
-    link = content._shared_links(spark, sf).withColumnRenamed("url", "link")
     paste = F.concat(F.lit("https://youtu.be/"), F.left(F.md5("text"), F.lit(11)), F.lit("\n\n https://news.example/a/"),
                      (d % 50).cast("string"), F.lit("?utm="), d.cast("string"), F.lit(" \n"))
-    text = (F.when(k.isin(1, 2), F.col("link")).when(k == 3, F.lit(" \n  ")).when(k == 5, paste)
+    text = (F.when(k.isin(1, 2), content._shared_link()).when(k == 3, F.lit(" \n  ")).when(k == 5, paste)
             .when(d % 60 == 4, F.rpad("text", 100_001, F.col("text"))).otherwise(F.col("text")))
-    docs = S.given(spark, sf, "documents").join(link, "doc_id").select(d.alias("item_id"), text.alias("text"))
+    docs = S.given(spark, sf, "documents").select(d.alias("item_id"), text.alias("text"))
     return docs.unionByName(S.given(spark, sf, "pages").select((F.col("page_id") + 1_000_000_000).alias("item_id"), F.col("url").alias("text")))
 
 

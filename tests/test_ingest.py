@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from kbspark.functions import text as T
 from kbspark.operators import admission as AD
 from kbspark.operators import chunking as K
 from kbspark.operators import evaluate as E
@@ -286,3 +287,30 @@ def test_nested_page_parts(spark):
     rows = spark.createDataFrame([(1, html), (2, None), (3, ""), (3, ""), (4, "plain"), (5, "</nav></div>x<nav/>y<br>z")], "page_id long, html string")
     got = sorted((r.page_id, r.text) for r in RD.page_bodies(rows).collect())
     assert got == [(1, "onetwo\nsix\neight\nnever closed nine <ten> a < b"), (2, ""), (3, ""), (3, ""), (4, "plain"), (5, "xy\nz")]
+
+
+def test_a_batch_is_classified_once_and_rows_without_identity_stay_where_they_are(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    batch = spark.createDataFrame([(i, " " if i % 4 else f"text {i}") for i in range(1000)], "item_id long, text string").repartition(8)
+    rows = N.route_items(N.classify_items(batch.withColumn("text", read("text"))), library(spark))
+    kept = rows.select("routing", F.spark_partition_id().alias("p")).collect()
+    assert Counter(r.routing for r in kept) == {"rejected": 750, "queued": 250}
+    assert len({r.p for r in kept if r.routing == "rejected"}) > 1
+    assert seen.value <= 4000  # the links and the texts among the items, kind and body
+
+
+def test_first_lines_and_pastes_of_links_by_their_first_word(spark):
+    first = [("a\nb", "a"), (" \u2003\r\n\x0b x y \x85z", "x y"), (" \n ", ""), ("", ""), (None, None), ("one ", "one"), ("\u3000\u8a9e\u2028b", "\u8a9e")]
+    rows = spark.createDataFrame(first, "t string, want string")
+    assert [r.got for r in rows.select(T.first_line("t", 80).alias("got")).collect()] == [w for _, w in first]
+    assert rows.filter("t is not null").select(T.first_line("t", 1).alias("x")).first().x == "a"
+    pastes = [("https://a.b/c", True), (" \n\u2003HTTPS://a.b\n\n http://c ", True), ("https://a.b c", False), ("a\nhttps://a.b", False),
+              (" \n ", False), ("", False), ("http\u017f://a.b", False), (None, None)]
+    rows = spark.createDataFrame(pastes, "t string, want boolean")
+    assert [r.got for r in rows.select(T.is_url_batch("t").alias("got")).collect()] == [w for _, w in pastes]
