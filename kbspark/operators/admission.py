@@ -77,41 +77,68 @@ def walk(secs: list[int], rows: list[int], held: deque, limit: int, span: int) -
     return out
 
 
-def _plain(column: pa.Array, row: int) -> tuple[list[int], list[int]]:
-    pairs = column[row].values
-    return pairs.field(0).to_pylist(), pairs.field(1).to_pylist()
+def _plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Seconds and rows of all lists one after the other, and where each list begins."""
+    pairs = column.flatten()
+    at = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return at, pairs.field(0).to_numpy(zero_copy_only=False), pairs.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _entries(batches: Iterator[pa.RecordBatch], keys: int, limit: int, span: int) -> Iterator[pa.RecordBatch]:
     """State before every block; blocks arrive sorted by (keys, stretch, block)."""
     stretch, held = None, deque()
     for b in batches:
-        names, states = b.schema.names, []
-        at, col = [c.to_pylist() for c in b.columns[:keys]] + [b.column("_stretch").to_pylist()], b.column("_secs")
-        for row, now in enumerate(zip(*at)):
+        names, states, upto = b.schema.names, [], [0]
+        which = [c.to_pylist() for c in b.columns[:keys]] + [b.column("_stretch").to_pylist()]
+        at, secs, rows = _plain(b.column("_secs"))
+        for row, now in enumerate(zip(*which)):
             if now != stretch:
                 stretch, held = now, deque()
-            states.append([{"sec": s, "n": n} for s, n in held])
-            walk(*_plain(col, row), held, limit, span)
-        yield pa.RecordBatch.from_arrays([*b.columns[:keys], b.column("_blk"), pa.array(states, STATE)], [*names[:keys], "_blk", "_held"])
+            states += held
+            upto.append(len(states))
+            here = slice(at[row], at[row + 1])
+            walk(secs[here].tolist(), rows[here].tolist(), held, limit, span)
+        pairs = np.array(states, dtype=np.int64).reshape(-1, 2)
+        state = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], fields=list(STATE.value_type))
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns[:keys], b.column("_blk"), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), state)], [*names[:keys], "_blk", "_held"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch], keys: int, limit: int, span: int) -> Iterator[pa.RecordBatch]:
-    """Every second of a block with the rows let in before it and in it."""
+    """Every second of a block with the rows let in before it and in it.
+
+    Blocks of one or two seconds are the rule where keys are many, so blocks are counted
+    together, up to ``WIDTH`` seconds at a time (a longer block alone).
+    """
     for b in batches:
-        for row in range(b.num_rows):
-            secs, rows = _plain(b.column("_secs"), row)
-            held = deque(zip(*_plain(b.column("_held"), row)))
-            let = [*held, *walk(secs, rows, deque(held), limit, span)]
-            when, many = (np.array(x, dtype=np.int64) for x in zip(*let))
-            upto = np.concatenate([[0], np.cumsum(many)])
-            s = np.array(secs, dtype=np.int64)
-            before = upto[np.searchsorted(when, s)] - upto[np.searchsorted(when, s - span, side="right")]
-            here = upto[np.searchsorted(when, s, side="right")] - upto[np.searchsorted(when, s)]
-            each = pa.array(np.full(len(s), row))
+        at, secs, rows = _plain(b.column("_secs"))
+        held_at, held_secs, held_rows = _plain(b.column("_held"))
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(int(np.searchsorted(at, at[lo] + WIDTH, side="right")) - 1, lo + 1)
+            let, sizes = [], []
+            for row in range(lo, hi):
+                own, old = slice(at[row], at[row + 1]), slice(held_at[row], held_at[row + 1])
+                held = list(zip(held_secs[old].tolist(), held_rows[old].tolist()))
+                new = walk(secs[own].tolist(), rows[own].tolist(), deque(held), limit, span)
+                let += held
+                let += new
+                sizes.append(len(held) + len(new))
+            when, many = np.array(let, dtype=np.int64).reshape(-1, 2).T
+            s, upto = secs[at[lo] : at[hi]], np.concatenate([[0], np.cumsum(many)])
+            # a stretch of numbers for every block, so that one search serves all of them
+            first = min(int(s.min()), int(when.min())) - span
+            width = max(int(s.max()), int(when.max())) - first + 1
+            block = np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))
+            when = when - first + width * np.repeat(np.arange(hi - lo), sizes)
+            place = s - first + width * block
+            left, right = np.searchsorted(when, place), np.searchsorted(when, place, side="right")
+            before = upto[left] - upto[np.searchsorted(when, place - span, side="right")]
+            each = pa.array(block + lo)
             yield pa.RecordBatch.from_arrays(
-                [*(c.take(each) for c in b.columns[:keys]), pa.array(s), pa.array(before), pa.array(here)],
+                [*(c.take(each) for c in b.columns[:keys]), pa.array(s), pa.array(before), pa.array(upto[right] - upto[left])],
                 [*b.schema.names[:keys], "_sec", "_before", "_admit"])
+            lo = hi
 
 
 def admitted_seconds(per_sec: DataFrame, keys: Sequence[str], limit: int, span: int, width: int = WIDTH) -> DataFrame:

@@ -314,3 +314,22 @@ def test_first_lines_and_pastes_of_links_by_their_first_word(spark):
               (" \n ", False), ("", False), ("http\u017f://a.b", False), (None, None)]
     rows = spark.createDataFrame(pastes, "t string, want boolean")
     assert [r.got for r in rows.select(T.is_url_batch("t").alias("got")).collect()] == [w for _, w in pastes]
+
+
+def test_many_small_blocks_are_judged_together():
+    n, pair = 3000, pa.list_(pa.struct([("sec", pa.int64()), ("n", pa.int32())]))
+    secs = [[{"sec": 10 * i + j, "n": 2} for j in range(1 + i % 3)] for i in range(n)]
+    held = [[{"sec": 10 * i - 5, "n": i % 3}] if i % 2 else [] for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(secs, pair), pa.array(held, AD.STATE)], ["k", "_secs", "_held"])
+    out = list(AD._judge(iter([batch]), 1, 3, 8))
+    assert len(out) == 1
+    got = list(zip(*(out[0].column(c).to_pylist() for c in ("k", "_sec", "_before", "_admit"))))
+    want = []
+    for i in range(n):
+        let = deque((h["sec"], h["n"]) for h in held[i])
+        for p in secs[i]:
+            before = sum(m for s, m in let if s > p["sec"] - 8)
+            admit = min(p["n"], max(3 - before, 0))
+            want.append((i, p["sec"], before, admit))
+            let.append((p["sec"], admit))
+    assert got == want
