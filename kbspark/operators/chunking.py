@@ -121,14 +121,48 @@ class _Pieces:
                 lo = mid
             else:
                 hi = mid - 1
-        stop = lo
+        return self.tail(s, lo), lo
+
+    def tail(self, s: int, stop: int) -> int:
+        """First piece of chunk s..stop-1 that the next chunk repeats; ``stop`` when none is."""
         budget = int(self.tokens(s, stop) * OVERLAP)
         tail = stop
         while tail > s and self.tokens(tail - 1, stop) <= budget:
             tail -= 1
         if tail == stop and self.tokens(stop - 1, stop) < MIN_TOKENS:
             tail = stop - 1
-        return tail, stop
+        return tail
+
+    def entries(self, first: int, last: int) -> list[tuple[int, int]]:
+        """Every state (s, j) in which packing can reach piece ``first`` or one behind it, j < last.
+
+        A chunk ends before j because piece j did not fit, so few starts end there and each leaves
+        one tail. Only a chunk of a single new piece, which may be overfull, is not told that way:
+        behind it any tail counts.
+        """
+        if first == 0:
+            return [(0, 0)]
+        found: dict[tuple[int, int], None] = {}
+        back = first - 1
+        while back > 0 and (back > first - 2 or self.tokens(back - 1, first - 1) <= 120):
+            back -= 1
+        if self.tokens(back, first) > MAX_TOKENS:
+            s = first
+            found[(s, first)] = None
+            # a tail is at most 15 % of an overfull chunk (<= 800 tokens), or one piece
+            while s > 0 and (s == first or self.tokens(s - 1, first) <= 120):
+                s -= 1
+                found[(s, first)] = None
+        j, low = first, 0
+        while j < last and (j == first or self.tokens(first, j) <= MAX_TOKENS):
+            while low < first and self.tokens(low, j) > MAX_TOKENS:
+                low += 1
+            s = low
+            while s < first and self.tokens(s, j + 1) > MAX_TOKENS:
+                found[(self.tail(s, j), j)] = None
+                s += 1
+            j += 1
+        return list(found)
 
     def first_at(self, seq: int) -> int:
         """Index of the first piece at or after a segment position."""
@@ -178,15 +212,7 @@ def _block_map(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
     first, last = p.first_at(blk * width), p.first_at((blk + 1) * width)
     if first >= last:
         return pd.DataFrame(columns=cols)
-    entries, j = [], first
-    while j < last and (j == first or p.tokens(first, j) <= MAX_TOKENS):
-        s = j
-        entries.append((s, j))
-        # a tail is at most 15 % of an overfull chunk (<= 800 tokens), or one piece
-        while s > 0 and (s == j or p.tokens(s - 1, j) <= 120):
-            s -= 1
-            entries.append((s, j))
-        j += 1
+    entries = p.entries(first, last)
     memo: dict[tuple[int, int], tuple[int, int, int]] = {}
     rows = []
     for entry in entries:

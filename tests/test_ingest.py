@@ -333,3 +333,23 @@ def test_many_small_blocks_are_judged_together():
             want.append((i, p["sec"], before, admit))
             let.append((p["sec"], admit))
     assert got == want
+
+
+@pytest.mark.parametrize("sizes", [(15, 40), (1, 3), (300, 1900), (1900, 2600)])
+def test_a_block_is_entered_in_few_states_and_the_real_one_is_among_them(sizes):
+    rng = np.random.default_rng(sum(sizes))
+    p = K._Pieces([(i, "x" * int(n), 0.0, 0.0, i) for i, n in enumerate(rng.integers(*sizes, 3000))])
+    for first in range(900, 2000, 97):
+        entries = p.entries(first, 2900)
+        s, j = 0, 0
+        while j < first:
+            s, j = p.step(s, j)
+        assert (s, j) in entries
+        for start in range(max(first - 12, 0), first):  # whichever piece the packing before began with
+            s, j = start, start
+            while j < first:
+                s, j = p.step(s, j)
+            assert (s, j) in entries
+        if sizes == (15, 40):
+            assert len(entries) < 300  # some 2000 when every tail of up to 120 tokens was followed
+    assert p.entries(0, 2900) == [(0, 0)]
