@@ -12,6 +12,8 @@ from kbspark.functions import urls as U
 from kbspark.functions.rules import CAPTION_LANGUAGES, WALL_MIN_RENDERED, wall_reason
 from kbspark.operators.blocks import top_k
 
+SHARE_BYTES = 4 * 1024 * 1024  # of markup in one task; its tags take some fifty times as much
+
 # Feed page size, marker position, titles.
 MAX_EPISODES = 20
 MARKER = "Markdown Content:"
@@ -61,6 +63,12 @@ _TOKEN = r"(?s)<[/!A-Za-z][^>]*>|[^<]+|<"
 _NAMED = r"(?is)^<[^>]*[\s\"'](?:class|id|role)\s*=\s*(?:[\"'][^\"'>]*|)(?<![\w-])(?:" + PARTS + r")(?![\w-])"
 
 
+def _shares(pages: DataFrame, html: str) -> int:
+    """Partitions for the tags of all pages, so that a task sorts those of ``SHARE_BYTES`` of markup however many pages there are."""
+    total = pages.agg(F.sum(F.octet_length(html))).first()[0] or 0
+    return max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE_BYTES))
+
+
 def page_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
     """Tags and texts of every page in order, with ``cover``: how many removed elements they lie in.
 
@@ -75,8 +83,9 @@ def page_tokens(pages: DataFrame, html: str = "html") -> DataFrame:
         raw = F.regexp_replace(raw, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     # pages are numbered before they are taken apart; one shuffle by page serves every window
     numbered = pages.select(F.monotonically_increasing_id().alias("_row"), F.struct(*own).alias("page"), raw.alias("_raw"))
-    rows = numbered.select("_row", "page", F.posexplode_outer(F.regexp_extract_all("_raw", F.lit(_TOKEN), F.lit(0))).alias("pos", "token")).repartition("_row")
+    rows = numbered.select("_row", "page", F.posexplode_outer(F.regexp_extract_all("_raw", F.lit(_TOKEN), F.lit(0))).alias("pos", "token"))
     rows = rows.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("page", F.when(F.col("pos") == 0, F.col("page")))
+    rows = rows.repartition(_shares(pages, html), "_row")
     name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][\w:-]*)", 1))
     tag = rows.withColumn("name", F.coalesce(name, F.lit(""))).withColumn("closing", F.col("token").startswith("</"))
     paired = (F.col("name") != "") & ~F.col("name").isin(*VOID) & ~F.col("token").rlike(r"/\s*>$")

@@ -353,3 +353,12 @@ def test_a_block_is_entered_in_few_states_and_the_real_one_is_among_them(sizes):
         if sizes == (15, 40):
             assert len(entries) < 300  # some 2000 when every tail of up to 120 tokens was followed
     assert p.entries(0, 2900) == [(0, 0)]
+
+
+def test_tags_of_more_markup_go_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(RD, "SHARE_BYTES", 1000)
+    pages = spark.createDataFrame([(i, f"<nav>m</nav><p>{'word ' * 40}{i}</p>") for i in range(200)], "page_id long, html string")
+    tokens = RD.page_tokens(pages)
+    n = len("<nav>m</nav><p>" + "word " * 40 + "</p>") * 200 // 1000
+    assert tokens.rdd.getNumPartitions() > n
+    assert {r.text for r in RD.page_bodies(pages).collect()} == {f"{'word ' * 40}{i}" for i in range(200)}
