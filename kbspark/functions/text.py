@@ -159,8 +159,13 @@ def starter_lines(col) -> Column:
 
 
 def first_line(col, n: int) -> Column:
-    """First line of the trimmed text, trimmed and cut to ``n``; the rest of the text is not looked at."""
-    return F.substring(strip(F.regexp_extract(_c(col), r"\A(?U:\s*)([^\n\x0B\f\r\x85\u2028\u2029]*)", 1)), 1, n)
+    """First line of the trimmed text, trimmed and cut to ``n``.
+
+    Of a line that goes on behind ``n`` characters no more is looked at than its next solid one.
+    """
+    line = r"[^\n\x0B\f\r\x85\u2028\u2029]"
+    whole, short = rf"{line}{{{n}}}(?={line}*?(?U:\S))", rf"(?:{line}{{0,{n - 1}}}(?U:\S))?"
+    return F.regexp_extract(_c(col), rf"\A(?U:\s*)({whole}|{short})", 1)
 
 
 def display_name(display_title, title, fallback=None) -> Column:

@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from functools import partial
+from functools import cached_property, partial
 from itertools import repeat
 
 import numpy as np
@@ -62,6 +62,8 @@ ENTRY_SCHEMA = (
 
 
 def _count(text: str) -> tuple[int, int]:
+    if text.isascii():
+        return 0, len(text)
     cjk = len(_CJK.findall(text))
     return cjk, len(text) - cjk
 
@@ -75,6 +77,7 @@ class _Pieces:
         self.text: list[str] = []
         self.start: list[float] = []
         self.end: list[float] = []
+        counts: list[tuple[int, int]] = []
         for seq, text, start, end, given in segments:
             cjk, other = _count(text)
             if cjk + other // 4 > MAX_TOKENS:
@@ -85,14 +88,18 @@ class _Pieces:
                 parts = []
             for i, (body, a, b) in enumerate(parts):
                 self.pos.append((int(seq), i))
-                self.given.append(int(given))
                 self.text.append(body)
                 self.start.append(a)
                 self.end.append(b)
-        counts = [_count(x) for x in self.text]
+                # a segment without such characters has no piece with them
+                counts.append(_count(body) if cjk else (0, len(body)))
+            self.given += [int(given)] * len(parts)
         self.cjk = np.concatenate([[0], np.cumsum([c for c, _ in counts], dtype=np.int64)]).tolist()
         self.other = np.concatenate([[0], np.cumsum([o for _, o in counts], dtype=np.int64)]).tolist()
-        self.at = {p: i for i, p in enumerate(self.pos)}
+
+    @cached_property
+    def at(self) -> dict[tuple[int, int], int]:
+        return {p: i for i, p in enumerate(self.pos)}
 
     @staticmethod
     def _split(text: str, start: float, end: float):
@@ -381,17 +388,25 @@ def modality_of(source_type) -> "F.Column":
     return F.when(col.isin("video", "podcast"), F.lit("audio")).otherwise(F.lit("article"))
 
 
-def build_chunks(segments: DataFrame, sources: DataFrame, visual: DataFrame | None = None) -> DataFrame:
-    """Stored chunk rows of all sources; visual rows are appended as they are."""
-    body = chunk(segments).join(sources.select("source_id", "type"), "source_id").select(
+def build_chunks(
+    segments: DataFrame, sources: DataFrame, visual: DataFrame | None = None, max_seq: int | None = None, carry: Sequence[str] = (),
+) -> DataFrame:
+    """Stored chunk rows of all sources; visual rows are appended as they are.
+
+    ``carry`` names columns of the source that every row gets, so that texts meet their sources
+    once; ``max_seq`` is that of :func:`chunk`.
+    """
+    body = chunk(segments, max_seq).join(sources.select("source_id", "type", *carry), "source_id").select(
         chunk_id("source_id", "chunk_seq").alias("chunk_id"), "source_id",
-        modality_of("type").alias("modality"), "text", "start_sec", "end_sec",
+        modality_of("type").alias("modality"), "text", "start_sec", "end_sec", *carry,
     )
     if visual is None:
         return body
+    if carry:
+        visual = visual.join(sources.select("source_id", *carry), "source_id", "left")
     rows = visual.select(
         chunk_id("source_id", "pos", visual=True).alias("chunk_id"), "source_id",
-        F.lit("visual").alias("modality"), "text", "start_sec", "end_sec",
+        F.lit("visual").alias("modality"), "text", "start_sec", "end_sec", *carry,
     )
     return body.unionByName(rows)
 

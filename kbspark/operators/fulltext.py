@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import types as t
 
 from kbspark.functions import text as T
 from kbspark.operators.blocks import best_k, text_tiles, top_k
-from kbspark.session import NARROW_ROWS, at_most, bounded_values, cut_lineage, small_side
+from kbspark.session import NARROW_ROWS, at_most, bounded_values, small_side, stored
 
 # BM25 constants, shortest term a trigram index can match, idf floor.
 BM25_K1 = 1.2
@@ -32,6 +33,7 @@ IDF_FLOOR = 1e-6
 SALTS = 32
 TILE_CELLS = 2_000_000
 SCAN_BYTES = 4 * 1024 * 1024
+TALLY_BYTES = 1024 * 1024
 
 
 def grams(text, n: int = GRAM):
@@ -76,40 +78,44 @@ def _needle_keys(needles: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _finder(needles: list[str]):
-    """Function text -> {needle position: overlapping hits}, for use inside a task.
+def _walker(needles: list[str]):
+    """Function text -> needle positions, one for every overlapping hit, for use inside a task.
 
     All needles are searched for together in one walk over the text. Measured, this is some
     twenty times faster than testing needles one by one as expressions. Without the
     automaton package needles are searched for singly.
     """
     if not needles:
-        return lambda text: {}
+        return lambda text: iter(())
     try:
         import ahocorasick
     except ImportError:
-        def slow(text: str) -> dict[int, int]:
-            counts = {}
+        def slow(text: str) -> Iterator[int]:
             for i, needle in enumerate(needles):
                 at = text.find(needle)
                 while at >= 0:
-                    counts[i] = counts.get(i, 0) + 1
+                    yield i
                     at = text.find(needle, at + 1)
-            return counts
 
         return slow
     machine = ahocorasick.Automaton()
     for i, needle in enumerate(needles):
         machine.add_word(needle, i)
     machine.make_automaton()
-    return lambda text: Counter(i for _, i in machine.iter(text))
+    return lambda text: map(itemgetter(1), machine.iter(text))
+
 
+def _finder(needles: list[str]):
+    """Function text -> {needle position: overlapping hits}, for use inside a task."""
+    walk = _walker(needles)
+    return lambda text: Counter(walk(text))
 
-def _tiled(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+
+def _tiled(batches: Iterator[pa.RecordBatch], text: str, size: int = SCAN_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut by the bytes of their texts: hits held at a time grow with these, not with rows."""
     for b in batches:
         lo = 0
-        for part in text_tiles(b.column(text), max(b.num_rows, 1), SCAN_BYTES):
+        for part in text_tiles(b.column(text), max(b.num_rows, 1), size):
             yield b.slice(lo, len(part))
             lo += len(part)
 
@@ -240,43 +246,76 @@ def _sized(chunks: DataFrame, text: str, length: str | None):
     return F.lower(text).alias("_body"), size.cast("double").alias("_grams")
 
 
-def term_statistics(chunks: DataFrame, needles: list[str], text: str = "text", length: str | None = None):
-    """(number of texts, mean length, {needle: texts containing it}) in one pass.
+def _tally(walk, needles: int, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hits per text, needle positions, counts): what every text holds, one text after the other."""
+    if len(texts) == 1:  # a tile of its own, of any length: only counts are held
+        found = sorted(Counter(walk(texts[0])).items())
+        return np.array([len(found)]), np.array([i for i, _ in found], np.int64), np.array([c for _, c in found], np.int64)
+    walks = [np.fromiter(walk(text), np.int64) for text in texts]
+    rows = np.repeat(np.arange(len(texts)), [len(w) for w in walks])
+    cells, counts = np.unique(rows * needles + np.concatenate(walks), return_counts=True)
+    return np.bincount(cells // max(needles, 1), minlength=len(texts)), cells % max(needles, 1), counts
+
+
+def term_hits(texts: DataFrame, needles: list[str], id_col: str, text: str = "text", length: str | None = None, allowed: Column | None = None) -> DataFrame:
+    """(id, _grams, _kept, _terms, _tf) of every text: the needles it holds by position, and how often.
+
+    One walk over the texts, written to the shared folder: statistics and scores both come from
+    these short rows, and the texts are neither computed nor walked a second time.
+    """
+    kept = F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False))
+    body = texts.select(id_col, *_sized(texts, text, length), kept.alias("_kept"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk = _walker(needles)
+        for b in _tiled(batches, "_body", TALLY_BYTES):
+            per, terms, counts = _tally(walk, len(needles), [x or "" for x in b.column("_body").to_pylist()])
+            ends = pa.array(np.concatenate([[0], np.cumsum(per)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (terms, counts)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(id_col), b.column("_grams"), b.column("_kept"), *lists], [id_col, "_grams", "_kept", "_terms", "_tf"])
+
+    many = t.ArrayType(t.LongType())
+    schema = t.StructType([body.schema[id_col], body.schema["_grams"], body.schema["_kept"]]).add("_terms", many).add("_tf", many)
+    return stored(body.mapInArrow(scan, schema), "hits")
+
+
+def term_statistics(hits: DataFrame, needles: list[str]):
+    """(number of texts, mean length, {needle: texts containing it}) of :func:`term_hits`.
 
     Each task adds up its own counts, so what is shuffled and read back is at most one row
     per needle and task, and needles are bounded.
     """
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen, n, total = _finder(needles), Counter(), 0, 0.0
-        for b in _tiled(batches, "_body"):
-            for text_, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n, total = n + 1, total + (size or 0.0)
-                seen.update(find(text_ or "").keys())
-        rows = [(-1, n, total)] + [(i, c, 0.0) for i, c in seen.items()]
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n, total = np.zeros(len(needles), np.int64), 0, 0.0
+        for b in batches:
+            n, total = n + b.num_rows, total + (pc.sum(b.column(0)).as_py() or 0.0)
+            seen += np.bincount(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.int64), minlength=len(needles))
+        there = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64()))], ["needle", "n", "size"])
+            [pa.array([-1, *there], pa.int64()), pa.array([n, *seen[there]], pa.int64()), pa.array([total] + [0.0] * len(there), pa.float64())],
+            ["needle", "n", "size"])
 
-    counts = chunks.select(*_sized(chunks, text, length)).mapInArrow(scan, "needle long, n long, size double")
+    counts = hits.select("_grams", "_terms").mapInArrow(count, "needle long, n long, size double")
     rows = counts.groupBy("needle").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()
     whole = next(((r["n"], r["size"]) for r in rows if r["needle"] == -1), (0, 0.0))
     freq = {needles[r["needle"]]: r["n"] for r in rows if r["needle"] >= 0}
     return whole[0], (whole[1] / whole[0] if whole[0] else 0.0), freq
 
 
-def _scan_scores(body: DataFrame, id_col: str, pairs: list[tuple[int, str]], statistics, k: int) -> DataFrame:
-    """(query_id, id, score): the ``k`` best texts per query of every tile of texts.
+def _scan_scores(hits: DataFrame, needles: list[str], id_col: str, pairs: list[tuple[int, str]], statistics, k: int) -> DataFrame:
+    """(query_id, id, score): the ``k`` best texts per query of every tile of :func:`term_hits`.
 
-    A text is scored for all queries where it is read; only top-k rows leave the task.
+    A text is scored for all queries where its hits are read; only top-k rows leave the task.
     ``pairs`` are (query_id, needle) once per distinct term, so a needle that a query uses
     in two spellings counts twice.
     """
     n_docs, avg_len, freq = statistics
-    needles = sorted({x for _, x in pairs if x in freq})
     place = {x: i for i, x in enumerate(needles)}
-    idf = np.array([max(np.log((n_docs - freq[x] + 0.5) / (freq[x] + 0.5)), IDF_FLOOR) for x in needles])
+    idf = np.array([max(np.log((n_docs - freq.get(x, 0) + 0.5) / (freq.get(x, 0) + 0.5)), IDF_FLOOR) for x in needles])
     qids = sorted({q for q, _ in pairs})
     column = {q: i for i, q in enumerate(qids)}
-    uses = Counter((place[x], column[q]) for q, x in pairs if x in place)
+    uses = Counter((place[x], column[q]) for q, x in pairs)
     links = sorted(uses)
     owner = np.array([q for _, q in links], dtype=np.int64)
     weight = np.array([uses[x] * idf[x[0]] for x in links])
@@ -306,22 +345,23 @@ def _scan_scores(body: DataFrame, id_col: str, pairs: list[tuple[int, str]], sta
         return pa.RecordBatch.from_arrays([pa.array(query), ids.take(pa.array(rows)), pa.array(score)], ["query_id", id_col, "score"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _finder(needles)
-        for b in _tiled(batches, "_body"):
-            for lo in range(0, b.num_rows, per_tile):
-                part = b.slice(lo, per_tile)
-                docs, terms, tf = [], [], []
-                for d, text in enumerate(part.column(1).to_pylist()):
-                    hits = find(text or "")
-                    docs += [d] * len(hits)
-                    terms += hits.keys()
-                    tf += hits.values()
-                if docs:
-                    yield best(part.column(0), np.array(docs), np.array(terms),
-                               np.array(tf, dtype=np.float64), part.column(2).to_numpy(zero_copy_only=False))
-
-    schema = t.StructType().add("query_id", t.LongType()).add(id_col, body.schema[id_col].dataType).add("score", t.DoubleType())
-    return body.mapInArrow(scan, schema)
+        for b in batches:
+            per = b.column("_terms").value_lengths().to_numpy(zero_copy_only=False)
+            terms, tf = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("_terms", "_tf"))
+            size, at = b.column("_grams").to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(per)])
+            # tiles are bounded by texts and by (text, query, needle) triples
+            upto, lo = np.concatenate([[0], np.cumsum(per_needle[terms])])[at], 0
+            while lo < b.num_rows:
+                hi = int(np.searchsorted(upto, upto[lo] + TILE_CELLS, "right")) - 1
+                hi = min(max(hi, lo + 1), lo + per_tile, b.num_rows)
+                here = slice(at[lo], at[hi])
+                if at[hi] > at[lo]:
+                    yield best(b.column(id_col).slice(lo, hi - lo), np.repeat(np.arange(hi - lo), per[lo:hi]), terms[here],
+                               tf[here].astype(np.float64), size[lo:hi])
+                lo = hi
+
+    schema = t.StructType().add("query_id", t.LongType()).add(id_col, hits.schema[id_col].dataType).add("score", t.DoubleType())
+    return hits.filter(F.size("_terms") > 0).select(id_col, "_grams", "_terms", "_tf").mapInArrow(scan, schema)
 
 
 def bm25(
@@ -340,10 +380,10 @@ def bm25(
     chunks) filters before the limit, so other rows influence the statistics but take no
     place. ``length`` names a stored trigram count.
 
-    With a term list proven small the statistics are fitted in one pass, then every text is
-    scored where it is read and only the best ``k`` per query and tile are shuffled. A posting
-    table narrows both passes to the texts that hold a gram of a term; every text with a hit is
-    among them, so the counts stay those of the whole corpus.
+    With a term list proven small every text is walked once, and its hits are kept. Statistics
+    and scores are fitted from the hits; only the best ``k`` per query and tile are shuffled. A
+    posting table narrows the walk to the texts that hold a gram of a term; every text with a
+    hit is among them, so the counts stay those of the whole corpus.
     Otherwise, or without ``k``, hits are shuffled once by text id.
     """
     terms = explode_terms(queries).select(F.col("query_id").cast("long").alias("query_id"), "term", "needle")
@@ -354,16 +394,14 @@ def bm25(
         read = [x for x in read if len(x[1]) >= GRAM]
         rows, needles = chunks, sorted({x for _, x in read})
         if index is not None:
-            # the ids are kept, since both passes use them
             near = _candidates(chunks.select(id_col), index, _needle_keys(terms, GRAM), id_col)
-            rows = chunks.join(cut_lineage(near), id_col, "left_semi")
-        found = term_statistics(rows, needles, text, length)
+            rows = chunks.join(near, id_col, "left_semi")
+        hits = term_hits(rows, needles, id_col, text, length, allowed)
+        found = term_statistics(hits, needles)
         if index is not None:
             whole = corpus_stats(chunks, text, length).first()
             found = whole["n_docs"], whole["avg_len"] or 0.0, found[2]
-        rows = rows if allowed is None else rows.filter(allowed)
-        body = rows.select(id_col, *_sized(chunks, text, length))
-        scored = _scan_scores(body, id_col, read, found, k)
+        scored = _scan_scores(hits.filter("_kept"), needles, id_col, read, found, k)
         return top_k(scored, ["query_id"], best, k).withColumn("fts_rank", (F.col("rn") - 1).cast("int")).drop("rn")
 
     known = bounded_values(terms, F.col("needle"))

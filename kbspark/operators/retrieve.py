@@ -27,6 +27,14 @@ def rrf(vec: DataFrame, fts: DataFrame, id_col: str = "chunk_id", k: int = RRF_K
     return joined.withColumn("score", F.round(part("vec_rank") + part("fts_rank"), 9))
 
 
+def arms(
+    queries: DataFrame, chunks: DataFrame, vectors: DataFrame, fetch: int, max_dist: float = MAX_DISTANCE, index: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The vector and the keyword arm, each with its best ``fetch`` chunks per query."""
+    return (knn(queries.select("query_id", "qvec"), vectors, fetch, max_dist),
+            bm25(queries.select("query_id", "query"), chunks, fetch, index=index))
+
+
 def retrieve(
     queries: DataFrame,
     chunks: DataFrame,
@@ -38,13 +46,15 @@ def retrieve(
     scope_collection: int | None = None,
     scope: str = "post",
     index: DataFrame | None = None,
+    searched: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Best chunks per query: (query_id, rank, chunk, source columns, provenance).
 
     Queries carry query_id, query and qvec. With a scope each arm fetches four times the
     wanted rows instead of two, and rows outside the scope are dropped after fusion
     (``scope="post"``, which may return fewer rows than exist) or before the arms
-    (``scope="pre"``).
+    (``scope="pre"``). ``searched`` are the arms of :func:`arms` where they are at hand, at least
+    as wide as the fetch.
     """
     scoped = scope_source is not None or scope_collection is not None
     # id 0 narrows the result but does not widen the fetch
@@ -62,13 +72,14 @@ def retrieve(
             chunks = chunks.join(small_side(in_scope, at_most(in_scope, NARROW_ROWS)), "source_id", "left_semi")
         ids = chunks.select("chunk_id")
         vectors = vectors.join(small_side(ids, at_most(ids, NARROW_ROWS)), "chunk_id", "left_semi")
-    vec = knn(queries.select("query_id", "qvec"), vectors, fetch, max_dist)
-    fts = bm25(queries.select("query_id", "query"), chunks, fetch, index=index)
+    vec, fts = searched or arms(queries, chunks, vectors, fetch, max_dist, index)
+    if searched:
+        vec, fts = vec.filter(F.col("vec_rank") < fetch), fts.filter(F.col("fts_rank") < fetch)
     fused = rrf(vec, fts)
-    # metadata joins only the fused survivors, at most 2 * fetch narrow rows per query:
-    # with few queries they are sent to the chunks, whose text is then never shuffled
+    # metadata joins only the fused survivors, at most 2 * fetch narrow rows per query: with few
+    # queries they are sent to the chunks and then to the sources, which are never shuffled
     few = at_most(queries.select("query_id"), NARROW_ROWS // (2 * fetch))
-    rows = small_side(fused, few).join(chunks, "chunk_id").join(sources, "source_id")
+    rows = small_side(small_side(fused, few).join(chunks, "chunk_id"), few).join(sources, "source_id")
     if scoped:
         rows = rows.filter(keep)
     rows = rows.withColumn("title", T.display_name(F.lit(None).cast("string"), "title"))

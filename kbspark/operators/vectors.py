@@ -39,6 +39,11 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8))[at[0] : at[-1]]
     first = np.flatnonzero((raw & 0xC0) != 0x80)
+    try:
+        code = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        return code.astype(np.int64), np.searchsorted(first, at - at[0])
+    except UnicodeDecodeError:  # broken bytes are read as far as they tell
+        pass
     lead = raw[first].astype(np.int64)
     size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
     code = np.where(size == 1, lead, lead & (0xFF >> (size + 1)))
@@ -58,7 +63,7 @@ def hash_trigram_matrix(texts: pa.Array, dim: int = DIM, rows: int = 2048) -> It
         n, row = len(part), np.repeat(np.arange(len(part)), np.diff(at))
         if len(code) > 2:
             inside = row[2:] == row[:-2]
-            slot = (code[:-2] * 961 + code[1:-1] * 31 + code[2:])[inside] % dim
+            slot = (code[:-2] * 961 + code[1:-1] * 31 + code[2:])[inside].astype(np.uint32) % np.uint32(dim)  # below 2^31
             v = np.sqrt(np.bincount(row[2:][inside] * dim + slot, minlength=n * dim).reshape(n, dim).astype(np.float64))
         else:
             v = np.zeros((n, dim))

@@ -10,7 +10,7 @@ from kbspark.operators import fulltext as X
 from kbspark.operators import retrieve as R
 from kbspark.operators import vectors as V
 from kbspark.plans import sql
-from kbspark.session import cut_lineage
+from kbspark.session import stored
 from kbspark.sources import tables as S
 
 MAX_DIST = 1.25
@@ -126,15 +126,15 @@ def bounded_search(spark, sf):
 
 
 def retrieve_chunks(spark, sf):
-    """Flagship: hybrid retrieval over real packed chunks of every document, packed and encoded once."""
+    """Flagship: hybrid retrieval over real packed chunks of every document, packed once and encoded where they are searched."""
     from kbspark.operators.chunking import build_chunks
 
     sources = S.sources(spark, sf)
-    chunks = cut_lineage(build_chunks(S.document_segments(spark, sf), sources))
-    vectors = cut_lineage(V.embed_chunks(
-        chunks.join(sources.select("source_id", "title"), "source_id")).select("chunk_id", "embedding"))
+    # a document is one segment, and its title goes with its chunks: their texts are shuffled once
+    chunks = stored(build_chunks(S.document_segments(spark, sf), sources, max_seq=0, carry=("title",)), "chunks")
+    vectors = V.embed_chunks(chunks).select("chunk_id", "embedding")
     questions = V.embed(S.questions(spark, sf), "query", "qvec")
-    return _result_columns(R.retrieve(questions, chunks, vectors, sources, max_dist=MAX_DIST), "title")
+    return _result_columns(R.retrieve(questions, chunks.drop("title"), vectors, sources, max_dist=MAX_DIST), "title")
 
 
 def keyword_snippet(spark, sf):

@@ -1,5 +1,8 @@
 """Expression functions on the exact inputs they must handle."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -183,3 +186,20 @@ def test_feed_elements(spark):
     episodes, bad = rss_episodes(spark.createDataFrame([(1, "u", xml)], "feed_id int, url string, xml string"))
     r = episodes.first()
     assert (r.feed_title, r.title, r.guid, r.audio_url, r.duration_secs) == ("Feed", "Real", "g1", "https://a/1.mp3", 65) and bad.count() == 0
+
+
+def test_first_lines_of_any_length_and_blanks(spark):
+    """Against the rule itself: trim the text, take its first line, trim it, cut it."""
+    breaks = "\n\x0b\x0c\r\x85  "
+
+    def plain(text, n):
+        return re.split(f"[{breaks}]", text.strip(" 　 " + breaks))[0].strip(" 　 ")[:n]
+
+    rng, parts = random.Random(2), ["a", "電", "\U0001f600", " ", "　", "  ", "\n", "\r\n", " ", "word "]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(14))) for _ in range(1500)] + ["x" * 300_000 + " ", "ab" + " " * 5000 + "c", "ab" + " " * 5000]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    sizes = (1, 2, 3, 5, 8, 80)
+    for row in df.select("t", *[T.first_line("t", n).alias(str(n)) for n in sizes]).collect():
+        assert [row[str(n)] for n in sizes] == [plain(row.t, n) for n in sizes]
+    plan = df.select(T.first_line("t", 80))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan

@@ -374,3 +374,78 @@ def test_scans_hold_hits_of_bounded_text():
     parts = list(X._tiled(iter([batch, batch.slice(0, 0)]), "_body"))
     assert len(parts) > 3 and max(p.column(1).nbytes for p in parts) <= X.SCAN_BYTES + 8 * 3001
     assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(3000))
+
+
+def counted(spark, df, column):
+    """``df`` whose ``column`` counts how often it is computed, and the counter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    return df.withColumn(column, F.udf(read, "string").asNondeterministic()(column)), seen
+
+
+def plain_bm25(texts, asked, k):
+    """BM25 straight from its formula: (query, text, rank, score)."""
+    size = {i: max(len(x) - 2, 0) for i, x in texts.items()}
+    mean, out = sum(size.values()) / len(texts), []
+    for q, terms in asked.items():
+        tf = {w: {i: n for i, x in texts.items() if (n := len(re.findall(f"(?={w})", x.lower())))} for w in terms}
+        score = {}
+        for w, found in tf.items():
+            idf = max(np.log((len(texts) - len(found) + 0.5) / (len(found) + 0.5)), 1e-6)
+            for i, n in found.items():
+                score[i] = score.get(i, 0) + idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size[i] / mean))
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:k]
+        out += [(q, i, r, round(score[i], 6)) for r, i in enumerate(best)]
+    return sorted(out)
+
+
+def test_keyword_search_walks_a_text_once(spark, monkeypatch):
+    """Statistics and scores come from one walk; tiles of hits and long texts change nothing."""
+    rng = random.Random(7)
+    texts = {i: " ".join("".join(rng.choices("abcAB", k=5)) for _ in range(rng.randrange(40))) for i in range(80)} | {90: "aba " * 300_000, 91: ""}
+    asked = {i: sorted({"".join(rng.choices("abc", k=3)) for _ in range(6)}) for i in range(7)}
+    chunks, seen = counted(spark, spark.createDataFrame([*texts.items(), (92, None)], "chunk_id long, text string").repartition(3), "text")
+    queries = spark.createDataFrame([(q, " ".join(w)) for q, w in asked.items()] + [(99, "zzzz"), (98, "?")], "query_id long, query string")
+    want = plain_bm25(texts | {92: ""}, asked, 4)
+    got = X.bm25(queries, chunks, 4)
+    assert sorted((r.query_id, r.chunk_id, r.fts_rank, round(r.score, 6)) for r in got.collect()) == want
+    assert seen.value == len(texts) + 1
+    monkeypatch.setattr(X, "TILE_CELLS", 50)
+    again = X.bm25(queries, chunks, 4).collect()
+    assert sorted((r.query_id, r.chunk_id, r.fts_rank, round(r.score, 6)) for r in again) == want
+    some = X.bm25(queries, chunks, 4, allowed=F.col("chunk_id") % 2 == 0).collect()
+    whole = {(r.query_id, r.chunk_id): r.score for r in X.bm25(queries, chunks, 100).collect()}
+    assert some and all(r.chunk_id % 2 == 0 and r.score == whole[r.query_id, r.chunk_id] for r in some)
+
+
+def test_chunks_carry_columns_of_their_source(spark):
+    """Texts are read once where the largest position is known, and meet their sources once."""
+    rows = [(i, 0, f"Text {i}. " * (400 * (i % 3) + 1), None, None) for i in range(9)]
+    segments, seen = counted(spark, spark.createDataFrame(rows, SEG), "text")
+    sources = spark.createDataFrame([(i, "text", f"t{i}") for i in range(8)], "source_id long, type string, title string")
+    got = K.build_chunks(segments, sources, max_seq=0, carry=("title",)).collect()
+    assert seen.value == 9 and {(r.source_id, r.title) for r in got} == {(i, f"t{i}") for i in range(8)}
+    plain = K.build_chunks(spark.createDataFrame(rows, SEG), sources).collect()
+    assert sorted(tuple(r)[:-1] for r in got) == sorted(map(tuple, plain)) and len(plain) > 8
+    seen_rows = spark.createDataFrame([(1, 0, "seen", 0.0, 0.0)], "source_id long, pos long, text string, start_sec double, end_sec double")
+    both = K.build_chunks(spark.createDataFrame(rows, SEG), sources, seen_rows, carry=("title",))
+    assert [r.title for r in both.filter("modality = 'visual'").collect()] == ["t1"] and both.count() == len(plain) + 1
+
+
+def test_pieces_count_like_whole_segments():
+    """Tokens of pieces, with and without characters that count as one each."""
+    for text in ("Plain words. " * 300, "Mixed 電話 words. Then none. " * 200, "é" * 2100, "電" * 1100, " \n "):
+        p = K._Pieces([(0, text, 0.0, 9.0, 0), (3, "last", 9.0, 10.0, 3)])
+        assert p.given == [s for s, _ in p.pos] and [p.tokens(i, i + 1) for i in range(len(p.pos))] == [tokens(x) for x in p.text]
+
+
+def test_broken_bytes_encode_as_before():
+    """Bytes that are no UTF-8 do not stop an encoder, and change no other text."""
+    whole = pa.array(["plain text", "grüße \U0001f600電話", "", None])
+    assert np.array_equal(np.concatenate(list(V.hash_trigram_matrix(whole))), np.stack([V.hash_trigram_vector(x) for x in whole.to_pylist()]))
+    code, at = V.code_points(pa.array([b"ab\xff\xe9cd", "é".encode()], pa.binary()).view(pa.string()))
+    assert at.tolist()[0] == 0 and at.tolist()[-1] == len(code)
