@@ -129,12 +129,13 @@ def attribution_counts(routes: DataFrame) -> DataFrame:
         F.count_if(F.col("route") == r).alias(r) for r in ("both", "vector_only", "fts_only", "neither")])
 
 
-def arm_tops(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int, max_dist: float = MAX_DISTANCE):
-    """Each arm's own top-k: (query_id, chunk_id) of the vector and the keyword arm."""
-    return (
-        knn(queries.select("query_id", "qvec"), vectors, k, max_dist).select("query_id", "chunk_id"),
-        bm25(queries.select("query_id", "query"), chunks, k).select("query_id", "chunk_id"),
-    )
+def arm_tops(vec: DataFrame, fts: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Each arm's own top-k: (query_id, chunk_id) of arms that were searched at least that deep.
+
+    The first ``k`` of an arm's best are its best ``k``, so a shallower search is not run again.
+    """
+    return (vec.filter(F.col("vec_rank") < k).select("query_id", "chunk_id"),
+            fts.filter(F.col("fts_rank") < k).select("query_id", "chunk_id"))
 
 
 def false_hits(results: DataFrame, golden: DataFrame) -> DataFrame:

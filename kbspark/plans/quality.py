@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kbspark.operators import evaluate as E
+from kbspark.operators import retrieve as R
 from kbspark.operators import vectors as V
 from kbspark.plans import retrieval as Q
 from kbspark.plans import sql
+from kbspark.session import cut_lineage
 from kbspark.sources import tables as S
 
 K = 6
@@ -72,9 +74,11 @@ def attribution(spark, sf):
 
 
 def attribution_counts(spark, sf):
-    """Route counts, with the arms searched separately."""
-    questions, chunks, vectors, _ = Q.embedded(spark, sf)
-    return E.attribution_counts(E.attribution_by_search(_scores(spark, sf), *E.arm_tops(questions, chunks, vectors, K, Q.MAX_DIST)))
+    """Route counts told by the arms' own results; each arm is searched once, for these and for fusion."""
+    questions, chunks, vectors, sources = Q.embedded(spark, sf)
+    vec, fts = (cut_lineage(arm) for arm in R.arms(questions, chunks, vectors, 2 * K, Q.MAX_DIST))
+    results = R.retrieve(questions, chunks, vectors, sources, K, Q.MAX_DIST, searched=(vec, fts))
+    return E.attribution_counts(E.attribution_by_search(E.query_scores(results, golden(spark, sf)), *E.arm_tops(vec, fts, K)))
 
 
 def false_hits(spark, sf):

@@ -449,3 +449,33 @@ def test_broken_bytes_encode_as_before():
     assert np.array_equal(np.concatenate(list(V.hash_trigram_matrix(whole))), np.stack([V.hash_trigram_vector(x) for x in whole.to_pylist()]))
     code, at = V.code_points(pa.array([b"ab\xff\xe9cd", "é".encode()], pa.binary()).view(pa.string()))
     assert at.tolist()[0] == 0 and at.tolist()[-1] == len(code)
+
+
+def test_arm_tops_are_those_of_a_shallower_search(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda n: [[float(x) for x in v / np.linalg.norm(v)] for v in rng.normal(size=(n, 8))]
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    chunks = spark.createDataFrame([(i, i, " ".join(rng.choice(words, 6)), v, f"t{i}") for i, v in enumerate(unit(40))],
+                                   "chunk_id long, source_id long, text string, embedding array<float>, title string")
+    queries = spark.createDataFrame([(i, words[i], v) for i, v in enumerate(unit(5))], "query_id long, query string, qvec array<float>")
+    vectors, sources, chunks = chunks.select("chunk_id", "embedding"), chunks.select("source_id", "title"), chunks.select("chunk_id", "source_id", "text")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    wide = R.arms(queries, chunks, vectors, 20, 2.0)
+    own = R.arms(queries, chunks, vectors, 3, 2.0)
+    assert [rows(t) for t in E.arm_tops(*wide, 3)] == [rows(a.select("query_id", "chunk_id")) for a in own]
+    got = R.retrieve(queries, chunks, vectors, sources, 4, 2.0, searched=wide)
+    assert rows(got) == rows(R.retrieve(queries, chunks, vectors, sources, 4, 2.0)) and got.count() == 20
+
+
+def test_attribution_searches_every_arm_once(spark, monkeypatch):
+    from kbspark.plans import quality
+
+    calls = []
+    for module in (R, E):
+        for name in ("knn", "bm25"):
+            monkeypatch.setattr(module, name, lambda *a, _f=getattr(module, name), _n=name, **kw: calls.append(_n) or _f(*a, **kw))
+    sf = "/root/testdata/sf0.001"
+    got = quality.attribution_counts(spark, sf).first().asDict()
+    assert sorted(calls) == ["bm25", "knn"]
+    routes = {r.route: r["count"] for r in quality.attribution(spark, sf).groupBy("route").count().collect()}
+    assert sum(got.values()) > 0 and {k: v for k, v in got.items() if v} == routes
