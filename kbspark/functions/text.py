@@ -22,8 +22,8 @@ def _c(x) -> Column:
 
 
 def strip(col) -> Column:
-    """Unicode-aware trim of both ends."""
-    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+\z", "")
+    """Unicode-aware trim of both ends; blanks inside the text are not tried as its end."""
+    return F.regexp_extract(_c(col), r"(?s)\A(?U:\s*)(.*(?U:\S))?", 1)
 
 
 def collapse(col) -> Column:

@@ -203,3 +203,13 @@ def test_first_lines_of_any_length_and_blanks(spark):
         assert [row[str(n)] for n in sizes] == [plain(row.t, n) for n in sizes]
     plan = df.select(T.first_line("t", 80))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_trims_of_any_text(spark):
+    """Both ends lose every Unicode blank, whatever the length; missing texts stay missing."""
+    blanks, rng = " \n\t\r\x0b\x0c\x85   　", random.Random(4)
+    texts = ["".join(rng.choices("ab電\U0001f600\x1c​" + blanks, k=rng.randrange(9))) for _ in range(1500)]
+    texts += ["", blanks, "a b " * 700_000 + blanks, " " * 100_000 + "x", "x" + "\n" * 100_000 + "y"]
+    df = spark.createDataFrame([(x,) for x in [*texts, None]], "t string")
+    assert [r.x for r in df.select(T.strip("t").alias("x")).collect()] == [x.strip(blanks) for x in texts] + [None]
+    assert "regexp_replace" not in df.select(T.strip("t"))._jdf.queryExecution().optimizedPlan().toString()
