@@ -18,6 +18,7 @@ that hold text, numbered without gaps, so blank or missing segments do not matte
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cached_property, partial
 from itertools import repeat
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.operators.blocks import row_index, running_sum
+from kbspark.session import NARROW_ROWS, at_most, small_side, stored
 
 # Chunk size limits, overlap share, vocabulary budget.
 MIN_TOKENS = 300
@@ -59,6 +61,12 @@ MAP_SCHEMA = (
 ENTRY_SCHEMA = (
     "source_id long, blk long, s_seq long, s_piece long, j_seq long, j_piece long, n_before long"
 )
+LEDGER_SCHEMA = (
+    "source_id long, chunk_seq long, n_pieces long, lost long, disordered long, repeated boolean,"
+    " n_rows long, max_tokens long, min_tokens long, over_limit long, bad_times long, blank_chunks long,"
+    " overlapping long, overlap_chars long, late_starts long"
+)
+LEDGER_TYPES = [pa.bool_() if c == "repeated" else pa.int64() for c in re.findall(r"(\w+) (?:long|boolean)", LEDGER_SCHEMA)]
 
 
 def _count(text: str) -> tuple[int, int]:
@@ -442,19 +450,23 @@ def vocabulary_prefix(lines: DataFrame, keys: Sequence[str] = ("vocab_id",), lin
     )
 
 
+def _parts() -> "F.Column":
+    """What the segment ``text`` contributes to chunks, in order; null when that is nothing."""
+    n = F.length("text")
+    windows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / MAX_TOKENS).cast("int")),
+                          lambda i: T.strip(F.substr(F.col("text"), i * MAX_TOKENS + 1, F.lit(MAX_TOKENS))))
+    cut = T.sentences("text")
+    big = F.when(F.size(cut) > 1, F.transform(cut, lambda x: T.strip(x))).otherwise(windows)
+    return F.when(T.chunk_tokens("text") > MAX_TOKENS, big).when(T.non_blank("text"), F.array("text"))
+
+
 def segment_pieces(segments: DataFrame) -> DataFrame:
     """(source_id, seq, piece, text): what a segment contributes to chunks, as expressions.
 
     Blank segments contribute nothing, those over the size limit their sentences or, when
     there is only one, windows of ``MAX_TOKENS`` characters.
     """
-    n = F.length("text")
-    windows = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / MAX_TOKENS).cast("int")),
-                          lambda i: T.strip(F.substr(F.col("text"), i * MAX_TOKENS + 1, F.lit(MAX_TOKENS))))
-    cut = T.sentences("text")
-    big = F.when(F.size(cut) > 1, F.transform(cut, lambda x: T.strip(x))).otherwise(windows)
-    parts = F.when(T.chunk_tokens("text") > MAX_TOKENS, big).when(T.non_blank("text"), F.array("text"))
-    return segments.select("source_id", F.col("seq").cast("long").alias("seq"), F.posexplode_outer(parts).alias("piece", "text")).filter(
+    return segments.select("source_id", F.col("seq").cast("long").alias("seq"), F.posexplode_outer(_parts()).alias("piece", "text")).filter(
         F.col("piece").isNotNull())
 
 
@@ -480,17 +492,9 @@ def chunk_overlap(chunks: DataFrame) -> DataFrame:
     return sized.select("source_id", "chunk_seq", F.coalesce(longest, F.lit(0)).cast("long").alias("overlap"))
 
 
-def chunk_ledger(segments: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Reconcile chunks with the segments they were made of, piece by piece.
-
-    (source_id, chunk_seq, n_pieces, lost, disordered, repeated): a chunk owns the pieces from
-    its first new one to that of the next chunk. Behind the tail that it repeats they must
-    stand one after the other. ``lost`` pieces are not in their chunk at all; ``disordered``
-    ones are, though not at their place; ``repeated`` tells that the text before them is not the
-    end of the chunk before, or that the chunk is there more than once. Pieces before any
-    chunk, or of a source without chunks, are lost under chunk_seq -1.
-
-    Places come from running totals in blocks, so no source and no chunk is gathered.
+def _ledger_in_blocks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """:func:`chunk_ledger` of sources of any length: places come from running totals in blocks,
+    so no source and no chunk is gathered, but texts are shuffled several times.
     """
     starts = chunks.groupBy("source_id", "chunk_seq").agg(
         F.min("first_seq").alias("seq"), F.min("first_piece").cast("int").alias("piece"), F.min("text").alias("text"), F.count(F.lit(1)).alias("_times"))
@@ -525,30 +529,186 @@ def chunk_ledger(segments: DataFrame, chunks: DataFrame) -> DataFrame:
         (F.coalesce(F.col("_times") > 1, F.lit(False)) | (F.coalesce("_foreign", F.lit(False)) & (lost == 0))).alias("repeated"))
 
 
-def chunk_audit(segments: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: :func:`chunk_report`, and what the ledger, the overlaps and the order say.
+def _shared_end(before: str, text: str) -> int:
+    """Length of the longest end of ``before`` that is a beginning of ``text``."""
+    end = before[max(len(before) - len(text), 0):]
+    at = end.find(text[:2])
+    while at >= 0 and not text.startswith(end[at:]):
+        at = end.find(text[:2], at + 1)
+    return len(end) - at if at >= 0 else int(end.endswith(text[:1]))
+
+
+class _Copies:
+    """All rows of one chunk: its first place, its smallest text, and its distinct rows with their counts."""
+
+    def __init__(self):
+        self.seq: list[int] = []
+        self.piece: list[int] = []
+        self.rows: Counter[tuple] = Counter()
+
+    def add(self, seq: int | None, piece: int | None, *row) -> None:
+        for held, x in ((self.seq, seq), (self.piece, piece)):
+            if x is not None:
+                held[:] = [min([x, *held])]
+        self.rows[row] += 1
+
+    @cached_property
+    def text(self) -> str | None:
+        return min((r[0] for r in self.rows if r[0] is not None), default=None)
+
+    def against(self, before: _Copies) -> tuple[int, int, int]:
+        """Pairs of a row and one of the chunk before it: those that share characters, these, late starts."""
+        sharing = chars = late = 0
+        for (text, start, end, *_), n in self.rows.items():
+            for (old, old_start, *_), m in before.rows.items():
+                shared = 0 if text is None or old is None else _shared_end(old, text)
+                sharing, chars = sharing + n * m * (shared > 0), chars + n * m * shared
+                late += n * m * (None not in (start, end, old_start) and start <= old_start and end > 0)
+        return sharing, chars, late
+
+    def counts(self) -> tuple:
+        """Rows, most and fewest tokens, rows over the limit, with bad times, blank."""
+        tokens = [r[3] for r in self.rows if r[3] is not None]
+        times = lambda test: sum(n for r, n in self.rows.items() if test(r))
+        return (self.rows.total(), max(tokens, default=None), min(tokens, default=None), times(lambda r: r[3] is not None and r[3] > MAX_TOKENS),
+                times(lambda r: None not in r[1:3] and r[1] > r[2]), times(lambda r: r[4]))
+
+
+def _reconcile(sid: int, kept: dict[int, _Copies], pieces: list[tuple[int, int, str]]) -> list[tuple]:
+    """Rows of ``LEDGER_SCHEMA`` of one source."""
+    starts = sorted((*c.seq, *c.piece, n) for n, c in kept.items() if c.seq and c.piece)
+    own: dict[int, list[str]] = {n: [] for n in kept}
+    nth = 0
+    for seq, i, text in pieces:
+        while nth < len(starts) and starts[nth][:2] <= (seq, i):
+            nth += 1
+        own.setdefault(starts[nth - 1][2] if nth else -1, []).append(text)
+    rows = []
+    for n, texts in own.items():
+        if n not in kept:
+            rows.append((sid, n, len(texts), len(texts), 0, False, 0, None, None, 0, 0, 0, 0, 0, 0))
+            continue
+        c, before, joined = kept[n], kept.get(n - 1), " ".join(texts)
+        lost = off = 0
+        if c.text is None or not c.text.endswith(joined):
+            lost, at = sum(c.text is None or x not in c.text for x in texts), len(c.text or "") - len(joined)
+            for x in texts if not lost else ():
+                off += at < 0 or not c.text.startswith(x, at)
+                at += len(x) + 1
+        # the tail is what stands before the pieces; without all pieces it cannot be told
+        head = (c.text or "")[:max(len(c.text or "") - len(joined) - bool(texts), 0)]
+        foreign = not lost and not (before and before.text or "").endswith(head)
+        rows.append((sid, n, len(texts), lost, off, c.rows.total() > 1 or foreign, *c.counts(), *(c.against(before) if before else (0, 0, 0))))
+    return rows
+
+
+def _reconcile_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reconcile source after source of rows that arrive sorted by (source, chunks before segments, seq)."""
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * len(LEDGER_TYPES)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, LEDGER_TYPES)], _names(LEDGER_SCHEMA))
+
+    sid, kept, pieces = None, {}, []
+    for b in batches:
+        out: list[tuple] = []
+        for source, n, seq, parts, *row in zip(*(c.to_pylist() for c in b.columns)):
+            if source != sid:
+                out += _reconcile(sid, kept, pieces)
+                sid, kept, pieces = source, {}, []
+            if n is not None:
+                kept.setdefault(n, _Copies()).add(seq, *row)
+            else:
+                pieces += [(seq, i, x) for i, x in enumerate(parts or ())]
+        yield batch(out)
+    yield batch(_reconcile(sid, kept, pieces))
+
+
+def _reconciled(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows of ``LEDGER_SCHEMA``; every segment and every chunk is shuffled once, to its source."""
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    given = lambda c, kind: (F.col(c) if c in chunks.columns else F.lit(None)).cast(kind).alias(c)
+    long = lambda c: F.col(c).cast("long")
+    rows = chunks.select(
+        long("source_id").alias("source_id"), long("chunk_seq").alias("chunk_seq"), long("first_seq").alias("seq"), long("first_piece").alias("piece"),
+        "text", given("start_sec", "double"), given("end_sec", "double"), given("n_tokens", "long"),
+    ).filter(F.col("chunk_seq").isNotNull()).unionByName(segments.select(
+        long("source_id").alias("source_id"), *none("long", "chunk_seq"), long("seq").alias("seq"), *none("long", "piece"),
+        "text", *none("double", "start_sec", "end_sec"), *none("long", "n_tokens")))
+    placed = rows.repartition("source_id").sortWithinPartitions("source_id", F.col("chunk_seq").isNull(), "seq")
+    # pieces are cut behind the shuffle, so that their text travels once
+    whole = F.col("chunk_seq").isNotNull()
+    return placed.select(
+        "source_id", "chunk_seq", "seq", F.when(~whole, _parts()).alias("parts"), "piece", F.when(whole, F.col("text")).alias("text"),
+        "start_sec", "end_sec", "n_tokens", (whole & ~T.non_blank("text")).alias("blank"),
+    ).mapInArrow(_reconcile_sorted, LEDGER_SCHEMA)
+
+
+def _long_sources(segments: DataFrame, width: int) -> DataFrame | None:
+    """Ids of the sources that are longer than one block, None when there are none."""
+    if (segments.agg(F.max(F.col("seq").cast("long"))).first()[0] or 0) < width:
+        return None
+    ids = segments.filter(F.col("seq") >= width).select("source_id").distinct()
+    return small_side(ids, at_most(ids, NARROW_ROWS))
+
+
+def chunk_ledger(segments: DataFrame, chunks: DataFrame, width: int = BLOCK) -> DataFrame:
+    """Reconcile chunks with the segments they were made of, piece by piece.
+
+    (source_id, chunk_seq, n_pieces, lost, disordered, repeated): a chunk owns the pieces from
+    its first new one to that of the next chunk. Behind the tail that it repeats they must
+    stand one after the other. ``lost`` pieces are not in their chunk at all; ``disordered``
+    ones are, though not at their place; ``repeated`` tells that the text before them is not the
+    end of the chunk before, or that the chunk is there more than once. Pieces before any
+    chunk, or of a source without chunks, are lost under chunk_seq -1.
+
+    Sources of less than ``width`` segments are reconciled where one shuffle brings their
+    segments and chunks together, longer ones in blocks.
+    """
+    columns = ["source_id", "chunk_seq", "n_pieces", "lost", "disordered", "repeated"]
+    ids = _long_sources(segments, width)
+    if ids is None:
+        return _reconciled(segments, chunks).select(*columns)
+    far = [d.join(ids, "source_id", "left_semi") for d in (segments, chunks)]
+    near = [d.join(ids, "source_id", "left_anti") for d in (segments, chunks)]
+    return _reconciled(*near).select(*columns).unionByName(_ledger_in_blocks(*far).select(*columns))
+
+
+def _audited_in_blocks(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows with the columns of ``LEDGER_SCHEMA``, null where a row does not tell, of sources of any length."""
+    one = lambda test: test.cast("long")
+    overlap = chunk_overlap(chunks).select("source_id", one(F.col("overlap") > 0).alias("overlapping"), F.col("overlap").alias("overlap_chars"))
+    late = _after(chunks.select("source_id", "chunk_seq", "start_sec", "end_sec"), "start_sec").select(
+        "source_id", one((F.col("start_sec") <= F.col("_prev_start_sec")) & (F.col("end_sec") > 0)).alias("late_starts"))
+    rows = chunks.select(
+        "source_id", F.lit(1).cast("long").alias("n_rows"), F.col("n_tokens").alias("max_tokens"), F.col("n_tokens").alias("min_tokens"),
+        one(F.col("n_tokens") > MAX_TOKENS).alias("over_limit"), one(F.col("start_sec") > F.col("end_sec")).alias("bad_times"),
+        one(~T.non_blank("text")).alias("blank_chunks"))
+    out = _ledger_in_blocks(segments, chunks)
+    for d in (overlap, late, rows):
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out.select(*_names(LEDGER_SCHEMA))
+
+
+def chunk_audit(segments: DataFrame, chunks: DataFrame, width: int = BLOCK) -> DataFrame:
+    """One row: counts, size limits, blanks and times of all chunks, and what the ledger, the
+    overlaps and the order say.
 
     ``lost`` and ``disordered`` count pieces, ``repeated`` chunks, ``late_starts`` chunks that do not
     start after the one before them (untimed sources aside), ``overlap_chars`` shared characters.
+    Chunks are read once, unless a source is longer than ``width`` segments: then they are written
+    to the shared folder first.
     """
-    ledger = chunk_ledger(segments, chunks).agg(
-        F.coalesce(F.sum("n_pieces"), F.lit(0)).alias("n_pieces"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"),
-        F.coalesce(F.sum("disordered"), F.lit(0)).alias("disordered"), F.count_if("repeated").alias("repeated"))
-    shared = chunk_overlap(chunks).agg(
-        F.count_if(F.col("overlap") > 0).alias("overlapping"), F.coalesce(F.sum("overlap"), F.lit(0)).alias("overlap_chars"))
-    timed = _after(chunks.select("source_id", "chunk_seq", "start_sec", "end_sec"), "start_sec").agg(
-        F.count_if((F.col("start_sec") <= F.col("_prev_start_sec")) & (F.col("end_sec") > 0)).alias("late_starts"))
-    rows = chunk_report(chunks)
-    extra = [d.select(c).scalar().alias(c) for d in (ledger, shared, timed) for c in d.columns]
-    return rows.select("*", *extra)
-
-
-def chunk_report(chunks: DataFrame) -> DataFrame:
-    """One row of packing checks: counts, size limits, blanks, time order of every chunk."""
-    return chunks.agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("source_id").alias("n_sources"),
-        F.max("n_tokens").alias("max_tokens"), F.min("n_tokens").alias("min_tokens"),
-        F.count_if(F.col("n_tokens") > MAX_TOKENS).alias("over_limit"),
-        F.count_if(F.col("start_sec") > F.col("end_sec")).alias("bad_times"),
-        F.count_if(~T.non_blank("text")).alias("blank_chunks"),
-    )
+    ids = _long_sources(segments, width)
+    if ids is None:
+        rows = _reconciled(segments, chunks)
+    else:
+        chunks = stored(chunks, "chunks")
+        far = [d.join(ids, "source_id", "left_semi") for d in (segments, chunks)]
+        near = [d.join(ids, "source_id", "left_anti") for d in (segments, chunks)]
+        rows = _reconciled(*near).unionByName(_audited_in_blocks(*far))
+    total = lambda c, name=None: F.coalesce(F.sum(c), F.lit(0)).alias(name or c)
+    return rows.agg(
+        total("n_rows", "n_chunks"), F.count_distinct(F.when(F.col("n_rows") > 0, F.col("source_id"))).alias("n_sources"),
+        F.max("max_tokens").alias("max_tokens"), F.min("min_tokens").alias("min_tokens"),
+        *[total(c) for c in ("over_limit", "bad_times", "blank_chunks", "n_pieces", "lost", "disordered")], F.count_if("repeated").alias("repeated"),
+        *[total(c) for c in ("overlapping", "overlap_chars", "late_starts")])

@@ -192,8 +192,7 @@ def chunk_events(spark, sf):
 def chunk_stats(spark, sf):
     """Packing checks, reconciled with the segments."""
     segments = S.document_segments(spark, sf)
-    chunks = cut_lineage(K.chunk(segments))
-    return K.chunk_audit(segments, chunks).select(*[_b(c) for c in (
+    return K.chunk_audit(segments, K.chunk(segments)).select(*[_b(c) for c in (
         "n_chunks", "n_sources", "max_tokens", "min_tokens", "over_limit", "bad_times", "blank_chunks", "n_pieces", "lost", "disordered", "repeated",
         "overlapping", "overlap_chars", "late_starts")])
 

@@ -22,6 +22,7 @@ from kbspark.operators import vectors as V
 from kbspark.plans import quality, retrieval
 from kbspark.sources import readers as RD
 from kbspark.sources import sinks as SK
+from kbspark.sources import tables as S
 from kbspark.streaming import streams as ST
 
 ROOT = os.environ.get("KBSPARK_TEST_DIR", "/root/testdata/sf0.001")
@@ -206,6 +207,43 @@ def test_ledger_finds_what_is_missing(spark):
     assert row.lost == 0 and row.disordered > 0
 
 
+def test_audit_shuffles_every_text_once(spark):
+    """Chunks and segments meet in one shuffle, and no chunk is written or packed a second time."""
+    segments = S.document_segments(spark, ROOT)
+    plan = K.chunk_audit(segments, K.chunk(segments))._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("REPARTITION_BY_COL" in x for x in moved) == 1 and len(moved) <= 2 and "Join" not in plan and "Subquery" not in plan
+
+
+def test_ledger_and_audit_are_the_same_in_blocks(spark):
+    """Whole, missing, doubled, swapped, foreign and empty chunks of short and long sources."""
+    rows = transcript() + [(s, *r[1:]) for s in (2, 3) for r in transcript(40)] + [
+        (4, 0, "Sentence of a text. " * 400, 0.0, 0.0), (5, 0, "z" * 9000, 0.0, 0.0), (6, 3, "alone", 0.0, 0.0), (7, 0, None, 0.0, 1.0), (8, 1, "  ", 0.0, 1.0)]
+    segments = spark.createDataFrame(rows, SEGMENT)
+    whole = K.chunk(segments)
+    n, sid = F.col("chunk_seq"), F.col("source_id")
+    text = (F.when((n == 1) & (sid == 1), F.array_join(F.reverse(F.split("text", " (?=part )")), " ")).when((n == 3) & (sid == 1), F.concat(F.lit("other "), "text"))
+            .when((n == 2) & (sid == 4), F.lit(None)).when((n == 1) & (sid == 5), F.lit("")).otherwise(F.col("text")))
+    damaged = whole.filter(~((sid == 1) & (n == 5)) & ~((sid == 3) & (n == 0)) & (sid != 6)).withColumn("text", text)
+    damaged = damaged.unionByName(damaged.filter((n == 2) & (sid < 4)).withColumn("start_sec", F.lit(0.0))).cache()
+    for chunks in (whole, damaged):
+        want = sorted(map(tuple, K.chunk_ledger(segments, chunks).collect()))
+        assert want == sorted(map(tuple, K._ledger_in_blocks(segments, chunks).collect()))
+        assert want == sorted(map(tuple, K.chunk_ledger(segments, chunks, width=50).collect()))
+        (row,) = K.chunk_audit(segments, chunks).collect()
+        assert [row] == K.chunk_audit(segments, chunks, width=50).collect()
+    assert row.lost > 0 and row.disordered > 0 and row.repeated > 3 and row.late_starts > 0 and row.overlap_chars > 0
+    none = K.chunk_audit(segments.limit(0), damaged.limit(0)).first()
+    assert (none.n_chunks, none.n_sources, none.lost, none.max_tokens) == (0, 0, 0, None)
+
+
+def test_shared_end_is_the_longest(spark):
+    rng = np.random.default_rng(4)
+    for _ in range(5000):
+        a, b = ("".join(rng.choice(list("ab"), rng.integers(0, 8))) for _ in range(2))
+        assert K._shared_end(a, b) == max(k for k in range(min(len(a), len(b)) + 1) if b.startswith(a[len(a) - k :]))
+
+
 def test_cut_offs_equal_separate_runs(spark):
     golden = quality.golden(spark, ROOT)
     parts = retrieval.embedded(spark, ROOT)
