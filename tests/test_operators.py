@@ -81,6 +81,14 @@ def test_packing_matches_rules_and_does_not_depend_on_blocks(spark, seed, monkey
     assert whole.equals(K.chunk(df, width=128).orderBy("source_id", "chunk_seq").toPandas())
 
 
+def test_packing_has_no_bound_on_pieces(spark):
+    """Very short sentences: over 600 pieces a chunk, of which the next one repeats 100."""
+    rows = K.chunk(spark.createDataFrame([(1, 0, "a. " * 3000, 0.0, 0.0)], SEG)).orderBy("chunk_seq").collect()
+    want = plain_pack([("a.",)] * 3000)
+    assert [r.text for r in rows] == [" ".join(x[0] for x in c) for c in want]
+    assert max(r.n_segments for r in rows) > 600 and sum(r.n_segments for r in rows) - 3000 >= 60 * (len(rows) - 1)
+
+
 def test_packing_ignores_blank_and_missing_segments(spark):
     rng = random.Random(4)
     segs, seq = [], 5
